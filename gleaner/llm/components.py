@@ -1,0 +1,47 @@
+"""Distributed connected components over an edge table, with DataFrame operations only."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import forget, written
+
+
+def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
+    """``(node, component)`` for every node of ``edges(a, b)``; component is the smallest node that can be reached.
+
+    Alternating large-star and small-star rounds on the edges, each directed from the larger to the smaller node.
+    The smallest neighbour of each node is a partial aggregate and the joins are plain equi-joins against one row for
+    each node, so that a node with very many edges is summed before the shuffle and its join can be split; no
+    neighbour list is ever built. Every round is written to the shared folder.
+
+    Null ends, self-loops and repeated edges are dropped. No edges: no rows. Any orderable type of node will do.
+    """
+    e = written(
+        edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null and a != b").distinct(), "edges"
+    )
+    state = _state(e)
+    for _ in range(max_rounds):
+        if state[0] == 0:
+            break
+        least = e.groupBy("u").agg(F.min("v").alias("m"))
+        large = e.join(least.select(F.col("u").alias("v"), "m"), "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        following = written(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        after = _state(following)
+        forget(e)
+        e, changed, state = following, after != state, after
+        if not changed:
+            break
+    else:
+        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    labels = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+    return labels.union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def _state(e: DataFrame) -> tuple:
+    """Equal for equal edge tables: rows and a hash that doesn't depend on their order."""
+    row = e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
+    return tuple(row)
