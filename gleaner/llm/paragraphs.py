@@ -17,7 +17,7 @@ from .decontaminate import FOLD, Words, shingles
 from .verify import distinct_groups, similar_edges
 
 LINE = re.compile(rb"[^\n]+")
-PARAGRAPHS = "doc_id long, para int, start int, length int, id long, bands array<long>, shingles binary"
+PARAGRAPHS = "doc_id long, para int, start int, length int, id long, bands array<long>"
 
 
 def permutations(n: int, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
@@ -37,8 +37,25 @@ def bands(hashes: np.ndarray, a: np.ndarray, b: np.ndarray, rows: int) -> np.nda
     return np.array([xxhash.xxh64_intdigest(grid[k].tobytes(), k) for k in range(len(grid))], np.uint64).view(np.int64)
 
 
+def lines(text: bytes, min_words: int) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Place, start byte and words of each paragraph that is long enough."""
+    for k, m in enumerate(LINE.finditer(text)):
+        words = m[0].translate(FOLD).split()
+        if len(words) >= min_words:
+            yield k, m.start(), words
+
+
+def digest(words: list[bytes]) -> int:
+    return xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63)
+
+
+def shingle_set(words: list[bytes], width: int, known: Words) -> np.ndarray:
+    hashed = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    return np.unique(shingles(hashed, min(width, len(words))))
+
+
 def paragraphs(docs: DataFrame, min_words: int, width: int, n_bands: int, rows: int) -> DataFrame:
-    """Every paragraph (line) of at least ``min_words`` words: place, digest of its words, band keys, distinct shingle hashes."""
+    """Every paragraph (line) of at least ``min_words`` words: its place, a digest of its words, and its band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = permutations(n_bands * rows)
@@ -48,33 +65,42 @@ def paragraphs(docs: DataFrame, min_words: int, width: int, n_bands: int, rows:
                 out: list[tuple] = []
                 part = batch.slice(low, 500)
                 for doc_id, text in zip(part.column(0).to_pylist(), utf8(part.column(1))):
-                    ascii_only = text.isascii()
-                    chars = at = 0
-                    for k, m in enumerate(LINE.finditer(text)):
-                        words = m[0].translate(FOLD).split()
-                        if len(words) < min_words:
-                            continue
-                        hashed = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-                        distinct = np.unique(shingles(hashed, min(width, len(words))))
-                        start, length = m.start(), len(m[0])
-                        if not ascii_only:
-                            chars += len(text[at : m.start()].decode(errors="replace"))
-                            at, start, length = m.start(), chars, len(m[0].decode(errors="replace"))
-                        digest = xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63)
-                        out.append((doc_id, k, start, length, digest, bands(distinct, a, b, rows), distinct.tobytes()))
+                    plain, chars, at = text.isascii(), 0, 0
+                    for k, start, words in lines(text, min_words):
+                        end = text.find(b"\n", start)
+                        end = len(text) if end < 0 else end
+                        length = end - start
+                        if not plain:
+                            chars += len(text[at:start].decode(errors="replace"))
+                            at, length = start, len(text[start:end].decode(errors="replace"))
+                        out.append((doc_id, k, start if plain else chars, length, digest(words), bands(shingle_set(words, width, known), a, b, rows)))
                 if out:
-                    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
+                    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
                     yield pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*out), types)], names=[x.split()[0] for x in PARAGRAPHS.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PARAGRAPHS)
 
 
-def repeated_paragraphs(docs: DataFrame, min_words: int = 25, width: int = 5, threshold: float = 0.8, n_bands: int = 20, rows: int = 6, group_limit: int = 256) -> DataFrame:
+def shingle_sets(docs: DataFrame, min_words: int, width: int) -> DataFrame:
+    """``(id, shingles)``: digest and distinct shingle hashes of every paragraph."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Words()
+        for batch in batches:
+            for low in range(0, batch.num_rows, 200):
+                found = {digest(words): words for text in utf8(batch.slice(low, 200).column(0)) for _, _, words in lines(text, min_words)}
+                sets = [shingle_set(words, width, known).tobytes() for words in found.values()]
+                yield pa.record_batch([pa.array(list(found), pa.int64()), pa.array(sets, pa.binary())], names=["id", "shingles"])
+
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "id long, shingles binary")
+
+
+def repeated_paragraphs(docs: DataFrame, min_words: int = 25, width: int = 5, threshold: float = 0.8, n_bands: int = 10, rows: int = 4, group_limit: int = 256, few: int = 1_000_000) -> DataFrame:
     """Paragraphs that repeat across documents: ``(doc_id, para, start, length, cluster_doc, cluster_para, kept)``.
 
     A paragraph is a line of at least ``min_words`` words (runs of letters and digits, in lower case). Equal ones are one
     class. Classes that share a MinHash band (``n_bands`` of ``rows``: a pair with similarity 0.8 shares one with a chance of
-    0.998) are compared by the exact Jaccard similarity of their shingles of ``width`` words, and those of
+    0.995) are compared by the exact Jaccard similarity of their shingles of ``width`` words, and those of
     ``threshold`` or more are linked; a component that occurs in two documents or more is a cluster. Its first
     occurrence by doc_id and place is kept; kept is false for the ones to remove. start and length are in characters.
 
@@ -85,8 +111,12 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = 25, width: int = 5, th
     every = written(paragraphs(docs.where("doc_id is not null"), min_words, width, n_bands, rows), "paragraphs")
     banded = every.groupBy("id").agg(F.first("bands").alias("bands")).select("id", F.explode("bands").alias("band"))
     pairs = written(distinct_groups(chunk_pairs(banded, ["band"], "id", group_limit), ["band", "lo", "hi"]), "groups")
-    colliding = pairs.select("id").distinct()
-    sets = every.select("id", "shingles").join(colliding, "id", "left_semi").groupBy("id").agg(F.first("shingles").alias("shingles"))
+    # Shingles are made for colliding classes alone, again from the text of their first occurrences.
+    colliding = written(every.join(pairs.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("doc_id").alias("doc_id")), "colliding")
+    n = colliding.count()  # 16 bytes each: broadcast only while they are few
+    held = F.broadcast(colliding) if n <= few else colliding
+    texts = docs.select("doc_id", "text").join(held.select("doc_id"), "doc_id", "left_semi")
+    sets = shingle_sets(texts, min_words, width).join(held.select("id"), "id", "left_semi").groupBy("id").agg(F.first("shingles").alias("shingles"))
     named = connected_components(similar_edges(pairs, sets, threshold)).select(F.col("node").alias("id"), "component")
 
     place = F.struct("doc_id", "para")
