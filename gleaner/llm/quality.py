@@ -134,8 +134,8 @@ def judge(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
 
     The same rules as for ``score``. Own columns named score or predicted are replaced.
     """
-    marked = labels.where("doc_id is not null and quality is not null").select("doc_id").distinct()
-    model = fit(features(docs.where(~held_out()).join(marked, "doc_id", "left_semi")), labels, **settings)
+    # Statistics are made before the join with the labels: they are short, and texts are never shuffled.
+    model = fit(features(docs.where(~held_out())), labels, **settings)
     kept = [c for c in docs.columns if c not in ("score", "predicted")]
     docs = docs.select(*kept)
 

@@ -152,25 +152,27 @@ def blocks(t: int, bits: int = 64, coarse: bool = True) -> list[tuple[int, int,
 
 
 def cells(prints: DataFrame, t: int, coarse: bool = True) -> DataFrame:
-    """``(cell, fp, home)``: each fingerprint of ``prints(fp)`` at its home anchor and at every anchor that it visits."""
+    """``prints(fp, ...)`` with cell and home: each row at its fingerprint's home anchor and at every anchor that it visits."""
     plan = blocks(t, coarse=coarse)
+    prints = prints.select("fp", *[c for c in prints.columns if c != "fp"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for low in range(0, b.num_rows, 4096):
-                fp = b.column(0).to_numpy()[low : low + 4096]
+                columns = [c.to_numpy()[low : low + 4096] for c in b.columns]
+                fp = columns[0]
                 for k, (shift, within, code) in enumerate(plan):
                     x = ((fp.view(np.uint64) >> np.uint64(shift)) & np.uint64((1 << code.n) - 1)).view(np.int64)
                     at, to = code.visits(x, within)
                     cell = np.concatenate([code.home(x), to]) | (k << 32)
                     home = np.arange(len(cell)) < len(x)
-                    yield pa.record_batch([pa.array(cell), pa.array(np.concatenate([fp, fp[at]])), pa.array(home)], names=["cell", "fp", "home"])
+                    yield pa.record_batch([pa.array(cell), pa.array(home), *(pa.array(np.concatenate([c, c[at]])) for c in columns)], names=["cell", "home", *b.schema.names])
 
-    return prints.select("fp").mapInArrow(run, "cell long, fp long, home boolean")
+    return prints.mapInArrow(run, ", ".join(["cell long", "home boolean", *(f"{c} long" for c in prints.columns)]))
 
 
 def split_hot(rows: DataFrame, limit: int) -> DataFrame:
-    """``(cell, part, fp, home)``: cells with over ``limit`` homes or visitors are dealt to blocks of at most about that many.
+    """``rows(cell, home, fp, ...)`` with a column part: cells with over ``limit`` homes or visitors are dealt to blocks of at most about that many.
 
     Homes and visitors of such a cell are cut into chunks by hash, and every pair of chunks is a part of its own, so that
     no comparison is lost and no task gets an unbounded cell. The list of hot cells has at most rows / limit rows; it
@@ -180,13 +182,13 @@ def split_hot(rows: DataFrame, limit: int) -> DataFrame:
     hot = written(counts.where((F.col("h") > limit) | (F.col("v") > limit)).select("cell", F.ceil(F.col("h") / limit).cast("int").alias("hn"), F.ceil(F.col("v") / limit).cast("int").alias("vn")), "hot")
     n = hot.count()
     if n == 0:
-        return rows.select("cell", F.lit(0).alias("part"), "fp", "home")
-    joined = rows.join(F.broadcast(hot) if n <= 100_000 else hot, "cell", "left").select("cell", "fp", "home", F.coalesce("hn", F.lit(1)).alias("hn"), F.greatest(F.coalesce("vn", F.lit(1)), F.lit(1)).alias("vn"))
-    own = F.pmod(F.xxhash64("fp"), F.when(F.col("home"), F.greatest("hn", F.lit(1))).otherwise(F.col("vn"))).cast("int")
+        return rows.withColumn("part", F.lit(0))
+    joined = rows.join(F.broadcast(hot) if n <= 100_000 else hot, "cell", "left").select(*rows.columns, F.coalesce("hn", F.lit(1)).alias("hn"), F.greatest(F.coalesce("vn", F.lit(1)), F.lit(1)).alias("vn"))
+    own = F.pmod(F.xxhash64(*[c for c in rows.columns if c not in ("cell", "home")]), F.when(F.col("home"), F.greatest("hn", F.lit(1))).otherwise(F.col("vn"))).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.when(F.col("home"), F.col("vn")).otherwise(F.greatest("hn", F.lit(1))) - 1))
     joined = joined.withColumn("own", own).withColumn("other", other)
     part = F.when(F.col("home"), F.col("own") * F.col("vn") + F.col("other")).otherwise(F.col("other") * F.col("vn") + F.col("own"))
-    return joined.select("cell", part.cast("int").alias("part"), "fp", "home")
+    return joined.withColumn("part", part.cast("int")).drop("hn", "vn", "own", "other")
 
 
 def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[np.ndarray]]:
@@ -222,15 +224,30 @@ def runs(columns: list[np.ndarray], keys: int) -> list[tuple[int, int]]:
     return list(zip(cut, cut[1:]))
 
 
-def close_pairs(home: np.ndarray, visitor: np.ndarray, t: int, step: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs within t bits, a block of at most step x step comparisons at a time; each with its smaller value at home."""
-    for i in range(0, len(home), step):
-        for j in range(0, len(visitor), step):
-            x, y = home[i : i + step], visitor[j : j + step]
-            near = (np.bitwise_count(x.view(np.uint64)[:, None] ^ y.view(np.uint64)[None, :]) <= t) & (x[:, None] < y[None, :])
-            a, b = np.nonzero(near)
-            if len(a):
-                yield x[a], y[b]
+def forest(close: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of a spanning forest of the graph that the matrix gives between its rows and its columns."""
+    rows, columns = [], []
+    new_row, new_column = close.any(1), close.any(0)
+    for first in np.flatnonzero(new_row).tolist():
+        if not new_row[first]:
+            continue
+        new_row[first], stack = False, [first]
+        while stack:
+            r = stack.pop()
+            reached = np.flatnonzero(close[r] & new_column)
+            if not len(reached):
+                continue
+            new_column[reached] = False
+            rows.append(np.full(len(reached), r))
+            columns.append(reached)
+            onward = np.flatnonzero(new_row & close[:, reached].any(1))
+            if len(onward):
+                new_row[onward] = False
+                rows.append(onward)
+                columns.append(reached[close[np.ix_(onward, reached)].argmax(1)])
+                stack.extend(onward.tolist())
+    none = np.zeros(0, np.int64)
+    return (np.concatenate(rows), np.concatenate(columns)) if rows else (none, none)
 
 
 class Forest:
@@ -256,30 +273,36 @@ class Forest:
         return True
 
 
-def link_edges(rows: DataFrame, t: int) -> DataFrame:
-    """``(a, b)``: for each part of each cell a spanning forest of the pairs of fingerprints within t bits.
+def link_edges(rows: DataFrame, t: int, more: int | None = None, step: int = 1024) -> DataFrame:
+    """``(a, b)``: for each part of each cell a spanning forest of the pairs of ``rows(.., fp, id)`` within t bits.
 
-    The forest has fewer edges than the part has members, and the same components as all its pairs.
+    With ``more`` the rows have a second fingerprint, fp2, and both together may differ in ``more`` bits at most. Pairs are
+    compared in blocks of ``step`` by ``step``; a block's forest has fewer edges than it has rows and columns, and the
+    same components as all its pairs.
     """
+    names = ["cell", "part", "home", "id", "fp", *(["fp2"] if more is not None else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell, part, fp, home in groups(batches, 2):
-            a_out: list[int] = []
-            b_out: list[int] = []
-            for low, high in runs([cell, part], 2):
+        for columns in groups(batches, 2):
+            home, a_out, b_out = columns[2], [], []
+            bits = [c.view(np.uint64) for c in columns[4:]]
+            for low, high in runs(columns[:2], 2):
                 own = home[low:high]
-                if own.all() or not own.any():
-                    continue
-                here, forest = fp[low:high], Forest()
-                for a, b in close_pairs(np.unique(here[own]), np.unique(here[~own]), t):
-                    for x, y in zip(a.tolist(), b.tolist()):
-                        if forest.join(x, y):
-                            a_out.append(x)
-                            b_out.append(y)
+                x, y = np.flatnonzero(own) + low, np.flatnonzero(~own) + low
+                for i in range(0, len(x), step):
+                    for j in range(0, len(y), step):
+                        p, q = x[i : i + step], y[j : j + step]
+                        apart = np.bitwise_count(bits[0][p][:, None] ^ bits[0][q][None, :])
+                        close = (apart <= t) & (columns[3][p][:, None] < columns[3][q][None, :])
+                        if more is not None and close.any():
+                            close &= apart + np.bitwise_count(bits[1][p][:, None] ^ bits[1][q][None, :]) <= more
+                        r, c = forest(close)
+                        a_out.append(columns[3][p[r]])
+                        b_out.append(columns[3][q[c]])
             if a_out:
-                yield pa.record_batch([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
+                yield pa.record_batch([pa.array(np.concatenate(a_out)), pa.array(np.concatenate(b_out))], names=["a", "b"])
 
-    dealt = rows.select("cell", "part", "fp", "home").repartition("cell", "part").sortWithinPartitions("cell", "part")
+    dealt = rows.select(*names).repartition("cell", "part").sortWithinPartitions("cell", "part")
     return dealt.mapInArrow(run, "a long, b long")
 
 
@@ -298,7 +321,8 @@ def near_duplicates(docs: DataFrame, width: int = 4, threshold: int = 4, cell_li
     prints = written(fingerprints(docs, width), "fingerprints")
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
     fine = distinct.count() > fine_from
-    edges = link_edges(split_hot(cells(distinct, threshold, coarse=not fine), cell_limit), threshold)
+    rows = cells(distinct.select("fp", F.col("fp").alias("id")), threshold, coarse=not fine)
+    edges = link_edges(split_hot(rows, cell_limit), threshold)
     edges = written(edges, "links")
     named = connected_components(edges).select(F.col("node").alias("fp"), "component")
     # The class of each fingerprint is named by its smallest document.
@@ -310,16 +334,19 @@ def near_duplicates(docs: DataFrame, width: int = 4, threshold: int = 4, cell_li
 
 
 def _texts(docs: DataFrame, width: int) -> DataFrame:
-    """``(doc_id, id, fp)``: id is a digest of the words, equal for texts with the same ones."""
+    """``(doc_id, id, fp, fp2)``: id is a digest of the words, equal for texts with the same ones; two fingerprints."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = utf8(b.column(1))
-            ids = np.array([xxhash.xxh3_64_intdigest(b" ".join(t.lower().split())) for t in texts], np.uint64)
-            fp = np.array([fingerprint(shingle_hashes(t, width)) for t in texts], np.uint64)
-            yield pa.record_batch([b.column(0), pa.array(ids.view(np.int64)), pa.array(fp.view(np.int64))], names=["doc_id", "id", "fp"])
+            out = np.zeros((b.num_rows, 3), np.uint64)
+            for i, t in enumerate(utf8(b.column(1))):
+                h = shingle_hashes(t, width)
+                again = h * np.uint64(0x9E3779B97F4A7C15)
+                again = (again ^ (again >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                out[i] = xxhash.xxh3_64_intdigest(b" ".join(t.lower().split())), fingerprint(h), fingerprint(again ^ (again >> np.uint64(32)))
+            yield pa.record_batch([b.column(0), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in out.T)], names=["doc_id", "id", "fp", "fp2"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, id long, fp long, fp2 long")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -335,62 +362,36 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, shingles binary")
 
 
-def candidate_groups(rows: DataFrame, classes: DataFrame, t: int, step: int) -> DataFrame:
-    """``(cell, part, block, id)``: for each block of at most step x step texts in a cell, those within t bits of another.
-
-    Groups instead of pairs: a block gives at most 2 * step rows however many of its pairs are close. ``rows`` are the
-    cells of fingerprints, ``classes(id, fp)`` the texts that have them.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell, part, fp, home, ids in groups(batches, 2):
-            out: list[tuple[np.ndarray, ...]] = []
-            for low, high in runs([cell, part], 2):
-                own, here, names = home[low:high], fp[low:high], ids[low:high]
-                if own.all() or not own.any():
-                    continue
-                x, y, a, b = here[own], here[~own], names[own], names[~own]
-                for i in range(0, len(x), step):
-                    for j in range(0, len(y), step):
-                        close = np.bitwise_count(x[i : i + step].view(np.uint64)[:, None] ^ y[j : j + step].view(np.uint64)[None, :]) <= t
-                        close &= a[i : i + step, None] < b[None, j : j + step]
-                        members = np.unique(np.concatenate([a[i : i + step][close.any(1)], b[j : j + step][close.any(0)]]))
-                        if len(members):
-                            out.append((np.full(len(members), cell[low]), np.full(len(members), part[low], np.int32), np.full(len(members), i << 32 | j), members))
-            if out:
-                yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*out)], names=["cell", "part", "block", "id"])
-
-    dealt = rows.join(classes.select("fp", "id"), "fp").select("cell", "part", "fp", "home", "id")
-    dealt = dealt.repartition("cell", "part").sortWithinPartitions("cell", "part")
-    return dealt.mapInArrow(run, "cell long, part int, block long, id long")
-
-
-def drop_near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 12, similarity: float = 0.8, cell_limit: int = 4096, step: int = 1024, few: int = 1_000_000) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 12, more: int = 30, similarity: float = 0.8, cell_limit: int = 16_384, group_limit: int = 1024, few: int = 1_000_000) -> DataFrame:
     """The documents without near copies: of each group the one with the smallest doc_id stays, with all its columns.
 
     Candidates are texts whose SimHash over shingles of ``width`` words differs in at most ``threshold`` bits, found by the
-    same covering; they are linked if the Jaccard similarity of their shingle sets is ``similarity`` or more, which is
-    checked exactly. A group is a component of links.
+    same covering, and together with a second SimHash in at most ``more`` of 128. Within the components of candidates,
+    in blocks of ``group_limit`` texts, all pairs are held against the exact Jaccard similarity of their shingle sets:
+    those of ``similarity`` or more are links, and a group is a component of links.
 
     Texts with the same words are copies, as are all null and empty texts. Rows with a null doc_id are in no group and
     stay. Repeated doc_ids count as one document, of which one row stays. An empty table gives none. Other columns never matter.
     """
+    from .common import chunk_pairs
     from .verify import distinct_groups, similar_edges
 
     prints = written(_texts(docs, width).where("doc_id is not null"), "texts")
-    classes = written(prints.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp")), "classes")
-    rows = split_hot(cells(classes.select("fp").distinct(), threshold), cell_limit)
-    found = written(distinct_groups(candidate_groups(rows, classes, threshold, step), ["cell", "part", "block"]), "candidates")
-    wanted = written(classes.join(found.select("id").distinct(), "id", "left_semi").select("id", "doc_id"), "wanted")
-    n = wanted.count()  # some 8 bytes each: broadcast only while they are few
-    texts = docs.join(F.broadcast(wanted.select("doc_id")) if n <= few else wanted.select("doc_id"), "doc_id", "left_semi")
-    sets = _sets(texts, width).join(wanted, "doc_id").groupBy("id").agg(F.first("shingles").alias("shingles"))
+    classes = written(prints.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("fp2").alias("fp2")), "classes")
+    rows = split_hot(cells(classes.select("fp", "fp2", "id"), threshold), cell_limit)
+    near = written(connected_components(link_edges(rows, threshold, more)), "candidates").select("component", F.col("node").alias("id"))
+    found = distinct_groups(chunk_pairs(near, ["component"], "id", group_limit), ["component", "lo", "hi"])
+    wanted = written(classes.join(near.select("id"), "id", "left_semi").select("id", "doc_id"), "wanted")
+    short = wanted.count() <= few  # some 16 bytes each: broadcast only while they are few
+    texts = docs.select("doc_id", "text").join(F.broadcast(wanted.select("doc_id")) if short else wanted.select("doc_id"), "doc_id", "left_semi")
+    sets = _sets(texts, width).join(F.broadcast(wanted) if short else wanted, "doc_id").groupBy("id").agg(F.first("shingles").alias("shingles"))
     named = connected_components(similar_edges(found, sets, similarity)).select(F.col("node").alias("id"), "component")
-    grouped = classes.select("id", "doc_id").join(named, "id", "left")
-    stay = written(grouped.groupBy(F.coalesce("component", "id").alias("group")).agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct(), "stay")
-    out = docs.join(stay, "doc_id", "left_semi").select(*docs.columns)
+    grouped = classes.select("id", "doc_id").join(named, "id", "left").withColumn("group", F.coalesce("component", "id"))
+    stay = grouped.groupBy("group").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    go = written(prints.select("doc_id").distinct().join(stay, "doc_id", "left_anti"), "go")
+    out = docs.join(F.broadcast(go) if go.count() <= few else go, "doc_id", "left_anti").select(*docs.columns)
     again = written(prints.groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
     if again.count():
         once = out.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
         out = out.join(again, "doc_id", "left_anti").select(*docs.columns).union(once)
-    return out.union(docs.where("doc_id is null"))
+    return out
