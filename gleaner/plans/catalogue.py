@@ -1,4 +1,264 @@
-"""The reference operators' queries over the given tables."""
+"""The file operators as queries over the given tables read as file inventories, and SQL that gives the same rows."""
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.digest import sample_offsets, samples
+from ..functions.text import kind, safe_title, split_extension
+from ..operators import exact, organizer, perceptual, store
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` as files: a path with an extension by id, bytes as content, times with ties."""
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    ending = F.element_at(F.array(*map(F.lit, [".txt", ".JPG", ".mp4", ".mkv"])), (F.col("doc_id") % 4 + 1).cast("int"))
+    path = F.concat(F.lit("/"), "source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), ending)
+    return d.select(path.alias("path"), F.octet_length("text").cast("long").alias("size"), ((F.col("doc_id") % 97) * 1_000_000_000).alias("mtime_ns"), F.lit(1).cast("long").alias("dev"), F.col("doc_id").alias("ino"), F.col("text").cast("binary").alias("content"), "lang")
+
+
+FILES = """files as (select '/' || source || '/' || lang || '/' || doc_id || (case doc_id % 4 when 0 then '.txt' when 1 then '.JPG' when 2 then '.mp4' else '.mkv' end) as path,
+    strlen(text)::bigint as size, (doc_id % 97) * 1000000000 as mtime_ns, 1::bigint as dev, doc_id as ino, hex(text) as hx, sha256(text) as full_sig, lang from documents)"""
+KIND = "case doc_id % 4 when 0 then 'other' when 1 then 'image' else 'video' end"
+OFFSETS = lambda s: f"list_distinct([0::bigint, least(size // 2, greatest(0, size - {s})), greatest(0, size - {s})])"
+SORTED = lambda s: f"list_sort({OFFSETS(s)})"
+QUICK = lambda s: f"sha256(unhex(list_reduce(list_transform({SORTED(s)}, lambda o: substr(hx, (2 * o + 1)::bigint, {2 * s})), lambda a, b: a || b)))"
+SIZES = {"en": (1920, 1080), "fr": (1280, 720), "de": (640, 480), "es": (720, 576)}
+WIDTH, HEIGHT = (f"case lang {' '.join(f'when {k!r} then {v[i]}' for k, v in SIZES.items())} end" for i in (0, 1))
+DHASH = lambda at: f"""(select case when v >= 9223372036854775808 then (v - 18446744073709551616)::bigint else v::bigint end from (select list_sum(list_transform(range(64), lambda n:
+    case when substr(hx, 2 * (({at} + n // 8 * 9 + n % 8))::bigint + 1, 2) > substr(hx, 2 * ({at} + n // 8 * 9 + n % 8 + 1)::bigint + 1, 2) then pow(2, 63 - n)::hugeint else 0::hugeint end)) as v))"""
+PREFIX = lambda h: f"(({h} >> 48) & 65535)"
+
+
+def inventory(spark, sf_dir):
+    f = files(spark, sf_dir).withColumn("extension", split_extension(F.col("path")))
+    return f.select("path", "size", "mtime_ns", "extension", kind(F.col("extension")).alias("kind"))
+
+
+def kind_counts(spark, sf_dir):
+    return inventory(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("files"), F.sum("size").alias("bytes"))
+
+
+def size_groups(spark, sf_dir):
+    return files(spark, sf_dir).groupBy("size").agg(F.count("*").alias("files")).where("files > 1")
+
+
+def size_candidates(spark, sf_dir):
+    return exact.repeated(files(spark, sf_dir).select("path", "size"), "size")
+
+
+def quick_offsets(spark, sf_dir):
+    n = F.size(sample_offsets(F.col("size"), 64))
+    return files(spark, sf_dir).select("path", n.cast("long").alias("n_samples"), (n * F.least(F.col("size"), F.lit(64))).cast("long").alias("bytes_read"))
+
+
+def cut(spark, sf_dir):
+    """The first 256 bytes of every file that has them."""
+    return files(spark, sf_dir).where("size >= 256").withColumn("content", F.substring("content", 1, 256)).withColumn("size", F.lit(256).cast("long"))
+
+
+def quick_candidates(spark, sf_dir):
+    signed = cut(spark, sf_dir).select("path", "size", F.sha2(samples(F.col("content"), F.col("size"), 16), 256).alias("quick_sig"))
+    return exact.repeated(signed, "size", "quick_sig").select("path", "quick_sig")
+
+
+def full_candidates(spark, sf_dir):
+    signed = exact.signatures(cut(spark, sf_dir), 16)
+    return exact.repeated(signed, "size", "quick", "full").select("path", F.col("full").alias("full_sig"))
+
+
+def signed(spark, sf_dir):
+    return exact.signatures(files(spark, sf_dir), 64)
+
+
+def exact_duplicates(spark, sf_dir):
+    return exact.duplicates(signed(spark, sf_dir))
+
+
+def survivors(spark, sf_dir):
+    f = files(spark, sf_dir)
+    return exact.survivors(f.select("path", "size"), exact_duplicates(spark, sf_dir)).select("size", F.size("paths").cast("long").alias("n_paths"), F.col("paths")[0].alias("first_path"))
+
+
+def run_stats(spark, sf_dir):
+    s = signed(spark, sf_dir)
+    return exact.statistics(s, exact.duplicates(s))
+
+
+def sized(f):
+    width, height = (F.element_at(F.create_map(*[F.lit(x) for k, v in SIZES.items() for x in (k, v[i])]), F.col("lang")) for i in (0, 1))
+    return f.withColumn("width", width).withColumn("height", height)
+
+
+def frames(spark, sf_dir):
+    return sized(files(spark, sf_dir).where("size >= 72").withColumn("h", perceptual.dhash(F.col("content")))).select("path", "ino", "h", "width", "height")
+
+
+def dhash(spark, sf_dir):
+    return frames(spark, sf_dir).select(F.col("ino").alias("doc_id"), F.col("h").alias("dhash"))
+
+
+def image_pairs(spark, sf_dir):
+    return perceptual.image_pairs(frames(spark, sf_dir)).select("left", "right", "score")
+
+
+def video_pairs(spark, sf_dir):
+    f = sized(files(spark, sf_dir).where("size >= 288")).withColumn("hashes", F.array(*[perceptual.dhash(F.col("content"), 72 * i) for i in range(4)]))
+    return perceptual.video_pairs(f.select("path", "hashes", "width", "height", (F.col("size") / 500.0).alias("duration"))).select("left", "right", "score")
+
+
+def clusters(spark, sf_dir):
+    return perceptual.clusters(perceptual.image_pairs(frames(spark, sf_dir))).select("first_path", "n_paths", "pairs", "min_score", "max_score")
+
+
+def stored(spark, sf_dir):
+    """What an earlier run has left: some files missing, some with another time, some without a quick digest."""
+    f = files(spark, sf_dir).where("ino % 5 != 0")
+    quick = F.when(F.col("ino") % 3 != 0, F.concat(F.lit("q"), F.col("ino").cast("string")))
+    none = F.lit(None).cast("string")
+    return f.select("path", "size", (F.col("mtime_ns") + F.when(F.col("ino") % 7 == 0, 1).otherwise(0)).alias("mtime_ns"), "dev", "ino", quick.alias("quick_hash"), F.lit("f").alias("full_hash"), none.alias("media_sig"), none.alias("media_meta"), F.lit("run-1").alias("last_seen_run"))
+
+
+def current(spark, sf_dir):
+    f = files(spark, sf_dir).where("ino % 11 != 0")
+    none = F.lit(None).cast("string")
+    fresh = F.when(F.col("ino") % 2 == 0, F.concat(F.lit("n"), F.col("ino").cast("string")))
+    return f.select("path", "size", "mtime_ns", "dev", "ino", fresh.alias("quick_hash"), none.alias("full_hash"), none.alias("media_sig"), none.alias("media_meta"))
+
+
+def cache_lookup(spark, sf_dir):
+    found = store.lookup(current(spark, sf_dir).select("path", *store.IDENTITY), stored(spark, sf_dir))
+    return found.select("path", F.col("quick_hash").isNotNull().alias("hit"))
+
+
+def cache_hits(spark, sf_dir):
+    return store.hits(store.lookup(current(spark, sf_dir).select("path", *store.IDENTITY), stored(spark, sf_dir)), "quick_hash")
+
+
+def cache_merge(spark, sf_dir):
+    merged = store.merge(stored(spark, sf_dir), current(spark, sf_dir), "run-2")
+    return merged.select("path", "size", "mtime_ns", "ino", "quick_hash", "full_hash", "last_seen_run")
+
+
+def cache_prune(spark, sf_dir):
+    return store.prune(cache_merge(spark, sf_dir), "run-2").select("path", "quick_hash")
+
+
+CACHE = f"""{FILES}, stored as (select path, size, mtime_ns + (case when ino % 7 = 0 then 1 else 0 end) as mtime_ns, dev, ino, case when ino % 3 <> 0 then 'q' || ino end as quick_hash, 'f' as full_hash from files where ino % 5 <> 0),
+    fresh as (select path, size, mtime_ns, dev, ino, case when ino % 2 = 0 then 'n' || ino end as quick_hash, null::varchar as full_hash from files where ino % 11 <> 0),
+    merged as (select coalesce(n.path, o.path) as path, coalesce(n.size, o.size) as size, coalesce(n.mtime_ns, o.mtime_ns) as mtime_ns, coalesce(n.ino, o.ino) as ino,
+        case when n.path is null then o.quick_hash when o.mtime_ns = n.mtime_ns then coalesce(n.quick_hash, o.quick_hash) else n.quick_hash end as quick_hash,
+        case when n.path is null then o.full_hash when o.mtime_ns = n.mtime_ns then coalesce(n.full_hash, o.full_hash) else n.full_hash end as full_hash,
+        case when n.path is null then 'run-1' else 'run-2' end as last_seen_run from stored o full join fresh n on o.path = n.path)"""
+
+
+def names(spark, sf_dir):
+    """``part`` as media file names."""
+    return spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr(f"{SPARK_NAME} as source", "cast(floor(p_retailprice) as bigint) as size", "p_partkey", "p_name", "p_size")
+
+
+def _name(pad: str) -> str:
+    base = f"""case p_partkey % 5 when 0 then replace(p_name, ' ', '.') || '.S' || {pad.format('p_size % 3 + 1')} || 'E' || {pad.format('p_size % 10')}
+        when 1 then replace(p_name, ' ', '_') || '_(' || cast(1990 + p_size % 20 as varchar(9)) || ')' when 2 then p_name || '?: ' || cast(p_size as varchar(9))
+        when 3 then replace(p_name, ' ', '-') || ' - s01e' || {pad.format('p_size % 10')} else replace(p_name, ' ', '.') || '.(' || cast(1990 + p_size % 20 as varchar(9)) || ')' end"""
+    quality = "case p_partkey % 7 when 0 then '.2160p' when 1 then ' 4K' when 2 then '.1080p' when 3 then '.720p' when 4 then '.480p' else '' end"
+    return f"'/in/' || lower(p_brand) || '/' || {base} || {quality} || case p_partkey % 6 when 0 then '.MKV' when 4 then '.flv' when 5 then '.txt' else '.mp4' end"
+
+
+SPARK_NAME = _name("lpad(cast({} as varchar(9)), 2, '0')")
+NAMES = f"""names as (select {SPARK_NAME} as source, floor(p_retailprice)::bigint as size from part),
+    stems as (select *, lower(regexp_extract(source, '(\\.[^./]+)$', 1)) as extension, regexp_replace(regexp_replace(source, '^.*/', ''), '\\.[^.]+$', '') as stem from names),
+    media as (select *, case when regexp_matches(stem, '(?i)(.*?)[\\s._-]+s(\\d{{1,2}})e(\\d{{1,2}})') then 'show' when regexp_matches(stem, '(.*?)[\\s._-]*\\((\\d{{4}})\\)') then 'movie' else 'unknown' end as form
+        from stems where extension in ('.mkv', '.mp4', '.avi', '.mov', '.m4v', '.wmv', '.ts', '.webm')),
+    parsed as (select *, case form when 'show' then trim(replace(replace(regexp_extract(stem, '(?i)(.*?)[\\s._-]+s(\\d{{1,2}})e(\\d{{1,2}})', 1), '.', ' '), '_', ' '))
+            when 'movie' then trim(replace(replace(regexp_extract(stem, '(.*?)[\\s._-]*\\((\\d{{4}})\\)', 1), '.', ' '), '_', ' ')) else trim(regexp_replace(stem, '[._-]+', ' ', 'g')) end as title,
+        case when form = 'movie' then regexp_extract(stem, '(.*?)[\\s._-]*\\((\\d{{4}})\\)', 2)::int end as year,
+        case when form = 'show' then regexp_extract(stem, '(?i)(.*?)[\\s._-]+s(\\d{{1,2}})e(\\d{{1,2}})', 2)::int end as season,
+        case when form = 'show' then regexp_extract(stem, '(?i)(.*?)[\\s._-]+s(\\d{{1,2}})e(\\d{{1,2}})', 3)::int end as episode,
+        case when lower(stem) like '%2160p%' or lower(stem) like '%4k%' then 2160 when lower(stem) like '%1080p%' then 1080 when lower(stem) like '%720p%' then 720 when lower(stem) like '%480p%' then 480 else 0 end as resolution_score from media),
+    keyed as (select *, case form when 'show' then 'show:' || lower(title) || '|s' || lpad(season::varchar, 2, '0') || 'e' || lpad(episode::varchar, 2, '0') when 'movie' then 'movie:' || lower(title) || '|' || year else 'unknown:' || lower(title) end as dedupe_key,
+        trim(regexp_replace(regexp_replace(title, '[\\\\/:*?"<>|]', '', 'g'), '\\s+', ' ', 'g')) as safe from parsed),
+    ranked as (select *, row_number() over (partition by dedupe_key order by resolution_score desc, size desc, length(source), source) as rank from keyed),
+    placed as (select *, '/library/' || case when rank > 1 then 'Duplicates/' || regexp_replace(source, '^.*/', '') when form = 'show' then 'TV/' || safe || '/Season ' || lpad(season::varchar, 2, '0') || '/' || safe || ' - S' || lpad(season::varchar, 2, '0') || 'E' || lpad(episode::varchar, 2, '0') || extension
+        when form = 'movie' then 'Movies/' || safe || ' (' || year || ')/' || safe || ' (' || year || ')' || extension else 'Unsorted/' || safe || extension end as base from ranked),
+    numbered as (select *, row_number() over (partition by base order by dedupe_key, source) as n, regexp_extract(base, '(\\.[^./]+)$', 1) as ending from placed),
+    planned as (select source, case when n = 1 then base else left(base, length(base) - length(ending)) || ' (' || n || ')' || ending end as destination, case when rank > 1 then 'duplicate' else 'organized' end as status from numbered)"""
+
+
+def parsed(spark, sf_dir):
+    return organizer.parse(names(spark, sf_dir).select("source", "size"))
+
+
+def name_parse(spark, sf_dir):
+    return parsed(spark, sf_dir).select("source", "title", "year", "season", "episode", "resolution_score", "dedupe_key")
+
+
+def safe_titles(spark, sf_dir):
+    return parsed(spark, sf_dir).select("title", safe_title(F.col("title")).alias("safe"))
+
+
+def organizer_canonical(spark, sf_dir):
+    return organizer.canonical(parsed(spark, sf_dir)).select("dedupe_key", F.col("best").alias("source"))
+
+
+def organizer_plan(spark, sf_dir):
+    return organizer.plan(parsed(spark, sf_dir), "/library")
+
+
+def organizer_state(spark, sf_dir):
+    planned = organizer_plan(spark, sf_dir)
+    state = planned.where(F.length("source") % 3 == 0).select(F.col("source").alias("source_path"), F.when(F.length("source") % 2 == 0, F.col("destination")).otherwise("/old").alias("destination_path"))
+    return organizer.unchanged(planned, state).select("source", "status")
+
+
+def organizer_summary(spark, sf_dir):
+    return organizer_plan(spark, sf_dir).groupBy("status").agg(F.count("*").alias("files"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        inventory, kind_counts, size_groups, size_candidates, quick_offsets, quick_candidates, full_candidates, exact_duplicates, survivors, run_stats, dhash, image_pairs,
+        video_pairs, clusters, cache_lookup, cache_hits, cache_merge, cache_prune, name_parse, safe_titles, organizer_canonical, organizer_plan, organizer_state, organizer_summary,
+    )
+}
+
+MOVED = f"""{FILES}, ranked as (select *, first_value(path) over w as kept, row_number() over w as nth from files window w as (partition by size, full_sig order by mtime_ns, path))"""
+IMAGES = f"""{FILES}, frames as (select path, ino, {DHASH(0)} as h, {WIDTH} as width, {HEIGHT} as height from files where size >= 72),
+    pairs as (select a.path as "left", b.path as "right", bit_count(xor(a.h, b.h))::int as score from frames a join frames b on a.width // 64 = b.width // 64 and a.height // 64 = b.height // 64
+        and {PREFIX('a.h')} = {PREFIX('b.h')} and a.path < b.path where bit_count(xor(a.h, b.h)) <= 8)"""
+CUT = f"{FILES}, whole as (select path, 256::bigint as size, substr(hx, 1, 512) as hx from files where size >= 256)"
+EACH = [f"bit_count(xor(a.f{i}, b.f{i}))::int" for i in range(4)]
+SQL = {
+    "inventory": f"with {FILES} select path, size, mtime_ns, case ino % 4 when 0 then '.txt' when 1 then '.jpg' when 2 then '.mp4' else '.mkv' end as extension, {KIND.replace('doc_id', 'ino')} as kind from files",
+    "kind_counts": f"select {KIND} as kind, count(*) as files, sum(strlen(text))::bigint as bytes from documents group by 1",
+    "size_groups": f"with {FILES} select size, count(*) as files from files group by 1 having count(*) > 1",
+    "size_candidates": f"with {FILES} select path, size from files qualify count(*) over (partition by size) > 1",
+    "quick_offsets": f"with {FILES} select path, len({OFFSETS(64)})::bigint as n_samples, (len({OFFSETS(64)}) * least(size, 64))::bigint as bytes_read from files",
+    "quick_candidates": f"with {CUT}, s as (select path, {QUICK(16)} as quick_sig from whole) select * from s qualify count(*) over (partition by quick_sig) > 1",
+    "full_candidates": f"with {CUT}, s as (select path, sha256(unhex(hx)) as full_sig from whole) select * from s qualify count(*) over (partition by full_sig) > 1",
+    "exact_duplicates": f"with {MOVED} select path as source, kept, '/dups' || path as destination from ranked where nth > 1",
+    "survivors": f"with {MOVED} select size, count(*) as n_paths, min(path) as first_path from ranked where nth = 1 group by 1",
+    "run_stats": f"""with {FILES}, s as (select *, {QUICK(64)} as quick_sig from files), n as (select *, count(*) over (partition by size) as a, count(*) over (partition by size, quick_sig) as b, count(*) over (partition by size, quick_sig, full_sig) as c,
+        row_number() over (partition by size, full_sig order by mtime_ns, path) as nth from s)
+        select count(*) as files_scanned, count(*) filter (a > 1) as size_candidates, count(*) filter (b > 1) as quick_candidates, count(*) filter (c > 1) as full_candidates, count(*) filter (nth > 1) as moved from n""",
+    "dhash": f"with {FILES} select ino as doc_id, {DHASH(0)} as dhash from files where size >= 72",
+    "image_pairs": f"with {IMAGES} select * from pairs",
+    "video_pairs": f"""with {FILES}, clips as (select path, {', '.join(f'{DHASH(72 * i)} as f{i}' for i in range(4))}, {WIDTH} as width, {HEIGHT} as height, size / 500.0::double as duration from files where size >= 288)
+        select a.path as "left", b.path as "right", ({' + '.join(EACH)})::int as score from clips a join clips b on floor(a.duration / 2) = floor(b.duration / 2) and round_even(a.width / a.height * 10, 0) = round_even(b.width / b.height * 10, 0)
+        and {PREFIX('a.f0')} = {PREFIX('b.f0')} and a.path < b.path where {' + '.join(EACH)} <= 32 and greatest({', '.join(EACH)}) <= 12""",
+    "clusters": f"""with recursive {IMAGES}, e as (select "left" as a, "right" as b from pairs union select "right", "left" from pairs), reach as (select a, b from e union select r.a, e.b from reach r join e on r.b = e.a),
+        named as (select a, least(a, min(b)) as first_path from reach group by a), n as (select first_path, count(*) as n_paths from named group by 1)
+        select first_path, n_paths, count(*) as pairs, min(score) as min_score, max(score) as max_score from pairs join named on "left" = a join n using (first_path) group by 1, 2""",
+    "cache_lookup": f"with {CACHE} select n.path, o.quick_hash is not null as hit from fresh n left join stored o using (path, size, mtime_ns, dev, ino)",
+    "cache_hits": f"with {CACHE}, l as (select o.quick_hash as q from fresh n left join stored o using (path, size, mtime_ns, dev, ino)) select count(q) as hits, count(*) - count(q) as misses, count(q) / count(*) as hit_ratio from l",
+    "cache_merge": f"with {CACHE} select * from merged",
+    "cache_prune": f"with {CACHE} select path, quick_hash from merged where last_seen_run = 'run-2'",
+    "name_parse": f"with {NAMES} select source, title, year, season, episode, resolution_score, dedupe_key from keyed",
+    "safe_titles": f"with {NAMES} select title, safe from keyed",
+    "organizer_canonical": f"with {NAMES} select dedupe_key, source from ranked where rank = 1",
+    "organizer_plan": f"with {NAMES} select * from planned",
+    "organizer_state": f"with {NAMES} select source, case when length(source) % 3 = 0 and length(source) % 2 = 0 then 'already-current' else status end as status from planned",
+    "organizer_summary": f"with {NAMES} select status, count(*) as files from planned group by 1",
+}
