@@ -142,10 +142,11 @@ def blocks(t: int, bits: int = 64, coarse: bool = True) -> list[tuple[int, int,
     out, at = [], 0
     for i in range(ones):
         width = (bits - narrow - at) // (ones - i)
-        if width == 23 and coarse:
+        used = min(width, 23)  # bits of a block that go unused make its cells coarser, and lose no pair
+        if used == 23 and coarse:
             code = golay_code()
         else:
-            code = hamming_code(width, 4 if width >= 15 else 3 if width >= 7 else 2)
+            code = hamming_code(used, 4 if used >= 15 else 3 if used >= 7 else 2)
         out.append((at, 1, code))
         at += width
     return out + [(at, 0, Code([0] * min(narrow, 24)))] * zero
