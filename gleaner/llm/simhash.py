@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import forget, utf8, written
-from .components import connected_components
+from .components import connected_components, thinned
 
 SLICE = 1 << 16
 
@@ -251,29 +251,6 @@ def forest(close: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(rows), np.concatenate(columns)) if rows else (none, none)
 
 
-class Forest:
-    """Union-find over values; an edge is new only where it joins two trees."""
-
-    def __init__(self) -> None:
-        self.up: dict[int, int] = {}
-
-    def root(self, x: int) -> int:
-        up = self.up
-        top = x
-        while (y := up.get(top, top)) != top:
-            top = y
-        while x != top:
-            up[x], x = top, up.get(x, x)
-        return top
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.root(a), self.root(b)
-        if a == b:
-            return False
-        self.up[max(a, b)] = min(a, b)
-        return True
-
-
 def link_edges(rows: DataFrame, t: int, more: int | None = None, step: int = 1024) -> DataFrame:
     """``(a, b)``: for each part of each cell a spanning forest of the pairs of ``rows(.., fp, id)`` within t bits.
 
@@ -380,13 +357,14 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 12, m
     prints = written(_texts(docs, width).where("doc_id is not null"), "texts")
     classes = written(prints.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("fp2").alias("fp2")), "classes")
     rows = split_hot(cells(classes.select("fp", "fp2", "id"), threshold), cell_limit)
-    near = written(connected_components(link_edges(rows, threshold, more)), "candidates").select("component", F.col("node").alias("id"))
+    near = written(connected_components(thinned(written(link_edges(rows, threshold, more), "links"))), "candidates").select("component", F.col("node").alias("id"))
     found = distinct_groups(chunk_pairs(near, ["component"], "id", group_limit), ["component", "lo", "hi"])
     wanted = written(classes.join(near.select("id"), "id", "left_semi").select("id", "doc_id"), "wanted")
     short = wanted.count() <= few  # some 16 bytes each: broadcast only while they are few
     texts = docs.select("doc_id", "text").join(F.broadcast(wanted.select("doc_id")) if short else wanted.select("doc_id"), "doc_id", "left_semi")
     sets = _sets(texts, width).join(F.broadcast(wanted) if short else wanted, "doc_id").groupBy("id").agg(F.first("shingles").alias("shingles"))
-    named = connected_components(similar_edges(found, sets, similarity)).select(F.col("node").alias("id"), "component")
+    links = thinned(written(similar_edges(found, sets, similarity), "links"))
+    named = connected_components(links).select(F.col("node").alias("id"), "component")
     grouped = classes.select("id", "doc_id").join(named, "id", "left").withColumn("group", F.coalesce("component", "id"))
     stay = grouped.groupBy("group").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
     go = written(prints.select("doc_id").distinct().join(stay, "doc_id", "left_anti"), "go")

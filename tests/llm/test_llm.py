@@ -170,3 +170,18 @@ def test_odd_rows(spark, rows):
     assert simhash.drop_near_duplicates(docs).count() == (4 if n else 0)
     assert packing.pack(docs).select("doc_id", "start").count() >= n
     assert licenses.scan(docs).count() == paragraphs.repeated_paragraphs(docs).count() == 0
+
+
+@pytest.mark.parametrize("block", [8, 1 << 17])
+def test_thinned_edges_have_the_same_components(spark, block):
+    from gleaner.llm.common import written
+    from gleaner.llm.components import connected_components, thinned
+
+    rng = np.random.default_rng(3)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 120, (60, 2))] + [(a, b) for a in range(200, 225) for b in range(200, 225)]
+    rows = [(*p, ) for p in pairs] + [(None, 7), (5, 5)]
+    thin = thinned(written(spark.createDataFrame(rows, "a long, b long"), "test"), block)
+    got = {r.node: r.component for r in connected_components(thin).collect()}
+    real = [(a, b) for a, b in pairs if a != b]
+    assert got == components(sorted({x for p in real for x in p}), real)
+    assert thin.count() < len(rows) and thinned(written(spark.createDataFrame([], "a long, b long"), "test"), block).count() == 0
