@@ -42,3 +42,62 @@ def quick_blake2b(content: Column, size: Column, sample: int = 65536) -> Column:
 
 def full_blake2b(content: Column) -> Column:
     return blake2b(32)(content)
+
+
+CHUNK = 1 << 20
+
+
+def _tried(function, *columns: pa.Array) -> pa.Array:
+    """Values of a function of file paths; null for a file that can't be read."""
+
+    def one(*values):
+        try:
+            return function(*values)
+        except OSError:
+            return None
+
+    return pa.array([one(*v) for v in zip(*(c.to_pylist() for c in columns))], pa.string())
+
+
+def quick_of_file(path: Column, size: Column, sample: int = 65536) -> Column:
+    """BLAKE2b (16 bytes) of the distinct samples of a file: only those are read."""
+    if sample <= 0:
+        raise ValueError("sample size must be positive")
+
+    def read(name: str, n: int, offsets: list[int]) -> str:
+        digest = hashlib.blake2b(digest_size=16)
+        with open(name, "rb") as f:
+            for at in offsets:
+                f.seek(at)
+                digest.update(f.read(sample))
+        return digest.hexdigest()
+
+    @F.arrow_udf("string")
+    def digest(name: pa.Array, n: pa.Array, offsets: pa.Array) -> pa.Array:
+        return _tried(read, name, n, offsets)
+
+    return digest(path, size, sample_offsets(size, sample))
+
+
+def _whole(path: Column, new) -> Column:
+    def read(name: str) -> str:
+        digest = new()
+        with open(name, "rb") as f:
+            while piece := f.read(CHUNK):
+                digest.update(piece)
+        return digest.hexdigest()
+
+    @F.arrow_udf("string")
+    def digest(name: pa.Array) -> pa.Array:
+        return _tried(read, name)
+
+    return digest(path)
+
+
+def full_of_file(path: Column) -> Column:
+    """BLAKE2b (32 bytes) of a whole file, read in pieces of 1 MiB."""
+    return _whole(path, lambda: hashlib.blake2b(digest_size=32))
+
+
+def sha256_of_file(path: Column) -> Column:
+    return _whole(path, hashlib.sha256)

@@ -9,8 +9,11 @@ import shutil
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ..sources.scratch import written
+
 CHUNK = 1 << 20
 
 
@@ -19,14 +22,17 @@ def sha256(path: str) -> str:
         return hashlib.file_digest(f, "sha256").hexdigest()
 
 
-def equal_contents(a: str, b: str) -> bool:
+def compared(a: str, b: str) -> tuple[bool, int]:
+    """Whether two files have equal contents, and the bytes read of both until that was known."""
+    read = 0
     with open(a, "rb") as x, open(b, "rb") as y:
         while True:
             p, q = x.read(CHUNK), y.read(CHUNK)
+            read += len(p) + len(q)
             if p != q:
-                return False
+                return False, read
             if not p:
-                return True
+                return True, read
 
 
 def move(source: str, destination: str) -> None:
@@ -55,34 +61,74 @@ def move(source: str, destination: str) -> None:
     os.unlink(source)
 
 
-def apply_moves(plan: DataFrame, dry_run: bool = False, proceed: Callable[[], bool] = lambda: True) -> Iterator[dict]:
-    """Carries out ``plan(source, destination[, kept])`` in the order of source, and yields a record for each row.
+def carried_out(source: str, destination: str, kept: str | None = None) -> tuple[str, int]:
+    """Status and bytes compared of one move: moved, conflict, differs, missing or failed. Safe to run twice.
+
+    A second attempt at a move that an earlier attempt has half or wholly done ends as it would have: a file linked at both
+    places is unlinked at its source.
+    """
+    read = 0
+    try:
+        if not os.path.isfile(source):
+            return "missing", 0
+        if os.path.isfile(destination) and os.path.samefile(source, destination) and source != destination:
+            os.unlink(source)
+            return "moved", 0
+        if kept is not None:
+            equal, read = compared(source, kept)
+            if not equal:
+                return "differs", read
+        move(source, destination)
+        return "moved", read
+    except FileExistsError:
+        return "conflict", read
+    except OSError:
+        return "failed", read
+
+
+def apply_moves(plan: DataFrame, dry_run: bool = False, proceed: Callable[[], bool] = lambda: True, order: tuple[str, ...] = ("source",)) -> Iterator[dict]:
+    """Carries out ``plan(source, destination[, kept])`` in order, and yields a record for each row.
 
     status is ``moved``, ``planned`` (dry run), ``conflict`` (the destination exists), ``differs`` (``kept`` no longer has
     the same contents), ``missing`` (the source is gone) or ``failed``. The plan comes partition by partition, never whole.
     ``proceed`` is asked before each move; False ends the run, and a pause is a ``proceed`` that waits.
     """
     checked = "kept" in plan.columns
-    for row in plan.orderBy("source").toLocalIterator():
+    for row in plan.orderBy(*order).toLocalIterator():
         if not proceed():
             return
-        status = "planned"
-        if not dry_run:
-            try:
-                if not os.path.isfile(row.source):
-                    status = "missing"
-                elif checked and not equal_contents(row.source, row.kept):
-                    status = "differs"
-                else:
-                    move(row.source, row.destination)
-                    status = "moved"
-            except FileExistsError:
-                status = "conflict"
-            except OSError:
-                status = "failed"
+        status = "planned" if dry_run else carried_out(row.source, row.destination, row.kept if checked else None)[0]
         yield {"source": row.source, "destination": row.destination, "status": status}
 
 
+RECORDS = "source string, destination string, kept string, status string, bytes_read long"
+
+
+def spread_moves(plan: DataFrame) -> DataFrame:
+    """``plan(source, destination, kept)`` carried out by the executors, for trees on storage that all of them share.
+
+    Returns source, destination, kept, status and bytes_read, written once. A task that runs again finds what its earlier
+    attempt has moved: the source is gone and the destination has the kept file's contents, and that counts as moved.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns = [c.to_pylist() for c in b.columns]
+            done = []
+            for source, destination, kept in zip(*columns):
+                status, read = carried_out(source, destination, kept)
+                if status == "missing" and os.path.isfile(destination):
+                    try:
+                        same, read = compared(destination, kept)
+                        status = "moved" if same else status
+                    except OSError:
+                        pass
+                done.append((status, read))
+            yield pa.record_batch([*b.columns, pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int64())], names=[x.split()[0] for x in RECORDS.split(", ")])
+
+    return written(plan.select("source", "destination", "kept").mapInArrow(run, RECORDS), "moves")
+
+
 def write_report(report: object, path: str) -> None:
     """JSON with an indent of 2, sorted keys and a newline at the end; folders are made."""
     Path(path).parent.mkdir(parents=True, exist_ok=True)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import LIBRARY, base_name, once, safe_title, strip, suffix
+from ..sources.scratch import written
 
 SHOW = r"(?diu)(.*?)[\s._-]+s(\d{1,2})e(\d{1,2})"
 MOVIE = r"(?diu)(.*?)[\s._-]*\((\d{4})\)"
@@ -42,11 +43,8 @@ def canonical(records: DataFrame) -> DataFrame:
     return records.groupBy("dedupe_key").agg(rank.alias("top")).select("dedupe_key", F.col("top.source").alias("best"))
 
 
-def plan(records: DataFrame, target: str, duplicates: str = "Duplicates", unsorted: str = "Unsorted") -> DataFrame:
-    """``(source, destination, status)``: canonical files to the library, the others to the duplicates folder.
-
-    Files that come to one destination are numbered from (2) in the order of dedupe_key and source.
-    """
+def placed(records: DataFrame, target: str, duplicates: str = "Duplicates", unsorted: str = "Unsorted") -> DataFrame:
+    """``records`` with base and duplicate: canonical files go to the library, the others to the duplicates folder."""
     rows = records.join(canonical(records), "dedupe_key").withColumn("duplicate", F.col("source") != F.col("best"))
     rows = once(rows, safe=safe_title(F.col("title")))
     t, two = F.col("safe"), lambda c: F.format_string("%02d", F.col(c))
@@ -54,11 +52,73 @@ def plan(records: DataFrame, target: str, duplicates: str = "Duplicates", unsort
     place = F.when(F.col("form") == "show", F.concat(F.lit("TV/"), t, F.lit("/Season "), two("season"), F.lit("/"), t, F.lit(" - S"), two("season"), F.lit("E"), two("episode"), F.col("extension")))
     place = place.when(F.col("form") == "movie", F.concat(F.lit("Movies/"), year, F.lit("/"), year, F.col("extension"))).otherwise(F.concat(F.lit(unsorted + "/"), t, F.col("extension")))
     base = F.when(F.col("duplicate"), F.concat(F.lit(duplicates + "/"), base_name(F.col("source")))).otherwise(place)
-    rows = once(rows, base=F.concat(F.lit(target.rstrip("/") + "/"), base))
-    n = F.row_number().over(Window.partitionBy("base").orderBy("dedupe_key", "source"))
-    rows = rows.withColumn("n", n).withColumn("ending", suffix(F.col("base")))
+    return once(rows, base=F.concat(F.lit(target.rstrip("/") + "/"), base))
+
+
+def status() -> F.Column:
+    return F.when(F.col("duplicate"), "duplicate").otherwise("organized").alias("status")
+
+
+def destination() -> F.Column:
+    """The base of the first, and from the second on the number before the suffix."""
     numbered = F.expr("concat(left(base, length(base) - length(ending)), ' (', n, ')', right(base, length(ending)))")
-    return rows.select("source", F.when(F.col("n") == 1, F.col("base")).otherwise(numbered).alias("destination"), F.when(F.col("duplicate"), "duplicate").otherwise("organized").alias("status"))
+    return F.when(F.col("n") == 1, F.col("base")).otherwise(numbered).alias("destination")
+
+
+def plan(records: DataFrame, target: str, duplicates: str = "Duplicates", unsorted: str = "Unsorted") -> DataFrame:
+    """``(source, destination, status)`` for an empty target: files that come to one destination are numbered from (2).
+
+    Numbers go by dedupe_key and source.
+    """
+    n = F.row_number().over(Window.partitionBy("base").orderBy("dedupe_key", "source"))
+    rows = placed(records, target, duplicates, unsorted).withColumn("n", n).withColumn("ending", suffix(F.col("base")))
+    return rows.select("source", destination(), status())
+
+
+def versions(paths: DataFrame) -> DataFrame:
+    """``(base, taken)``: for every name that ``paths(path)`` take, the sorted numbers of its versions; 1 is the name itself."""
+    name = r"(?s)^(.*) \(([1-9]\d{0,8})\)$"
+    rows = paths.withColumn("ending", suffix(F.col("path"))).withColumn("stem", F.expr("left(path, length(path) - length(ending))"))
+    n = F.try_to_number(F.regexp_extract("stem", name, 2), F.lit("999999999")).cast("int")
+    both = rows.select(F.col("path").alias("base"), F.lit(1).alias("n")).union(rows.select(F.concat(F.regexp_extract("stem", name, 1), F.expr("right(path, length(ending))")), n.alias("n")).where("n > 1"))
+    return both.groupBy("base").agg(F.array_sort(F.collect_set("n")).alias("taken"))
+
+
+def versioned(rows: DataFrame, existing: DataFrame) -> DataFrame:
+    """``rows(base, dedupe_key, source, ...)`` with destination: names that neither ``existing(path)`` nor another row has.
+
+    In the order of dedupe_key and source each row of a base takes the next free number. A name with a number can be
+    another row's base; such rows (most often none) are numbered again beside all names that are settled.
+    """
+    columns = [c for c in rows.columns if c != "destination"]
+    rank = F.row_number().over(Window.partitionBy("base").orderBy("dedupe_key", "source"))
+    settled, open_rows = None, rows.select(*columns)
+    while True:
+        ranked = open_rows.join(versions(existing), "base", "left").withColumn("rank", rank)
+        free = F.aggregate(F.coalesce("taken", F.array().cast("array<int>")), F.col("rank"), lambda n, x: F.when(x <= n, n + 1).otherwise(n))
+        named = ranked.withColumn("n", free).withColumn("ending", suffix(F.col("base"))).select(*columns, destination())
+        first = F.row_number().over(Window.partitionBy("destination").orderBy(F.col("destination") != F.col("base"), "dedupe_key", "source"))
+        named = written(named.withColumn("first", first == 1), "named")
+        good = named.where("first").drop("first")
+        settled = good if settled is None else settled.union(good)
+        open_rows = named.where("not first").select(*columns)
+        if open_rows.isEmpty():
+            return settled
+        existing = existing.select("path").union(good.select(F.col("destination").alias("path")))
+
+
+def current(records: DataFrame, state: DataFrame, existing: DataFrame) -> DataFrame:
+    """``(source, destination)`` of files that an earlier run has handled: the same digest, and the destination is there."""
+    known = state.select(F.col("source_path").alias("source"), "source_hash", F.coalesce("destination_path", F.lit("")).alias("destination"))
+    return records.join(known, ["source", "source_hash"]).select("source", "destination").join(existing.select(F.col("path").alias("destination")), "destination", "left_semi")
+
+
+STATE = "source_path string, source_hash string, destination_path string, destination_hash string, status string, updated_at timestamp"
+
+
+def merged_state(state: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The state with the rows of ``fresh`` in the place of older ones of the same source."""
+    return state.join(fresh.select("source_path"), "source_path", "left_anti").select(*fresh.columns).union(fresh)
 
 
 def unchanged(planned: DataFrame, state: DataFrame) -> DataFrame:

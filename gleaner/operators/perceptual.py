@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+from .components import connected_components
+
 
 def dhash(pixels: Column, at: int = 0) -> Column:
     """64 bits, row by row, the first the highest: whether a pixel of a 9 x 8 gray frame is lighter than its right neighbour."""
@@ -49,31 +51,44 @@ def image_pairs(rows: DataFrame, threshold: int = 8) -> DataFrame:
     return pairs(rows, image_key(), score, score <= threshold)
 
 
-def video_pairs(rows: DataFrame, total: int = 32, frame: int = 12, bucket: int = 2) -> DataFrame:
-    """Videos ``(path, hashes, width, height, duration)`` of as many frames, within a limit for each frame and for all."""
+def video_similar(total: int, frame: int) -> tuple[Column, Column]:
+    """Score of two videos a.* and b.*, and whether they have as many frames and stay within both limits."""
     each = F.zip_with("a.hashes", "b.hashes", hamming)
     score = F.aggregate(each, F.lit(0), lambda s, x: s + x)
-    return pairs(rows, video_key(bucket), score, (F.size("a.hashes") == F.size("b.hashes")) & (score <= total) & F.forall(each, lambda x: x <= frame))
-
+    return score, (F.size("a.hashes") == F.size("b.hashes")) & (score <= total) & F.forall(each, lambda x: x <= frame)
 
-def clusters(found: DataFrame) -> DataFrame:
-    """``(first_path, n_paths, pairs, min_score, max_score, paths)`` of the components of pairs. They never leave a block."""
 
-    def union_find(edges: pd.DataFrame) -> pd.DataFrame:
-        up: dict[str, str] = {}
-
-        def root(x: str) -> str:
-            while up.setdefault(x, x) != x:
-                up[x] = x = up[up[x]]
-            return x
+def video_pairs(rows: DataFrame, total: int = 32, frame: int = 12, bucket: int = 2) -> DataFrame:
+    """Videos ``(path, hashes, width, height, duration)`` of as many frames, within a limit for each frame and for all."""
+    return pairs(rows, video_key(bucket), *video_similar(total, frame))
+
+
+def clusters(rows: DataFrame, key: Column, mark: str, score: Column, similar: Column) -> DataFrame:
+    """``(first_path, n_paths, pairs, min_score, max_score, paths)``: components of similar pairs of ``rows(path, mark, ...)``.
+
+    Rows with one key and equal marks are one class. Classes are paired, and pairs of their rows are counted by the sizes
+    of classes, so that a frame that occurs very often (a black one) adds one class and not the square of its rows.
+    ``score`` and ``similar`` speak of the marks a.* and b.*; equal marks are similar, with score 0.
+    """
+    keyed = rows.select("path", key.alias("key"), mark).where(F.col(mark).isNotNull())
+    classes = written(keyed.groupBy("key", mark).agg(F.min("path").alias("rep"), F.count("*").alias("n")), "classes")
+    met = classes.alias("a").join(classes.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col(f"a.{mark}") < F.col(f"b.{mark}")) & similar)
+    edges = written(met.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), (F.col("a.n") * F.col("b.n")).alias("pairs"), score.cast("int").alias("score")), "similar")
+    named = written(connected_components(edges.select("a", "b")), "named")
+    labelled = classes.join(named.withColumnRenamed("node", "rep"), "rep", "left").select("key", mark, "n", F.coalesce("component", "rep").alias("first_path"))
+    within = labelled.where("n > 1").select("first_path", F.expr("n * (n - 1) div 2").alias("pairs"), F.lit(0).alias("score"))
+    across = edges.join(named.withColumnRenamed("node", "a"), "a").select(F.col("component").alias("first_path"), "pairs", "score")
+    summed = within.union(across).groupBy("first_path").agg(F.sum("pairs").alias("pairs"), F.min("score").alias("min_score"), F.max("score").alias("max_score"))
+    members = keyed.join(labelled.drop("n"), ["key", mark]).join(summed.select("first_path"), "first_path", "left_semi")
+    listed = members.groupBy("first_path").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    return summed.join(listed, "first_path").withColumn("n_paths", F.size("paths").cast("long"))
+
+
+def image_clusters(rows: DataFrame, threshold: int = 8) -> DataFrame:
+    score = hamming(F.col("a.h"), F.col("b.h"))
+    return clusters(rows, image_key(), "h", score, score <= threshold)
 
-        for a, b in zip(edges["left"], edges["right"]):
-            a, b = root(a), root(b)
-            up[max(a, b)] = min(a, b)
-        edges["first_path"] = [root(x) for x in edges["left"]]
-        return edges[["left", "right", "score", "first_path"]]
 
-    labelled = found.groupBy("key").applyInPandas(union_find, "left string, right string, score int, first_path string")
-    ends = F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("left", "right")))))
-    out = labelled.groupBy("first_path").agg(F.count("*").alias("pairs"), F.min("score").alias("min_score"), F.max("score").alias("max_score"), ends.alias("paths"))
-    return out.withColumn("n_paths", F.size("paths").cast("long"))
+def video_clusters(rows: DataFrame, total: int = 32, frame: int = 12, bucket: int = 2) -> DataFrame:
+    score, similar = video_similar(total, frame)
+    return clusters(rows, video_key(bucket), "hashes", score, similar)

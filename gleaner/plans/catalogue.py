@@ -109,7 +109,7 @@ def video_pairs(spark, sf_dir):
 
 
 def clusters(spark, sf_dir):
-    return perceptual.clusters(perceptual.image_pairs(frames(spark, sf_dir))).select("first_path", "n_paths", "pairs", "min_score", "max_score")
+    return perceptual.image_clusters(frames(spark, sf_dir)).select("first_path", "n_paths", "pairs", "min_score", "max_score")
 
 
 def stored(spark, sf_dir):

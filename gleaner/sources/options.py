@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 import configparser
-from dataclasses import dataclass, fields
+import os
+from dataclasses import dataclass, fields, replace
 from pathlib import Path
 
 
 @dataclass(frozen=True)
 class DuplicateOptions:
-    dup_dir: str = ""
+    """Worker counts are numbers of partitions for hashing and probing; None leaves them to Spark. No cache_db: no store."""
+
+    dup_dir: str = "/tmp/gleaner/dups"
     mode: str = "media"
     cache_db: str = ""
+    hash_workers: int | None = None
+    media_workers: int | None = None
     enabled: bool = True
+    ffmpeg_path: str | None = None
+    ffprobe_path: str | None = None
     image_hamming_threshold: int = 8
     video_hamming_threshold: int = 32
     video_frame_hamming_threshold: int = 12
@@ -22,8 +29,28 @@ class DuplicateOptions:
         if self.mode not in ("exact", "media"):
             raise ValueError(f"mode is exact or media, not {self.mode!r}")
         for f in fields(self):
-            if f.type == "int" and getattr(self, f.name) < (f.name == "duration_bucket_seconds"):
-                raise ValueError(f"{f.name} is too small")
+            value = getattr(self, f.name)
+            if f.type == "int" or (f.type == "int | None" and value is not None):
+                positive = f.name == "duration_bucket_seconds" or f.name.endswith("_workers")
+                if not isinstance(value, int) or value < positive:
+                    raise ValueError(f"{f.name} is too small or no whole number")
+
+    def with_given(self, **given: object) -> DuplicateOptions:
+        """These options, but for those given that are not None: arguments come before a file, a file before defaults."""
+        return replace(self, **{k: v for k, v in given.items() if v is not None})
+
+    def prepared(self) -> DuplicateOptions:
+        """Absolute paths; the folder for duplicates and the one that holds the store are made, ValueError if they can't be."""
+        top, store = os.path.abspath(self.dup_dir), os.path.abspath(self.cache_db) if self.cache_db else ""
+        try:
+            os.makedirs(top, exist_ok=True)
+            if store:
+                os.makedirs(os.path.dirname(store), exist_ok=True)
+        except OSError as e:
+            raise ValueError(f"a folder can't be made: {e}") from e
+        if not os.access(top, os.W_OK):
+            raise ValueError(f"dup_dir is not writable: {top}")
+        return replace(self, dup_dir=top, cache_db=store)
 
 
 @dataclass(frozen=True)
@@ -39,12 +66,12 @@ def truth(text: str) -> bool:
 
 
 def _typed(kind: type, given: dict[str, str]):
-    reads = {"int": int, "bool": truth, "str": str}
+    reads = {"int": int, "int | None": int, "bool": truth, "str": str, "str | None": str}
     return kind(**{f.name: reads[f.type](given[f.name]) for f in fields(kind) if f.name in given})
 
 
 def duplicate_options(path: str) -> DuplicateOptions:
-    """Sections ``global`` and ``media``; other keys (worker counts) are Spark's to decide and are passed over."""
+    """Sections ``global`` and ``media``; other keys are passed over."""
     if not Path(path).is_file():
         raise ValueError(f"no configuration file {path}")
     ini = configparser.ConfigParser()

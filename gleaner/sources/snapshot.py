@@ -1,0 +1,34 @@
+"""A keyed table kept between runs: a folder of Parquet snapshots, the newest complete one of which counts."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from .scratch import delete
+
+
+def _versions(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """Complete snapshots, the oldest first; one whose write was cut off has no success mark and is passed over."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    root = fs_path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(root)]
+    return sorted((int(n[1:]), f"{path}/{n}") for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(fs_path(f"{path}/{n}/_SUCCESS")))
+
+
+def load(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The newest snapshot; no rows where there is none yet."""
+    found = _versions(spark, path.rstrip("/"))
+    return spark.read.schema(schema).parquet(found[-1][1]) if found else spark.createDataFrame([], schema)
+
+
+def save(df: DataFrame, path: str) -> None:
+    """A new snapshot; earlier ones go only after it is complete, so ``df`` may be made from the newest of them."""
+    spark, path = df.sparkSession, path.rstrip("/")
+    before = _versions(spark, path)
+    following = before[-1][0] + 1 if before else 1
+    df.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/v{following}")
+    for _, old in before:
+        delete(spark, old)

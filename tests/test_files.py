@@ -51,7 +51,7 @@ def test_pairs_need_one_prefix_and_clusters_are_transitive(spark):
     df = spark.createDataFrame(rows, "path string, h long, width int, height int")
     found = perceptual.image_pairs(df, 4)
     assert {(r.left, r.right, r.score) for r in found.collect()} == {("/1", "/2", 4), ("/2", "/3", 4)}
-    c = perceptual.clusters(found).collect()
+    c = perceptual.image_clusters(df, 4).collect()
     assert [(x.first_path, x.n_paths, x.pairs, x.min_score, x.max_score) for x in c] == [("/1", 3, 2, 4, 4)]
 
 
