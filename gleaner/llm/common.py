@@ -1,61 +1,12 @@
-"""Helpers that the training-data operators share: the scratch folder, tables written there, and column checks."""
+"""Helpers that the training-data operators share."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
-_LEFT: list[tuple[SparkSession, str]] = []
-
-
-def scratch(spark: SparkSession) -> str:
-    """The folder shared by driver and executors: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not shared:
-        app = spark.sparkContext.applicationId
-        shared = _OWN.setdefault(app, tempfile.mkdtemp(prefix="gleaner-"))
-    return shared.rstrip("/")
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written once as Parquet to the scratch folder and read again.
-
-    This cuts the lineage in a way that survives the loss of any executor: the files are on shared storage, and a
-    table that is read more than once is computed once.
-    """
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/gleaner/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    _LEFT.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(df: DataFrame) -> None:
-    """Deletes a table that ``written`` made and that no later step reads."""
-    for spark, path in [x for x in _LEFT if any(x[1] in f for f in df.inputFiles()[:1])]:
-        _delete(spark, path)
-        _LEFT.remove((spark, path))
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _LEFT:
-        try:
-            _delete(spark, path)
-        except Exception:  # noqa: BLE001  the session has ended before: nothing is left to ask
-            return
+from ..sources.scratch import forget, written  # noqa: F401  the operators take them from here
 
 
 def utf8(column: pa.Array) -> list[bytes]:

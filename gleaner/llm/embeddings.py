@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunk_pairs, written
-from .components import Forest, connected_components
+from ..operators.components import Forest, connected_components
 
 
 def _rows(column: pa.Array) -> np.ndarray:

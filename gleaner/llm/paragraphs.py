@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunk_pairs, utf8, written
-from .components import connected_components
+from ..operators.components import connected_components
 from .decontaminate import FOLD, Words, shingles
 from .verify import distinct_groups, similar_edges
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import forget, utf8, written
-from .components import connected_components, thinned
+from ..operators.components import connected_components, thinned
 
 SLICE = 1 << 16
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import Forest
+from ..operators.components import Forest
 
 COLUMNS = 4096
 

@@ -175,7 +175,7 @@ def test_odd_rows(spark, rows):
 @pytest.mark.parametrize("block", [8, 1 << 17])
 def test_thinned_edges_have_the_same_components(spark, block):
     from gleaner.llm.common import written
-    from gleaner.llm.components import connected_components, thinned
+    from gleaner.operators.components import connected_components, thinned
 
     rng = np.random.default_rng(3)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 120, (60, 2))] + [(a, b) for a in range(200, 225) for b in range(200, 225)]
