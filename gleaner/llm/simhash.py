@@ -343,8 +343,8 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 12, more: int = 30, similarity: float = 0.8, cell_limit: int = 16_384, group_limit: int = 1024, few: int = 1_000_000) -> DataFrame:
     """The documents without near copies: of each group the one with the smallest doc_id stays, with all its columns.
 
-    Candidates are texts whose SimHash over shingles of ``width`` words differs in at most ``threshold`` bits, found by the
-    same covering, and together with a second SimHash in at most ``more`` of 128. Within the components of candidates,
+    Candidates are texts of which either of two SimHashes over shingles of ``width`` words differs in at most ``threshold``
+    bits, found by the same covering, and both together in at most ``more`` of 128. Within the components of candidates,
     in blocks of ``group_limit`` texts, all pairs are held against the exact Jaccard similarity of their shingle sets:
     those of ``similarity`` or more are links, and a group is a component of links.
 
@@ -356,8 +356,9 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 12, m
 
     prints = written(_texts(docs, width).where("doc_id is not null"), "texts")
     classes = written(prints.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("fp2").alias("fp2")), "classes")
-    rows = split_hot(cells(classes.select("fp", "fp2", "id"), threshold), cell_limit)
-    near = written(connected_components(thinned(written(link_edges(rows, threshold, more), "links"))), "candidates").select("component", F.col("node").alias("id"))
+    # Each of the two fingerprints is covered: a pair at similarity 0.8 is beyond the radius of one in about 16 of 100 cases.
+    found = [link_edges(split_hot(cells(p, threshold), cell_limit), threshold, more) for p in (classes.select("fp", "fp2", "id"), classes.select(F.col("fp2").alias("fp"), F.col("fp").alias("fp2"), "id"))]
+    near = written(connected_components(thinned(written(found[0].union(found[1]), "links"))), "candidates").select("component", F.col("node").alias("id"))
     found = distinct_groups(chunk_pairs(near, ["component"], "id", group_limit), ["component", "lo", "hi"])
     wanted = written(classes.join(near.select("id"), "id", "left_semi").select("id", "doc_id"), "wanted")
     short = wanted.count() <= few  # some 16 bytes each: broadcast only while they are few
