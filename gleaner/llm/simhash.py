@@ -254,16 +254,17 @@ def forest(close: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def link_edges(rows: DataFrame, t: int, more: int | None = None, step: int = 1024) -> DataFrame:
     """``(a, b)``: for each part of each cell a spanning forest of the pairs of ``rows(.., fp, id)`` within t bits.
 
-    With ``more`` the rows have a second fingerprint, fp2, and both together may differ in ``more`` bits at most. Pairs are
+    With ``more`` the rows have a second fingerprint, fp2, and both together may differ in ``more`` bits at most. With a column
+    known, pairs of equal known are left out: they are in one component already. Pairs are
     compared in blocks of ``step`` by ``step``; a block's forest has fewer edges than it has rows and columns, and the
     same components as all its pairs.
     """
-    names = ["cell", "part", "home", "id", "fp", *(["fp2"] if more is not None else [])]
+    names = ["cell", "part", "home", "id", "fp", *(["fp2"] if more is not None else []), *(["known"] if "known" in rows.columns else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns in groups(batches, 2):
             home, a_out, b_out = columns[2], [], []
-            bits = [c.view(np.uint64) for c in columns[4:]]
+            bits = [c.view(np.uint64) for c in columns[4:6]]
             for low, high in runs(columns[:2], 2):
                 own = home[low:high]
                 x, y = np.flatnonzero(own) + low, np.flatnonzero(~own) + low
@@ -274,6 +275,8 @@ def link_edges(rows: DataFrame, t: int, more: int | None = None, step: int = 102
                         close = (apart <= t) & (columns[3][p][:, None] < columns[3][q][None, :])
                         if more is not None and close.any():
                             close &= apart + np.bitwise_count(bits[1][p][:, None] ^ bits[1][q][None, :]) <= more
+                        if names[-1] == "known":
+                            close &= columns[-1][p][:, None] != columns[-1][q][None, :]
                         r, c = forest(close)
                         a_out.append(columns[3][p[r]])
                         b_out.append(columns[3][q[c]])
@@ -357,8 +360,13 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 12, m
     prints = written(_texts(docs, width).where("doc_id is not null"), "texts")
     classes = written(prints.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("fp2").alias("fp2")), "classes")
     # Each of the two fingerprints is covered: a pair at similarity 0.8 is beyond the radius of one in about 16 of 100 cases.
-    found = [link_edges(split_hot(cells(p, threshold), cell_limit), threshold, more) for p in (classes.select("fp", "fp2", "id"), classes.select(F.col("fp2").alias("fp"), F.col("fp").alias("fp2"), "id"))]
-    near = written(connected_components(thinned(written(found[0].union(found[1]), "links"))), "candidates").select("component", F.col("node").alias("id"))
+    # The second covering looks only for links between components that the first has left apart.
+    found = link_edges(split_hot(cells(classes.select("fp", "fp2", "id"), threshold), cell_limit), threshold, more)
+    named = written(connected_components(thinned(written(found, "links"))), "named").withColumnRenamed("node", "id")
+    again = classes.join(named, "id", "left").select(F.col("fp2").alias("fp"), F.col("fp").alias("fp2"), "id", F.coalesce("component", "id").alias("known"))
+    found = link_edges(split_hot(cells(written(again, "again"), threshold), cell_limit), threshold, more)
+    edges = named.where("id != component").select(F.col("id").alias("a"), F.col("component").alias("b")).union(found)
+    near = written(connected_components(thinned(written(edges, "links"))), "candidates").select("component", F.col("node").alias("id"))
     found = distinct_groups(chunk_pairs(near, ["component"], "id", group_limit), ["component", "lo", "hi"])
     wanted = written(classes.join(near.select("id"), "id", "left_semi").select("id", "doc_id"), "wanted")
     short = wanted.count() <= few  # some 16 bytes each: broadcast only while they are few
