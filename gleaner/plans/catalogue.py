@@ -53,18 +53,13 @@ def quick_offsets(spark, sf_dir):
     return files(spark, sf_dir).select("path", n.cast("long").alias("n_samples"), (n * F.least(F.col("size"), F.lit(64))).cast("long").alias("bytes_read"))
 
 
-def cut(spark, sf_dir):
-    """The first 256 bytes of every file that has them."""
-    return files(spark, sf_dir).where("size >= 256").withColumn("content", F.substring("content", 1, 256)).withColumn("size", F.lit(256).cast("long"))
-
-
 def quick_candidates(spark, sf_dir):
-    signed = cut(spark, sf_dir).select("path", "size", F.sha2(samples(F.col("content"), F.col("size"), 16), 256).alias("quick_sig"))
+    signed = files(spark, sf_dir).select("path", "size", F.sha2(samples(F.col("content"), F.col("size"), 16), 256).alias("quick_sig"))
     return exact.repeated(signed, "size", "quick_sig").select("path", "quick_sig")
 
 
 def full_candidates(spark, sf_dir):
-    signed = exact.signatures(cut(spark, sf_dir), 16)
+    signed = exact.signatures(files(spark, sf_dir), 16)
     return exact.repeated(signed, "size", "quick", "full").select("path", F.col("full").alias("full_sig"))
 
 
