@@ -1,4 +1,4 @@
-"""Substring dedup: paragraphs that repeat across documents, by MinHash bands, exact Jaccard and components."""
+"""Substring dedup: paragraphs that repeat across documents, by MinHash bands, exact Jaccard and components; and verbatim passages."""
 
 from __future__ import annotations
 
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .common import chunk_pairs, utf8, written
 from ..operators.components import connected_components
 from .decontaminate import FOLD, Words, shingles
+from .passages import repeated_passages
 from .verify import distinct_groups, similar_edges
 
 LINE = re.compile(rb"[^\n]+")
@@ -126,3 +127,18 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = 25, width: int = 5, th
     of = written(classes.select("id", "component").join(clusters.select("component", "first"), "component").select("id", "first"), "clusters")
     out = every.select("doc_id", "para", "start", "length", "id").join(of, "id")
     return out.select("doc_id", "para", "start", "length", F.col("first.doc_id").alias("cluster_doc"), F.col("first.para").alias("cluster_para"), (place == F.col("first")).alias("kept"))
+
+
+def repeated_texts(docs: DataFrame, min_words: int = 25, size: int = 50) -> DataFrame:
+    """Repeated paragraphs, and repeated passages of ``size`` words or more that lie in longer lines or run across lines.
+
+    The rows of ``repeated_paragraphs``, and those of ``repeated_passages`` that are not wholly within one of them in the same
+    document. A passage to remove counts as within a line only if that line is to be removed too.
+    """
+    lines = written(repeated_paragraphs(docs, min_words), "lines")
+    passages = written(repeated_passages(docs, size), "passages")
+    end = (F.col("start") + F.col("length")).alias("end")
+    held = lines.groupBy("doc_id").agg(F.collect_list(F.struct("start", end, "kept")).alias("lines"))
+    within = F.exists("lines", lambda x: (x["start"] <= F.col("start")) & (x["end"] >= F.col("start") + F.col("length")) & (F.col("kept") | ~x["kept"]))
+    others = passages.join(held, "doc_id", "left").where(~F.coalesce(within, F.lit(False)))
+    return lines.unionByName(others.drop("lines"))
