@@ -314,20 +314,25 @@ def near_duplicates(docs: DataFrame, width: int = 4, threshold: int = 4, cell_li
     return prints.join(final, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _texts(docs: DataFrame, width: int) -> DataFrame:
-    """``(doc_id, id, fp, fp2)``: id is a digest of the words, equal for texts with the same ones; two fingerprints."""
+def _texts(docs: DataFrame, width: int, n_bands: int, rows: int) -> DataFrame:
+    """``(doc_id, id, fp, fp2, bands)``: id is a digest of the words, equal for texts with the same ones; two fingerprints of the
+    distinct shingles, and their MinHash band keys."""
+    from .paragraphs import bands, permutations
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, q = permutations(n_bands * rows)
         for b in batches:
-            out = np.zeros((b.num_rows, 3), np.uint64)
+            out, keys = np.zeros((b.num_rows, 3), np.uint64), np.zeros((b.num_rows, n_bands), np.int64)
             for i, t in enumerate(utf8(b.column(1))):
-                h = shingle_hashes(t, width)
+                h = np.unique(shingle_hashes(t, width))
+                keys[i] = bands(h, p, q, rows)
                 again = h * np.uint64(0x9E3779B97F4A7C15)
                 again = (again ^ (again >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
                 out[i] = xxhash.xxh3_64_intdigest(b" ".join(t.lower().split())), fingerprint(h), fingerprint(again ^ (again >> np.uint64(32)))
-            yield pa.record_batch([b.column(0), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in out.T)], names=["doc_id", "id", "fp", "fp2"])
+            listed = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, n_bands, dtype=np.int32), pa.array(keys.ravel()))
+            yield pa.record_batch([b.column(0), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in out.T), listed], names=["doc_id", "id", "fp", "fp2", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, id long, fp long, fp2 long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, id long, fp long, fp2 long, bands array<long>")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -343,13 +348,15 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, shingles binary")
 
 
-def drop_near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 12, more: int = 30, similarity: float = 0.8, cell_limit: int = 16_384, group_limit: int = 1024, few: int = 1_000_000) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 12, more: int = 30, similarity: float = 0.8, cell_limit: int = 16_384, group_limit: int = 1024, few: int = 1_000_000, n_bands: int = 16, rows: int = 4) -> DataFrame:
     """The documents without near copies: of each group the one with the smallest doc_id stays, with all its columns.
 
-    Candidates are texts of which either of two SimHashes over shingles of ``width`` words differs in at most ``threshold``
-    bits, found by the same covering, and both together in at most ``more`` of 128. Within the components of candidates,
-    in blocks of ``group_limit`` texts, all pairs are held against the exact Jaccard similarity of their shingle sets:
-    those of ``similarity`` or more are links, and a group is a component of links.
+    Candidates are texts of which either of two SimHashes over the distinct shingles of ``width`` words differs in at most
+    ``threshold`` bits, found by the same covering, and both together in at most ``more`` of 128. Pairs beyond the radius meet
+    in MinHash bands (``n_bands`` of ``rows``: a pair at 0.8 shares none with a chance of 0.0002, whatever its length). Within the
+    components of candidates and the bands that hold more than one, in blocks of ``group_limit`` texts, all pairs are held
+    against the exact Jaccard similarity of their shingle sets: those of ``similarity`` or more are links, and a group is a
+    component of links.
 
     Texts with the same words are copies, as are all null and empty texts. Rows with a null doc_id are in no group and
     stay. Repeated doc_ids count as one document, of which one row stays. An empty table gives none. Other columns never matter.
@@ -357,18 +364,24 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 12, m
     from .common import chunk_pairs
     from .verify import distinct_groups, similar_edges
 
-    prints = written(_texts(docs, width).where("doc_id is not null"), "texts")
-    classes = written(prints.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("fp2").alias("fp2")), "classes")
+    prints = written(_texts(docs, width, n_bands, rows).where("doc_id is not null"), "texts")
+    classes = written(prints.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("fp2").alias("fp2"), F.first("bands").alias("bands")), "classes")
     # Each of the two fingerprints is covered: a pair at similarity 0.8 is beyond the radius of one in about 16 of 100 cases.
     # The second covering looks only for links between components that the first has left apart.
     found = link_edges(split_hot(cells(classes.select("fp", "fp2", "id"), threshold), cell_limit), threshold, more)
     named = written(connected_components(thinned(written(found, "links"))), "named").withColumnRenamed("node", "id")
-    again = classes.join(named, "id", "left").select(F.col("fp2").alias("fp"), F.col("fp").alias("fp2"), "id", F.coalesce("component", "id").alias("known"))
+    again = classes.drop("bands").join(named, "id", "left").select(F.col("fp2").alias("fp"), F.col("fp").alias("fp2"), "id", F.coalesce("component", "id").alias("known"))
     found = link_edges(split_hot(cells(written(again, "again"), threshold), cell_limit), threshold, more)
     edges = named.where("id != component").select(F.col("id").alias("a"), F.col("component").alias("b")).union(found)
     near = written(connected_components(thinned(written(edges, "links"))), "candidates").select("component", F.col("node").alias("id"))
     found = distinct_groups(chunk_pairs(near, ["component"], "id", group_limit), ["component", "lo", "hi"])
-    wanted = written(classes.join(near.select("id"), "id", "left_semi").select("id", "doc_id"), "wanted")
+    # Bands within one component bring no new pairs.
+    banded = classes.join(near, "id", "left").select("id", F.coalesce("component", "id").alias("known"), F.explode("bands").alias("band"))
+    across = banded.groupBy("band").agg(F.min("known").alias("least"), F.max("known").alias("most")).where("least < most").select("band")
+    banded = written(banded.join(across, "band", "left_semi").select("band", "id"), "banded")
+    met = distinct_groups(chunk_pairs(banded, ["band"], "id", group_limit), ["band", "lo", "hi"])
+    found = written(found.unionByName(met), "groups")
+    wanted = written(classes.join(found.select("id").distinct(), "id", "left_semi").select("id", "doc_id"), "wanted")
     short = wanted.count() <= few  # some 16 bytes each: broadcast only while they are few
     texts = docs.select("doc_id", "text").join(F.broadcast(wanted.select("doc_id")) if short else wanted.select("doc_id"), "doc_id", "left_semi")
     sets = _sets(texts, width).join(F.broadcast(wanted) if short else wanted, "doc_id").groupBy("id").agg(F.first("shingles").alias("shingles"))
