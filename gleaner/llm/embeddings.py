@@ -19,11 +19,20 @@ def _rows(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def _apart(chosen: list[list[float]], apart: float) -> np.ndarray:
+def _apart(chosen: list[list[float]], apart: float, enough: int, most: float) -> np.ndarray:
     """Unit vectors of the chosen ones, without those whose cosine with an earlier one is over ``apart``.
 
-    A crowd of near copies among the pivots would make the order of the nearest a matter of noise.
+    A crowd of near copies among the pivots would make the order of the nearest a matter of noise. Where fewer than
+    ``enough`` are so far apart, as in a narrow cone, the bound goes up by halves as far as ``most``.
     """
+    while True:
+        points = _far(chosen, apart)
+        if len(points) >= enough or apart >= most:
+            return points
+        apart = most if most - apart < 0.02 else (apart + most) / 2
+
+
+def _far(chosen: list[list[float]], apart: float) -> np.ndarray:
     points = np.zeros((len(chosen), max(map(len, chosen), default=1)))
     kept = 0
     for p in chosen:
@@ -40,7 +49,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, nearest: int =
 
     Equal vectors of a label are one class, represented by its smallest vec_id. Reference points (pivots) are the
     classes with the smallest hashes, ``pivots_per_root`` times the square root of the number of classes, at least 64 and
-    at most ``most_pivots``: a bounded sample, and all that the index is fitted on. Every class is described by its
+    at most ``most_pivots``: a bounded sample, and all that the index is fitted on, of which near copies go; in a
+    narrow cone they may be nearer to each other, and with fewer than ``nearest`` of them ``shared`` goes down. Every class is described by its
     ``nearest`` pivots in order of cosine. Two classes are candidates if they share ``shared`` of them; then they share
     one of the first nearest - shared + 1 in the order of pivot numbers, and it is in those inverted lists that they
     meet, are counted once, and are verified in double precision. Lists longer than ``list_limit`` are
@@ -61,7 +71,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, nearest: int =
 
     n_pivots = int(min(most_pivots, max(64, pivots_per_root * math.sqrt(classes.count()))))
     chosen = [r.v for r in classes.orderBy(F.xxhash64("rep", F.lit(5)), "rep").limit(n_pivots).select("v").collect()]
-    points = _apart(chosen, apart)
+    points = _apart(chosen, apart, 4 * nearest, 1 - 2 * (1 - threshold))
+    nearest = min(nearest, len(points))
+    shared = min(shared, (nearest + 1) // 2)  # with so few pivots all classes of a label meet, and are compared exactly
     known = rows.sparkSession.sparkContext.broadcast(points)  # at most most_pivots vectors
     first = nearest - shared + 1
 
