@@ -9,8 +9,9 @@ from pyspark.sql.window import Window
 from ..functions.text import LIBRARY, base_name, once, safe_title, strip, suffix
 from ..sources.scratch import written
 
-SHOW = r"(?diu)(.*?)[\s._-]+s(\d{1,2})e(\d{1,2})"
-MOVIE = r"(?diu)(.*?)[\s._-]*\((\d{4})\)"
+# A title of one character or more, separators, two digits each for season and episode, four for a year.
+SHOW = r"(?diu)(.+?)[ ._-]+s(\d{2})e(\d{2})"
+MOVIE = r"(?d)(.+?)[ ._-]*\((\d{4})\)"
 
 
 def resolution(name):
@@ -19,7 +20,10 @@ def resolution(name):
 
 
 def parse(names: DataFrame) -> DataFrame:
-    """``names(source, size)`` of library media: title, year, season, episode, resolution_score, extension and dedupe_key."""
+    """``names(source, size)`` of library media: title, year, season, episode, resolution_score, extension and dedupe_key.
+
+    A title can be empty, in the key too: only the name of a destination says "Unknown" then.
+    """
     rows = names.withColumn("extension", suffix(F.col("source"))).where(F.col("extension").isin(["." + x for x in LIBRARY]))
     stem = F.expr("left(substring_index(source, '/', -1), length(substring_index(source, '/', -1)) - length(extension))")
     rows = once(rows, stem=stem)
@@ -28,7 +32,6 @@ def parse(names: DataFrame) -> DataFrame:
     title = F.when(show, plain(F.regexp_extract("stem", SHOW, 1))).when(movie, plain(F.regexp_extract("stem", MOVIE, 1)))
     title = title.otherwise(strip(F.regexp_replace("stem", r"[._\-]+", " ")))
     rows = once(rows, form=F.when(show, "show").when(movie, "movie").otherwise("unknown"), title=title)
-    rows = rows.withColumn("title", F.when(F.col("title") == "", "Unknown").otherwise(F.col("title")))
     number = lambda form, pattern, k: F.when(F.col("form") == form, F.try_to_number(F.regexp_extract("stem", pattern, k), F.lit("9999")).cast("int"))
     rows = rows.withColumn("year", number("movie", MOVIE, 2)).withColumn("season", number("show", SHOW, 2)).withColumn("episode", number("show", SHOW, 3))
     low, two = F.lower("title"), lambda c: F.format_string("%02d", F.col(c))

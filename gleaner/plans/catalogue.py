@@ -154,9 +154,11 @@ def names(spark, sf_dir):
 
 
 def _name(pad: str) -> str:
-    base = f"""case p_partkey % 5 when 0 then replace(p_name, ' ', '.') || '.S' || {pad.format('p_size % 3 + 1')} || 'E' || {pad.format('p_size % 10')}
+    base = f"""case p_partkey % 23 when 1 then p_partkey || '/' || replace(p_name, ' ', '.') || '.S' || p_size % 10 || 'E' || {pad.format('p_size')} when 2 then p_partkey || '/(' || cast(1990 + p_size % 20 as varchar(9)) || ')'
+        when 3 then p_partkey || '/ S01E0' || p_size % 10 when 4 then p_partkey || '/  S01E0' || p_size % 10 when 5 then p_partkey || '/' || replace(p_name, ' ', chr(9)) || chr(9) || 'S01E02' when 6 then p_partkey || '/_._ S01E01'
+        when 7 then p_partkey || '/Unknown - S01E01' when 9 then p_partkey || '/._(2001) ' else case p_partkey % 5 when 0 then replace(p_name, ' ', '.') || '.S' || {pad.format('p_size % 3 + 1')} || 'E' || {pad.format('p_size % 10')}
         when 1 then replace(p_name, ' ', '_') || '_(' || cast(1990 + p_size % 20 as varchar(9)) || ')' when 2 then p_name || '?: ' || cast(p_size as varchar(9))
-        when 3 then replace(p_name, ' ', '-') || ' - s01e' || {pad.format('p_size % 10')} else replace(p_name, ' ', '.') || '.(' || cast(1990 + p_size % 20 as varchar(9)) || ')' end"""
+        when 3 then replace(p_name, ' ', '-') || ' - s01e' || {pad.format('p_size % 10')} else replace(p_name, ' ', '.') || '.(' || cast(1990 + p_size % 20 as varchar(9)) || ')' end end"""
     quality = "case p_partkey % 7 when 0 then '.2160p' when 1 then ' 4K' when 2 then '.1080p' when 3 then '.720p' when 4 then '.480p' else '' end"
     return f"'/in/' || lower(p_brand) || '/' || {base} || {quality} || case p_partkey % 6 when 0 then '.MKV' when 4 then '.flv' when 5 then '.txt' else '.mp4' end"
 
@@ -164,16 +166,16 @@ def _name(pad: str) -> str:
 SPARK_NAME = _name("lpad(cast({} as varchar(9)), 2, '0')")
 NAMES = f"""names as (select {SPARK_NAME} as source, floor(p_retailprice)::bigint as size from part),
     stems as (select *, lower(regexp_extract(source, '(\\.[^./]+)$', 1)) as extension, regexp_replace(regexp_replace(source, '^.*/', ''), '\\.[^.]+$', '') as stem from names),
-    media as (select *, case when regexp_matches(stem, '(?i)(.*?)[\\s._-]+s(\\d{{1,2}})e(\\d{{1,2}})') then 'show' when regexp_matches(stem, '(.*?)[\\s._-]*\\((\\d{{4}})\\)') then 'movie' else 'unknown' end as form
+    media as (select *, case when regexp_matches(stem, '(?i)(.+?)[ ._-]+s(\\d{{2}})e(\\d{{2}})') then 'show' when regexp_matches(stem, '(.+?)[ ._-]*\\((\\d{{4}})\\)') then 'movie' else 'unknown' end as form
         from stems where extension in ('.mkv', '.mp4', '.avi', '.mov', '.m4v', '.wmv', '.ts', '.webm')),
-    parsed as (select *, case form when 'show' then trim(replace(replace(regexp_extract(stem, '(?i)(.*?)[\\s._-]+s(\\d{{1,2}})e(\\d{{1,2}})', 1), '.', ' '), '_', ' '))
-            when 'movie' then trim(replace(replace(regexp_extract(stem, '(.*?)[\\s._-]*\\((\\d{{4}})\\)', 1), '.', ' '), '_', ' ')) else trim(regexp_replace(stem, '[._-]+', ' ', 'g')) end as title,
-        case when form = 'movie' then regexp_extract(stem, '(.*?)[\\s._-]*\\((\\d{{4}})\\)', 2)::int end as year,
-        case when form = 'show' then regexp_extract(stem, '(?i)(.*?)[\\s._-]+s(\\d{{1,2}})e(\\d{{1,2}})', 2)::int end as season,
-        case when form = 'show' then regexp_extract(stem, '(?i)(.*?)[\\s._-]+s(\\d{{1,2}})e(\\d{{1,2}})', 3)::int end as episode,
+    parsed as (select *, case form when 'show' then regexp_replace(replace(replace(regexp_extract(stem, '(?i)(.+?)[ ._-]+s(\\d{{2}})e(\\d{{2}})', 1), '.', ' '), '_', ' '), '^\\s+|\\s+$', '', 'g')
+            when 'movie' then regexp_replace(replace(replace(regexp_extract(stem, '(.+?)[ ._-]*\\((\\d{{4}})\\)', 1), '.', ' '), '_', ' '), '^\\s+|\\s+$', '', 'g') else regexp_replace(regexp_replace(stem, '[._-]+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') end as title,
+        case when form = 'movie' then regexp_extract(stem, '(.+?)[ ._-]*\\((\\d{{4}})\\)', 2)::int end as year,
+        case when form = 'show' then regexp_extract(stem, '(?i)(.+?)[ ._-]+s(\\d{{2}})e(\\d{{2}})', 2)::int end as season,
+        case when form = 'show' then regexp_extract(stem, '(?i)(.+?)[ ._-]+s(\\d{{2}})e(\\d{{2}})', 3)::int end as episode,
         case when lower(stem) like '%2160p%' or lower(stem) like '%4k%' then 2160 when lower(stem) like '%1080p%' then 1080 when lower(stem) like '%720p%' then 720 when lower(stem) like '%480p%' then 480 else 0 end as resolution_score from media),
     keyed as (select *, case form when 'show' then 'show:' || lower(title) || '|s' || lpad(season::varchar, 2, '0') || 'e' || lpad(episode::varchar, 2, '0') when 'movie' then 'movie:' || lower(title) || '|' || year else 'unknown:' || lower(title) end as dedupe_key,
-        trim(regexp_replace(regexp_replace(title, '[\\\\/:*?"<>|]', '', 'g'), '\\s+', ' ', 'g')) as safe from parsed),
+        coalesce(nullif(trim(regexp_replace(regexp_replace(title, '[\\\\/:*?"<>|]', '', 'g'), '\\s+', ' ', 'g')), ''), 'Unknown') as safe from parsed),
     ranked as (select *, row_number() over (partition by dedupe_key order by resolution_score desc, size desc, length(source), source) as rank from keyed),
     placed as (select *, '/library/' || case when rank > 1 then 'Duplicates/' || regexp_replace(source, '^.*/', '') when form = 'show' then 'TV/' || safe || '/Season ' || lpad(season::varchar, 2, '0') || '/' || safe || ' - S' || lpad(season::varchar, 2, '0') || 'E' || lpad(episode::varchar, 2, '0') || extension
         when form = 'movie' then 'Movies/' || safe || ' (' || year || ')/' || safe || ' (' || year || ')' || extension else 'Unsorted/' || safe || extension end as base from ranked),
@@ -223,7 +225,6 @@ MOVED = f"""{FILES}, ranked as (select *, first_value(path) over w as kept, row_
 IMAGES = f"""{FILES}, frames as (select path, ino, {DHASH(0)} as h, {WIDTH} as width, {HEIGHT} as height from files where size >= 72),
     pairs as (select a.path as "left", b.path as "right", bit_count(xor(a.h, b.h))::int as score from frames a join frames b on a.width // 64 = b.width // 64 and a.height // 64 = b.height // 64
         and {PREFIX('a.h')} = {PREFIX('b.h')} and a.path < b.path where bit_count(xor(a.h, b.h)) <= 8)"""
-CUT = f"{FILES}, whole as (select path, 256::bigint as size, substr(hx, 1, 512) as hx from files where size >= 256)"
 EACH = [f"bit_count(xor(a.f{i}, b.f{i}))::int" for i in range(4)]
 SQL = {
     "inventory": f"with {FILES} select path, size, mtime_ns, case ino % 4 when 0 then '.txt' when 1 then '.jpg' when 2 then '.mp4' else '.mkv' end as extension, {KIND.replace('doc_id', 'ino')} as kind from files",
@@ -231,8 +232,8 @@ SQL = {
     "size_groups": f"with {FILES} select size, count(*) as files from files group by 1 having count(*) > 1",
     "size_candidates": f"with {FILES} select path, size from files qualify count(*) over (partition by size) > 1",
     "quick_offsets": f"with {FILES} select path, len({OFFSETS(64)})::bigint as n_samples, (len({OFFSETS(64)}) * least(size, 64))::bigint as bytes_read from files",
-    "quick_candidates": f"with {CUT}, s as (select path, {QUICK(16)} as quick_sig from whole) select * from s qualify count(*) over (partition by quick_sig) > 1",
-    "full_candidates": f"with {CUT}, s as (select path, sha256(unhex(hx)) as full_sig from whole) select * from s qualify count(*) over (partition by full_sig) > 1",
+    "quick_candidates": f"with {FILES}, s as (select path, size, {QUICK(16)} as quick_sig from files) select path, quick_sig from s qualify count(*) over (partition by size, quick_sig) > 1",
+    "full_candidates": f"with {FILES} select path, full_sig from files qualify count(*) over (partition by size, full_sig) > 1",
     "exact_duplicates": f"with {MOVED} select path as source, kept, '/dups' || path as destination from ranked where nth > 1",
     "survivors": f"with {MOVED} select size, count(*) as n_paths, min(path) as first_path from ranked where nth = 1 group by 1",
     "run_stats": f"""with {FILES}, s as (select *, {QUICK(64)} as quick_sig from files), n as (select *, count(*) over (partition by size) as a, count(*) over (partition by size, quick_sig) as b, count(*) over (partition by size, quick_sig, full_sig) as c,
