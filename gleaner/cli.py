@@ -95,7 +95,7 @@ def _duplicates(args: argparse.Namespace, p: argparse.ArgumentParser) -> None:
         p.error(str(e))
     LOGGER.info("%d folders", len(args.base))
     engine.run(args.base)
-    LOGGER.info("stats: %s", engine.stats.as_dict())
+    LOGGER.info("stats: %s", engine.stats.report())
     if args.report_similar:
         write_report(engine.similar_media_candidates, args.report_similar)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -44,7 +45,7 @@ def full_blake2b(content: Column) -> Column:
     return blake2b(32)(content)
 
 
-CHUNK = 1 << 20
+CHUNK, SAMPLE = 1 << 20, 65536
 
 
 def _tried(function, *columns: pa.Array) -> pa.Array:
@@ -60,11 +61,11 @@ def _tried(function, *columns: pa.Array) -> pa.Array:
 
 
 def quick_of_file(path: Column, size: Column, sample: int = 65536) -> Column:
-    """BLAKE2b (16 bytes) of the distinct samples of a file: only those are read."""
+    """BLAKE2b (16 bytes) of the distinct samples of a file as large as ``size``: only those are read."""
     if sample <= 0:
         raise ValueError("sample size must be positive")
 
-    def read(name: str, n: int, offsets: list[int]) -> str:
+    def read(name: str, offsets: list[int]) -> str:
         digest = hashlib.blake2b(digest_size=16)
         with open(name, "rb") as f:
             for at in offsets:
@@ -73,10 +74,30 @@ def quick_of_file(path: Column, size: Column, sample: int = 65536) -> Column:
         return digest.hexdigest()
 
     @F.arrow_udf("string")
-    def digest(name: pa.Array, n: pa.Array, offsets: pa.Array) -> pa.Array:
-        return _tried(read, name, n, offsets)
+    def digest(name: pa.Array, offsets: pa.Array) -> pa.Array:
+        return _tried(read, name, offsets)
 
-    return digest(path, size, sample_offsets(size, sample))
+    return digest(path, sample_offsets(size, sample))
+
+
+def digest_bytes(data: bytes) -> str:
+    """BLAKE2b (16 bytes) of bytes, in hex; anything else is a TypeError."""
+    if isinstance(data, (bytes, bytearray)):
+        return hashlib.blake2b(data, digest_size=16).hexdigest()
+    raise TypeError(f"bytes are digested, not {type(data).__name__}")
+
+
+def digest_samples(path: str, sample: int = SAMPLE) -> str:
+    """The sampled digest of one file, the same as ``quick_of_file`` gives."""
+    if sample <= 0:
+        raise ValueError("sample size must be positive")
+    with open(path, "rb") as f:
+        size = os.fstat(f.fileno()).st_size
+        top, parts = max(0, size - sample), []
+        for at in sorted({0, min(size // 2, top), top}):
+            f.seek(at)
+            parts.append(f.read(sample))
+    return digest_bytes(b"".join(parts))
 
 
 def _whole(path: Column, new) -> Column:

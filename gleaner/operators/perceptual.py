@@ -7,16 +7,21 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import written
 from .components import connected_components
+from .joins import lookup
 
 
-def dhash(pixels: Column, at: int = 0) -> Column:
-    """64 bits, row by row, the first the highest: whether a pixel of a 9 x 8 gray frame is lighter than its right neighbour."""
-    byte = lambda i: F.substring(pixels, at + i + 1, 1)
-    bit = lambda n: F.when(byte(n // 8 * 9 + n % 8) > byte(n // 8 * 9 + n % 8 + 1), F.shiftleft(F.lit(1).cast("long"), 63 - n)).otherwise(F.lit(0).cast("long"))
-    out = bit(0)
-    for n in range(1, 64):
-        out = out.bitwiseOR(bit(n))
-    return out
+def dhash(pixels: Column, at: int = 0, width: int = 9, height: int = 8) -> Column:
+    """A bit for each pixel but the last of a row, row by row, the first the highest: whether it is lighter than its right neighbour.
+
+    The gray frame of ``width`` by ``height`` pixels begins at byte ``at``; it gives at most 64 bits, and a shorter content is an error.
+    """
+    bits = (width - 1) * height
+    if width < 2 or not 1 <= bits <= 64:
+        raise ValueError("a frame has from 1 to 64 neighbours in rows")
+    byte = lambda n, more: F.substring(pixels, (n + F.floor(n / (width - 1)) + (at + 1 + more)).cast("int"), F.lit(1))
+    lighter = lambda n: F.when(byte(n, 0) > byte(n, 1), 1).otherwise(0).cast("long")
+    out = F.aggregate(F.sequence(F.lit(0), F.lit(bits - 1)), F.lit(0).cast("long"), lambda h, n: F.shiftleft(h, 1).bitwiseOR(lighter(n)))
+    return F.when(F.octet_length(pixels) < at + width * height, F.raise_error(F.lit("not enough pixels"))).otherwise(out)
 
 
 def hamming(a: Column, b: Column) -> Column:
@@ -63,14 +68,14 @@ def video_pairs(rows: DataFrame, total: int = 32, frame: int = 12, bucket: int =
     return pairs(rows, video_key(bucket), *video_similar(total, frame))
 
 
-def clusters(rows: DataFrame, key: Column, mark: str, score: Column, similar: Column) -> DataFrame:
-    """``(first_path, n_paths, pairs, min_score, max_score, paths)``: components of similar pairs of ``rows(path, mark, ...)``.
+def clusters(rows: DataFrame, key: Column, mark: str, score: Column, similar: Column) -> tuple[DataFrame, DataFrame]:
+    """Components of similar pairs of ``rows(path, mark, ...)``: ``(first_path, n_paths, pairs, min_score, max_score)`` and their members ``(first_path, path)``.
 
     Rows with one key and equal marks are one class. Classes are paired, and pairs of their rows are counted by the sizes
     of classes, so that a frame that occurs very often (a black one) adds one class and not the square of its rows.
     ``score`` and ``similar`` speak of the marks a.* and b.*; equal marks are similar, with score 0.
     """
-    keyed = rows.select("path", key.alias("key"), mark).where(F.col(mark).isNotNull())
+    keyed = written(rows.select("path", key.alias("key"), mark).where(F.col(mark).isNotNull()), "marks")
     classes = written(keyed.groupBy("key", mark).agg(F.min("path").alias("rep"), F.count("*").alias("n")), "classes")
     met = classes.alias("a").join(classes.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col(f"a.{mark}") < F.col(f"b.{mark}")) & similar)
     edges = written(met.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), (F.col("a.n") * F.col("b.n")).alias("pairs"), score.cast("int").alias("score")), "similar")
@@ -79,16 +84,16 @@ def clusters(rows: DataFrame, key: Column, mark: str, score: Column, similar: Co
     within = labelled.where("n > 1").select("first_path", F.expr("n * (n - 1) div 2").alias("pairs"), F.lit(0).alias("score"))
     across = edges.join(named.withColumnRenamed("node", "a"), "a").select(F.col("component").alias("first_path"), "pairs", "score")
     summed = within.union(across).groupBy("first_path").agg(F.sum("pairs").alias("pairs"), F.min("score").alias("min_score"), F.max("score").alias("max_score"))
-    members = keyed.join(labelled.drop("n"), ["key", mark]).join(summed.select("first_path"), "first_path", "left_semi")
-    listed = members.groupBy("first_path").agg(F.sort_array(F.collect_list("path")).alias("paths"))
-    return summed.join(listed, "first_path").withColumn("n_paths", F.size("paths").cast("long"))
+    sized = written(summed.join(labelled.groupBy("first_path").agg(F.sum("n").alias("n_paths")), "first_path"), "summary")
+    of = written(labelled.join(sized.select("first_path"), "first_path", "left_semi").select("key", mark, "first_path"), "members")
+    return sized.select("first_path", "n_paths", "pairs", "min_score", "max_score"), lookup(keyed, of, ["key", mark]).select("first_path", "path")
 
 
-def image_clusters(rows: DataFrame, threshold: int = 8) -> DataFrame:
+def image_clusters(rows: DataFrame, threshold: int = 8) -> tuple[DataFrame, DataFrame]:
     score = hamming(F.col("a.h"), F.col("b.h"))
     return clusters(rows, image_key(), "h", score, score <= threshold)
 
 
-def video_clusters(rows: DataFrame, total: int = 32, frame: int = 12, bucket: int = 2) -> DataFrame:
+def video_clusters(rows: DataFrame, total: int = 32, frame: int = 12, bucket: int = 2) -> tuple[DataFrame, DataFrame]:
     score, similar = video_similar(total, frame)
     return clusters(rows, video_key(bucket), "hashes", score, similar)

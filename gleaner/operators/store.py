@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,5 +38,11 @@ def merge(store: DataFrame, fresh: DataFrame, run: str) -> DataFrame:
     return joined.select(*ident, *map(pick, SIGNATURES), F.when(seen, F.lit(run)).otherwise(F.col("o.last_seen_run")).alias("last_seen_run"))
 
 
-def prune(store: DataFrame, run: str) -> DataFrame:
-    return store.where(F.col("last_seen_run") == run)
+def prune(store: DataFrame, run: str, roots: list[str] | None = None) -> DataFrame:
+    """The rows that ``run`` has seen; with ``roots`` also those of files that lie in none of these folders."""
+    kept = F.col("last_seen_run") == run
+    if roots:
+        tops = [root.rstrip("/") for root in roots]
+        below = [(F.col("path") == top) | F.startswith("path", F.lit(top + "/")) for top in tops]
+        kept = kept | ~reduce(or_, below)
+    return store.where(kept)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.digest import sample_offsets, samples
-from ..functions.text import kind, safe_title, split_extension
+from ..functions.text import kind, once, safe_title, split_extension
 from ..operators import exact, organizer, perceptual, store
 
 
@@ -63,22 +63,19 @@ def full_candidates(spark, sf_dir):
     return exact.repeated(signed, "size", "quick", "full").select("path", F.col("full").alias("full_sig"))
 
 
-def signed(spark, sf_dir):
-    return exact.signatures(files(spark, sf_dir), 64)
-
-
 def exact_duplicates(spark, sf_dir):
-    return exact.duplicates(signed(spark, sf_dir))
+    return exact.duplicates(exact.signatures(files(spark, sf_dir), 64))
 
 
 def survivors(spark, sf_dir):
-    f = files(spark, sf_dir)
-    return exact.survivors(f.select("path", "size"), exact_duplicates(spark, sf_dir)).select("size", F.size("paths").cast("long").alias("n_paths"), F.col("paths")[0].alias("first_path"))
+    stay = exact.survivors(files(spark, sf_dir), exact_duplicates(spark, sf_dir))
+    return stay.groupBy("size").agg(F.count("*").alias("n_paths"), F.min("path").alias("first_path"))
 
 
 def run_stats(spark, sf_dir):
-    s = signed(spark, sf_dir)
-    return exact.statistics(s, exact.duplicates(s))
+    f = files(spark, sf_dir)
+    quick = exact.quick_signatures(f, 64)
+    return exact.statistics(f, quick, exact.full_signatures(f, quick), 64)
 
 
 def sized(f):
@@ -87,7 +84,8 @@ def sized(f):
 
 
 def frames(spark, sf_dir):
-    return sized(files(spark, sf_dir).where("size >= 72").withColumn("h", perceptual.dhash(F.col("content")))).select("path", "ino", "h", "width", "height")
+    hashed = once(files(spark, sf_dir).where("size >= 72"), h=perceptual.dhash(F.col("content")))
+    return sized(hashed).select("path", "ino", "h", "width", "height")
 
 
 def dhash(spark, sf_dir):
@@ -99,27 +97,29 @@ def image_pairs(spark, sf_dir):
 
 
 def video_pairs(spark, sf_dir):
-    f = sized(files(spark, sf_dir).where("size >= 288")).withColumn("hashes", F.array(*[perceptual.dhash(F.col("content"), 72 * i) for i in range(4)]))
+    f = sized(once(files(spark, sf_dir).where("size >= 288"), hashes=F.array(*[perceptual.dhash(F.col("content"), 72 * i) for i in range(4)])))
     return perceptual.video_pairs(f.select("path", "hashes", "width", "height", (F.col("size") / 500.0).alias("duration"))).select("left", "right", "score")
 
 
 def clusters(spark, sf_dir):
-    return perceptual.image_clusters(frames(spark, sf_dir)).select("first_path", "n_paths", "pairs", "min_score", "max_score")
+    return perceptual.image_clusters(frames(spark, sf_dir))[0]
 
 
 def stored(spark, sf_dir):
-    """What an earlier run has left: some files missing, some with another time, some without a quick digest."""
-    f = files(spark, sf_dir).where("ino % 5 != 0")
+    """What an earlier run has left: some files under another path, some with another time, some without a quick digest."""
+    f = files(spark, sf_dir)
+    path = F.when(F.col("ino") % 5 == 0, F.concat(F.lit("/old"), F.col("path"))).otherwise(F.col("path"))
     quick = F.when(F.col("ino") % 3 != 0, F.concat(F.lit("q"), F.col("ino").cast("string")))
     none = F.lit(None).cast("string")
-    return f.select("path", "size", (F.col("mtime_ns") + F.when(F.col("ino") % 7 == 0, 1).otherwise(0)).alias("mtime_ns"), "dev", "ino", quick.alias("quick_hash"), F.lit("f").alias("full_hash"), none.alias("media_sig"), none.alias("media_meta"), F.lit("run-1").alias("last_seen_run"))
+    return f.select(path.alias("path"), "size", (F.col("mtime_ns") + F.when(F.col("ino") % 7 == 0, 1).otherwise(0)).alias("mtime_ns"), "dev", "ino", quick.alias("quick_hash"), F.lit("f").alias("full_hash"), none.alias("media_sig"), none.alias("media_meta"), F.lit("run-1").alias("last_seen_run"))
 
 
 def current(spark, sf_dir):
-    f = files(spark, sf_dir).where("ino % 11 != 0")
-    none = F.lit(None).cast("string")
+    """What this run sees: all files, some of them moved since."""
+    f, none = files(spark, sf_dir), F.lit(None).cast("string")
+    path = F.when(F.col("ino") % 11 == 0, F.concat(F.lit("/new"), F.col("path"))).otherwise(F.col("path"))
     fresh = F.when(F.col("ino") % 2 == 0, F.concat(F.lit("n"), F.col("ino").cast("string")))
-    return f.select("path", "size", "mtime_ns", "dev", "ino", fresh.alias("quick_hash"), none.alias("full_hash"), none.alias("media_sig"), none.alias("media_meta"))
+    return f.select(path.alias("path"), "size", "mtime_ns", "dev", "ino", fresh.alias("quick_hash"), none.alias("full_hash"), none.alias("media_sig"), none.alias("media_meta"))
 
 
 def cache_lookup(spark, sf_dir):
@@ -140,8 +140,8 @@ def cache_prune(spark, sf_dir):
     return store.prune(cache_merge(spark, sf_dir), "run-2").select("path", "quick_hash")
 
 
-CACHE = f"""{FILES}, stored as (select path, size, mtime_ns + (case when ino % 7 = 0 then 1 else 0 end) as mtime_ns, dev, ino, case when ino % 3 <> 0 then 'q' || ino end as quick_hash, 'f' as full_hash from files where ino % 5 <> 0),
-    fresh as (select path, size, mtime_ns, dev, ino, case when ino % 2 = 0 then 'n' || ino end as quick_hash, null::varchar as full_hash from files where ino % 11 <> 0),
+CACHE = f"""{FILES}, stored as (select case when ino % 5 = 0 then '/old' else '' end || path as path, size, mtime_ns + (case when ino % 7 = 0 then 1 else 0 end) as mtime_ns, dev, ino, case when ino % 3 <> 0 then 'q' || ino end as quick_hash, 'f' as full_hash from files),
+    fresh as (select case when ino % 11 = 0 then '/new' else '' end || path as path, size, mtime_ns, dev, ino, case when ino % 2 = 0 then 'n' || ino end as quick_hash, null::varchar as full_hash from files),
     merged as (select coalesce(n.path, o.path) as path, coalesce(n.size, o.size) as size, coalesce(n.mtime_ns, o.mtime_ns) as mtime_ns, coalesce(n.ino, o.ino) as ino,
         case when n.path is null then o.quick_hash when o.mtime_ns = n.mtime_ns then coalesce(n.quick_hash, o.quick_hash) else n.quick_hash end as quick_hash,
         case when n.path is null then o.full_hash when o.mtime_ns = n.mtime_ns then coalesce(n.full_hash, o.full_hash) else n.full_hash end as full_hash,
@@ -236,9 +236,10 @@ SQL = {
     "full_candidates": f"with {FILES} select path, full_sig from files qualify count(*) over (partition by size, full_sig) > 1",
     "exact_duplicates": f"with {MOVED} select path as source, kept, '/dups' || path as destination from ranked where nth > 1",
     "survivors": f"with {MOVED} select size, count(*) as n_paths, min(path) as first_path from ranked where nth = 1 group by 1",
-    "run_stats": f"""with {FILES}, s as (select *, {QUICK(64)} as quick_sig from files), n as (select *, count(*) over (partition by size) as a, count(*) over (partition by size, quick_sig) as b, count(*) over (partition by size, quick_sig, full_sig) as c,
+    "run_stats": f"""with {FILES}, s as (select *, {QUICK(64)} as quick_sig, len({OFFSETS(64)}) * least(size, 64) as sampled from files), n as (select *, count(*) over (partition by size) as a, count(*) over (partition by size, quick_sig) as b, count(*) over (partition by size, quick_sig, full_sig) as c,
         row_number() over (partition by size, full_sig order by mtime_ns, path) as nth from s)
-        select count(*) as files_scanned, count(*) filter (a > 1) as size_candidates, count(*) filter (b > 1) as quick_candidates, count(*) filter (c > 1) as full_candidates, count(*) filter (nth > 1) as moved from n""",
+        select count(*) as files_scanned, count(*) filter (a > 1) as size_candidates, count(*) filter (b > 1) as quick_candidates, count(*) filter (c > 1) as full_candidates, count(*) filter (nth > 1) as moved,
+        coalesce(sum(case when a > 1 then sampled else 0 end) + sum(case when b > 1 then size else 0 end), 0)::bigint as bytes_read_exact, coalesce(sum(case when nth > 1 then 2 * size else 0 end), 0)::bigint as bytes_read_verify from n""",
     "dhash": f"with {FILES} select ino as doc_id, {DHASH(0)} as dhash from files where size >= 72",
     "image_pairs": f"with {IMAGES} select * from pairs",
     "video_pairs": f"""with {FILES}, clips as (select path, {', '.join(f'{DHASH(72 * i)} as f{i}' for i in range(4))}, {WIDTH} as width, {HEIGHT} as height, size / 500.0::double as duration from files where size >= 288)

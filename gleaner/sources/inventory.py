@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import os
 import stat
 from collections.abc import Iterator
@@ -12,44 +13,56 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..functions.text import kind, split_extension
 from pyspark.sql import functions as F
 
+LOGGER = logging.getLogger(__name__)
 SCHEMA = "path string, size long, mtime_ns long, dev long, ino long"
 
 
+SPREAD = 256
+
+
 class Folder(InputPartition):
     def __init__(self, path: str, deep: bool):
         self.path, self.deep = path, deep
 
 
+def _entries(path: str) -> list[os.DirEntry]:
+    """The entries of a folder by name; one that can't be read is logged and has none."""
+    try:
+        with os.scandir(path) as found:
+            return sorted(found, key=lambda e: e.name)
+    except OSError as e:
+        LOGGER.error("folder passed over: %s", e)
+        return []
+
+
 class InventoryReader(DataSourceReader):
     def __init__(self, options: dict):
         self.roots = [r for r in options["roots"].split("\x00") if r]
         self.follow = options.get("followfilesymlinks", "false") == "true"
 
     def partitions(self) -> list[Folder]:
-        """A partition for each root's own files and one for each folder in it; roots that are missing are passed over."""
-        out = []
-        for root in filter(os.path.isdir, self.roots):
-            out.append(Folder(root, False))
-            with os.scandir(root) as entries:
-                out += [Folder(e.path, True) for e in sorted(entries, key=lambda e: e.name) if e.is_dir(follow_symlinks=False)]
-        return out or [Folder("", False)]
+        """A partition for each folder of the first levels, with its own files, and one for each whole tree below them.
+
+        Levels are listed until there are ``SPREAD`` folders, so that one deep folder is no single task. Roots that are missing are passed over.
+        """
+        out, level = [], [r for r in self.roots if os.path.isdir(r)]
+        while level and len(out) + len(level) < SPREAD:
+            out += [Folder(f, False) for f in level]
+            level = [e.path for f in level for e in _entries(f) if e.is_dir(follow_symlinks=False)]
+        return out + [Folder(f, True) for f in level] or [Folder("", False)]
 
     def read(self, partition: Folder) -> Iterator[tuple]:
         stack = [partition.path] if partition.path else []
         while stack:
-            try:
-                with os.scandir(stack.pop()) as found:
-                    entries = sorted(found, key=lambda e: e.name)
-            except OSError:
-                continue
-            for e in entries:
+            for e in _entries(stack.pop()):
                 try:
                     if e.is_dir(follow_symlinks=False):
                         if partition.deep:
                             stack.append(e.path)
                         continue
                     s = e.stat(follow_symlinks=self.follow)
-                except OSError:
+                except OSError as error:
+                    LOGGER.error("file passed over: %s", error)
                     continue
                 if stat.S_ISREG(s.st_mode):
                     yield os.path.abspath(e.path), s.st_size, s.st_mtime_ns, s.st_dev, s.st_ino

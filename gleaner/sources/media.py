@@ -27,13 +27,14 @@ def tool(name: str, given: str | None = None) -> str | None:
 
 def _probe(ffprobe: str, path: str) -> tuple[int, int, float]:
     command = [ffprobe, "-v", "error", "-select_streams", "v:0", "-show_entries", "stream=width,height:format=duration", "-of", "json", path]
-    told = json.loads(subprocess.run(command, capture_output=True, check=True).stdout)
-    stream = told["streams"][0]
+    told = json.loads(subprocess.run(command, capture_output=True, check=True).stdout or "{}")
+    stream, shape = next(iter(told.get("streams") or [{}])), told.get("format") or {}
     try:
-        duration = float(told.get("format", {}).get("duration", 0.0))
+        duration = float(shape.get("duration") or 0.0)
     except (TypeError, ValueError):
         duration = 0.0
-    return int(stream["width"]), int(stream["height"]), max(0.0, duration) if math.isfinite(duration) else 0.0
+    width, height = (int(stream.get(side) or 0) for side in ("width", "height"))  # 0 where no stream tells it
+    return width, height, max(0.0, duration) if math.isfinite(duration) else 0.0
 
 
 def _frame(ffmpeg: str, path: str, at: float) -> bytes:

@@ -10,11 +10,15 @@ from pathlib import Path
 
 @dataclass(frozen=True)
 class DuplicateOptions:
-    """Worker counts are numbers of partitions for hashing and probing; None leaves them to Spark. No cache_db: no store."""
+    """Worker counts are numbers of partitions for hashing and probing; None leaves them to Spark. An empty cache_db: no store.
+
+    ``prune`` says which signatures go after a run: those of all files that it has not seen ("all"), or only of such below
+    its own folders ("roots"). With ``collapse_hardlinks`` names of one file (device and inode) are no duplicates of each other.
+    """
 
     dup_dir: str = "/tmp/gleaner/dups"
     mode: str = "media"
-    cache_db: str = ""
+    cache_db: str = ".gleaner-store"
     hash_workers: int | None = None
     media_workers: int | None = None
     enabled: bool = True
@@ -24,10 +28,14 @@ class DuplicateOptions:
     video_hamming_threshold: int = 32
     video_frame_hamming_threshold: int = 12
     duration_bucket_seconds: int = 2
+    prune: str = "all"
+    collapse_hardlinks: bool = False
 
     def __post_init__(self) -> None:
         if self.mode not in ("exact", "media"):
             raise ValueError(f"mode is exact or media, not {self.mode!r}")
+        if self.prune not in ("all", "roots"):
+            raise ValueError(f"prune is all or roots, not {self.prune!r}")
         for f in fields(self):
             value = getattr(self, f.name)
             if f.type == "int" or (f.type == "int | None" and value is not None):
@@ -62,11 +70,20 @@ class OrganizerOptions:
 
 
 def truth(text: str) -> bool:
-    return text.strip().lower() in ("1", "true", "yes", "on")
+    """One of the words that an INI file may use; another one is a ValueError."""
+    try:
+        return configparser.ConfigParser.BOOLEAN_STATES[text.strip().lower()]
+    except KeyError:
+        raise ValueError(f"neither yes nor no: {text!r}") from None
+
+
+def lenient(text: str) -> bool:
+    """In the organizer's file any other word says no."""
+    return configparser.ConfigParser.BOOLEAN_STATES.get(text.strip().lower(), False)
 
 
-def _typed(kind: type, given: dict[str, str]):
-    reads = {"int": int, "int | None": int, "bool": truth, "str": str, "str | None": str}
+def _typed(kind: type, given: dict[str, str], boolean=truth):
+    reads = {"int": int, "int | None": int, "bool": boolean, "str": str, "str | None": str}
     return kind(**{f.name: reads[f.type](given[f.name]) for f in fields(kind) if f.name in given})
 
 
@@ -83,7 +100,7 @@ def organizer_options(path: str) -> OrganizerOptions:
     """Lines ``key: value``, the last one of a key wins; a missing file gives the defaults."""
     lines = Path(path).read_text().splitlines() if Path(path).is_file() else []
     pairs = [x.partition(":") for x in lines if ":" in x and not x.lstrip().startswith("#")]
-    return _typed(OrganizerOptions, {k.strip(): v.strip().strip("'\"") for k, _, v in pairs})
+    return _typed(OrganizerOptions, {k.strip(): v.strip().strip("'\"") for k, _, v in pairs}, lenient)
 
 
 def write_organizer_options(path: str) -> None:

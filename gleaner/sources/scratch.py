@@ -13,9 +13,11 @@ _LEFT: list[tuple[SparkSession, str]] = []
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder shared by driver and executors: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder shared by driver and executors: ``spark.checkpoint.dir``. Where that is unset, a temporary one in local mode only."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _OWN:
             _OWN[app] = tempfile.mkdtemp(prefix="gleaner-")
@@ -36,11 +38,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def forget(df: DataFrame) -> None:
-    """Deletes a table that ``written`` made and that no later step reads."""
-    for spark, path in [x for x in _LEFT if any(x[1] in f for f in df.inputFiles()[:1])]:
-        delete(spark, path)
-        _LEFT.remove((spark, path))
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables that ``written`` made and that no later step reads; others are left alone."""
+    for df in tables:
+        for spark, path in [x for x in _LEFT if any(x[1] in f for f in df.inputFiles()[:1])]:
+            delete(spark, path)
+            _LEFT.remove((spark, path))
 
 
 def delete(spark: SparkSession, path: str) -> None:

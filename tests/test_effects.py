@@ -47,7 +47,8 @@ def test_options(tmp_path):
     got = options.duplicate_options(str(tmp_path / "c"))
     assert (got.mode, got.enabled, got.image_hamming_threshold, got.video_hamming_threshold) == ("exact", False, 3, 32)
     (tmp_path / "bad").write_text("[media]\nduration_bucket_seconds:0\n")
-    for name in ("bad", "none"):
+    (tmp_path / "word").write_text("[media]\nenabled:perhaps\n")
+    for name in ("bad", "word", "none"):
         with pytest.raises(ValueError):
             options.duplicate_options(str(tmp_path / name))
     options.write_organizer_options(str(tmp_path / "o"))
@@ -57,11 +58,11 @@ def test_options(tmp_path):
 
 
 def test_probing(spark, tmp_path):
-    for name, body in (("probe", 'case "$*" in *bad*) exit 1;; esac\necho \'{"streams":[{"width":640,"height":480}],"format":{"duration":"10"}}\''), ("mpeg", 'printf "%080d" 7')):
+    for name, body in (("probe", 'case "$*" in *bad*) exit 1;; *bare*) echo "{}"; exit;; esac\necho \'{"streams":[{"width":640,"height":480}],"format":{"duration":"10"}}\''), ("mpeg", 'printf "%080d" 7')):
         (tmp_path / name).write_text(f"#!/bin/sh\n{body}\n")
         (tmp_path / name).chmod(0o755)
-    files = spark.createDataFrame([("/v", "video"), ("/i", "image"), ("/bad", "image"), ("/t", "other")], "path string, kind string")
+    files = spark.createDataFrame([("/v", "video"), ("/i", "image"), ("/bad", "image"), ("/bare", "image"), ("/t", "other")], "path string, kind string")
     found = {r.path: r for r in media.probed(files, media.tool("ffprobe", str(tmp_path / "probe")), str(tmp_path / "mpeg")).collect()}
-    assert set(found) == {"/v", "/i"} and found["/v"].duration == 10.0 and found["/i"].width == 640
+    assert set(found) == {"/v", "/i", "/bare"} and (found["/bare"].width, found["/bare"].duration) == (0, 0.0) and found["/v"].duration == 10.0 and found["/i"].width == 640
     assert [len(f) for f in found["/v"].frames] == [72] * 4 and len(found["/i"].frames) == 1
     assert media.tool("no-such-program") is None and media.tool("ffprobe", "/nowhere/x") is None

@@ -3,9 +3,10 @@
 import hashlib
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
-from gleaner.functions.digest import full_blake2b, quick_blake2b
+from gleaner.functions.digest import full_blake2b, quick_blake2b, quick_of_file
 from gleaner.functions.text import safe_title, split_extension, suffix
 from gleaner.operators import exact, organizer, perceptual, store
 from gleaner.sources.inventory import scan
@@ -51,8 +52,9 @@ def test_pairs_need_one_prefix_and_clusters_are_transitive(spark):
     df = spark.createDataFrame(rows, "path string, h long, width int, height int")
     found = perceptual.image_pairs(df, 4)
     assert {(r.left, r.right, r.score) for r in found.collect()} == {("/1", "/2", 4), ("/2", "/3", 4)}
-    c = perceptual.image_clusters(df, 4).collect()
-    assert [(x.first_path, x.n_paths, x.pairs, x.min_score, x.max_score) for x in c] == [("/1", 3, 2, 4, 4)]
+    found, members = perceptual.image_clusters(df, 4)
+    assert [(x.first_path, x.n_paths, x.pairs, x.min_score, x.max_score) for x in found.collect()] == [("/1", 3, 2, 4, 4)]
+    assert sorted(map(tuple, members.collect())) == [("/1", "/1"), ("/1", "/2"), ("/1", "/3")]
 
 
 def test_merge_replaces_signatures_of_changed_files(spark):
@@ -68,3 +70,85 @@ def test_show_and_movie_names(spark):
     assert planned["/x/My.Show.S01E02.1080p.mkv"] == ("/lib/TV/My Show/Season 01/My Show - S01E02.mkv", "organized")
     assert planned["/x/Movie.Title.(2021).2160p.mkv"] == ("/lib/Movies/Movie Title (2021)/Movie Title (2021).mkv", "organized")
     assert planned["/x/Movie.Title.(2021).720p.mkv"][1] == "duplicate" and len(planned) == 3
+
+
+def test_names_that_only_look_like_shows_and_movies(spark):
+    names = ["Show.S1E2.mkv", "(2021).mkv", " S01E02.mkv", "  S01E02.mkv", "A\tS01E02.mkv", "_._ S01E02.mkv", "Unknown - S01E02.mkv", "A S012E03.mkv"]
+    df = spark.createDataFrame([(f"/x/{n}", 1) for n in names], "source string, size long")
+    got = {r.source[3:]: (r.title, r.season, r.year, r.dedupe_key) for r in organizer.parse(df).collect()}
+    assert got["Show.S1E2.mkv"] == ("Show S1E2", None, None, "unknown:show s1e2") and got["(2021).mkv"] == ("(2021)", None, None, "unknown:(2021)")
+    assert got[" S01E02.mkv"][1] is None and got["A\tS01E02.mkv"][1] is None and got["A S012E03.mkv"][1] is None
+    assert got["  S01E02.mkv"] == got["_._ S01E02.mkv"] == ("", 1, None, "show:|s01e02") and got["Unknown - S01E02.mkv"][3] == "show:unknown|s01e02"
+    places = {r.source[3:]: r.destination for r in organizer.plan(organizer.parse(df), "/lib").collect()}
+    # Two keys, one name: "show:unknown" comes before "show:|".
+    assert places["Unknown - S01E02.mkv"] == "/lib/TV/Unknown/Season 01/Unknown - S01E02.mkv"
+    assert places["  S01E02.mkv"] == "/lib/TV/Unknown/Season 01/Unknown - S01E02 (2).mkv" and places["_._ S01E02.mkv"].startswith("/lib/Duplicates/")
+
+
+def test_collided_digests_move_nothing(spark):
+    rows = [("/a", 1, 1, "q", "f", "x"), ("/b", 1, 2, "q", "f", "y"), ("/c", 1, 3, "q", "f", "x")]
+    signed = spark.createDataFrame(rows, "path string, size long, mtime_ns long, quick string, full string, check string")
+    assert [(r.source, r.kept) for r in exact.duplicates(signed).collect()] == [("/c", "/a")]
+
+
+def test_stages_give_the_same_beyond_their_broadcasts(spark):
+    texts = ["a" * 300, "a" * 300, "b" * 299 + "c", "c" * 300, "d" * 100 + "e" + "d" * 199, "d" * 100 + "f" + "d" * 199, "lone"]
+    files = spark.createDataFrame([(f"/{i}", len(t), i, bytearray(t.encode())) for i, t in enumerate(texts)], "path string, size long, mtime_ns long, content binary")
+    for few in (200_000, 0):
+        quick = exact.quick_signatures(files, 16, few)
+        assert {r.path for r in quick.collect()} == {f"/{i}" for i in range(6)}
+        full = exact.full_signatures(files, quick, few)
+        assert {r.path for r in full.collect()} == {"/0", "/1", "/4", "/5"}
+        assert [(r.source, r.kept) for r in exact.duplicates(full).collect()] == [("/1", "/0")]
+    told = exact.statistics(files, quick, full, 16).first().asDict()
+    assert told == {"files_scanned": 7, "size_candidates": 6, "quick_candidates": 4, "full_candidates": 2, "moved": 1, "bytes_read_exact": 6 * 48 + 4 * 300, "bytes_read_verify": 600}
+
+
+def test_helpers_of_the_package(spark, tmp_path):
+    import gleaner
+
+    data = bytes(range(256)) * 3
+    (tmp_path / "f").write_bytes(data)
+    assert gleaner.get_hash_key(data) == gleaner.process_file(str(tmp_path / "f"), 768) == hashlib.blake2b(data, digest_size=16).hexdigest()
+    assert gleaner.process_file(str(tmp_path / "f"), 64) == gleaner.get_hash_key(data[:64] + data[384:448] + data[-64:])
+    row = spark.createDataFrame([(str(tmp_path / "f"), len(data))], "p string, n long").select(quick_of_file(F.col("p"), F.col("n"), 64)).first()
+    assert row[0] == gleaner.process_file(str(tmp_path / "f"), 64)
+    for bad, error in ((lambda: gleaner.get_hash_key("text"), TypeError), (lambda: gleaner.process_file(str(tmp_path / "f"), 0), ValueError)):
+        with pytest.raises(error):
+            bad()
+    assert gleaner.Duplicates.__name__ == "Duplicates" and set(gleaner.__all__) >= {"Duplicates", "Organizer"}
+
+
+def test_deep_folders_are_many_partitions(spark, tmp_path, caplog):
+    from gleaner.sources.inventory import InventoryReader
+
+    for i in range(20):
+        (tmp_path / f"a/b/{i:02}/c").mkdir(parents=True)
+        (tmp_path / f"a/b/{i:02}/c/f").write_bytes(b"x" * i)
+    reader = InventoryReader({"roots": f"{tmp_path}\x00/nowhere"})
+    parts = reader.partitions()
+    assert len(parts) == 1 + 1 + 1 + 20 + 20 and len({p.path for p in parts}) == len(parts)
+    assert sorted(r[1] for p in parts for r in reader.read(p)) == list(range(20))
+    assert scan(spark, [str(tmp_path)]).count() == 20
+
+
+def test_prune_by_roots(spark):
+    row = lambda path, run: (path, 1, 1, 1, 1, "q", None, None, None, run)
+    df = spark.createDataFrame([row("/a/x", "r1"), ("/a/y", 1, 1, 1, 1, "q", None, None, None, "r2"), row("/ab/x", "r1"), row("/b", "r1")], store.SCHEMA)
+    assert {r.path for r in store.prune(df, "r2").collect()} == {"/a/y"}
+    assert {r.path for r in store.prune(df, "r2", ["/a/", "/b"]).collect()} == {"/a/y", "/ab/x"}
+
+
+def test_one_name_of_hard_links(spark):
+    df = spark.createDataFrame([("/b", 1, 7), ("/a", 1, 7), ("/c", 1, 8)], "path string, dev long, ino long")
+    assert {r.path for r in exact.one_name(df).collect()} == {"/a", "/c"}
+
+
+def test_frames_of_other_shapes(spark):
+    data = bytes([5, 3, 9, 9, 1, 2])
+    df = spark.createDataFrame([(bytearray(b"zz" + data),)], "c binary")
+    assert df.select(perceptual.dhash(F.col("c"), 2, 3, 2)).first()[0] == 0b1010
+    with pytest.raises(Exception, match="not enough pixels"):
+        df.select(perceptual.dhash(F.col("c"), 3, 3, 2)).collect()
+    with pytest.raises(ValueError):
+        perceptual.dhash(F.col("c"), 0, 10, 8)

@@ -8,7 +8,7 @@ import pytest
 from gleaner import cli
 from gleaner.operators import organizer
 from gleaner.plans.duplicates import Duplicates
-from gleaner.plans.library import Organizer, eta
+from gleaner.plans.library import Organizer, Progress
 from gleaner.sources.options import DuplicateOptions, OrganizerOptions
 
 
@@ -93,7 +93,10 @@ def test_organizer_moves_once_and_knows_its_work(spark, tmp_path):
     stopped.pause()
     stopped.stop()
     assert stopped.run()["stopped"] and (tmp_path / "in/Other.mkv").exists()
-    assert eta(0.0, 0, 7) == 7.0
+    told = Progress(7, iter([0.0, 1.0, 2.0]).__next__)
+    assert told.told("/s", "/d", "planned")["eta_seconds"] == 7.0
+    told.processed = 4
+    assert told.told("/s", "/d", "planned") == {"processed": 4, "total": 7, "moved": 0, "status": "planned", "source": "/s", "destination": "/d", "throughput": 2.0, "eta_seconds": 1.5}
 
 
 def test_versions_skip_taken_names(spark):
