@@ -6,7 +6,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.scratch import forget, written  # noqa: F401  the operators take them from here
+from ..operators.joins import lookup  # noqa: F401  the operators take these from here
+from ..sources.scratch import forget, written  # noqa: F401
 
 
 def utf8(column: pa.Array) -> list[bytes]:
@@ -27,15 +28,26 @@ def empty_text() -> F.Column:
     return F.coalesce(F.col("text"), F.lit(""))
 
 
-def chunk_pairs(rows: DataFrame, keys: list[str], ident: str, limit: int, least: int = 2) -> DataFrame:
+def chunk_pairs(rows: DataFrame, keys: list[str], ident: str, limit: int, weight: str | None = None, most: int = 1 << 21, few: int = 100_000) -> DataFrame:
     """``rows`` with columns lo, hi, own: groups of ``keys`` with over ``limit`` rows become blocks of two chunks each.
 
-    A group is cut by the hash of ``ident`` into chunks of about ``limit`` rows, and each row goes to every block
-    (lo, hi) that holds its chunk ``own``; two rows of chunks c <= d meet in block (c, d) alone. So any group is compared
-    whole, and no task gets more than about two chunks of it. Groups of under ``least`` rows, which hold no pair, go.
+    A group is cut by the hash of ``ident`` into chunks of about ``limit`` rows, and with a column ``weight`` of about ``most`` of
+    its sum; each row goes to every block (lo, hi) that holds its chunk ``own``; two rows of chunks c <= d meet in block
+    (c, d) alone. So any group is compared whole, and no task gets more than about two chunks of it.
+
+    Only the groups over the limit are listed. The list is broadcast while it is counted to have at most ``few`` rows;
+    of a longer one the largest groups are, so that no large group goes to one task of the join with the others.
     """
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
-    rows = rows.join(counts, keys).withColumn("_c", F.ceil(F.col("_n") / limit).cast("int"))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64(ident), F.col("_c")).cast("int"))
+    sizes = [F.count("*").alias("_n"), *([F.sum(weight).alias("_w")] if weight else [])]
+    chunks = F.ceil(F.greatest(F.col("_n") / limit, F.col("_w") / most) if weight else F.col("_n") / limit).cast("int")
+    hot = written(rows.groupBy(*keys).agg(*sizes).where((F.col("_n") > 1) & (chunks > 1)).select(*keys, chunks.alias("_c"), "_n"), "hot")
+    n = hot.count()
+    if n <= few:
+        rows = rows.join(F.broadcast(hot.drop("_n")), keys, "left")
+    else:
+        floor = hot.agg(F.sum("_n")).first()[0] // max(few, 1)
+        largest, others = (F.broadcast(hot.where(F.col("_n") > floor).drop("_n")), hot.where(F.col("_n") <= floor).drop("_n"))  # fewer than few are over the floor
+        rows = rows.join(largest, keys).unionByName(rows.join(largest.select(*keys), keys, "left_anti").join(others, keys, "left"))
+    rows = rows.withColumn("_c", F.coalesce("_c", F.lit(1))).withColumn("own", F.pmod(F.xxhash64(ident), F.col("_c")).cast("int"))
     rows = rows.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_c") - 1)))
-    return rows.withColumn("lo", F.least("own", "_o")).withColumn("hi", F.greatest("own", "_o")).drop("_n", "_c", "_o")
+    return rows.withColumn("lo", F.least("own", "_o")).withColumn("hi", F.greatest("own", "_o")).drop("_c", "_o")

@@ -11,9 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import utf8
+from .words import FOLD, mixed
 
-#: Letters in lower case, and other ASCII characters as spaces; bytes of other characters stay.
-FOLD = bytes(ord(chr(c).lower()) if c < 128 and chr(c).isalnum() else c if c >= 128 else 32 for c in range(256))
 BLOCKS, PARTS = 8, 256
 FACTORS = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(5)], np.uint64)
 FILTER = 1 << 20
@@ -42,9 +41,7 @@ def shingles(words: np.ndarray, width: int) -> np.ndarray:
     h = np.zeros(n, np.uint64)
     for i in range(width):
         h += words[i : i + n] * FACTORS[i]
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
-    return h ^ (h >> np.uint64(31))
+    return mixed(h)
 
 
 def window_prints(hashes: np.ndarray, size: int) -> np.ndarray:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,13 +10,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunk_pairs, utf8, written
+from .common import chunk_pairs, lookup, written
 from ..operators.components import connected_components
-from .decontaminate import FOLD, Words, shingles
+from .decontaminate import shingles
 from .passages import repeated_passages
 from .verify import distinct_groups, similar_edges
+from .words import BASE, Chunk, Grams, chunks, mixed
 
-LINE = re.compile(rb"[^\n]+")
 PARAGRAPHS = "doc_id long, para int, start int, length int, id long, bands array<long>"
 
 
@@ -38,21 +37,37 @@ def bands(hashes: np.ndarray, a: np.ndarray, b: np.ndarray, rows: int) -> np.nda
     return np.array([xxhash.xxh64_intdigest(grid[k].tobytes(), k) for k in range(len(grid))], np.uint64).view(np.int64)
 
 
-def lines(text: bytes, min_words: int) -> Iterator[tuple[int, int, list[bytes]]]:
-    """Place, start byte and words of each paragraph that is long enough."""
-    for k, m in enumerate(LINE.finditer(text)):
-        words = m[0].translate(FOLD).split()
-        if len(words) >= min_words:
-            yield k, m.start(), words
+def all_bands(hashes: np.ndarray, starts: np.ndarray, a: np.ndarray, b: np.ndarray, rows: int) -> np.ndarray:
+    """The band keys of many sets at once: a set is the run of hashes from its start to the next one's."""
+    low, keys = ((hashes >> np.uint64(32)) ^ hashes).astype(np.uint32), []
+    for k in range(len(a) // rows):
+        key = np.full(len(starts), k + 1, np.uint64)
+        for i in range(k * rows, k * rows + rows):
+            v = low * a[i] + b[i]
+            v ^= v >> np.uint32(15)
+            v *= np.uint32(0x2C1B3C6D)
+            key = mixed(key * np.uint64(BASE) + np.minimum.reduceat(v, starts))
+        keys.append(key.view(np.int64))
+    return np.stack(keys, 1)
 
 
-def digest(words: list[bytes]) -> int:
-    return xxhash.xxh3_64_intdigest(b" ".join(words)) - (1 << 63)
+class Lines:
+    """The paragraphs of a chunk of texts: lines of at least ``min_words`` words."""
 
+    def __init__(self, c: Chunk, grams: Grams, min_words: int):
+        start, end = c.lines
+        low, high = np.searchsorted(c.start, start), np.searchsorted(c.start, end)
+        long = np.flatnonzero(high - low >= min_words)
+        self.low, self.high, self.start, self.end = low[long], high[long], start[long], end[long]
+        self.doc = np.searchsorted(c.offsets, self.start, "right") - 1
+        self.para = long - c.lines_before[self.doc]
+        self.id = grams.between(grams.sums(c.hash), self.low, self.high).view(np.int64)
 
-def shingle_set(words: list[bytes], width: int, known: Words) -> np.ndarray:
-    hashed = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    return np.unique(shingles(hashed, min(width, len(words))))
+    def shingles(self, c: Chunk, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """The shingles of all paragraphs, one paragraph after the other, and where each begins."""
+        n = self.high - self.low - width + 1
+        starts = np.cumsum(n) - n
+        return shingles(c.hash, width)[np.repeat(self.low - starts, n) + np.arange(n.sum())], starts
 
 
 def paragraphs(docs: DataFrame, min_words: int, width: int, n_bands: int, rows: int) -> DataFrame:
@@ -60,24 +75,18 @@ def paragraphs(docs: DataFrame, min_words: int, width: int, n_bands: int, rows:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = permutations(n_bands * rows)
-        known = Words()
+        grams = Grams()
         for batch in batches:
-            for low in range(0, batch.num_rows, 500):
-                out: list[tuple] = []
-                part = batch.slice(low, 500)
-                for doc_id, text in zip(part.column(0).to_pylist(), utf8(part.column(1))):
-                    plain, chars, at = text.isascii(), 0, 0
-                    for k, start, words in lines(text, min_words):
-                        end = text.find(b"\n", start)
-                        end = len(text) if end < 0 else end
-                        length = end - start
-                        if not plain:
-                            chars += len(text[at:start].decode(errors="replace"))
-                            at, length = start, len(text[start:end].decode(errors="replace"))
-                        out.append((doc_id, k, start if plain else chars, length, digest(words), bands(shingle_set(words, width, known), a, b, rows)))
-                if out:
-                    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
-                    yield pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*out), types)], names=[x.split()[0] for x in PARAGRAPHS.split(", ")])
+            ids = batch.column(0)
+            for first, _, c in chunks(batch.column(1)):
+                x = Lines(c, grams, min_words)
+                if not len(x.id):
+                    continue
+                keys = all_bands(*x.shingles(c, width), a, b, rows)
+                listed = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, n_bands, dtype=np.int32), pa.array(keys.ravel()))
+                start, length = c.chars[x.start] - c.chars[c.offsets[x.doc]], c.chars[x.end] - c.chars[x.start]
+                places = [pa.array(v.astype(np.int32)) for v in (x.para, start, length)]
+                yield pa.record_batch([ids.take(pa.array(first + x.doc)), *places, pa.array(x.id), listed], names=[f.split()[0] for f in PARAGRAPHS.split(", ")])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PARAGRAPHS)
 
@@ -86,12 +95,16 @@ def shingle_sets(docs: DataFrame, min_words: int, width: int) -> DataFrame:
     """``(id, shingles)``: digest and distinct shingle hashes of every paragraph."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words()
+        grams = Grams()
         for batch in batches:
-            for low in range(0, batch.num_rows, 200):
-                found = {digest(words): words for text in utf8(batch.slice(low, 200).column(0)) for _, _, words in lines(text, min_words)}
-                sets = [shingle_set(words, width, known).tobytes() for words in found.values()]
-                yield pa.record_batch([pa.array(list(found), pa.int64()), pa.array(sets, pa.binary())], names=["id", "shingles"])
+            for _, _, c in chunks(batch.column(0)):
+                x = Lines(c, grams, min_words)
+                if not len(x.id):
+                    continue
+                found, starts = x.shingles(c, width)
+                ids, at = np.unique(x.id, return_index=True)
+                stops = np.append(starts[1:], len(found))
+                yield pa.record_batch([pa.array(ids), pa.array([np.unique(found[starts[i] : stops[i]]).tobytes() for i in at.tolist()], pa.binary())], names=["id", "shingles"])
 
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "id long, shingles binary")
 
@@ -99,7 +112,7 @@ def shingle_sets(docs: DataFrame, min_words: int, width: int) -> DataFrame:
 def repeated_paragraphs(docs: DataFrame, min_words: int = 25, width: int = 5, threshold: float = 0.8, n_bands: int = 10, rows: int = 4, group_limit: int = 256, few: int = 1_000_000) -> DataFrame:
     """Paragraphs that repeat across documents: ``(doc_id, para, start, length, cluster_doc, cluster_para, kept)``.
 
-    A paragraph is a line of at least ``min_words`` words (runs of letters and digits, in lower case). Equal ones are one
+    A paragraph is a line of at least ``min_words`` words (runs of letters and digits, in lower case; no fewer than ``width``). Equal ones are one
     class. Classes that share a MinHash band (``n_bands`` of ``rows``: a pair with similarity 0.8 shares one with a chance of
     0.995) are compared by the exact Jaccard similarity of their shingles of ``width`` words, and those of
     ``threshold`` or more are linked; a component that occurs in two documents or more is a cluster. Its first
@@ -109,8 +122,12 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = 25, width: int = 5, th
     paragraphs. Repeated rows (one doc_id) are one document. A null doc_id is passed over. An empty table gives none. Extra
     columns are ignored.
     """
+    if min_words < width:
+        raise ValueError("a paragraph has at least one shingle")
     every = written(paragraphs(docs.where("doc_id is not null"), min_words, width, n_bands, rows), "paragraphs")
-    banded = every.groupBy("id").agg(F.first("bands").alias("bands")).select("id", F.explode("bands").alias("band"))
+    banded = every.select("id", F.explode("bands").alias("band"))
+    across = banded.groupBy("band").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")  # unlike paragraphs meet there
+    banded = written(lookup(banded, written(across.select("band"), "bands"), ["band"]).distinct(), "banded")
     pairs = written(distinct_groups(chunk_pairs(banded, ["band"], "id", group_limit), ["band", "lo", "hi"]), "groups")
     # Shingles are made for colliding classes alone, again from the text of their first occurrences.
     colliding = written(every.join(pairs.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("doc_id").alias("doc_id")), "colliding")
@@ -120,12 +137,13 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = 25, width: int = 5, th
     sets = shingle_sets(texts, min_words, width).join(held.select("id"), "id", "left_semi").groupBy("id").agg(F.first("shingles").alias("shingles"))
     named = connected_components(similar_edges(pairs, sets, threshold)).select(F.col("node").alias("id"), "component")
 
+    classes = every.groupBy("id").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).join(named, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    clusters = classes.groupBy("component").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("component")
+    of = written(classes.select("id", "component").join(clusters, "component").select("id", "component"), "clusters")
+    found = written(lookup(every.select("doc_id", "para", "start", "length", "id"), of, ["id"]).drop("id"), "found")
     place = F.struct("doc_id", "para")
-    classes = every.groupBy("id").agg(F.min(place).alias("first"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    classes = classes.join(named, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    clusters = classes.groupBy("component").agg(F.min("first").alias("first"), F.min("low").alias("low"), F.max("high").alias("high")).where("low < high")
-    of = written(classes.select("id", "component").join(clusters.select("component", "first"), "component").select("id", "first"), "clusters")
-    out = every.select("doc_id", "para", "start", "length", "id").join(of, "id")
+    first = written(found.groupBy("component").agg(F.min(place).alias("first")), "first")
+    out = lookup(found, first, ["component"])
     return out.select("doc_id", "para", "start", "length", F.col("first.doc_id").alias("cluster_doc"), F.col("first.para").alias("cluster_para"), (place == F.col("first")).alias("kept"))
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,181 +9,150 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8, written
-from .decontaminate import FOLD, Words, word_hashes
+from .common import lookup, written
 from .simhash import groups
+from .words import FOLD, Chunk, Grams, chunks, least  # noqa: F401  FOLD says what counts as a word
 
-WORD = re.compile(rb"[^ ]+")
-BASE = 0x9E3779B97F4A7C15
-#: A filter of 2^BITS bits, made in pieces of 2^PIECE: fixed, whatever the input.
-BITS, PIECE = 27, 17
+#: A filter has 2^bits bits, 16 for each hash; from MOST on it lets more others through, which costs time alone. It is made in pieces of 2^PIECE.
+LEAST, MOST, PIECE = 20, 30, 17
 
 
-class Grams:
-    """Hashes of all runs of some number of words, from sums of word hashes times powers of an odd number."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def _powers(self, n: int) -> None:
-        if len(self.up) < n:
-            n = 1 << n.bit_length()
-            steps = lambda x: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, x, np.uint64)]), dtype=np.uint64)
-            self.up, self.down = steps(BASE), steps(pow(BASE, -1, 1 << 64))
-
-    def sums(self, words: np.ndarray) -> np.ndarray:
-        self._powers(len(words) + 1)
-        return np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * self.up[: len(words)], dtype=np.uint64)])
-
-    def hashes(self, sums: np.ndarray, size: int) -> np.ndarray:
-        h = (sums[size:] - sums[:-size]) * self.down[: len(sums) - size]
-        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-            h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
-        return h ^ (h >> np.uint64(31))
-
-
-def least(h: np.ndarray, size: int) -> np.ndarray:
-    """The minimum of each run of ``size`` values."""
-    have = 1
-    while 2 * have <= size:
-        h, have = np.minimum(h[:-have], h[have:]), 2 * have
-    return np.minimum(h[: len(h) - (size - have)], h[size - have :]) if have < size else h
-
-
-def windows(words: np.ndarray, size: int, grams: Grams) -> tuple[np.ndarray, np.ndarray]:
-    """For each window of ``size`` words the least hash of the runs of half its size in it, and the sums of all words."""
-    sums, half = grams.sums(words), size // 2
-    return least(grams.hashes(sums, half), size - half + 1), sums
+def windows(c: Chunk, size: int, grams: Grams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First words of all windows of ``size`` words within one text; the least hash of the runs of half the size in each; the sums of all words."""
+    none = np.zeros(0, np.int64)
+    if len(c.start) < size:
+        return none, none.view(np.uint64), none.view(np.uint64)
+    sums, half = grams.sums(c.hash), size // 2
+    at = np.flatnonzero(np.arange(size, len(c.start) + 1) <= np.repeat(c.bounds[1:], c.count)[: len(c.start) - size + 1])
+    return at, least(grams.hashes(sums, half), size - half + 1)[at], sums
 
 
 def _hashed(docs: DataFrame, size: int) -> DataFrame:
-    """``(m, doc_id)``: the distinct least hashes of the windows of each document."""
+    """``(m, doc_id, n)``: the least hashes of the windows of each document, one for each run of n windows that share it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, grams = Words(), Grams()
+        grams = Grams()
         for b in batches:
-            for low in range(0, b.num_rows, 500):
-                part = b.slice(low, 500)
-                ids, found = part.column(0).to_numpy(), [np.zeros(0, np.uint64)]
-                for text in utf8(part.column(1)):
-                    words = word_hashes(text, known)
-                    found.append(np.unique(windows(words, size, grams)[0]) if len(words) >= size else found[0])
-                many = [len(x) for x in found[1:]]
-                yield pa.record_batch([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(ids, many))], names=["m", "doc_id"])
+            ids = b.column(0)
+            for first, _, c in chunks(b.column(1)):
+                at, m, _ = windows(c, size, grams)
+                if len(at):
+                    doc = c.doc[at]
+                    new = np.flatnonzero(np.concatenate([[True], (m[1:] != m[:-1]) | (doc[1:] != doc[:-1])]))
+                    columns = [pa.array(m[new].view(np.int64)), ids.take(pa.array(first + doc[new])), pa.array(np.diff(np.append(new, len(m))))]
+                    yield pa.record_batch(columns, names=["m", "doc_id", "n"])
+
+    return docs.mapInArrow(run, "m long, doc_id long, n long")
 
-    return docs.mapInArrow(run, "m long, doc_id long")
 
+def _filter(hashes: DataFrame, count: int) -> np.ndarray:
+    """Bits that are set for all the hashes: others pass at times, none of these ever fails.
 
-def _filter(hashes: DataFrame) -> np.ndarray:
-    """Bits that are set for all the hashes: others pass at times, none of these ever fails."""
+    The low bits of a least hash are the place of its bit: the high ones are mostly zero.
+    """
 
-    def bits(table: pa.Table) -> pa.Table:
+    def pieces(table: pa.Table) -> pa.Table:
         has = np.zeros(1 << PIECE, np.uint8)
         has[table["bit"].to_numpy()] = 1
         return pa.table({"piece": pa.array([table["piece"][0].as_py()], pa.int32()), "bits": pa.array([np.packbits(has, bitorder="little").tobytes()], pa.binary())})
 
-    at = F.shiftrightunsigned("m", 64 - BITS)
+    bits = min(MOST, max(LEAST, (16 * count).bit_length()))
+    at = F.col("m").bitwiseAND((1 << bits) - 1)
     rows = hashes.select(F.shiftrightunsigned(at, PIECE).cast("int").alias("piece"), at.bitwiseAND((1 << PIECE) - 1).cast("int").alias("bit")).distinct()
-    out = np.zeros(1 << (BITS - 3), np.uint8)
+    out = np.zeros(1 << (bits - 3), np.uint8)
     width = 1 << (PIECE - 3)
-    for r in rows.groupBy("piece").applyInArrow(bits, "piece int, bits binary").toLocalIterator():
+    for r in rows.groupBy("piece").applyInArrow(pieces, "piece int, bits binary").toLocalIterator():
         out[r.piece * width : (r.piece + 1) * width] = np.frombuffer(r.bits, np.uint8)
     return out
 
 
-def _candidates(docs: DataFrame, size: int, passing) -> DataFrame:
-    """``(h, doc_id, at)``: the windows whose least hash passes the filter."""
+WINDOWS = "h long, doc_id long, at long, place long"
+
+
+def _candidates(docs: DataFrame, size: int, passing, common: bool) -> DataFrame:
+    """``(h, doc_id, at, place)``: the windows whose least hash passes the filter, those of the very common ones or the others.
+
+    ``at`` holds the first word and its line, ``place`` the first character and that after the last, 32 bits each.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, grams, bits = Words(), Grams(), passing.value
+        grams, (bits, often) = Grams(), passing.value
+        mask, both = np.uint64(8 * len(bits) - 1), lambda a, b: pa.array(a.astype(np.int64) << 32 | b)
         for b in batches:
-            for low in range(0, b.num_rows, 100):
-                part = b.slice(low, 100)
-                ids, hs, ats = part.column(0).to_numpy(), [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-                for text in utf8(part.column(1)):
-                    words = word_hashes(text, known)
-                    at = hs[0].astype(np.int64)
-                    if len(words) >= size:
-                        m, sums = windows(words, size, grams)
-                        bit = m >> np.uint64(64 - BITS)
-                        at = np.flatnonzero(bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1)
-                    hs.append(grams.hashes(sums, size)[at] if len(at) else hs[0])
-                    ats.append(at)
-                many = [len(x) for x in ats[1:]]
-                yield pa.record_batch([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.repeat(ids, many)), pa.array(np.concatenate(ats))], names=["h", "doc_id", "at"])
-
-    return docs.mapInArrow(run, "h long, doc_id long, at long")
+            ids = b.column(0)
+            for first, _, c in chunks(b.column(1)):
+                at, m, sums = windows(c, size, grams)
+                bit = m & mask
+                held = np.flatnonzero(bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1)
+                at, m = at[held], m[held]
+                if len(often):
+                    near = often[np.minimum(np.searchsorted(often, m), len(often) - 1)] == m
+                    at = at[near == common]
+                if len(at):
+                    doc = c.doc[at]
+                    begin, stop = c.start[at], c.end[at + size - 1]
+                    line = np.searchsorted(c.lines[0], begin, "right") - 1 - c.lines_before[doc]
+                    chars = c.chars
+                    place = both(chars[begin] - chars[c.offsets[doc]], chars[stop] - chars[c.offsets[doc]])
+                    yield pa.record_batch([pa.array(grams.hashes(sums, size)[at].view(np.int64)), ids.take(pa.array(first + doc)), both(at - c.bounds[doc], line), place], names=["h", "doc_id", "at", "place"])
+
+    return docs.mapInArrow(run, WINDOWS)
+
+
+FIRSTS = "doc_id long, at long, place long, first_doc long, first_at long"
 
 
 def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows in two documents or more, with their first occurrence; rows come sorted by window, document and place."""
-    for h, doc, at in groups(batches, 1):
+    for h, doc, at, place in groups(batches, 1):
         starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         many = np.diff(np.append(starts, len(h)))
         first = np.repeat(starts, many)
         last = first + np.repeat(many, many) - 1
         some = doc[first] != doc[last]
-        yield pa.record_batch([pa.array(x[some]) for x in (doc, at, doc[first], at[first])], names=["doc_id", "at", "first_doc", "first_at"])
+        yield pa.record_batch([pa.array(x[some]) for x in (doc, at, place, doc[first], at[first])], names=["doc_id", "at", "place", "first_doc", "first_at"])
 
 
-def _spans(size: int):
-    """Windows that follow each other, and whose first occurrences do, become one span of words."""
+def _common(rows: DataFrame) -> DataFrame:
+    """The same for windows that very many rows share: they are summed where they are made, and looked up."""
+    first = rows.groupBy("h").agg(F.min(F.struct("doc_id", "at")).alias("f"), F.max("doc_id").alias("high")).where("f.doc_id < high")
+    found = lookup(rows, written(first.select("h", F.col("f.doc_id").alias("first_doc"), F.col("f.at").alias("first_at")), "first"), ["h"])
+    return found.select("doc_id", "at", "place", "first_doc", "first_at")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for doc, at, first_doc, first_at in groups(batches, 1):
-            once = np.concatenate([[True], (doc[1:] != doc[:-1]) | (at[1:] != at[:-1])])
-            doc, at, first_doc, first_at = (x[once] for x in (doc, at, first_doc, first_at))
-            new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1) | (first_doc[1:] != first_doc[:-1]) | (first_at[1:] != first_at[:-1] + 1)])
-            starts = np.flatnonzero(new)
-            ends = at[np.append(starts[1:], len(at)) - 1] + size
-            yield pa.record_batch([pa.array(x) for x in (doc[starts], at[starts], ends, first_doc[starts], first_at[starts])], names=["doc_id", "low", "high", "first_doc", "first_low"])
-
-    return run
-
-
-def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Line, first character and length of spans of words of a text."""
-    names = ["doc_id", "low", "high", "para", "start", "length"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-    for b in batches:
-        for k in range(b.num_rows):
-            text, out = utf8(b.column(1).slice(k, 1))[0], []
-            doc_id, places = b.column(0)[k].as_py(), b.column(2)[k].as_py()
-            at = [m.span() for m in WORD.finditer(text.translate(FOLD))]
-            raw = np.frombuffer(text, np.uint8)
-            chars = np.append(0, np.cumsum(raw & 0xC0 != 0x80))  # characters before each byte
-            line = raw == 10
-            line_starts = np.flatnonzero(~line & np.append(True, line)[: len(line)])
-            for p in places:
-                if p["high"] <= len(at):
-                    start, end = at[p["low"]][0], at[p["high"] - 1][1]
-                    out.append((doc_id, p["low"], p["high"], int(np.searchsorted(line_starts, start, "right")) - 1, int(chars[start]), int(chars[end] - chars[start])))
-            if out:
-                yield pa.record_batch([pa.array(list(c), t) for c, t in zip(zip(*out), types)], names=names)
-
-
-def repeated_passages(docs: DataFrame, size: int = 50, few: int = 200_000) -> DataFrame:
+
+SPANS = "doc_id long, para int, start int, length int, cluster_doc long, cluster_para int, kept boolean"
+
+
+def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Windows that follow each other, and whose first occurrences do, become one span."""
+    for doc, at, place, first_doc, first_at in groups(batches, 1):
+        once = np.concatenate([[True], (doc[1:] != doc[:-1]) | (at[1:] != at[:-1])])
+        doc, at, place, first_doc, first_at = (x[once] for x in (doc, at, place, first_doc, first_at))
+        word, first_word = at >> 32, first_at >> 32
+        new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (word[1:] != word[:-1] + 1) | (first_doc[1:] != first_doc[:-1]) | (first_word[1:] != first_word[:-1] + 1)])
+        low = np.flatnonzero(new)
+        start, end, kept = place[low] >> 32, place[np.append(low[1:], len(at)) - 1] & 0xFFFFFFFF, (doc == first_doc) & (at == first_at)
+        columns = [doc[low], (at[low] & 0xFFFFFFFF).astype(np.int32), start.astype(np.int32), (end - start).astype(np.int32), first_doc[low], (first_at[low] & 0xFFFFFFFF).astype(np.int32), kept[low]]
+        yield pa.record_batch([pa.array(x) for x in columns], names=[x.split()[0] for x in SPANS.split(", ")])
+
+
+def repeated_passages(docs: DataFrame, size: int = 50, often: int = 20_000) -> DataFrame:
     """Runs of ``size`` words or more that occur in two documents: ``(doc_id, para, start, length, cluster_doc, cluster_para, kept)``.
 
     Words are runs of letters and digits in lower case, whatever the lines they stand in. Every window of ``size`` words that
-    another document holds too is found, and nothing else: windows are compared in full if the least hash
-    of their runs of half the size occurs in two documents, and equal windows have an equal one. Successive windows whose first
+    another document holds too is found, and nothing else: a window's key is the least hash of its runs of half the size (a
+    MinHash of one row), equal windows have an equal one, and windows whose key occurs in two documents are compared in
+    full. Windows of keys that over ``often`` windows have are summed before they are shuffled. Successive windows whose first
     occurrences (by doc_id and place) are successive too make one row; kept says that it is itself the first occurrence.
     """
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    spark = docs.sparkSession
-    met = _hashed(docs, size).groupBy("m").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
-    passing = spark.sparkContext.broadcast(_filter(met.select("m")))
-    shared = _candidates(docs, size, passing).repartition("h").sortWithinPartitions("h", "doc_id", "at")
-    shared = shared.mapInArrow(_firsts, "doc_id long, at long, first_doc long, first_at long")
-    spans = shared.repartition("doc_id").sortWithinPartitions("doc_id", "at")
-    spans = written(spans.mapInArrow(_spans(size), "doc_id long, low long, high long, first_doc long, first_low long"), "spans")
-    asked = spans.select("doc_id", "low", "high").union(spans.select("first_doc", "first_low", F.col("first_low") + size)).distinct()
-    asked = written(asked.groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("places")), "places")
-    held = F.broadcast(asked) if asked.count() <= few else asked
-    placed = docs.join(held, "doc_id").select("doc_id", "text", "places").mapInArrow(_placed, "doc_id long, low long, high long, para int, start int, length int")
-    placed = written(placed.dropDuplicates(["doc_id", "low", "high"]), "placed")
-    first = placed.where(F.col("high") == F.col("low") + size).select(F.col("doc_id").alias("first_doc"), F.col("low").alias("first_low"), F.col("para").alias("cluster_para"))
-    out = spans.join(placed, ["doc_id", "low", "high"]).join(first, ["first_doc", "first_low"])
-    kept = (F.col("doc_id") == F.col("first_doc")) & (F.col("low") == F.col("first_low"))
-    return out.select("doc_id", "para", "start", "length", F.col("first_doc").alias("cluster_doc"), "cluster_para", kept.alias("kept"))
+    met = _hashed(docs, size).groupBy("m").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.sum("n").alias("n")).where("a < b")
+    met = written(met.select("m", "n"), "met")
+    n, total = met.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    common = np.sort(np.array([r.m for r in met.where(F.col("n") > max(often, total // 100_000)).select("m").toLocalIterator()], np.int64).view(np.uint64))
+    passing = docs.sparkSession.sparkContext.broadcast((_filter(met.select("m"), n), common))
+    rows = _candidates(docs, size, passing, False).repartition("h").sortWithinPartitions("h", "doc_id", "at")
+    shared = rows.mapInArrow(_firsts, FIRSTS)
+    if len(common):
+        shared = shared.union(_common(written(_candidates(docs, size, passing, True), "common")))
+    return shared.repartition("doc_id").sortWithinPartitions("doc_id", "at").mapInArrow(_spans, SPANS)

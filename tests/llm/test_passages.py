@@ -2,7 +2,11 @@
 
 from collections import defaultdict
 
-from gleaner.llm import paragraphs, passages, queries
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from gleaner.llm import paragraphs, passages, queries, words
 
 DATA = "/root/testdata/sf0.001"
 FOLDED = bytes(passages.FOLD)
@@ -26,7 +30,8 @@ def test_passage_inside_different_lines(spark, tmp_path):
         assert (r.cluster_doc, r.cluster_para, r.kept, r.para) == (1, 1, k == 1, 0 if k == 2 else 1)
 
 
-def test_every_shared_window_is_found(spark):
+@pytest.mark.parametrize("often", [20_000, 0])
+def test_every_shared_window_is_found(spark, often):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
     at = defaultdict(set)
@@ -36,7 +41,7 @@ def test_every_shared_window_is_found(spark):
             at[tuple(w[i : i + 50])].add((k, i))
     want = {p for v in at.values() if len({k for k, _ in v}) > 1 for p in v}
     got = set()
-    for r in passages.repeated_passages(docs).collect():
+    for r in passages.repeated_passages(docs, often=often).collect():
         t = texts[r.doc_id]
         low, n = len(words_of(t[: r.start])), len(words_of(t[r.start : r.start + r.length]))
         got |= {(r.doc_id, i) for i in range(low, low + n - 49)}
@@ -46,3 +51,28 @@ def test_every_shared_window_is_found(spark):
 def test_no_documents(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert paragraphs.repeated_texts(none).count() == 0
+
+
+def test_words_and_lines_of_a_batch(spark):
+    texts = ["Ein Wört, zwei", None, "", "a\n\nB-c 12345678x 12345678y\n", "\n", "last"]
+    whole = pa.array(["cut off", *texts], pa.string())
+    for most in (1 << 20, 1):
+        got, lines, hashes = [], [], {}
+        for low, high, c in words.chunks(whole.slice(1), most):
+            raw = c.raw.tobytes()
+            for i in range(high - low):
+                some = [raw[a:b] for a, b in zip(c.start[c.bounds[i] : c.bounds[i + 1]], c.end[c.bounds[i] : c.bounds[i + 1]])]
+                got.append(some)
+                hashes.update({w.lower(): h for w, h in zip(some, c.hash[c.bounds[i] : c.bounds[i + 1]].tolist())})
+            lines += [raw[a:b] for a, b in zip(*c.lines)]
+        assert got == [(t or "").encode().replace(b",", b"").replace(b"-", b" ").split() for t in texts]
+        assert lines == [x.encode() for t in texts for x in (t or "").split("\n") if x] and len(set(hashes.values())) == len(hashes) == 9
+
+
+def test_bands_of_many_paragraphs_at_once():
+    rng = np.random.default_rng(1)
+    sets = [rng.integers(0, 1 << 63, n, np.uint64) for n in (1, 30, 7)]
+    a, b = paragraphs.permutations(40)
+    together = paragraphs.all_bands(np.concatenate(sets), np.array([0, 1, 31]), a, b, 4)
+    alone = [paragraphs.all_bands(s, np.array([0]), a, b, 4)[0] for s in sets]
+    assert (together == np.array(alone)).all() and len(set(together.ravel().tolist())) == 30
