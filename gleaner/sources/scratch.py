@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,6 +39,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """What ``make`` gives, written; the tables that were written on the way to it are deleted."""
+    before = {path for _, path in _LEFT}
+    out = written(make(), label)
+    own = _LEFT[-1][1]
+    for spark, path in [x for x in _LEFT if x[1] not in before and x[1] != own]:
+        delete(spark, path)
+        _LEFT.remove((spark, path))
+    return out
+
+
 def forget(*tables: DataFrame) -> None:
     """Deletes tables that ``written`` made and that no later step reads; others are left alone."""
     for df in tables:
