@@ -68,14 +68,15 @@ def destination() -> F.Column:
     return F.when(F.col("n") == 1, F.col("base")).otherwise(numbered).alias("destination")
 
 
-def plan(records: DataFrame, target: str, duplicates: str = "Duplicates", unsorted: str = "Unsorted") -> DataFrame:
-    """``(source, destination, status)`` for an empty target: files that come to one destination are numbered from (2).
+def plan(records: DataFrame, target: str, duplicates: str = "Duplicates", unsorted: str = "Unsorted", existing: DataFrame | None = None) -> DataFrame:
+    """``(source, destination, status)``: where files go in a target that holds ``existing(path)``; none where that is not given.
 
-    Numbers go by dedupe_key and source.
+    Files that come to one destination are numbered from (2), by dedupe_key and source, beside all names that are taken.
     """
-    n = F.row_number().over(Window.partitionBy("base").orderBy("dedupe_key", "source"))
-    rows = placed(records, target, duplicates, unsorted).withColumn("n", n).withColumn("ending", suffix(F.col("base")))
-    return rows.select("source", destination(), status())
+    rows = placed(records, target, duplicates, unsorted).select("source", "dedupe_key", "base", "duplicate")
+    if existing is None:
+        existing = records.sparkSession.createDataFrame([], "path string")
+    return versioned(rows, existing).select("source", "destination", status())
 
 
 def versions(paths: DataFrame) -> DataFrame:

@@ -68,17 +68,24 @@ def video_pairs(rows: DataFrame, total: int = 32, frame: int = 12, bucket: int =
     return pairs(rows, video_key(bucket), *video_similar(total, frame))
 
 
-def clusters(rows: DataFrame, key: Column, mark: str, score: Column, similar: Column) -> tuple[DataFrame, DataFrame]:
-    """Components of similar pairs of ``rows(path, mark, ...)``: ``(first_path, n_paths, pairs, min_score, max_score)`` and their members ``(first_path, path)``.
+def class_pairs(rows: DataFrame, key: Column, mark: str, score: Column, similar: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All similar pairs of ``rows(path, mark, ...)`` without writing out those of equal marks.
 
-    Rows with one key and equal marks are one class. Classes are paired, and pairs of their rows are counted by the sizes
-    of classes, so that a frame that occurs very often (a black one) adds one class and not the square of its rows.
-    ``score`` and ``similar`` speak of the marks a.* and b.*; equal marks are similar, with score 0.
+    ``classes(key, mark, rep, n)``: rows with one key and equal marks, n of them, the first path of which is rep; ``links(a, b,
+    pairs, score)``: the reps of similar classes and how many pairs of rows they stand for; ``members(path, key, mark)``. A
+    frame that occurs very often (a black one) is one class and not the square of its rows. ``score`` and ``similar`` speak of the
+    marks a.* and b.*; equal marks are similar, with score 0. Rows without a mark take no part.
     """
-    keyed = written(rows.select("path", key.alias("key"), mark).where(F.col(mark).isNotNull()), "marks")
-    classes = written(keyed.groupBy("key", mark).agg(F.min("path").alias("rep"), F.count("*").alias("n")), "classes")
+    members = written(rows.select("path", key.alias("key"), mark).where(F.col(mark).isNotNull()), "marks")
+    classes = written(members.groupBy("key", mark).agg(F.min("path").alias("rep"), F.count("*").alias("n")), "classes")
     met = classes.alias("a").join(classes.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col(f"a.{mark}") < F.col(f"b.{mark}")) & similar)
-    edges = written(met.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), (F.col("a.n") * F.col("b.n")).alias("pairs"), score.cast("int").alias("score")), "similar")
+    links = written(met.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), (F.col("a.n") * F.col("b.n")).alias("pairs"), score.cast("int").alias("score")), "similar")
+    return classes, links, members
+
+
+def clusters(rows: DataFrame, key: Column, mark: str, score: Column, similar: Column) -> tuple[DataFrame, DataFrame]:
+    """Components of similar pairs of ``rows(path, mark, ...)``: ``(first_path, n_paths, pairs, min_score, max_score)`` and their members ``(first_path, path)``."""
+    classes, edges, keyed = class_pairs(rows, key, mark, score, similar)
     named = written(connected_components(edges.select("a", "b")), "named")
     labelled = classes.join(named.withColumnRenamed("node", "rep"), "rep", "left").select("key", mark, "n", F.coalesce("component", "rep").alias("first_path"))
     within = labelled.where("n > 1").select("first_path", F.expr("n * (n - 1) div 2").alias("pairs"), F.lit(0).alias("score"))

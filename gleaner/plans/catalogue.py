@@ -156,13 +156,15 @@ def names(spark, sf_dir):
 def _name(pad: str) -> str:
     base = f"""case p_partkey % 23 when 1 then p_partkey || '/' || replace(p_name, ' ', '.') || '.S' || p_size % 10 || 'E' || {pad.format('p_size')} when 2 then p_partkey || '/(' || cast(1990 + p_size % 20 as varchar(9)) || ')'
         when 3 then p_partkey || '/ S01E0' || p_size % 10 when 4 then p_partkey || '/  S01E0' || p_size % 10 when 5 then p_partkey || '/' || replace(p_name, ' ', chr(9)) || chr(9) || 'S01E02' when 6 then p_partkey || '/_._ S01E01'
-        when 7 then p_partkey || '/Unknown - S01E01' when 9 then p_partkey || '/._(2001) ' else case p_partkey % 5 when 0 then replace(p_name, ' ', '.') || '.S' || {pad.format('p_size % 3 + 1')} || 'E' || {pad.format('p_size % 10')}
+        when 7 then p_partkey || '/Unknown - S01E01' when 9 then p_partkey || '/._(2001) ' when 10 then p_partkey || '/Twin' when 11 then p_partkey || '/Twin (2)' else case p_partkey % 5 when 0 then replace(p_name, ' ', '.') || '.S' || {pad.format('p_size % 3 + 1')} || 'E' || {pad.format('p_size % 10')}
         when 1 then replace(p_name, ' ', '_') || '_(' || cast(1990 + p_size % 20 as varchar(9)) || ')' when 2 then p_name || '?: ' || cast(p_size as varchar(9))
         when 3 then replace(p_name, ' ', '-') || ' - s01e' || {pad.format('p_size % 10')} else replace(p_name, ' ', '.') || '.(' || cast(1990 + p_size % 20 as varchar(9)) || ')' end end"""
     quality = "case p_partkey % 7 when 0 then '.2160p' when 1 then ' 4K' when 2 then '.1080p' when 3 then '.720p' when 4 then '.480p' else '' end"
     return f"'/in/' || lower(p_brand) || '/' || {base} || {quality} || case p_partkey % 6 when 0 then '.MKV' when 4 then '.flv' when 5 then '.txt' else '.mp4' end"
 
 
+RANK = "row_number() over (partition by base order by dedupe_key, source)"
+NUMBERED = "left(base, length(base) - length(ending)) || ' (' || n || ')' || ending"
 SPARK_NAME = _name("lpad(cast({} as varchar(9)), 2, '0')")
 NAMES = f"""names as (select {SPARK_NAME} as source, floor(p_retailprice)::bigint as size from part),
     stems as (select *, lower(regexp_extract(source, '(\\.[^./]+)$', 1)) as extension, regexp_replace(regexp_replace(source, '^.*/', ''), '\\.[^.]+$', '') as stem from names),
@@ -179,8 +181,15 @@ NAMES = f"""names as (select {SPARK_NAME} as source, floor(p_retailprice)::bigin
     ranked as (select *, row_number() over (partition by dedupe_key order by resolution_score desc, size desc, length(source), source) as rank from keyed),
     placed as (select *, '/library/' || case when rank > 1 then 'Duplicates/' || regexp_replace(source, '^.*/', '') when form = 'show' then 'TV/' || safe || '/Season ' || lpad(season::varchar, 2, '0') || '/' || safe || ' - S' || lpad(season::varchar, 2, '0') || 'E' || lpad(episode::varchar, 2, '0') || extension
         when form = 'movie' then 'Movies/' || safe || ' (' || year || ')/' || safe || ' (' || year || ')' || extension else 'Unsorted/' || safe || extension end as base from ranked),
-    numbered as (select *, row_number() over (partition by base order by dedupe_key, source) as n, regexp_extract(base, '(\\.[^./]+)$', 1) as ending from placed),
-    planned as (select source, case when n = 1 then base else left(base, length(base) - length(ending)) || ' (' || n || ')' || ending end as destination, case when rank > 1 then 'duplicate' else 'organized' end as status from numbered)"""
+    numbered as (select *, {RANK} as n, count(*) over (partition by base) as total, regexp_extract(base, '(\\.[^./]+)$', 1) as ending from placed),
+    checked as (select *, n > 1 and {NUMBERED} in (select base from placed) as clash from numbered),
+    renumbered as (select * replace (case when clash then total + {RANK.replace('base', 'base, clash')} else n end as n) from checked),
+    planned as (select source, case when n = 1 then base else {NUMBERED} end as destination, case when rank > 1 then 'duplicate' else 'organized' end as status from renumbered),
+    occupied as (select distinct base as path from placed where length(source) % 10 = 0),
+    beside as (select *, {RANK} + (base in (select path from occupied))::int as n, regexp_extract(base, '(\\.[^./]+)$', 1) as ending, count(*) over (partition by base) + (base in (select path from occupied))::int as total from placed),
+    held as (select *, n > 1 and ({NUMBERED} in (select base from beside where n = 1) or {NUMBERED} in (select path from occupied)) as clash from beside),
+    again as (select * replace (case when clash then total + {RANK.replace('base', 'base, clash')} else n end as n) from held),
+    versions as (select source, case when n = 1 then base else {NUMBERED} end as destination from again)"""
 
 
 def parsed(spark, sf_dir):
@@ -203,6 +212,13 @@ def organizer_plan(spark, sf_dir):
     return organizer.plan(parsed(spark, sf_dir), "/library")
 
 
+def organizer_versions(spark, sf_dir):
+    """Destinations beside files that are there already: the bases of some of the rows."""
+    rows = organizer.placed(parsed(spark, sf_dir), "/library").select("source", "dedupe_key", "base", "duplicate")
+    occupied = rows.where(F.length("source") % 10 == 0).select(F.col("base").alias("path")).distinct()
+    return organizer.versioned(rows, occupied).select("source", "destination")
+
+
 def organizer_state(spark, sf_dir):
     planned = organizer_plan(spark, sf_dir)
     state = planned.where(F.length("source") % 3 == 0).select(F.col("source").alias("source_path"), F.when(F.length("source") % 2 == 0, F.col("destination")).otherwise("/old").alias("destination_path"))
@@ -217,7 +233,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         inventory, kind_counts, size_groups, size_candidates, quick_offsets, quick_candidates, full_candidates, exact_duplicates, survivors, run_stats, dhash, image_pairs,
-        video_pairs, clusters, cache_lookup, cache_hits, cache_merge, cache_prune, name_parse, safe_titles, organizer_canonical, organizer_plan, organizer_state, organizer_summary,
+        video_pairs, clusters, cache_lookup, cache_hits, cache_merge, cache_prune, name_parse, safe_titles, organizer_canonical, organizer_plan, organizer_versions, organizer_state, organizer_summary,
     )
 }
 
@@ -256,6 +272,7 @@ SQL = {
     "safe_titles": f"with {NAMES} select title, safe from keyed",
     "organizer_canonical": f"with {NAMES} select dedupe_key, source from ranked where rank = 1",
     "organizer_plan": f"with {NAMES} select * from planned",
+    "organizer_versions": f"with {NAMES} select * from versions",
     "organizer_state": f"with {NAMES} select source, case when length(source) % 3 = 0 and length(source) % 2 = 0 then 'already-current' else status end as status from planned",
     "organizer_summary": f"with {NAMES} select status, count(*) as files from planned group by 1",
 }

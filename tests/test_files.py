@@ -152,3 +152,14 @@ def test_frames_of_other_shapes(spark):
         df.select(perceptual.dhash(F.col("c"), 3, 3, 2)).collect()
     with pytest.raises(ValueError):
         perceptual.dhash(F.col("c"), 0, 10, 8)
+
+
+def test_pairs_of_a_common_frame_are_counted_not_written(spark):
+    rows = [(f"/{i:03}", 7 if i else 6, 640, 480) for i in range(200)]
+    df = spark.createDataFrame(rows, "path string, h long, width int, height int")
+    score = perceptual.hamming(F.col("a.h"), F.col("b.h"))
+    classes, links, members = perceptual.class_pairs(df, perceptual.image_key(), "h", score, score <= 8)
+    assert sorted((r.rep, r.n) for r in classes.collect()) == [("/000", 1), ("/001", 199)] and members.count() == 200
+    assert [(r.pairs, r.score) for r in links.collect()] == [(199, 1)]
+    told = perceptual.image_clusters(df)[0].first()
+    assert (told.n_paths, told.pairs, told.min_score, told.max_score) == (200, 200 * 199 // 2, 0, 1)
