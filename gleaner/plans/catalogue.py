@@ -154,16 +154,17 @@ def names(spark, sf_dir):
 
 
 def _name(pad: str) -> str:
-    base = f"""case p_partkey % 23 when 1 then p_partkey || '/' || replace(p_name, ' ', '.') || '.S' || p_size % 10 || 'E' || {pad.format('p_size')} when 2 then p_partkey || '/(' || cast(1990 + p_size % 20 as varchar(9)) || ')'
-        when 3 then p_partkey || '/ S01E0' || p_size % 10 when 4 then p_partkey || '/  S01E0' || p_size % 10 when 5 then p_partkey || '/' || replace(p_name, ' ', chr(9)) || chr(9) || 'S01E02' when 6 then p_partkey || '/_._ S01E01'
-        when 7 then p_partkey || '/Unknown - S01E01' when 9 then p_partkey || '/._(2001) ' when 10 then p_partkey || '/Twin' when 11 then p_partkey || '/Twin (2)' else case p_partkey % 5 when 0 then replace(p_name, ' ', '.') || '.S' || {pad.format('p_size % 3 + 1')} || 'E' || {pad.format('p_size % 10')}
+    base = f"""case p_partkey % 23 when 1 then replace(p_name, ' ', '.') || '.S' || p_size % 10 || 'E' || {pad.format('p_size')} when 2 then '(' || cast(1990 + p_size % 20 as varchar(9)) || ')'
+        when 3 then ' S01E0' || p_size % 10 when 4 then '  S01E0' || p_size % 10 when 5 then replace(p_name, ' ', chr(9)) || chr(9) || 'S01E02' when 6 then '_._ S01E01'
+        when 7 then 'Unknown - S01E01' when 9 then '._(2001) ' when 10 then 'Twin' when 11 then 'Twin (2)' else case p_partkey % 5 when 0 then replace(p_name, ' ', '.') || '.S' || {pad.format('p_size % 3 + 1')} || 'E' || {pad.format('p_size % 10')}
         when 1 then replace(p_name, ' ', '_') || '_(' || cast(1990 + p_size % 20 as varchar(9)) || ')' when 2 then p_name || '?: ' || cast(p_size as varchar(9))
         when 3 then replace(p_name, ' ', '-') || ' - s01e' || {pad.format('p_size % 10')} else replace(p_name, ' ', '.') || '.(' || cast(1990 + p_size % 20 as varchar(9)) || ')' end end"""
     quality = "case p_partkey % 7 when 0 then '.2160p' when 1 then ' 4K' when 2 then '.1080p' when 3 then '.720p' when 4 then '.480p' else '' end"
-    return f"'/in/' || lower(p_brand) || '/' || {base} || {quality} || case p_partkey % 6 when 0 then '.MKV' when 4 then '.flv' when 5 then '.txt' else '.mp4' end"
+    return f"'/in/' || lower(p_brand) || '/' || p_partkey || '/' || {base} || {quality} || case p_partkey % 6 when 0 then '.MKV' when 4 then '.flv' when 5 then '.txt' else '.mp4' end"
 
 
 RANK = "row_number() over (partition by base order by dedupe_key, source)"
+FREE = "({0} + len(list_filter(range(1, len(t) + 1), lambda i: t[i] - i < {0})))"  # the number with that many free ones up to it
 NUMBERED = "left(base, length(base) - length(ending)) || ' (' || n || ')' || ending"
 SPARK_NAME = _name("lpad(cast({} as varchar(9)), 2, '0')")
 NAMES = f"""names as (select {SPARK_NAME} as source, floor(p_retailprice)::bigint as size from part),
@@ -186,9 +187,13 @@ NAMES = f"""names as (select {SPARK_NAME} as source, floor(p_retailprice)::bigin
     renumbered as (select * replace (case when clash then total + {RANK.replace('base', 'base, clash')} else n end as n) from checked),
     planned as (select source, case when n = 1 then base else {NUMBERED} end as destination, case when rank > 1 then 'duplicate' else 'organized' end as status from renumbered),
     occupied as (select distinct base as path from placed where length(source) % 10 = 0),
-    beside as (select *, {RANK} + (base in (select path from occupied))::int as n, regexp_extract(base, '(\\.[^./]+)$', 1) as ending, count(*) over (partition by base) + (base in (select path from occupied))::int as total from placed),
-    held as (select *, n > 1 and ({NUMBERED} in (select base from beside where n = 1) or {NUMBERED} in (select path from occupied)) as clash from beside),
-    again as (select * replace (case when clash then total + {RANK.replace('base', 'base, clash')} else n end as n) from held),
+    marks as (select path as base, 1 as k from occupied union select regexp_replace(path, ' \\(\\d+\\)(\\.[^./]+)$', '\\1'), regexp_extract(path, ' \\(([1-9]\\d*)\\)\\.[^./]+$', 1)::bigint from occupied where regexp_matches(path, ' \\([1-9]\\d*\\)\\.[^./]+$')),
+    taken as (select base, list_sort(list(distinct k)) as t from marks where k > 0 group by base),
+    beside as (select placed.*, {RANK} as r, coalesce(t, []) as t, regexp_extract(base, '(\\.[^./]+)$', 1) as ending from placed left join taken using (base)),
+    first as (select *, {FREE.format('r')} as n from beside),
+    held as (select *, n > 1 and {NUMBERED} in (select base from first where n = 1) as clash, list(n) over (partition by base) as own from first),
+    renamed as (select * replace (list_sort(list_distinct(list_concat(t, own))) as t, {RANK.replace('base', 'base, clash')} as r) from held),
+    again as (select * replace (case when clash then {FREE.format('r')} else n end as n) from renamed),
     versions as (select source, case when n = 1 then base else {NUMBERED} end as destination from again)"""
 
 
