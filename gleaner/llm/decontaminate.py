@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from .common import utf8
 from .words import FOLD, mixed
 
-BLOCKS, PARTS = 8, 256
+#: Bits of each block of a fingerprint, and the place in the index that each block begins at.
+WIDTHS = (7, 7, 7, 7, 6, 6, 6, 6, 6, 6)
+SHIFTS, PARTS = tuple(sum(WIDTHS[:k]) for k in range(len(WIDTHS))), 1 << max(WIDTHS)
 FACTORS = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(5)], np.uint64)
 FILTER = 1 << 20
 
@@ -62,14 +64,19 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 0.0
 
 
+def block(prints: np.ndarray, k: int) -> np.ndarray:
+    """Block k of each fingerprint."""
+    return ((prints >> np.uint64(SHIFTS[k])) & np.uint64((1 << WIDTHS[k]) - 1)).astype(np.int64)
+
+
 class Index:
     """Benchmark items by shingle, and their fingerprints by every block value within one bit.
 
-    A fingerprint within 15 bits of an item's differs from it in at most one bit of one of the 8 blocks, and so meets
+    A fingerprint within 19 bits of an item's differs from it in at most one bit of one of the 10 blocks, and so meets
     the item there: the multi-index finds every item within the radius.
     """
 
-    radius = 2 * BLOCKS - 1
+    radius = 2 * len(WIDTHS) - 1
 
     def __init__(self, items: list[tuple[int, bytes]], width: int, threshold: float):
         self.width, self.threshold = width, threshold
@@ -96,12 +103,14 @@ class Index:
 
     def multi_index(self, of: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """Start of each (block, value) in the list of items that have it within one bit, and the list."""
-        near = np.array([0] + [1 << i for i in range(8)])
-        own = np.array(of)
-        keys = [(k * PARTS + (((self.prints[own] >> np.uint64(8 * k)) & np.uint64(255)).astype(np.int64)[:, None] ^ near)).ravel() for k in range(BLOCKS)]
-        keys, items = np.concatenate(keys), np.tile(np.repeat(own, len(near)), BLOCKS)
+        own, keys, items = np.array(of), [], []
+        for k, width in enumerate(WIDTHS):
+            near = np.array([0] + [1 << i for i in range(width)])
+            keys.append((k * PARTS + (block(self.prints[own], k)[:, None] ^ near)).ravel())
+            items.append(np.repeat(own, len(near)))
+        keys, items = np.concatenate(keys), np.concatenate(items)
         order = np.argsort(keys, kind="stable")
-        return np.searchsorted(keys[order], np.arange(BLOCKS * PARTS + 1)), items[order]
+        return np.searchsorted(keys[order], np.arange(len(WIDTHS) * PARTS + 1)), items[order]
 
     def matches(self, data: bytes, known: Words) -> list[tuple[int, float, int, int, int]]:
         """``(item_id, similarity, first word, words, differing bits)`` of the best window for each item that leaks.
@@ -136,13 +145,13 @@ class Index:
         """Windows at ``begin`` and items of that size within the radius: start, end, differing bits, item."""
         cuts = np.flatnonzero(np.diff(begin) > m) + 1
         for run in np.split(begin, cuts):
-            for k in range(0, len(run), 4096):
-                some = run[k : k + 4096]
+            for low in range(0, len(run), 4096):
+                some = run[low : low + 4096]
                 base = int(some[0])
                 prints = window_prints(h[base : int(some[-1]) + m], m)[some - base]
                 pairs = []
-                for block in range(BLOCKS):
-                    key = block * PARTS + ((prints >> np.uint64(8 * block)) & np.uint64(255)).astype(np.int64)
+                for k in range(len(WIDTHS)):
+                    key = k * PARTS + block(prints, k)
                     n = starts[key + 1] - starts[key]
                     window = np.repeat(np.arange(len(some)), n)
                     pairs.append(window * len(self.ids) + listed[np.repeat(starts[key], n) + np.arange(len(window)) - np.repeat(np.cumsum(n) - n, n)])
@@ -153,17 +162,19 @@ class Index:
                     yield a, a + m, int(bits[j]), int(item[j])
 
 
-def _passes(docs: DataFrame, benchmark: DataFrame, width: int, threshold: float, items_each: int) -> Iterator:
-    """Broadcasts of the benchmark in blocks of at most ``items_each`` items: each block is held against all documents."""
+def _passes(docs: DataFrame, benchmark: DataFrame, width: int, threshold: float, items_each: int, most_bytes: int = 1 << 26) -> Iterator:
+    """Broadcasts of the benchmark in blocks of at most ``items_each`` items and about ``most_bytes`` of text (or one longer item): each block is held against all documents."""
     part: list[tuple[int, bytes]] = []
+    size, send = 0, lambda: docs.sparkSession.sparkContext.broadcast(Index(part, width, threshold))
     rows = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null")
     for r in rows.toLocalIterator():
         part.append((r[0], r[1].encode()))
-        if len(part) == items_each:
-            yield docs.sparkSession.sparkContext.broadcast(Index(part, width, threshold))
-            part = []
+        size += len(part[-1][1])
+        if len(part) == items_each or size >= most_bytes:
+            yield send()
+            part, size = [], 0
     if part:
-        yield docs.sparkSession.sparkContext.broadcast(Index(part, width, threshold))
+        yield send()
 
 
 LEAKS = "doc_id long, item_id long, similarity double, start_word int, n_words int, bits int"
@@ -172,14 +183,14 @@ LEAKS = "doc_id long, item_id long, similarity double, start_word int, n_words i
 def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, threshold: float = 0.8, items_each: int = 4096) -> DataFrame:
     """Benchmark passages in documents: ``(doc_id, item_id, similarity, start_word, n_words, bits)``.
 
-    A row for each document and item for which a window of the document, as long as the item, has a SimHash within 15 bits
+    A row for each document and item for which a window of the document, as long as the item, has a SimHash within 19 bits
     of the item's and a weighted Jaccard similarity of ``threshold`` or more over shingles of ``width`` words (of
     all its words for a shorter item); the best window, of equal ones the first. Words are runs of letters and digits in
     lower case (ASCII punctuation parts them). A text shorter than the item is one window.
 
-    Null and empty texts and items have no words: nothing matches them. Repeated documents and items are matched each. A
-    null id is returned as null. Empty tables give no rows. Extra columns are ignored. The benchmark goes to the executors in blocks of
-    ``items_each`` items; documents are never shuffled.
+    Null and empty texts and items have no words: nothing matches them. Texts of any length are read whole. Repeated documents
+    and items are matched each. A null id is returned as null. Empty tables give no rows. Extra columns are ignored. The
+    benchmark goes to the executors in blocks of ``items_each`` items or 64 MB of text; documents are never shuffled.
     """
     out, schema = None, LEAKS
     for shared in _passes(docs, benchmark, width, threshold, items_each):
@@ -198,7 +209,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, threshold: floa
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = 5, threshold: float = 0.8, items_each: int = 4096) -> DataFrame:
-    """The documents without those in which ``leaks`` finds an item, all columns as they are."""
+    """The documents without those in which ``leaks`` finds an item, all columns as they are; the same rules for odd input."""
     for shared in _passes(docs, benchmark, width, threshold, items_each):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
