@@ -10,7 +10,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import utf8, written
 
@@ -80,15 +79,32 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([p[1] / p[2] for p in pools]), np.array([p[0] / p[2] for p in pools])
 
 
-def fit(table: DataFrame, labels: DataFrame, size: int = 256, ridge: float = 1e-3, width: float = 1.0, most_rows: int = 200_000, parts: int = 16, seed: int = 11) -> Model | None:
-    """A model from ``table(doc_id, x)`` and ``labels(doc_id, quality)``; None where no row is labelled.
+def sampled(labels: DataFrame, most_rows: int, seed: int) -> DataFrame:
+    """``(doc_id, y)``: at most about ``most_rows`` labelled documents that are not held out, all where there are no more.
 
-    At most ``most_rows`` labelled rows are used, those with the smallest hashes of doc_id: a bounded sample, and the
-    only bound there is. Each partition sums its share of the normal equations; the ``parts`` sums of fixed size are
-    added on the driver. A fifth of the rows is kept out of them for the calibration.
+    They are those whose hash is below a threshold that their count gives, so that no task ranks or gathers them. The
+    threshold is two in a hundred lower than the share: the number stays under ``most_rows``.
     """
-    marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").cast("double").alias("y"))
-    rows = table.join(marks, "doc_id").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(most_rows)
+    marks = labels.where("doc_id is not null and quality is not null").where(~held_out()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("double").alias("y"))
+    marks = written(marks, "marks")
+    n = marks.count()
+    if n <= most_rows:
+        return marks
+    return marks.where(F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 40)) < int((1 << 40) * most_rows * 0.98 / n))
+
+
+def fit(docs: DataFrame, labels: DataFrame, size: int = 256, ridge: float = 1e-3, width: float = 1.0, most_rows: int = 200_000, parts: int = 16, seed: int = 11) -> Model | None:
+    """A model from ``docs(doc_id, text)``, or ``(doc_id, x)`` with statistics made before, and ``labels(doc_id, quality)``; None where no row is labelled.
+
+    ``most_rows`` is the bound of the sample of labelled documents, and the only bound there is; its ids (16 bytes each) are
+    broadcast, and only those documents' texts are read for it. Each partition sums its share of the normal equations; the
+    ``parts`` sums of fixed size are added on the driver. A fifth of the rows is kept out of them for the calibration;
+    with fewer than 50 rows all of them serve for both.
+    """
+    chosen = F.broadcast(sampled(labels, most_rows, seed).withColumnRenamed("doc_id", "_id"))
+    rows = docs.join(chosen, F.col("doc_id") == F.col("_id"))
+    if "x" not in docs.columns:
+        rows = features(rows.select("doc_id", "text")).join(chosen, F.col("doc_id") == F.col("_id"))
     rows = written(rows.select("x", "y", (F.pmod(F.xxhash64("doc_id"), F.lit(5)) == 0).alias("apart")).repartition(parts), "training")
     first = rows.agg(F.count("*"), *[f(F.col("x")[i]) for i in range(STATISTICS) for f in (F.avg, F.stddev_pop)]).first()
     if not first[0]:
@@ -129,24 +145,22 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def judge(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
-    """``docs`` with score and predicted beside their own columns; the model is fitted on its labelled, not held-out rows.
+def accepted(docs: DataFrame, labels: DataFrame, least: float = 0.5, **settings) -> DataFrame:
+    """The rows of ``docs`` whose score is ``least`` or more, with all their columns as they are; one pass over the texts.
 
-    The same rules as for ``score``. Own columns named score or predicted are replaced.
+    The same rules as for ``score``; without any labelled row all rows stay. Other columns never matter, whatever their names.
     """
-    # Statistics are made before the join with the labels: they are short, and texts are never shuffled.
-    model = fit(features(docs.where(~held_out())), labels, **settings)
-    kept = [c for c in docs.columns if c not in ("score", "predicted")]
-    docs = docs.select(*kept)
+    model = fit(docs.select("doc_id", "text"), labels, **settings)
+    if model is None:
+        return docs
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = utf8(b.column(b.schema.get_field_index("text")).cast(pa.string()))
             x = np.array([statistics(t) for t in texts], np.float64).reshape(-1, STATISTICS)
-            s = model.score(x) if model else np.full(len(x), 0.5)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*b.schema.names, "score", "predicted"])
+            yield b.filter(pa.array(model.score(x) >= least))
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())]))
+    return docs.mapInArrow(run, docs.schema)
 
 
 def score(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
@@ -155,12 +169,12 @@ def score(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
     score is between 0 and 1, higher where label 1 is likelier; predicted is 1 if it is 0.5 or more, else 0. Only labels of
     rows that are not held out are learned from; the inputs of a score are statistics of the text alone.
 
-    Null and empty texts are scored as texts whose statistics are all zero. Repeated rows are scored each, and learned
+    Null and empty texts are scored as texts whose statistics are all zero, and texts of any length whole. Repeated rows are scored each, and learned
     from each; a document labelled more than once counts with its largest label. A null doc_id is scored, not held out and
     not learned from. Without any labelled row every score is 0.5. An empty table gives none. Extra columns are ignored.
     """
     table = written(features(docs), "features")
-    model = fit(table.where(~held_out()), labels, **settings)
+    model = fit(table, labels, **settings)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
