@@ -44,12 +44,12 @@ def _far(chosen: list[list[float]], apart: float) -> np.ndarray:
     return points[:kept]
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.98, nearest: int = 8, shared: int = 4, pivots_per_root: float = 4.0, most_pivots: int = 4096, list_limit: int = 1024, apart: float = 0.8) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.98, nearest: int = 8, shared: int = 4, pivots_per_root: float = 4.0, most_pivots: int = 16_384, most_bytes: int = 1 << 26, list_limit: int = 1024, apart: float = 0.8) -> DataFrame:
     """Links between vectors of equal label with a cosine of ``threshold`` or more: ``(vec_id, n_links, component_id, kept)``.
 
     Equal vectors of a label are one class, represented by its smallest vec_id. Reference points (pivots) are the
-    classes with the smallest hashes, ``pivots_per_root`` times the square root of the number of classes, at least 64 and
-    at most ``most_pivots``: a bounded sample, and all that the index is fitted on, of which near copies go; in a
+    classes whose hash is below a threshold, about ``pivots_per_root`` times the square root of the number of classes, at least 64 and
+    at most ``most_pivots`` or ``most_bytes`` of them: a bounded sample, and all that the index is fitted on, of which near copies go; in a
     narrow cone they may be nearer to each other, and with fewer than ``nearest`` of them ``shared`` goes down. Every class is described by its
     ``nearest`` pivots in order of cosine. Two classes are candidates if they share ``shared`` of them; then they share
     one of the first nearest - shared + 1 in the order of pivot numbers, and it is in those inverted lists that they
@@ -69,8 +69,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, nearest: int =
     classes = rows.where("sound").groupBy("label", "digest").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("embedding").alias("v"))
     classes = written(classes.withColumn("key", F.xxhash64("label", F.size("v"))), "classes")
 
-    n_pivots = int(min(most_pivots, max(64, pivots_per_root * math.sqrt(classes.count()))))
-    chosen = [r.v for r in classes.orderBy(F.xxhash64("rep", F.lit(5)), "rep").limit(n_pivots).select("v").collect()]
+    n, width = classes.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(1))).first()
+    n_pivots = min(most_pivots, most_bytes // (8 * width) + 1, max(64, pivots_per_root * math.sqrt(n)))
+    draw = F.pmod(F.xxhash64("rep", F.lit(5)), F.lit(1 << 40))
+    some = classes.where(draw < int((1 << 40) * min(1.0, n_pivots / max(n, 1)))).select("v", draw.alias("draw"), "rep")
+    chosen = [r.v for r in sorted(some.collect(), key=lambda r: (r.draw, r.rep))]  # about n_pivots vectors
     points = _apart(chosen, apart, 4 * nearest, 1 - 2 * (1 - threshold))
     nearest = min(nearest, len(points))
     shared = min(shared, (nearest + 1) // 2)  # with so few pivots all classes of a label meet, and are compared exactly
@@ -79,14 +82,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, nearest: int =
 
     def describe(batches):
         base = known.value
-        for b in batches:
-            pivots = []
-            for k in range(b.num_rows):
-                x = np.asarray(b.column(0)[k].values, np.float64)
-                width = min(len(x), base.shape[1])
-                near = base[:, :width] @ x[:width]
-                pivots.append(near)
-            top = np.argsort(-np.array(pivots), axis=1, kind="stable")[:, :nearest].astype(np.int32) if pivots else np.zeros((0, nearest), np.int32)
+        step = max(1, (1 << 20) // max(1, len(base)))  # some 8 MB of cosines at once
+        for b in batches:  # lists of one length are multiplied together
+            top = np.zeros((b.num_rows, nearest), np.int32)
+            lengths = b.column(0).value_lengths().to_numpy(zero_copy_only=False)
+            for n in np.unique(lengths).tolist():
+                at = np.flatnonzero(lengths == n)
+                for low in range(0, len(at), step):
+                    some = at[low : low + step]
+                    x = _rows(b.column(0).take(pa.array(some)))
+                    near = x[:, : base.shape[1]] @ base[:, :n].T
+                    top[some] = np.argpartition(-near, nearest - 1, axis=1)[:, :nearest]
             yield pa.record_batch([b.column(1), b.column(2), b.column(3), b.column(0), pa.array(top.tolist(), pa.list_(pa.int32()))], names=["rep", "n", "key", "v", "order"])
 
     kind = dict(classes.dtypes)["v"]
