@@ -6,15 +6,19 @@ import datetime as dt
 import re
 from collections.abc import Callable, Iterator
 from hashlib import blake2b
+from ipaddress import IPv6Address
+from math import isqrt
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import strings
 
 ROUNDS = 10
-KINDS = ("email", "iban", "card", "ssn", "phone", "ip", "date")
+KINDS = ("email", "iban", "card", "ssn", "phone", "ip", "date", "secret")
+#: The Spark setting that holds the key.
+SETTING = "spark.gleaner.pii.key"
 
 
 def feistel(value: int, left: int, right: int, key: bytes, tweak: bytes) -> int:
@@ -23,7 +27,7 @@ def feistel(value: int, left: int, right: int, key: bytes, tweak: bytes) -> int:
     for i in range(ROUNDS):
         odd = i % 2
         seen = b if odd == 0 else a
-        digest = blake2b(b"%d|%d|%b" % (i, seen, tweak), key=key, digest_size=16).digest()
+        digest = blake2b(b"%d|%d|%b" % (i, seen, tweak), key=key, digest_size=64).digest()
         f = int.from_bytes(digest, "big")
         if odd == 0:
             a = (a + f) % left
@@ -34,7 +38,7 @@ def feistel(value: int, left: int, right: int, key: bytes, tweak: bytes) -> int:
 
 def permuted(value: int, size: int, key: bytes, tweak: bytes, valid: Callable[[int], bool] = lambda _: True) -> int:
     """A keyed permutation of the valid numbers below ``size``: the walk goes on until it meets a valid one again."""
-    left = max(1, int(size**0.5))
+    left = max(1, isqrt(size))
     right = -(-size // left)
     while True:
         value = feistel(value, left, right, key, tweak)
@@ -116,7 +120,17 @@ def phone(text: str, key: bytes) -> str | None:
 
 
 def ip(text: str, key: bytes) -> str | None:
-    """Four numbers up to 255 without leading zeros become four others."""
+    """Four numbers up to 255 without leading zeros become four others; an IPv6 address another one, written as short as it was."""
+    if ":" in text:
+        try:
+            address = IPv6Address(text)
+        except ValueError:
+            return None
+        if address.is_loopback or address.is_unspecified or sum(map(bool, text.split(":"))) < 3:
+            return None
+        new = IPv6Address(permuted(int(address), 1 << 128, key, b"ip6"))
+        new = new.exploded if len(text) == 39 else new.compressed
+        return new.upper() if text.isupper() else new
     parts = text.split(".")
     if any(int(p) > 255 or (len(p) > 1 and p[0] == "0") for p in parts):
         return None
@@ -150,66 +164,159 @@ def date(text: str, key: bytes) -> str | None:
     return sep.join(parts[p] for p in order)
 
 
+DIGITS, LOWER, UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+BLOCK = 48
+
+
+def within(text: str, key: bytes, tweak: bytes) -> str | None:
+    """Letters and digits permuted within their kinds, other characters in their places; None where there is none.
+
+    A text of hexadecimal digits remains one. Longer texts are permuted in blocks of 48 characters.
+    """
+    seen = {c for c in text if c in DIGITS or c in LOWER or c in UPPER}
+    if not seen:
+        return None
+    kinds = (DIGITS, LOWER, UPPER)
+    for letters in ("abcdef", "ABCDEF"):
+        if len(text) >= 16 and seen <= set(DIGITS + letters) and seen & set(letters):
+            kinds = (DIGITS + letters,)
+    out = []
+    for low in range(0, len(text), BLOCK):
+        part = text[low : low + BLOCK]
+        of = [next((k for k in kinds if c in k), "") for c in part]
+        n, size = 0, 1
+        for c, k in zip(part, of):
+            if k:
+                n, size = n * len(k) + k.index(c), size * len(k)
+        form = "".join(k[:1] or c for c, k in zip(part, of)).encode()
+        n, made = permuted(n, size, key, b"%b%d|%b" % (tweak, low, form)), []
+        for c, k in zip(reversed(part), reversed(of)):
+            if k:
+                n, at = divmod(n, len(k))
+                c = k[at]
+            made.append(c)
+        out.append("".join(reversed(made)))
+    return "".join(out)
+
+
 def email(text: str, key: bytes) -> str | None:
-    """Letters and digits before the @ are permuted within their kinds; other characters and the domain stay."""
+    """The part before the @, and every label of the domain but the last, each permuted within its format: equal labels stay equal."""
     local, domain = text.split("@")
-    alphabets = {"d": "0123456789", "l": "abcdefghijklmnopqrstuvwxyz", "u": "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
-    kinds = ["d" if c.isdigit() else "l" if c.islower() else "u" if c.isupper() else "" for c in local]
-    n, size = 0, 1
-    for c, k in zip(local, kinds):
-        if k:
-            n, size = n * len(alphabets[k]) + alphabets[k].index(c), size * len(alphabets[k])
-    if size == 1:
-        return None
-    n, out = permuted(n, size, key, b"email" + "".join(k or c for c, k in zip(local, kinds)).encode()), []
-    for c, k in zip(reversed(local), reversed(kinds)):
-        if k:
-            n, at = divmod(n, len(alphabets[k]))
-            c = alphabets[k][at]
-        out.append(c)
-    return "".join(reversed(out)) + "@" + domain
+    *labels, last = domain.split(".")
+    new = within(local, key, b"email")
+    return new and ".".join([f"{new}@{within(labels[0].lower(), key, b'domain')}", *(within(x.lower(), key, b"domain") or x for x in labels[1:]), last])
+
+
+# Words that name a secret before : or =, and beginnings of well-known tokens.
+NAMES = ("token", "secret", "passwor", "passwd", "passphrase", "pwd", "api_key", "apikey", "api-key", "access_key", "access-key", "private_key", "auth_key")
+STARTS = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "xoxb-", "xoxp-", "sk-", "sk_live_", "pk_live_", "rk_live_", "AIza", "eyJ", "-----BEGIN")
+SECRET = re.compile(
+    r"(?P<block>-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----)(?P<body>[^-]{1,20000})(?=-----END)"
+    rf"|(?P<name>(?i:(?:{'|'.join(NAMES)})[A-Za-z0-9_-]{{0,24}}[\"']?\s{{0,8}}[:=]\s{{0,8}}))(?:\"(?P<a>[^\"\s]{{6,512}})\"|'(?P<b>[^'\s]{{6,512}})'|(?P<c>[A-Za-z0-9_./+=~!@#$%^&*-]{{8,512}}))"
+    rf"|(?<![A-Za-z0-9])(?P<start>{'|'.join(map(re.escape, STARTS[:-1]))})(?P<rest>[A-Za-z0-9_.-]{{16,2048}})"
+)
+TELLS = tuple(x.lower() for x in (*NAMES, *STARTS))
+
+
+def secrets(text: str, key: bytes) -> tuple[str, int]:
+    """The text with keys, tokens and passwords permuted within their formats, and how many there were.
+
+    What follows a telling name and : or = counts if it is quoted, or bare with both letters and digits; so do
+    well-known beginnings with a long rest, and the bodies of private keys.
+    """
+    low, n = text.lower(), 0
+    if not any(x in low for x in TELLS):
+        return text, 0
+
+    def put(m: re.Match) -> str:
+        nonlocal n
+        kind = next(k for k in ("body", "a", "b", "c", "rest") if m[k])
+        value = m[kind]
+        if kind in ("c", "rest") and (value.isalpha() or not any(c.isalpha() for c in value)):
+            return m[0]
+        new = within(value, key, b"secret")
+        if new is None:
+            return m[0]
+        n += 1
+        at, end = m.start(kind) - m.start(), m.end(kind) - m.start()
+        return m[0][:at] + new + m[0][end:]
+
+    return SECRET.sub(put, text), n
 
 
 EMAIL = r"(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.){1,8}[A-Za-z]{2,24}(?![A-Za-z0-9-]))"
 NUMBERS = (
     r"(?P<iban>(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
-    r"|(?P<date>(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4}|\d{2}-\d{2}-\d{4})(?![\w/-]))"
-    r"|(?P<ip>(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\w))"
+    r"|(?P<date>(?<![\w./-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4}|\d{2}-\d{2}-\d{4})(?:(?![\w/-])|(?=T\d{2}:)))"
+    r"|(?P<ip>(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\w)|(?<![\w:.])(?=[0-9A-Fa-f]*:[0-9A-Fa-f]*:)[0-9A-Fa-f:]{6,39}(?![\w:]))"
     r"|(?P<ssn>(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-]))"
     r"|(?P<card>(?<![\w.+-])\d(?:[ -]?\d){12,18}(?![\w-]))"
     r"|(?P<phone>(?<![\w.+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?![\w-])|(?<![\w.])\+\d{8,15}(?!\w))"
 )
 BOTH, ALONE = re.compile(f"{EMAIL}|{NUMBERS}", re.ASCII), re.compile(NUMBERS, re.ASCII)
 ANY, VALUES = re.compile(r"[0-9@]"), {"email": email, "iban": iban, "card": card, "ssn": ssn, "phone": phone, "ip": ip, "date": date}
+PARTED = re.compile(r"[ -]")
+
+
+def value(kind: str, text: str, key: bytes) -> tuple[str | None, int]:
+    """The pseudonym of a match and how much of it that covers; or None, and where the search goes on.
+
+    What follows a card or an IBAN after a separator can look like a part of it (a security code, an expiry, a word): if
+    the whole fails its check, shorter ones that end at a separator are tried. The search goes on after the first group.
+    """
+    new = VALUES[kind](text, key)
+    if new is not None:
+        return new, len(text)
+    parts = [m.start() for m in PARTED.finditer(text)] if kind in ("card", "iban") else []
+    for end in reversed(parts):
+        new = VALUES[kind](text[:end], key)
+        if new is not None:
+            return new, end
+    return None, parts[0] + 1 if parts else len(text)
 
 
 def pseudonymised(text: str, key: bytes) -> tuple[str, dict[str, int]]:
     """The text with every validated value replaced, and how many there were of each kind."""
     found = dict.fromkeys(KINDS, 0)
+    text, found["secret"] = secrets(text, key)
     if not ANY.search(text):
         return text, found
-
-    def put(m: re.Match) -> str:
-        new = VALUES[m.lastgroup](m[0], key)
-        if new is None:
-            return m[0]
-        found[m.lastgroup] += 1
-        return new
-
-    return (BOTH if "@" in text else ALONE).sub(put, text), found
-
-
-def pseudonymise(docs: DataFrame, key: bytes = b"a key from the operator's secret store", keep: bool = False) -> DataFrame:
+    pattern, out, at, done = BOTH if "@" in text else ALONE, [], 0, 0
+    while m := pattern.search(text, at):
+        new, covered = value(m.lastgroup, m[0], key)
+        at = m.start() + covered
+        if new is not None:
+            found[m.lastgroup] += 1
+            out += [text[done : m.start()], new]
+            done = at
+    return "".join([*out, text[done:]]), found
+
+
+def session_key(spark: SparkSession, default: bytes | None = None) -> bytes:
+    """The key that the session's setting ``spark.gleaner.pii.key`` holds; without one the default, and ValueError if there is none."""
+    given = spark.conf.get(SETTING, None)
+    if given:
+        return given.encode()
+    if default is None:
+        raise ValueError(f"no key: set {SETTING}")
+    return default
+
+
+def pseudonymise(docs: DataFrame, key: bytes, keep: bool = False) -> DataFrame:
     """Documents with personal numbers, dates and addresses replaced by pseudonyms: doc_id, text, a count for each kind.
 
     Values are e-mail addresses, and validated numbers: IBANs and cards with right check digits, social security numbers
-    that can be issued, phone numbers, IPv4 addresses and calendar dates from 1900 to 2099. A value becomes another valid one
-    of its own format, by a permutation that the secret ``key`` selects: equal values stay equal in all documents, different
-    ones different, and separators stay in place. Numbers that don't pass their check are left alone.
+    that can be issued, phone numbers, IP addresses and calendar dates from 1900 to 2099; and secrets: tokens, keys and
+    passwords. A value becomes another valid one of its own format, by a permutation that the secret ``key`` selects:
+    equal values stay equal in all documents, different ones different, and separators stay in place. Numbers that don't
+    pass their check are left alone. Who has the key can undo it: there is no default.
 
     ``keep`` returns the table's own columns instead, text replaced, in their order. A null text stays null, an empty one
-    empty. Repeated rows are returned as often as they come. An empty table gives none. Other columns never matter.
+    empty, and texts of any length are read whole. A null doc_id is returned as null. Repeated rows are returned as often
+    as they come. An empty table gives none. Other columns never matter.
     """
+    if not key:
+        raise ValueError("pseudonyms need a key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

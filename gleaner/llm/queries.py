@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import decontaminate, embeddings, licenses, packing, paragraphs, pii, quality, sharding, simhash, url_filter
 from .common import read
 
 
+#: Not a secret: the key of the queries over synthetic tables where the session names none (``pii.SETTING``).
+DEMONSTRATION = b"for synthetic tables only"
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -38,7 +41,7 @@ def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(read(spark, sf_dir, "documents"))
+    return pii.pseudonymise(read(spark, sf_dir, "documents"), pii.session_key(spark, DEMONSTRATION))
 
 
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,23 +57,11 @@ QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_substri
 
 def _licenses_sql() -> str:
     """The same canonical form, with the known digests worked out here."""
-    import hashlib
-    import re
-
-    def canonical(text: str) -> str:
-        lines = [x for x in text.split("\n") if not re.match(licenses.COPYRIGHT, x)]
-        words = re.sub("[^a-z0-9]+", " ", "\n".join(lines).lower()).strip()
-        return licenses.spelled(licenses.spelled(words))
-
-    known: dict[str, str] = {}
-    for name, text in [(k, t) for k, v in licenses.NOTICES.items() for t in v] + list(licenses.TEXTS.items()):
-        digest = hashlib.md5(canonical(text).encode()).hexdigest()
-        known[digest] = min(name, known.get(digest, name))
-    table = ", ".join(f"('{d}', '{n}')" for d, n in sorted(known.items()))
+    table = ", ".join(f"('{d}', '{n}')" for n, d, *_ in licenses.listed())
     respelled = "' ' || replace(c, ' ', '  ') || ' '"
     for a, b in licenses.SPELLINGS.items():
         respelled = f"replace({respelled}, ' {a} ', ' {b.replace(' ', '  ')} ')"
-    line = "case when regexp_matches(x, '(?i)^[^a-z0-9]*(?:copyright\\b|\\(c\\)|©)') then '' else trim(lower(regexp_replace(x, '[^A-Za-z0-9]+', ' ', 'g'))) end"
+    line = f"case when regexp_matches(x, '{licenses.COPYRIGHT}') and not regexp_matches(x, '{licenses.WORDING}') then '' else trim(lower(regexp_replace(x, '[^A-Za-z0-9]+', ' ', 'g'))) end"
     return f"""
         with known(digest, license_id) as (values {table}),
         base as (select doc_id, list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {line}) as lines from documents),
@@ -116,4 +107,20 @@ def _urls_sql() -> str:
         from rows left join alias on a = node"""
 
 
-SQL = {"op7_licenses": _licenses_sql(), "op9_urls": _urls_sql()}
+#: All pairs of equal labels: for tables small enough for that. The index may miss a link that this finds.
+_EMBEDDINGS = """
+    with recursive every as (select row_number() over () as r, vec_id, label, cast(embedding as double[]) as v from embeddings),
+    sound as (select *, sqrt(list_sum(list_transform(v, lambda x: x * x))) as norm from every where vec_id is not null and label is not null and len(v) > 0
+        and len(list_filter(v, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(v, lambda x: x <> 0)) > 0),
+    links as (select a.r as r, a.vec_id as a, b.vec_id as b from sound a join sound b on a.label = b.label and a.r <> b.r and len(a.v) = len(b.v)
+        where list_dot_product(a.v, b.v) >= 0.98 * a.norm * b.norm),
+    edges as (select distinct a, b from links),
+    reach as (select a, b from edges union select reach.a, edges.b from reach join edges on reach.b = edges.a),
+    least_of as (select a, min(b) as low from reach group by a),
+    counted as (select r, count(*) as n from links group by r)
+    select vec_id, coalesce(n, 0)::bigint as n_links, least(vec_id, case when n > 0 then low end)::bigint as component_id,
+        coalesce(vec_id <= case when n > 0 then low end, true) as kept
+    from every left join counted using (r) left join least_of on a = vec_id"""
+
+
+SQL = {"op5_embeddings": _EMBEDDINGS, "op7_licenses": _licenses_sql(), "op9_urls": _urls_sql()}

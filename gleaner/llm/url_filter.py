@@ -69,7 +69,7 @@ def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) ->
 
     host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased; path: then up to ``?`` or ``#``.
     A url that is null or has no ``://`` has both empty, and neither rule nor aliases: allowed. A null html has no links.
-    Repeated rows are judged each; extra columns are ignored. component is the alias class's smallest url, else null.
+    Repeated rows are judged each, urls and pages of any length whole; an empty table gives none; extra columns are ignored. component is the alias class's smallest url, else null.
     """
     edges = links(pages)
     if redirects is not None:
@@ -84,6 +84,8 @@ def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) ->
     rule, action = rule_of(F.col("host"), F.col("path"), rules)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), node_of(url).alias("node"), host_of(url).alias("host"), path_of(url).alias("path"))
     rows = rows.withColumn("rule", rule).withColumn("action", action)
+    # A null would send all its rows to one task; a place of its own for each matches nothing as well.
+    rows = rows.withColumn("node", F.coalesce("node", F.concat(F.lit(" "), F.monotonically_increasing_id().cast("string"))))
     rows = rows.join(aliases, "node", "left")
     alias = F.when(F.col("allowed"), "allow").when(F.col("blocked"), "block").otherwise("allow")
     return rows.select("page_id", "host", "path", "rule", F.coalesce("action", alias).alias("verdict"), "component")
