@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.digest import sample_offsets, samples
+from ..functions.digest import sample_offsets
 from ..functions.text import kind, once, safe_title, split_extension
 from ..operators import exact, organizer, perceptual, store
 
@@ -54,8 +54,8 @@ def quick_offsets(spark, sf_dir):
 
 
 def quick_candidates(spark, sf_dir):
-    signed = files(spark, sf_dir).select("path", "size", F.sha2(samples(F.col("content"), F.col("size"), 16), 256).alias("quick_sig"))
-    return exact.repeated(signed, "size", "quick_sig").select("path", "quick_sig")
+    quick = exact.quick_signatures(files(spark, sf_dir), 16)
+    return exact.repeated(quick, "size", "quick").select("path", F.col("quick").alias("quick_sig"))
 
 
 def full_candidates(spark, sf_dir):
