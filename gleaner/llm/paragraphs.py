@@ -6,11 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunk_pairs, lookup, written
+from .common import chunk_pairs, lookup, settled, written
 from ..operators.components import connected_components
 from .decontaminate import shingles
 from .passages import repeated_passages
@@ -25,18 +24,6 @@ def permutations(n: int, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(1, 1 << 32, n, np.uint32) | np.uint32(1), rng.integers(0, 1 << 32, n, np.uint32)
 
 
-def bands(hashes: np.ndarray, a: np.ndarray, b: np.ndarray, rows: int) -> np.ndarray:
-    """One key for each band of ``rows`` minima; other bands never share a key."""
-    low = ((hashes >> np.uint64(32)) ^ hashes).astype(np.uint32)
-    least = np.full(len(a), 0xFFFFFFFF, np.uint32)
-    for i in range(0, len(low), 512):
-        v = low[i : i + 512, None] * a[None, :] + b[None, :]
-        v ^= v >> np.uint32(15)
-        least = np.minimum(least, (v * np.uint32(0x2C1B3C6D)).min(axis=0))
-    grid = least.reshape(-1, rows)
-    return np.array([xxhash.xxh64_intdigest(grid[k].tobytes(), k) for k in range(len(grid))], np.uint64).view(np.int64)
-
-
 def all_bands(hashes: np.ndarray, starts: np.ndarray, a: np.ndarray, b: np.ndarray, rows: int) -> np.ndarray:
     """The band keys of many sets at once: a set is the run of hashes from its start to the next one's."""
     low, keys = ((hashes >> np.uint64(32)) ^ hashes).astype(np.uint32), []
@@ -119,8 +106,8 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = 25, width: int = 5, th
     occurrence by doc_id and place is kept; kept is false for the ones to remove. start and length are in characters.
 
     Bands with many classes are compared in blocks of ``group_limit``, every pair once. Null and empty texts have no
-    paragraphs. Repeated rows (one doc_id) are one document. A null doc_id is passed over. An empty table gives none. Extra
-    columns are ignored.
+    paragraphs; texts and lines of any length are read whole. Repeated rows (one doc_id) are one document. A null doc_id is
+    passed over. Of equal paragraphs in one document each is a row. An empty table gives none. Extra columns are ignored.
     """
     if min_words < width:
         raise ValueError("a paragraph has at least one shingle")
@@ -151,10 +138,11 @@ def repeated_texts(docs: DataFrame, min_words: int = 25, size: int = 50) -> Data
     """Repeated paragraphs, and repeated passages of ``size`` words or more that lie in longer lines or run across lines.
 
     The rows of ``repeated_paragraphs``, and those of ``repeated_passages`` that are not wholly within one of them in the same
-    document. A passage to remove counts as within a line only if that line is to be removed too.
+    document. A passage to remove counts as within a line only if that line is to be removed too. Nulls, empty and long texts,
+    repeated rows, ties and empty tables are treated as these two say.
     """
-    lines = written(repeated_paragraphs(docs, min_words), "lines")
-    passages = written(repeated_passages(docs, size), "passages")
+    lines = settled(lambda: repeated_paragraphs(docs, min_words), "lines")
+    passages = settled(lambda: repeated_passages(docs, size), "passages")
     end = (F.col("start") + F.col("length")).alias("end")
     held = lines.groupBy("doc_id").agg(F.collect_list(F.struct("start", end, "kept")).alias("lines"))
     within = F.exists("lines", lambda x: (x["start"] <= F.col("start")) & (x["end"] >= F.col("start") + F.col("length")) & (F.col("kept") | ~x["kept"]))

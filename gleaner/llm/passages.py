@@ -144,6 +144,9 @@ def repeated_passages(docs: DataFrame, size: int = 50, often: int = 20_000) -> D
     MinHash of one row), equal windows have an equal one, and windows whose key occurs in two documents are compared in
     full. Windows of keys that over ``often`` windows have are summed before they are shuffled. Successive windows whose first
     occurrences (by doc_id and place) are successive too make one row; kept says that it is itself the first occurrence.
+
+    Null and empty texts have no words; texts of any length are read whole. Rows with a null doc_id are passed over; rows that
+    repeat a doc_id are one document. An empty table gives none. Extra columns are ignored.
     """
     docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     met = _hashed(docs, size).groupBy("m").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.sum("n").alias("n")).where("a < b")

@@ -25,7 +25,7 @@ def shards(docs: DataFrame, count: int = 24, ranges_each: int = 64, samples_each
     parameters, not by the input.
 
     Returns doc_id, size, text_crc32 (unsigned, of the UTF-8 bytes), law ('bytes'), shard, slot (gapless from 0 in each
-    shard), grown_shard (null). A null text has no bytes: size 8, and a group of its own beside the empty texts. Ties
+    shard), grown_shard (null). A text of any length is one record. A null text has no bytes: size 8, and a group of its own beside the empty texts. Ties
     and repeated rows get slots of their own. A null doc_id is kept. An empty table gives none. Extra columns are ignored.
     """
     text = F.col("text").cast("string")

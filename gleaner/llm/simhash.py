@@ -10,6 +10,7 @@ therefore visits the home of the first, and comparing homes with visitors at eac
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,8 +18,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import forget, utf8, written
+from .common import beside, forget, lookup, settled, utf8, written
+from .decontaminate import shingles
+from .words import BASE, SPACED, Chunk, Grams, chunks, mixed
 from ..operators.components import connected_components, thinned
 
 SLICE = 1 << 16
@@ -129,11 +133,30 @@ def golay_code() -> Code:
     return Code(columns)
 
 
-def blocks(t: int, bits: int = 64, coarse: bool = True) -> list[tuple[int, int, Code]]:
-    """``(shift, t_i, code)`` of disjoint blocks with sum(t_i + 1) = t + 1.
+#: What a row that goes to an anchor costs, in comparisons.
+ROW = 1500
 
-    Blocks get t_i = 1 as far as they go, and one block the odd share, t_i = 0, without redundancy. ``coarse`` codes
-    have fewer anchors and fewer copies of each fingerprint; fine ones suit more than some millions of fingerprints.
+
+def covering(n: int, within: int, count: int) -> Code:
+    """The code for a block of ``n`` bits with the least work for ``count`` fingerprints: rows at anchors, and comparisons there.
+
+    A code with fewer anchors copies a fingerprint to fewer of them and compares it with more; every code finds all pairs.
+    """
+    codes = [(0, 0), *((p, 1) for p in range(2, 5) if n >= (1 << p) - 1), *([(11, 3)] if n == 23 else [])]
+
+    def work(code: tuple[int, int]) -> float:
+        parity, radius = code
+        visits = sum(math.comb(n, k) for k in range(radius + within + 1)) / 2**parity
+        return visits * (ROW + count / 2 ** (n - parity))
+
+    parity, radius = min(codes, key=work)
+    return golay_code() if radius == 3 else hamming_code(n, parity) if parity else Code([0] * n)
+
+
+def blocks(t: int, bits: int = 64, count: int = 0) -> list[tuple[int, int, Code]]:
+    """``(shift, t_i, code)`` of disjoint blocks with sum(t_i + 1) = t + 1, the codes chosen for ``count`` fingerprints.
+
+    Blocks get t_i = 1 as far as they go, and one block the odd share, t_i = 0, without redundancy.
     """
     ones, zero = divmod(t + 1, 2)
     narrow = 0
@@ -142,19 +165,14 @@ def blocks(t: int, bits: int = 64, coarse: bool = True) -> list[tuple[int, int,
     out, at = [], 0
     for i in range(ones):
         width = (bits - narrow - at) // (ones - i)
-        used = min(width, 23)  # bits of a block that go unused make its cells coarser, and lose no pair
-        if used == 23 and coarse:
-            code = golay_code()
-        else:
-            code = hamming_code(used, 4 if used >= 15 else 3 if used >= 7 else 2)
-        out.append((at, 1, code))
+        out.append((at, 1, covering(min(width, 23), 1, count)))  # bits of a block that go unused make its cells coarser, and lose no pair
         at += width
     return out + [(at, 0, Code([0] * min(narrow, 24)))] * zero
 
 
-def cells(prints: DataFrame, t: int, coarse: bool = True) -> DataFrame:
-    """``prints(fp, ...)`` with cell and home: each row at its fingerprint's home anchor and at every anchor that it visits."""
-    plan = blocks(t, coarse=coarse)
+def cells(prints: DataFrame, t: int, count: int) -> DataFrame:
+    """``prints(fp, ...)`` with cell and home: each of the ``count`` rows at its fingerprint's home anchor and at every anchor that it visits."""
+    plan = blocks(t, count=count)
     prints = prints.select("fp", *[c for c in prints.columns if c != "fp"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,21 +190,20 @@ def cells(prints: DataFrame, t: int, coarse: bool = True) -> DataFrame:
     return prints.mapInArrow(run, ", ".join(["cell long", "home boolean", *(f"{c} long" for c in prints.columns)]))
 
 
-def split_hot(rows: DataFrame, limit: int) -> DataFrame:
+def split_hot(rows: DataFrame, limit: int, few: int = 100_000) -> DataFrame:
     """``rows(cell, home, fp, ...)`` with a column part: cells with over ``limit`` homes or visitors are dealt to blocks of at most about that many.
 
     Homes and visitors of such a cell are cut into chunks by hash, and every pair of chunks is a part of its own, so that
-    no comparison is lost and no task gets an unbounded cell. The list of hot cells has at most rows / limit rows; it
-    is broadcast only when it is counted to be short.
+    no comparison is lost and no task gets an unbounded cell. The list of hot cells has at most rows / limit rows.
     """
     counts = rows.groupBy("cell").agg(F.count_if("home").alias("h"), F.count_if(~F.col("home")).alias("v"))
-    hot = written(counts.where((F.col("h") > limit) | (F.col("v") > limit)).select("cell", F.ceil(F.col("h") / limit).cast("int").alias("hn"), F.ceil(F.col("v") / limit).cast("int").alias("vn")), "hot")
-    n = hot.count()
-    if n == 0:
+    chunks = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / limit).cast("int"))
+    hot = written(counts.where((F.col("h") > limit) | (F.col("v") > limit)).select("cell", chunks("h").alias("hn"), chunks("v").alias("vn"), (F.col("h") + F.col("v")).alias("_n")), "hot")
+    if hot.isEmpty():
         return rows.withColumn("part", F.lit(0))
-    joined = rows.join(F.broadcast(hot) if n <= 100_000 else hot, "cell", "left").select(*rows.columns, F.coalesce("hn", F.lit(1)).alias("hn"), F.greatest(F.coalesce("vn", F.lit(1)), F.lit(1)).alias("vn"))
-    own = F.pmod(F.xxhash64(*[c for c in rows.columns if c not in ("cell", "home")]), F.when(F.col("home"), F.greatest("hn", F.lit(1))).otherwise(F.col("vn"))).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.when(F.col("home"), F.col("vn")).otherwise(F.greatest("hn", F.lit(1))) - 1))
+    joined = beside(rows, hot, ["cell"], few).select(*rows.columns, F.coalesce("hn", F.lit(1)).alias("hn"), F.coalesce("vn", F.lit(1)).alias("vn"))
+    own = F.pmod(F.xxhash64(*[c for c in rows.columns if c not in ("cell", "home")]), F.when(F.col("home"), F.col("hn")).otherwise(F.col("vn"))).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.when(F.col("home"), F.col("vn")).otherwise(F.col("hn")) - 1))
     joined = joined.withColumn("own", own).withColumn("other", other)
     part = F.when(F.col("home"), F.col("own") * F.col("vn") + F.col("other")).otherwise(F.col("other") * F.col("vn") + F.col("own"))
     return joined.withColumn("part", part.cast("int")).drop("hn", "vn", "own", "other")
@@ -287,9 +304,12 @@ def link_edges(rows: DataFrame, t: int, more: int | None = None, step: int = 102
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 4, threshold: int = 4, cell_limit: int = 16_384, fine_from: int = 4_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 4, threshold: int = 4, cell_limit: int = 16_384, expected: int | None = None) -> DataFrame:
     """Near-duplicate classes of whole texts: ``(doc_id, fingerprint, component_id)``, a row for each input row.
 
+    The codes are those with the least work for the number of distinct fingerprints (or ``expected``); the links are the same
+    with all. Texts of any length are read whole.
+
     fingerprint: 16 lowercase hex digits of the SimHash over shingles of ``width`` words (lower-cased A-Z, split at
     ASCII white space; a shorter text is one shingle). component_id: the smallest doc_id reachable over links of at most
     ``threshold`` differing bits, the document itself included.
@@ -301,8 +321,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, threshold: int = 4, cell_li
     """
     prints = written(fingerprints(docs, width), "fingerprints")
     distinct = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
-    fine = distinct.count() > fine_from
-    rows = cells(distinct.select("fp", F.col("fp").alias("id")), threshold, coarse=not fine)
+    rows = cells(distinct.select("fp", F.col("fp").alias("id")), threshold, distinct.count() if expected is None else expected)
     edges = link_edges(split_hot(rows, cell_limit), threshold)
     edges = written(edges, "links")
     named = connected_components(edges).select(F.col("node").alias("fp"), "component")
@@ -314,85 +333,190 @@ def near_duplicates(docs: DataFrame, width: int = 4, threshold: int = 4, cell_li
     return prints.join(final, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+class Sets:
+    """The distinct shingles of ``width`` words of each text of a chunk, or of all its words where they are fewer.
+
+    ``id`` is a digest of the words of each text; ``some`` are the texts that have any, ``values`` their sorted shingle hashes, one text
+    after the other, and ``starts`` where each begins.
+    """
+
+    def __init__(self, c: Chunk, width: int, grams: Grams):
+        sums, low, high = grams.sums(c.hash), c.bounds[:-1], c.bounds[1:]
+        self.id = grams.between(sums, low, high).view(np.int64)
+        self.some = np.flatnonzero(high > low)
+        h, alone = shingles(c.hash, width), self.id.view(np.uint64)
+        sets = [np.unique(h[a : b - width + 1]) if b - a >= width else alone[i : i + 1] for i, a, b in zip(self.some.tolist(), low[self.some].tolist(), high[self.some].tolist())]
+        self.count = np.array([len(x) for x in sets], np.int64)
+        self.values, self.starts = np.concatenate(sets) if sets else h[:0], np.cumsum(self.count) - self.count
+
+    def fingerprints(self, hashes: np.ndarray) -> np.ndarray:
+        """The SimHash of each text that has words, of one hash for each value; some texts at a time, a long one by itself."""
+        out, ends, low = np.zeros(len(self.starts), np.uint64), self.starts + self.count, 0
+        while low < len(out):
+            high = max(low + 1, int(np.searchsorted(ends, self.starts[low] + SLICE, "right")))
+            part = hashes[self.starts[low] : ends[high - 1]]
+            if high == low + 1:
+                out[low] = fingerprint(part)
+            else:
+                bits = np.unpackbits(np.ascontiguousarray(part).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                over = np.add.reduceat(bits, self.starts[low:high] - self.starts[low], axis=0, dtype=np.int32) * 2 > self.count[low:high, None]
+                out[low:high] = np.packbits(over, axis=1, bitorder="little").view(np.uint64).ravel()
+            low = high
+        return out.view(np.int64)
+
+
 def _texts(docs: DataFrame, width: int, n_bands: int, rows: int) -> DataFrame:
-    """``(doc_id, id, fp, fp2, bands)``: id is a digest of the words, equal for texts with the same ones; two fingerprints of the
-    distinct shingles, and their MinHash band keys."""
-    from .paragraphs import bands, permutations
+    """``(doc_id, id, fp, fp2, n, bands)``: id is a digest of the words, equal for texts with the same ones; two fingerprints of the
+    distinct shingles, their number, and their MinHash band keys. Texts without words have zeros."""
+    from .paragraphs import all_bands, permutations
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, q = permutations(n_bands * rows)
-        for b in batches:
-            out, keys = np.zeros((b.num_rows, 3), np.uint64), np.zeros((b.num_rows, n_bands), np.int64)
-            for i, t in enumerate(utf8(b.column(1))):
-                h = np.unique(shingle_hashes(t, width))
-                keys[i] = bands(h, p, q, rows)
-                again = h * np.uint64(0x9E3779B97F4A7C15)
-                again = (again ^ (again >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-                out[i] = xxhash.xxh3_64_intdigest(b" ".join(t.lower().split())), fingerprint(h), fingerprint(again ^ (again >> np.uint64(32)))
-            listed = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, n_bands, dtype=np.int32), pa.array(keys.ravel()))
-            yield pa.record_batch([b.column(0), *(pa.array(np.ascontiguousarray(c).view(np.int64)) for c in out.T), listed], names=["doc_id", "id", "fp", "fp2", "bands"])
+        (p, q), grams = permutations(n_bands * rows), Grams()
+        for batch in batches:
+            for first, after, c in chunks(batch.column(1), table=SPACED):
+                x = Sets(c, width, grams)
+                out, keys = np.zeros((3, after - first), np.int64), np.zeros((after - first, n_bands), np.int64)
+                if len(x.some):
+                    out[0, x.some], out[1, x.some], out[2, x.some] = x.fingerprints(x.values), x.fingerprints(mixed(x.values + np.uint64(BASE))), x.count
+                    keys[x.some] = all_bands(x.values, x.starts, p, q, rows)
+                listed = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, n_bands, dtype=np.int32), pa.array(keys.ravel()))
+                yield pa.record_batch([batch.column(0).slice(first, after - first), pa.array(x.id), *map(pa.array, out), listed], names=["doc_id", "id", "fp", "fp2", "n", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, id long, fp long, fp2 long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, id long, fp long, fp2 long, n long, bands array<long>")
 
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """``(doc_id, shingles)``: the distinct shingle hashes of each text, sorted."""
+def _without(docs: DataFrame, go: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id and words are in ``go(doc_id, id)``; of rows with the same doc_id and words one.
+
+    For tables in which a doc_id has rows with unlike words: their words are digested again.
+    """
+    name = "id"
+    while name in docs.columns:
+        name += "_"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams = Grams()
         for b in batches:
-            for low in range(0, b.num_rows, 500):
-                part = b.slice(low, 500)
-                sets = [np.unique(shingle_hashes(t, width)).tobytes() for t in utf8(part.column(1))]
-                yield pa.record_batch([part.column(0), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
+            texts = b.column(b.schema.get_field_index("text")).cast(pa.string())
+            made = [Sets(c, 1, grams).id for _, _, c in chunks(texts, table=SPACED)] or [np.zeros(0, np.int64)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.concatenate(made))], names=[*b.schema.names, name])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, shingles binary")
+    known = docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
+    left = known.join(go.withColumnRenamed("id", name), ["doc_id", name], "left_anti")
+    return left.dropDuplicates(["doc_id", name]).select(*docs.columns)
 
 
-def drop_near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 12, more: int = 30, similarity: float = 0.8, cell_limit: int = 16_384, group_limit: int = 1024, few: int = 1_000_000, n_bands: int = 16, rows: int = 4) -> DataFrame:
-    """The documents without near copies: of each group the one with the smallest doc_id stays, with all its columns.
+def _sets(docs: DataFrame, width: int) -> DataFrame:
+    """``(id, shingles)``: the digest of the words of each text, and its distinct shingle hashes, sorted."""
 
-    Candidates are texts of which either of two SimHashes over the distinct shingles of ``width`` words differs in at most
-    ``threshold`` bits, found by the same covering, and both together in at most ``more`` of 128. Pairs beyond the radius meet
-    in MinHash bands (``n_bands`` of ``rows``: a pair at 0.8 shares none with a chance of 0.0002, whatever its length). Within the
-    components of candidates and the bands that hold more than one, in blocks of ``group_limit`` texts, all pairs are held
-    against the exact Jaccard similarity of their shingle sets: those of ``similarity`` or more are links, and a group is a
-    component of links.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams = Grams()
+        for batch in batches:
+            for first, after, c in chunks(batch.column(0), table=SPACED):
+                x = Sets(c, width, grams)
+                bounds = np.zeros(after - first + 1, np.int64)
+                bounds[x.some + 1] = x.count * 8
+                lists = pa.Array.from_buffers(pa.large_binary(), after - first, [None, pa.py_buffer(np.cumsum(bounds)), pa.py_buffer(np.ascontiguousarray(x.values))])
+                yield pa.record_batch([pa.array(x.id), lists.cast(pa.binary())], names=["id", "shingles"])
 
-    Texts with the same words are copies, as are all null and empty texts. Rows with a null doc_id are in no group and
-    stay. Repeated doc_ids count as one document, of which one row stays. An empty table gives none. Other columns never matter.
+    return docs.select(F.col("text").cast("string")).mapInArrow(run, "id long, shingles binary")
+
+
+def _star(near: DataFrame, sets: DataFrame, limit: int, similarity: float, hubs: int = 4) -> DataFrame:
+    """``(a, b)``: links between the members of large components and a few of them, the hubs.
+
+    In a component of over ``limit`` texts of ``near(component, id)`` each one is compared with ``hubs`` of them, picked by hash:
+    in a crowd of near copies most are links, and pairs of texts that these connect need no comparison.
     """
-    from .common import chunk_pairs
+    large = written(near.groupBy("component").agg(F.count("*").alias("_n")).where(F.col("_n") > limit).select("component"), "crowds")
+    if large.isEmpty():
+        return near.sparkSession.createDataFrame([], "a long, b long")
+    members = written(lookup(near.select("component", "id"), large, ["component"]), "crowd")
+    picked = members.groupBy("component").agg(*[F.min_by("id", F.xxhash64("id", F.lit(j))).alias(f"h{j}") for j in range(hubs)])
+    hub = picked.select("component", F.explode(F.array_distinct(F.array(*[f"h{j}" for j in range(hubs)]))).alias("id"))
+    hub = written(hub.join(sets, "id").groupBy("component").agg(F.collect_list(F.struct("id", "shingles")).alias("hubs")), "hubs")
+    rows = lookup(members.join(sets, "id"), hub, ["component"], few=2000).select("id", "shingles", "hubs")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            a_out, b_out = [], []
+            for k in range(b.num_rows):
+                one, own = b.column(0)[k].as_py(), np.frombuffer(b.column(1)[k].as_py(), "<u8")
+                for h in b.column(2)[k].as_py():
+                    other = np.frombuffer(h["shingles"], "<u8")
+                    both = len(np.intersect1d(own, other, assume_unique=True))
+                    if h["id"] != one and both >= similarity * (len(own) + len(other) - both):
+                        a_out.append(one)
+                        b_out.append(h["id"])
+            yield pa.record_batch([pa.array(a_out, pa.int64()), pa.array(b_out, pa.int64())], names=["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _leaving(docs: DataFrame, width: int, threshold: int, more: int, similarity: float, cell_limit: int, group_limit: int, few: int, n_bands: int, rows: int, most_shingles: int) -> DataFrame:
+    """``(doc_id, id, again)``: the documents and words that leave; and, with again, the doc_ids that come more than once."""
+    from .common import unlike_blocks
     from .verify import distinct_groups, similar_edges
 
     prints = written(_texts(docs, width, n_bands, rows).where("doc_id is not null"), "texts")
-    classes = written(prints.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("fp2").alias("fp2"), F.first("bands").alias("bands")), "classes")
-    # Each of the two fingerprints is covered: a pair at similarity 0.8 is beyond the radius of one in about 16 of 100 cases.
-    # The second covering looks only for links between components that the first has left apart.
-    found = link_edges(split_hot(cells(classes.select("fp", "fp2", "id"), threshold), cell_limit), threshold, more)
+    classes = written(prints.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.first("fp").alias("fp"), F.first("fp2").alias("fp2"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
+    # Each of the two fingerprints is covered; the second time only for links between components that the first has left apart.
+    count = classes.count()
+    found = link_edges(split_hot(cells(classes.select("fp", "fp2", "id"), threshold, count), cell_limit), threshold, more)
     named = written(connected_components(thinned(written(found, "links"))), "named").withColumnRenamed("node", "id")
-    again = classes.drop("bands").join(named, "id", "left").select(F.col("fp2").alias("fp"), F.col("fp").alias("fp2"), "id", F.coalesce("component", "id").alias("known"))
-    found = link_edges(split_hot(cells(written(again, "again"), threshold), cell_limit), threshold, more)
+    again = classes.drop("bands", "n").join(named, "id", "left").select(F.col("fp2").alias("fp"), F.col("fp").alias("fp2"), "id", F.coalesce("component", "id").alias("known"))
+    found = link_edges(split_hot(cells(written(again, "again"), threshold, count), cell_limit), threshold, more)
     edges = named.where("id != component").select(F.col("id").alias("a"), F.col("component").alias("b")).union(found)
     near = written(connected_components(thinned(written(edges, "links"))), "candidates").select("component", F.col("node").alias("id"))
-    found = distinct_groups(chunk_pairs(near, ["component"], "id", group_limit), ["component", "lo", "hi"])
     # Bands within one component bring no new pairs.
-    banded = classes.join(near, "id", "left").select("id", F.coalesce("component", "id").alias("known"), F.explode("bands").alias("band"))
-    across = banded.groupBy("band").agg(F.min("known").alias("least"), F.max("known").alias("most")).where("least < most").select("band")
-    banded = written(banded.join(across, "band", "left_semi").select("band", "id"), "banded")
-    met = distinct_groups(chunk_pairs(banded, ["band"], "id", group_limit), ["band", "lo", "hi"])
-    found = written(found.unionByName(met), "groups")
-    wanted = written(classes.join(found.select("id").distinct(), "id", "left_semi").select("id", "doc_id"), "wanted")
+    banded = written(classes.join(near, "id", "left").select("id", "n", F.coalesce("component", "id").alias("known"), F.explode("bands").alias("band")), "banded")
+    across = banded.groupBy("band").agg(F.min("known").alias("least"), F.max("known").alias("most")).where("least < most")
+    met = written(lookup(banded, written(across.select("band"), "across"), ["band"]), "met")
+    wanted = written(classes.join(near.select("id").union(met.select("id")).distinct(), "id", "left_semi").select("id", "doc_id"), "wanted")
     short = wanted.count() <= few  # some 16 bytes each: broadcast only while they are few
     texts = docs.select("doc_id", "text").join(F.broadcast(wanted.select("doc_id")) if short else wanted.select("doc_id"), "doc_id", "left_semi")
-    sets = _sets(texts, width).join(F.broadcast(wanted) if short else wanted, "doc_id").groupBy("id").agg(F.first("shingles").alias("shingles"))
-    links = thinned(written(similar_edges(found, sets, similarity), "links"))
+    ids = wanted.select("id")
+    sets = _sets(texts, width).join(F.broadcast(ids) if short else ids, "id").groupBy("id").agg(F.first("shingles").alias("shingles"))
+    sets = written(sets, "sets")
+    star = written(_star(near, sets, group_limit, similarity), "star")
+    label = connected_components(star).select(F.col("node").alias("id"), F.col("component").alias("label"))
+    sized = near.join(classes.select("id", "n"), "id").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    found = distinct_groups(unlike_blocks(written(sized, "sized"), ["component"], "id", "label", group_limit, "n", most_shingles), ["component", "kind", "lo", "hi"])
+    met = distinct_groups(unlike_blocks(met.select("band", "id", "n", "known"), ["band"], "id", "known", group_limit, "n", most_shingles), ["band", "kind", "lo", "hi"])
+    found = written(found.unionByName(met), "groups")
+    links = thinned(written(similar_edges(found, sets, similarity).union(star), "links"))
     named = connected_components(links).select(F.col("node").alias("id"), "component")
     grouped = classes.select("id", "doc_id").join(named, "id", "left").withColumn("group", F.coalesce("component", "id"))
-    stay = grouped.groupBy("group").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    go = written(prints.select("doc_id").distinct().join(stay, "doc_id", "left_anti"), "go")
-    out = docs.join(F.broadcast(go) if go.count() <= few else go, "doc_id", "left_anti").select(*docs.columns)
-    again = written(prints.groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
-    if again.count():
-        once = out.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
-        out = out.join(again, "doc_id", "left_anti").select(*docs.columns).union(once)
-    return out
+    stay = grouped.groupBy("group").agg(F.min(F.struct("doc_id", "id")).alias("first")).select("first.*")
+    go = prints.select("doc_id", "id").distinct().join(stay, ["doc_id", "id"], "left_anti").withColumn("again", F.lit(False))
+    more_often = prints.groupBy("doc_id").count().where("count > 1").select("doc_id", F.lit(None).cast("long").alias("id"), F.lit(True).alias("again"))
+    return go.union(more_often)
+
+
+def drop_near_duplicates(docs: DataFrame, width: int = 5, threshold: int = 5, more: int = 30, similarity: float = 0.8, cell_limit: int = 16_384, group_limit: int = 1024, few: int = 1_000_000, n_bands: int = 20, rows: int = 4, most_shingles: int = 1 << 19) -> DataFrame:
+    """The documents without near copies: of each group the one with the smallest doc_id stays, with all its columns.
+
+    Candidates are texts of which either of two SimHashes over the distinct shingles of ``width`` words differs in at most
+    ``threshold`` bits, found by the same covering, and both together in at most ``more`` of 128. A pair of similarity 0.8
+    differs in about 10 bits of 64: a radius that holds such pairs holds more and more unlike ones as texts grow in number (of
+    64 bits, 2 in ten million random pairs are within 12), and the work would grow with their square. So pairs beyond the radius meet
+    in MinHash bands (``n_bands`` of ``rows``: a pair at 0.8 shares none with a chance of 0.00003, whatever its length). Within the
+    components of candidates and the bands that hold more than one, in blocks of ``group_limit`` texts, pairs are held
+    against the exact Jaccard similarity of their shingle sets: those of ``similarity`` or more are links, and a group is a
+    component of links. In a larger component each text is held against a few of them first, and after that only against
+    texts that these links don't connect it with, so that a crowd of near copies is not compared pair by pair.
+
+    Texts with the same words are copies, as are all null and empty texts. Rows with a null doc_id are in no group and
+    stay. Rows with one doc_id are one document where their words are the same, of which one row stays, and documents of
+    their own where they are not. Texts of any length are compared whole; a block holds about ``most_shingles`` for each of
+    its two chunks, however long its texts are. An empty table gives none. Other columns never matter.
+    """
+    found = settled(lambda: _leaving(docs, width, threshold, more, similarity, cell_limit, group_limit, few, n_bands, rows, most_shingles), "leaving")
+    go, again = found.where("not again").select("doc_id", "id"), found.where("again").select("doc_id")
+    if again.isEmpty():
+        gone = go.select("doc_id")
+        return docs.join(F.broadcast(gone) if gone.count() <= few else gone, "doc_id", "left_anti").select(*docs.columns)
+    held = F.broadcast(again) if again.count() <= few else again
+    gone = go.select("doc_id").join(again, "doc_id", "left_anti").union(again)
+    once = docs.join(F.broadcast(gone) if gone.count() <= few else gone, "doc_id", "left_anti").select(*docs.columns)
+    return once.union(_without(docs.join(held, "doc_id", "left_semi").select(*docs.columns), go))

@@ -10,7 +10,8 @@ import pyarrow as pa
 
 #: Letters in lower case, and other ASCII characters as spaces; bytes of other characters stay.
 FOLD = bytes(ord(chr(c).lower()) if c < 128 and chr(c).isalnum() else c if c >= 128 else 32 for c in range(256))
-_FOLDED = np.frombuffer(FOLD, np.uint8)
+#: A-Z in lower case and ASCII white space (0x20 and 0x09 to 0x0D) as spaces; other bytes stay.
+SPACED = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -32,14 +33,14 @@ def _ranges(inside: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 class Chunk:
-    """Consecutive texts: their bytes, where each begins, and the words (runs of letters and digits) of all of them.
+    """Consecutive texts: their bytes, where each begins, and the words of all of them: what ``table`` does not make a space.
 
     ``start`` and ``end`` are the bytes of each word, ``bounds[i]`` is the first word of text i and ``doc`` the text of each word.
     """
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray):
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, table: bytes = FOLD):
         self.raw, self.offsets = raw, offsets
-        self._folded = _FOLDED[raw]
+        self._folded = np.frombuffer(table, np.uint8)[raw]
         self.start, self.end = _ranges(self._folded != 32, offsets)
         self.bounds = np.searchsorted(self.start, offsets)
         self.count = np.diff(self.bounds)
@@ -53,7 +54,8 @@ class Chunk:
         """A 64-bit hash of each folded word, eight bytes at a time; other words of up to eight bytes never share one."""
         padded = np.concatenate([self._folded, np.zeros(8, np.uint8)])
         eight = np.ndarray((len(self._folded) + 1,), "<u8", padded, strides=(1,))
-        length, out = self.end - self.start, np.zeros(len(self.start), np.uint64)
+        length = self.end - self.start
+        out = length.astype(np.uint64)
         some, at = slice(None), 0
         while len(out[some]):
             cut = np.uint64(8) * np.maximum(8 - (length[some] - at), 0).astype(np.uint64)
@@ -79,7 +81,7 @@ class Chunk:
         return np.concatenate([np.zeros(1, np.int64), np.cumsum((self.raw & 0xC0) != 0x80, dtype=np.int64)])
 
 
-def chunks(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, Chunk]]:
+def chunks(column: pa.Array, most: int = 1 << 20, table: bytes = FOLD) -> Iterator[tuple[int, int, Chunk]]:
     """Rows low to high of a text column and their chunk: of about ``most`` bytes, or one text that is longer. A null is an empty text."""
     data = column.cast(pa.binary())
     if data.null_count:
@@ -90,7 +92,7 @@ def chunks(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, Ch
     low = 0
     while low < len(data):
         high = max(low + 1, int(np.searchsorted(at, at[low] + most, "right")) - 1)
-        yield low, high, Chunk(every[at[low] : at[high]], at[low : high + 1] - at[low])
+        yield low, high, Chunk(every[at[low] : at[high]], at[low : high + 1] - at[low], table)
         low = high
 
 
