@@ -6,12 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import utf8
-from .words import FOLD, mixed
+from .words import Chunk, chunks, mixed
 
 #: Bits of each block of a fingerprint, and the place in the index that each block begins at.
 WIDTHS = (7, 7, 7, 7, 6, 6, 6, 6, 6, 6)
@@ -20,19 +18,9 @@ FACTORS = np.array([pow(0x9E3779B97F4A7C15, i, 1 << 64) for i in range(5)], np.u
 FILTER = 1 << 20
 
 
-class Words(dict):
-    """Hashes of words, kept while they are few."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word, 1)
-        return h
-
-
-def word_hashes(data: bytes, known: Words) -> np.ndarray:
-    words = data.translate(FOLD).split()
-    return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+def word_hashes(text: bytes) -> np.ndarray:
+    raw = np.frombuffer(text, np.uint8)
+    return Chunk(raw, np.array([0, len(raw)])).hash
 
 
 def shingles(words: np.ndarray, width: int) -> np.ndarray:
@@ -80,9 +68,9 @@ class Index:
 
     def __init__(self, items: list[tuple[int, bytes]], width: int, threshold: float):
         self.width, self.threshold = width, threshold
-        known, self.ids, self.hashes, self.widths = Words(), [], [], []
+        self.ids, self.hashes, self.widths = [], [], []
         for item_id, text in items:
-            words = word_hashes(text, known)
+            words = word_hashes(text)
             if len(words):
                 w = min(width, len(words))
                 self.ids.append(item_id)
@@ -112,13 +100,13 @@ class Index:
         order = np.argsort(keys, kind="stable")
         return np.searchsorted(keys[order], np.arange(len(WIDTHS) * PARTS + 1)), items[order]
 
-    def matches(self, data: bytes, known: Words) -> list[tuple[int, float, int, int, int]]:
-        """``(item_id, similarity, first word, words, differing bits)`` of the best window for each item that leaks.
+    def matches(self, words: np.ndarray) -> list[tuple[int, float, int, int, int]]:
+        """``(item_id, similarity, first word, words, differing bits)`` of the best window for each item that leaks, by a text's word hashes.
 
         Windows have the item's number of words (or all words of a shorter text). Those that share no shingle with any
         item of that size have similarity 0 and are passed over; every other one is fingerprinted and looked up.
         """
-        words, best = word_hashes(data, known), {}
+        best: dict[int, tuple[float, int, int, int]] = {}
         for w, (maybe, keys, key_sizes, starts, listed) in self.of_width.items():
             h = shingles(words, w)
             hit = np.flatnonzero(maybe[h & np.uint64(FILTER - 1)])
@@ -177,6 +165,13 @@ def _passes(docs: DataFrame, benchmark: DataFrame, width: int, threshold: float,
         yield send()
 
 
+def each_text(column: pa.Array) -> Iterator[np.ndarray]:
+    """The word hashes of each text."""
+    for _, _, c in chunks(column):
+        for low, high in zip(c.bounds[:-1].tolist(), c.bounds[1:].tolist()):
+            yield c.hash[low:high]
+
+
 LEAKS = "doc_id long, item_id long, similarity double, start_word int, n_words int, bits int"
 
 
@@ -196,9 +191,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, width: int = 5, threshold: floa
     for shared in _passes(docs, benchmark, width, threshold, items_each):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index, known = shared.value, Words()
+            index = shared.value
             for b in batches:
-                rows = [(d, *m) for d, t in zip(b.column(0).to_pylist(), utf8(b.column(1))) for m in index.matches(t, known)]
+                rows = [(d, *m) for d, words in zip(b.column(0).to_pylist(), each_text(b.column(1))) for m in index.matches(words)]
                 if rows:
                     types = [pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32(), pa.int32()]
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[x.split()[0] for x in schema.split(", ")])
@@ -213,10 +208,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = 5, threshold: floa
     for shared in _passes(docs, benchmark, width, threshold, items_each):
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index, known = shared.value, Words()
+            index = shared.value
             for b in batches:
-                texts = utf8(b.column(b.schema.get_field_index("text")).cast(pa.string()))
-                yield b.filter(pa.array([not index.matches(t, known) for t in texts], pa.bool_()))
+                texts = b.column(b.schema.get_field_index("text")).cast(pa.string())
+                yield b.filter(pa.array([not index.matches(words) for words in each_text(texts)], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

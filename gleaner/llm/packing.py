@@ -63,7 +63,7 @@ def tokens(docs: DataFrame, vocabulary: str, special: str = "<|endoftext|>", end
             low = 0
             while low < len(texts):
                 high, size = low, 0
-                while high < len(texts) and size < 4_000_000:
+                while high < len(texts) and size < 500_000:
                     size += len(texts[high])
                     high += 1
                 ids = [np.array([*encode(t), end_id], "<u4") for t in texts[low:high]]
