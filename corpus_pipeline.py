@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from gleaner.llm import decontaminate, packing, pii, quality, queries, simhash
-from gleaner.llm.common import forget, read, settled
+from gleaner.llm.common import forget, read, settled, small_batches
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,6 +14,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null and empty texts are judged as texts whose statistics are all zero, texts of any length whole, and rows with a null or
     a repeated doc_id each by its own text. A score of exactly 0.5 is accepted. Without any label all rows stay; an empty table gives none.
     """
+    small_batches(spark)
     return quality.accepted(docs, read(spark, sf_dir, "labels"))
 
 
@@ -23,6 +24,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Texts without words (null, empty, white space) are copies of each other. Rows that repeat a doc_id and its words are one
     document; with other words they are others. Rows with a null doc_id are in no group and stay. An empty table gives none.
     """
+    small_batches(spark)
     return simhash.drop_near_duplicates(docs)
 
 
@@ -32,6 +34,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     Null and empty texts and items match nothing and stay; texts of any length are read whole; rows with a null or a repeated
     doc_id are judged each. A similarity of exactly 0.8 is a match. An empty benchmark removes nothing; an empty table gives none.
     """
+    small_batches(spark)
     return decontaminate.clean(docs, read(spark, sf_dir, "benchmark"))
 
 
@@ -41,6 +44,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The key is the session's (``pii.SETTING``). Null texts stay null, empty ones empty; repeated rows and null ids stay.
     Equal values have equal pseudonyms in all rows. An empty table gives none.
     """
+    small_batches(spark)
     return pii.pseudonymise(docs, pii.session_key(spark, queries.DEMONSTRATION), keep=True)
 
 
@@ -50,6 +54,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null and empty texts are one token; long texts span as many sequences as they need; repeated rows and null ids are packed
     each. An empty table gives none.
     """
+    small_batches(spark)
     return packing.pack(docs)
 
 

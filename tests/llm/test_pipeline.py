@@ -1,12 +1,13 @@
 """The whole pipeline, and its stages against plain computations over all pairs."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gleaner.llm import decontaminate, paragraphs, pii, quality, simhash, verify
-from gleaner.llm.common import read
+from gleaner.llm.common import BATCH, read
 
 from .test_llm import DATA, components
 
@@ -98,3 +99,24 @@ def test_near_duplicates_in_blocks_of_few_shingles(spark):
     want = kept_of(texts)
     for settings in ({}, {"most_shingles": 300}, {"group_limit": 3, "cell_limit": 4, "few": 0}, {"group_limit": 5, "threshold": 1, "n_bands": 40}):
         assert {r.doc_id for r in simhash.drop_near_duplicates(docs, **settings).collect()} == want
+
+
+def test_stages_read_texts_in_small_batches(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.nbytes])], names=["size"])
+
+    docs = spark.createDataFrame([(k, "some words " * 1000, "en", "web", 11_000) for k in range(2000)], DOCUMENTS).coalesce(1).cache()
+    before = spark.conf.get(BATCH, None)
+    try:
+        for _, stage in corpus_pipeline.STAGES:
+            spark.conf.unset(BATCH)
+            stage(spark, docs.limit(10), DATA)
+            got = [r.size for r in docs.mapInArrow(sizes, "size long").collect()]
+            assert sum(got) > 22_000_000 and max(got) < 4_500_000
+        spark.conf.set(BATCH, "9m")
+        corpus_pipeline.pii_stage(spark, docs, DATA)
+        assert spark.conf.get(BATCH) == "9m"
+    finally:
+        spark.conf.set(BATCH, before) if before else spark.conf.unset(BATCH)
+        docs.unpersist()
