@@ -99,7 +99,8 @@ def _candidates(docs: DataFrame, size: int, passing, common: bool) -> DataFrame:
     return docs.mapInArrow(run, WINDOWS)
 
 
-FIRSTS = "doc_id long, at long, place long, first_doc long, first_at long"
+#: n windows that follow each other and whose first occurrences do: at and first_at are of the first one, place is from its start to the end of the last.
+FIRSTS = "doc_id long, at long, place long, first_doc long, first_at long, n int"
 
 
 def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,39 +111,68 @@ def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.repeat(starts, many)
         last = first + np.repeat(many, many) - 1
         some = doc[first] != doc[last]
-        yield pa.record_batch([pa.array(x[some]) for x in (doc, at, place, doc[first], at[first])], names=["doc_id", "at", "place", "first_doc", "first_at"])
+        yield pa.record_batch([*(pa.array(x[some]) for x in (doc, at, place, doc[first], at[first])), pa.array(np.ones(some.sum(), np.int32))], names=["doc_id", "at", "place", "first_doc", "first_at", "n"])
 
 
-def _common(rows: DataFrame) -> DataFrame:
-    """The same for windows that very many rows share: they are summed where they are made, and looked up."""
+def _common(rows: DataFrame, few: int) -> DataFrame:
+    """The same for windows that very many rows share: they are summed where they are made, and looked up.
+
+    Up to ``few`` distinct windows are looked up where the rows are, which come in the order of their texts, so that a
+    passage makes one row for each of its copies and not one for each of its windows. More of them are joined.
+    """
     first = rows.groupBy("h").agg(F.min(F.struct("doc_id", "at")).alias("f"), F.max("doc_id").alias("high")).where("f.doc_id < high")
-    found = lookup(rows, written(first.select("h", F.col("f.doc_id").alias("first_doc"), F.col("f.at").alias("first_at")), "first"), ["h"])
-    return found.select("doc_id", "at", "place", "first_doc", "first_at")
+    first = written(first.select("h", F.col("f.doc_id").alias("first_doc"), F.col("f.at").alias("first_at")), "first")
+    if first.count() > few:
+        return lookup(rows, first, ["h"], few).select("doc_id", "at", "place", "first_doc", "first_at", F.lit(1).alias("n"))
+    table = first.orderBy("h").toArrow()
+    known = rows.sparkSession.sparkContext.broadcast([c.to_numpy() for c in table.columns])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows, docs, places = known.value
+        for b in batches:
+            h, doc, at, place = (c.to_numpy() for c in b.columns)
+            found = np.searchsorted(windows, h)
+            held = np.flatnonzero(np.append(windows, 0)[found] == h) if len(windows) else found[:0]
+            held = held[found[held] < len(windows)]
+            if not len(held):
+                continue
+            doc, at, place, first_doc, first_at = doc[held], at[held], place[held], docs[found[held]], places[found[held]]
+            word, first_word = at >> 32, first_at >> 32
+            new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (word[1:] != word[:-1] + 1) | (first_doc[1:] != first_doc[:-1]) | (first_word[1:] != first_word[:-1] + 1)])
+            low = np.flatnonzero(new)
+            n = np.diff(np.append(low, len(at)))
+            whole = place[low] & ~0xFFFFFFFF | place[low + n - 1] & 0xFFFFFFFF
+            yield pa.record_batch([*(pa.array(x) for x in (doc[low], at[low], whole, first_doc[low], first_at[low])), pa.array(n.astype(np.int32))], names=["doc_id", "at", "place", "first_doc", "first_at", "n"])
+
+    return rows.mapInArrow(run, FIRSTS)
 
 
 SPANS = "doc_id long, para int, start int, length int, cluster_doc long, cluster_para int, kept boolean"
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows that follow each other, and whose first occurrences do, become one span."""
-    for doc, at, place, first_doc, first_at in groups(batches, 1):
-        once = np.concatenate([[True], (doc[1:] != doc[:-1]) | (at[1:] != at[:-1])])
-        doc, at, place, first_doc, first_at = (x[once] for x in (doc, at, place, first_doc, first_at))
-        word, first_word = at >> 32, first_at >> 32
-        new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (word[1:] != word[:-1] + 1) | (first_doc[1:] != first_doc[:-1]) | (first_word[1:] != first_word[:-1] + 1)])
-        low = np.flatnonzero(new)
-        start, end, kept = place[low] >> 32, place[np.append(low[1:], len(at)) - 1] & 0xFFFFFFFF, (doc == first_doc) & (at == first_at)
+    """Windows that follow each other, and whose first occurrences do, become one span; rows come sorted by document."""
+    for doc, at, place, first_doc, first_at, n in groups(batches, 1):
+        apart = (first_at >> 32) - (at >> 32)
+        order = np.lexsort((at, apart, first_doc, doc))
+        doc, at, place, first_doc, first_at, n, apart = (x[order] for x in (doc, at, place, first_doc, first_at, n, apart))
+        other = np.concatenate([[True], (doc[1:] != doc[:-1]) | (first_doc[1:] != first_doc[:-1]) | (apart[1:] != apart[:-1])])
+        word, line = at >> 32, np.cumsum(other) << 32
+        after = np.maximum.accumulate(line + word + n)  # of all rows before in the same line of windows: repeated rows lie within
+        low = np.flatnonzero(other | np.concatenate([[True], (line + word)[1:] > after[:-1]]))
+        start, end, kept = place[low] >> 32, np.maximum.reduceat(place & 0xFFFFFFFF, low), (doc == first_doc) & (at == first_at)
         columns = [doc[low], (at[low] & 0xFFFFFFFF).astype(np.int32), start.astype(np.int32), (end - start).astype(np.int32), first_doc[low], (first_at[low] & 0xFFFFFFFF).astype(np.int32), kept[low]]
         yield pa.record_batch([pa.array(x) for x in columns], names=[x.split()[0] for x in SPANS.split(", ")])
 
 
-def repeated_passages(docs: DataFrame, size: int = 50, often: int = 20_000) -> DataFrame:
+def repeated_passages(docs: DataFrame, size: int = 50, often: int = 20_000, few: int = 200_000) -> DataFrame:
     """Runs of ``size`` words or more that occur in two documents: ``(doc_id, para, start, length, cluster_doc, cluster_para, kept)``.
 
     Words are runs of letters and digits in lower case, whatever the lines they stand in. Every window of ``size`` words that
     another document holds too is found, and nothing else: a window's key is the least hash of its runs of half the size (a
     MinHash of one row), equal windows have an equal one, and windows whose key occurs in two documents are compared in
-    full. Windows of keys that over ``often`` windows have are summed before they are shuffled. Successive windows whose first
+    full. Windows of keys that over ``often`` windows have are summed before they are shuffled, and if at most ``few`` of them
+    differ, looked up without a shuffle and gathered to passages. Successive windows whose first
     occurrences (by doc_id and place) are successive too make one row; kept says that it is itself the first occurrence.
 
     Null and empty texts have no words; texts of any length are read whole. Rows with a null doc_id are passed over; rows that
@@ -157,5 +187,5 @@ def repeated_passages(docs: DataFrame, size: int = 50, often: int = 20_000) -> D
     rows = _candidates(docs, size, passing, False).repartition("h").sortWithinPartitions("h", "doc_id", "at")
     shared = rows.mapInArrow(_firsts, FIRSTS)
     if len(common):
-        shared = shared.union(_common(written(_candidates(docs, size, passing, True), "common")))
-    return shared.repartition("doc_id").sortWithinPartitions("doc_id", "at").mapInArrow(_spans, SPANS)
+        shared = shared.union(_common(written(_candidates(docs, size, passing, True), "common"), few))
+    return shared.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(_spans, SPANS)

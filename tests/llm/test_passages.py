@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 
 from gleaner.llm import paragraphs, passages, queries, words
+from gleaner.llm.common import written
 
 DATA = "/root/testdata/sf0.001"
 FOLDED = bytes(passages.FOLD)
@@ -76,3 +77,24 @@ def test_bands_of_many_paragraphs_at_once():
     together = paragraphs.all_bands(np.concatenate(sets), np.array([0, 1, 31]), a, b, 4)
     alone = [paragraphs.all_bands(s, np.array([0]), a, b, 4)[0] for s in sets]
     assert (together == np.array(alone)).all() and len(set(together.ravel().tolist())) == 30
+
+
+@pytest.mark.parametrize("few", [200_000, 0])
+def test_common_passage_makes_a_row_for_each_copy(spark, few):
+    rows, ends = [], {}
+    for k in range(40):
+        before, after = (" ".join(f"{c}{k}x{i}" for i in range(k)) for c in "ab")
+        shared = " ".join(f"p{i}" for i in range(200)) if k else " ".join(f"p{i}" for i in range(100, 200))
+        rows += [(k, f"{before}\n{shared} {after}")] * (2 if k == 7 else 1)
+        ends[k] = len(before) + 1, len(shared)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    got = {(r.doc_id, r.start, r.length, r.cluster_doc, r.kept) for r in passages.repeated_passages(docs, often=0, few=few).collect()}
+    half = len(" ".join(f"p{i}" for i in range(149))), len(" ".join(f"p{i}" for i in range(100)))
+    want = {(0, *ends[0], 0, True)}
+    for k in range(1, 40):  # 151 windows each: the first 100 are in document 1 first, the last 51 in document 0
+        want |= {(k, ends[k][0], half[0], 1, k == 1), (k, ends[k][0] + half[1] + 1, ends[0][1], 0, False)}
+    assert got == want
+    every = written(passages._candidates(docs, 50, spark.sparkContext.broadcast((np.full(1 << 17, 255, np.uint8), np.zeros(0, np.uint64))), True), "windows")
+    held = passages._common(every, few)
+    assert held.agg({"n": "sum"}).first()[0] == 51 + 40 * 151
+    assert held.count() == (51 + 40 * 151 if few == 0 else 1 + 40 * 2)
