@@ -99,8 +99,30 @@ def _candidates(docs: DataFrame, size: int, passing, common: bool) -> DataFrame:
     return docs.mapInArrow(run, WINDOWS)
 
 
-#: n windows that follow each other and whose first occurrences do: at and first_at are of the first one, place is from its start to the end of the last.
-FIRSTS = "doc_id long, at long, place long, first_doc long, first_at long, n int"
+#: n windows that follow each other and whose first occurrences do, or return among those before, first_n in all: at and first_at
+#: are of the first one, place is from its start to the end of the last.
+FIRSTS = "doc_id long, at long, place long, first_doc long, first_at long, n int, first_n int"
+
+
+def _begins(near: np.ndarray, at: np.ndarray, stop: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Which runs of windows begin a passage: windows at to stop occur first at low to high; only the near ones can go on with the one before.
+
+    They do if they follow it and their first occurrence begins within the passage's own or just after it: so does text that
+    repeats itself (a pair of words, hundreds of times). Runs may be cut anywhere, and repeated rows elsewhere: the passages are the same.
+    """
+    begins, last, columns = ~near, -1, [x.tolist() for x in (at, stop, low, high)]
+    for i in np.flatnonzero(near).tolist():
+        if i != last + 1:
+            start, end, least, most = (x[i - 1] for x in columns)
+        at_i, stop_i, low_i, high_i = (x[i] for x in columns)
+        returns = end - start > most + 1 - least or stop_i - at_i > high_i + 1 - low_i
+        if least <= low_i <= most + 1 and (at_i == end or at_i < end and returns):
+            end, most = max(end, stop_i), max(most, high_i)
+        else:
+            begins[i] = True
+            start, end, least, most = at_i, stop_i, low_i, high_i
+        last = i
+    return begins
 
 
 def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,19 +133,21 @@ def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = np.repeat(starts, many)
         last = first + np.repeat(many, many) - 1
         some = doc[first] != doc[last]
-        yield pa.record_batch([*(pa.array(x[some]) for x in (doc, at, place, doc[first], at[first])), pa.array(np.ones(some.sum(), np.int32))], names=["doc_id", "at", "place", "first_doc", "first_at", "n"])
+        one = pa.array(np.ones(some.sum(), np.int32))
+        yield pa.record_batch([*(pa.array(x[some]) for x in (doc, at, place, doc[first], at[first])), one, one], names=[x.split()[0] for x in FIRSTS.split(", ")])
 
 
 def _common(rows: DataFrame, few: int) -> DataFrame:
     """The same for windows that very many rows share: they are summed where they are made, and looked up.
 
     Up to ``few`` distinct windows are looked up where the rows are, which come in the order of their texts, so that a
-    passage makes one row for each of its copies and not one for each of its windows. More of them are joined.
+    passage makes one row for each of its copies and not one for each of its windows, nor one for each time that it repeats
+    itself. More of them are joined.
     """
     first = rows.groupBy("h").agg(F.min(F.struct("doc_id", "at")).alias("f"), F.max("doc_id").alias("high")).where("f.doc_id < high")
     first = written(first.select("h", F.col("f.doc_id").alias("first_doc"), F.col("f.at").alias("first_at")), "first")
     if first.count() > few:
-        return lookup(rows, first, ["h"], few).select("doc_id", "at", "place", "first_doc", "first_at", F.lit(1).alias("n"))
+        return lookup(rows, first, ["h"], few).select("doc_id", "at", "place", "first_doc", "first_at", F.lit(1).alias("n"), F.lit(1).alias("first_n"))
     table = first.orderBy("h").toArrow()
     known = rows.sparkSession.sparkContext.broadcast([c.to_numpy() for c in table.columns])
 
@@ -141,8 +165,15 @@ def _common(rows: DataFrame, few: int) -> DataFrame:
             new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (word[1:] != word[:-1] + 1) | (first_doc[1:] != first_doc[:-1]) | (first_word[1:] != first_word[:-1] + 1)])
             low = np.flatnonzero(new)
             n = np.diff(np.append(low, len(at)))
+            word, first_word, stop = word[low], first_word[low], word[low] + n
+            kept = (doc[low] == first_doc[low]) & (at[low] == first_at[low])
+            near = np.concatenate([[False], (doc[low[1:]] == doc[low[:-1]]) & (word[1:] == stop[:-1]) & (first_doc[low[1:]] == first_doc[low[:-1]]) & (kept[1:] == kept[:-1])])
+            part = np.flatnonzero(_begins(near, word, stop, first_word, first_word + n - 1))
+            first_n, low = np.maximum.reduceat(first_word + n, part) - first_word[part], low[part]
+            n = np.diff(np.append(low, len(at)))
             whole = place[low] & ~0xFFFFFFFF | place[low + n - 1] & 0xFFFFFFFF
-            yield pa.record_batch([*(pa.array(x) for x in (doc[low], at[low], whole, first_doc[low], first_at[low])), pa.array(n.astype(np.int32))], names=["doc_id", "at", "place", "first_doc", "first_at", "n"])
+            counts = (pa.array(x.astype(np.int32)) for x in (n, first_n))
+            yield pa.record_batch([*(pa.array(x) for x in (doc[low], at[low], whole, first_doc[low], first_at[low])), *counts], names=[x.split()[0] for x in FIRSTS.split(", ")])
 
     return rows.mapInArrow(run, FIRSTS)
 
@@ -151,16 +182,25 @@ SPANS = "doc_id long, para int, start int, length int, cluster_doc long, cluster
 
 
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows that follow each other, and whose first occurrences do, become one span; rows come sorted by document."""
-    for doc, at, place, first_doc, first_at, n in groups(batches, 1):
-        apart = (first_at >> 32) - (at >> 32)
-        order = np.lexsort((at, apart, first_doc, doc))
-        doc, at, place, first_doc, first_at, n, apart = (x[order] for x in (doc, at, place, first_doc, first_at, n, apart))
-        other = np.concatenate([[True], (doc[1:] != doc[:-1]) | (first_doc[1:] != first_doc[:-1]) | (apart[1:] != apart[:-1])])
+    """Windows that follow each other, and whose first occurrences do or return, become one span; rows come sorted by document."""
+    for doc, at, place, first_doc, first_at, n, first_n in groups(batches, 1):
+        apart, returns = (first_at >> 32) - (at >> 32), n > first_n
+        order = np.lexsort((at, apart, returns, first_doc, doc))
+        doc, at, place, first_doc, first_at, n, first_n, apart, returns = (x[order] for x in (doc, at, place, first_doc, first_at, n, first_n, apart, returns))
+        other = np.concatenate([[True], (doc[1:] != doc[:-1]) | (first_doc[1:] != first_doc[:-1]) | (apart[1:] != apart[:-1]) | returns[1:]])
         word, line = at >> 32, np.cumsum(other) << 32
         after = np.maximum.accumulate(line + word + n)  # of all rows before in the same line of windows: repeated rows lie within
         low = np.flatnonzero(other | np.concatenate([[True], (line + word)[1:] > after[:-1]]))
-        start, end, kept = place[low] >> 32, np.maximum.reduceat(place & 0xFFFFFFFF, low), (doc == first_doc) & (at == first_at)
+        most, stop, end = (np.maximum.reduceat(x, low) for x in ((first_at >> 32) + first_n - 1, word + n, place & 0xFFFFFFFF))
+        doc, at, place, first_doc, first_at = (x[low] for x in (doc, at, place, first_doc, first_at))
+        kept = (doc == first_doc) & (at == first_at)
+        order = np.lexsort((at, kept, first_doc, doc))
+        doc, at, place, first_doc, first_at, kept, most, stop, end = (x[order] for x in (doc, at, place, first_doc, first_at, kept, most, stop, end))
+        same = np.concatenate([[False], (doc[1:] == doc[:-1]) & (first_doc[1:] == first_doc[:-1]) & (kept[1:] == kept[:-1])])
+        word, line = at >> 32, np.cumsum(~same) << 32
+        near = same & np.concatenate([[False], (line + word)[1:] <= np.maximum.accumulate(line + stop)[:-1]])
+        low = np.flatnonzero(_begins(near, word, stop, first_at >> 32, most))
+        start, end = place[low] >> 32, np.maximum.reduceat(end, low)
         columns = [doc[low], (at[low] & 0xFFFFFFFF).astype(np.int32), start.astype(np.int32), (end - start).astype(np.int32), first_doc[low], (first_at[low] & 0xFFFFFFFF).astype(np.int32), kept[low]]
         yield pa.record_batch([pa.array(x) for x in columns], names=[x.split()[0] for x in SPANS.split(", ")])
 
@@ -173,7 +213,9 @@ def repeated_passages(docs: DataFrame, size: int = 50, often: int = 20_000, few:
     MinHash of one row), equal windows have an equal one, and windows whose key occurs in two documents are compared in
     full. Windows of keys that over ``often`` windows have are summed before they are shuffled, and if at most ``few`` of them
     differ, looked up without a shuffle and gathered to passages. Successive windows whose first
-    occurrences (by doc_id and place) are successive too make one row; kept says that it is itself the first occurrence.
+    occurrences (by doc_id and place) are successive too make one row; kept says that it is itself the first occurrence. So do
+    those whose first occurrences return among those before in the row: a text that repeats itself is one row, which
+    may be longer than the passage where its windows occur first.
 
     Null and empty texts have no words; texts of any length are read whole. Rows with a null doc_id are passed over; rows that
     repeat a doc_id are one document. An empty table gives none. Extra columns are ignored.

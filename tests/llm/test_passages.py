@@ -98,3 +98,48 @@ def test_common_passage_makes_a_row_for_each_copy(spark, few):
     held = passages._common(every, few)
     assert held.agg({"n": "sum"}).first()[0] == 51 + 40 * 151
     assert held.count() == (51 + 40 * 151 if few == 0 else 1 + 40 * 2)
+
+
+@pytest.mark.parametrize(("often", "few"), [(0, 200_000), (0, 0), (20_000, 200_000)])
+@pytest.mark.parametrize("batch", [10_000, 7])
+def test_text_that_repeats_itself_makes_a_row_for_each_copy(spark, monkeypatch, often, few, batch):
+    rows, want = [], set()
+    for k in range(40):  # a pair of words 30 times or more: two windows of 50 words, again and again
+        before, pairs, after = " ".join(f"b{k}x{i}" for i in range(3 + k)), "p q " * (29 + k) + "p q", " ".join(f"a{k}x{i}" for i in range(k))
+        rows += [(k, f"{before}\n{pairs}\n{after}")] * (3 if k == 7 else 1)
+        if k:
+            want.add((k, 1, len(before) + 1, len(pairs), 0, 1, False))
+        else:  # of document 0 the first two windows are kept, the others repeat them
+            want |= {(0, 1, len(before) + 1, 2 * 51 - 1, 0, 1, True), (0, 1, len(before) + 5, len(pairs) - 4, 0, 1, False)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    held, common = [], passages._common
+    monkeypatch.setattr(passages, "_common", lambda rows, few: held.append(common(rows, few)) or held[0])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = [tuple(r) for r in passages.repeated_passages(docs, often=often, few=few).collect()]
+        made = held[0].count() if held else 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == len(want) and set(got) == want
+    if few and held and batch > 7:
+        assert made == 40 + 1 + 2
+
+
+def test_passages_do_not_depend_on_where_runs_are_cut():
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        where = np.cumsum(rng.choice([1, 1, 1, -1, -2, 4, 30], 40)) + 100  # first occurrences of successive windows
+        cut = lambda share: np.unique(np.concatenate([[0], np.flatnonzero(rng.random(40) < share)]))
+
+        def gathered(starts, at, stop, low, high):
+            near = np.arange(len(starts)) > 0
+            begin = np.flatnonzero(passages._begins(near, at, stop, low, high))
+            return at[begin], np.maximum.reduceat(stop, begin), low[begin], np.maximum.reduceat(high, begin)
+
+        each = np.arange(40)
+        whole = gathered(each, each, each + 1, where, where)
+        pieces = []
+        for part in np.split(each, cut(0.2)[1:]):
+            pieces.append(gathered(part, part, part + 1, where[part], where[part]))
+        joined = [np.concatenate(x) for x in zip(*pieces)]
+        assert all((a == b).all() for a, b in zip(whole, gathered(joined[0], *joined)))
