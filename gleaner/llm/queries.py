@@ -1,10 +1,10 @@
-"""The ten operators' queries over their whole tables, with production parameters, and SQL for those that SQL can express."""
+"""The operators' queries over their whole tables, with production parameters, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, embeddings, licenses, packing, paragraphs, pii, quality, sharding, simhash, url_filter
+from . import centroids, decontaminate, embeddings, licenses, packing, paragraphs, pii, quality, sharding, simhash, url_filter
 from .common import read
 
 
@@ -52,7 +52,11 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_substrings, op4_quality, op5_embeddings, op6_sharding, op7_licenses, op8_pii, op9_urls, op10_packing)}
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(read(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_substrings, op4_quality, op5_embeddings, op6_sharding, op7_licenses, op8_pii, op9_urls, op10_packing, op13_centroids)}
 
 
 def _licenses_sql() -> str:
@@ -123,4 +127,25 @@ _EMBEDDINGS = """
     from every left join counted using (r) left join least_of on a = vec_id"""
 
 
-SQL = {"op5_embeddings": _EMBEDDINGS, "op7_licenses": _licenses_sql(), "op9_urls": _urls_sql()}
+def _centroids_sql(number: int = 16, rounds: int = 3) -> str:
+    """Every vector against every centroid, dimension by dimension."""
+    apart = "list_sum(list_transform(range(1, 65), lambda i: (k.v[i] - c.v[i]) * (k.v[i] - c.v[i])))"
+    steps = []
+    for n in range(rounds + 1):
+        steps.append(f"near{n} as materialized (select r, min(struct_pack(d := {apart}, c := c.c)) as best from kept k, c{n} c group by r)")
+        sums = f"select best.c as c, i, sum(v[i]) as s, count(*) as n from near{n} join kept using (r), range(1, 65) as t(i) group by best.c, i"
+        means = f"select c, list(cast((s - ((s % n) + n) % n) // n as bigint) order by i) as v from ({sums}) group by c"
+        if n < rounds:
+            steps.append(f"c{n + 1} as materialized (select c{n}.c, coalesce(m.v, c{n}.v) as v from c{n} left join ({means}) m using (c))")
+    return f"""
+        with sound as (select vec_id, embedding as e from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        kept as materialized (select row_number() over () as r, vec_id, list_transform(e, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v from sound),
+        c0 as materialized (select cast(row_number() over (order by sha256('1:' || vec_id), v) - 1 as integer) as c, v from kept where vec_id is not null order by sha256('1:' || vec_id), v limit {number}),
+        {", ".join(steps)},
+        found as (select vec_id, best.c as cluster, cast(best.d as bigint) as distance from near{rounds} join kept using (r))
+        select vec_id, cluster, distance, cast(sum(distance) over (partition by cluster) as bigint) as cluster_inertia, cast(sum(distance) over () as bigint) as inertia,
+            sha256(array_to_string(c{rounds}.v, ',')) as centroid_sha256
+        from found join c{rounds} on c{rounds}.c = cluster"""
+
+
+SQL = {"op13_centroids": _centroids_sql(), "op5_embeddings": _EMBEDDINGS, "op7_licenses": _licenses_sql(), "op9_urls": _urls_sql()}
