@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import centroids, decontaminate, embeddings, licenses, packing, paragraphs, pii, quality, sharding, simhash, url_filter
+from . import centroids, decontaminate, embeddings, licenses, packing, paragraphs, pii, quality, ranking, sharding, simhash, url_filter
 from .common import read
 
 
@@ -52,11 +52,15 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"))
 
 
+def op11_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_substrings, op4_quality, op5_embeddings, op6_sharding, op7_licenses, op8_pii, op9_urls, op10_packing, op13_centroids)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_substrings, op4_quality, op5_embeddings, op6_sharding, op7_licenses, op8_pii, op9_urls, op10_packing, op11_ranking, op13_centroids)}
 
 
 def _licenses_sql() -> str:
@@ -148,4 +152,18 @@ def _centroids_sql(number: int = 16, rounds: int = 3) -> str:
         from found join c{rounds} on c{rounds}.c = cluster"""
 
 
-SQL = {"op13_centroids": _centroids_sql(), "op5_embeddings": _EMBEDDINGS, "op7_licenses": _licenses_sql(), "op9_urls": _urls_sql()}
+#: All documents against all items, by a join on terms.
+_RANKING = r"""
+    with terms as (select doc_id, row_number() over () as r, list_transform(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as w from documents),
+    asked as (select item_id, row_number() over () as q, unnest(list_transform(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) as term from benchmark),
+    total as (select count(*)::bigint as n_docs, sum(len(w))::bigint as n_terms from terms where len(w) > 0),
+    held as (select r, doc_id, len(w)::bigint as n, unnest(w) as term from terms where len(w) > 0),
+    counts as materialized (select r, doc_id, n, term, count(*)::bigint as tf from held group by all),
+    weights as (select term, floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1)))::bigint as w from counts, total group by term),
+    gains as (select r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * n_docs) // n_terms))) as gain from counts join weights using (term), total),
+    scores as (select q, item_id, r, doc_id, sum(gain)::bigint as score from asked join gains using (term) group by all),
+    ranked as (select item_id, cast(row_number() over (partition by q order by score desc, doc_id asc nulls last) as integer) as rank, doc_id, score from scores where score > 0)
+    select * from ranked where rank <= 20"""
+
+
+SQL = {"op11_ranking": _RANKING, "op13_centroids": _centroids_sql(), "op5_embeddings": _EMBEDDINGS, "op7_licenses": _licenses_sql(), "op9_urls": _urls_sql()}
