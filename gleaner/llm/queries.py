@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import centroids, decontaminate, embeddings, licenses, packing, paragraphs, pii, quality, ranking, sharding, simhash, url_filter
+from . import centroids, decontaminate, embeddings, licenses, main_text, packing, paragraphs, pii, quality, ranking, sharding, simhash, url_filter
 from .common import read
 
 
@@ -56,11 +56,15 @@ def op11_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.extract(read(spark, sf_dir, "pages"))
+
+
 def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_substrings, op4_quality, op5_embeddings, op6_sharding, op7_licenses, op8_pii, op9_urls, op10_packing, op11_ranking, op13_centroids)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_decontamination, op3_substrings, op4_quality, op5_embeddings, op6_sharding, op7_licenses, op8_pii, op9_urls, op10_packing, op11_ranking, op12_main_text, op13_centroids)}
 
 
 def _licenses_sql() -> str:
