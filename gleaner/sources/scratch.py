@@ -6,11 +6,17 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Callable
+from contextvars import ContextVar
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
-_LEFT: list[tuple[SparkSession, str]] = []
+#: Tables that are still there, and the path of each frame that ``written`` returned.
+_LEFT: dict[str, SparkSession] = {}
+_PATH: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+#: What the running ``settled`` has written so far. Each thread has a context of its own, and so do nested calls.
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
 
 
 def scratch(spark: SparkSession) -> str:
@@ -35,27 +41,43 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch(spark)}/gleaner/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    _LEFT.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    _LEFT[path] = spark
+    if (made := _MADE.get()) is not None:
+        made.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATH[out] = path
+    return out
 
 
 def settled(make: Callable[[], DataFrame], label: str) -> DataFrame:
-    """What ``make`` gives, written; the tables that were written on the way to it are deleted."""
-    before = {path for _, path in _LEFT}
-    out = written(make(), label)
-    own = _LEFT[-1][1]
-    for spark, path in [x for x in _LEFT if x[1] not in before and x[1] != own]:
-        delete(spark, path)
-        _LEFT.remove((spark, path))
+    """What ``make`` gives, written; the tables that this call wrote on the way to it are deleted.
+
+    Only its own: other threads, and calls around this one, keep theirs. Where ``make`` fails they go too.
+    """
+    made: list[str] = []
+    token = _MADE.set(made)
+    try:
+        out = written(make(), label)
+        made.remove(_PATH[out])
+    finally:
+        _MADE.reset(token)
+        for path in made:
+            _forget(path)
+    if (around := _MADE.get()) is not None:
+        around.append(_PATH[out])
     return out
 
 
 def forget(*tables: DataFrame) -> None:
-    """Deletes tables that ``written`` made and that no later step reads; others are left alone."""
+    """Deletes tables that ``written`` returned and that no later step reads; other frames are left alone."""
     for df in tables:
-        for spark, path in [x for x in _LEFT if any(x[1] in f for f in df.inputFiles()[:1])]:
-            delete(spark, path)
-            _LEFT.remove((spark, path))
+        if path := _PATH.get(df):
+            _forget(path)
+
+
+def _forget(path: str) -> None:
+    if spark := _LEFT.pop(path, None):
+        delete(spark, path)
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -65,7 +87,7 @@ def delete(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _clean() -> None:
-    for spark, path in _LEFT:
+    for path, spark in list(_LEFT.items()):
         try:
             delete(spark, path)
         except Exception:  # noqa: BLE001  the session has ended before: nothing is left to ask
