@@ -26,12 +26,13 @@ def shards(docs: DataFrame, count: int = 24, ranges_each: int = 64, samples_each
 
     Returns doc_id, size, text_crc32 (unsigned, of the UTF-8 bytes), law ('bytes'), shard, slot (gapless from 0 in each
     shard), grown_shard (null). A text of any length is one record. A null text has no bytes: size 8, and a group of its own beside the empty texts. Ties
-    and repeated rows get slots of their own. A null doc_id is kept. An empty table gives none. Extra columns are ignored.
+    and repeated rows get slots of their own, and a large group of them is cut like any other. A null doc_id is kept. An empty table gives none. Extra columns are ignored.
     """
     text = F.col("text").cast("string")
     slim = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + OVERHEAD).alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"), F.coalesce(F.md5(text.cast("binary")), F.lit("null")).alias("digest"),
+        F.monotonically_increasing_id().alias("row"),  # tells rows apart that are the same; fixed once it is written
     )
     slim = written(slim, "sizes")
     total = slim.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
@@ -40,8 +41,8 @@ def shards(docs: DataFrame, count: int = 24, ranges_each: int = 64, samples_each
     large = slim.groupBy("digest").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).where((F.col("bytes") > limit) & (F.col("n") > 1))
     large = large.select("digest", F.least(F.ceil(F.col("bytes") / limit), F.col("n")).cast("int").alias("parts"))
     keyed = slim.join(F.broadcast(large), "digest", "left")
-    part = F.coalesce(F.pmod(F.xxhash64("doc_id", "text_crc32"), F.col("parts")), F.lit(0)).cast("string")
-    keyed = written(keyed.select("doc_id", "size", "text_crc32", F.concat("digest", F.lit("-"), F.lpad(part, 6, "0")).alias("key")), "keyed")
+    part = F.coalesce(F.pmod(F.xxhash64("row"), F.col("parts")), F.lit(0)).cast("string")
+    keyed = written(keyed.select("doc_id", "row", "size", "text_crc32", F.concat("digest", F.lit("-"), F.lpad(part, 6, "0")).alias("key")), "keyed")
 
     ranges = count * ranges_each
     splitters = _sample(keyed, ranges * samples_each / max(total, 1), ranges)
@@ -62,7 +63,7 @@ def shards(docs: DataFrame, count: int = 24, ranges_each: int = 64, samples_each
         shard[r.range], slot[r.range] = at, filled
         bytes_before, filled = bytes_before + r.bytes, filled + r.n
     table = keyed.sparkSession.createDataFrame([(k, shard[k], slot[k]) for k in shard], "range int, shard int, first long")
-    ordered = Window.partitionBy("range").orderBy("key", "doc_id")
+    ordered = Window.partitionBy("range").orderBy("key", "doc_id", "row")
     numbered = placed.withColumn("nth", F.row_number().over(ordered))
     # A row for each range: count * ranges_each, and those that were subdivided.
     out = numbered.join(F.broadcast(table), "range")
@@ -70,8 +71,8 @@ def shards(docs: DataFrame, count: int = 24, ranges_each: int = 64, samples_each
 
 
 def _drawn(keyed: DataFrame, rate: float) -> F.Column:
-    """True with a chance of size * rate; the same rows each time."""
-    unit = F.pmod(F.xxhash64("doc_id", "key", F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    """True with a chance of size * rate; the same rows each time the table is read."""
+    unit = F.pmod(F.xxhash64("row", F.lit(7)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return unit < F.col("size") * F.lit(rate)
 
 
