@@ -80,22 +80,46 @@ def test_empty_benchmark(spark, docs):
     assert decontaminate.leaks(docs, none).count() == 0 and decontaminate.clean(docs, none).count() == docs.count()
 
 
+def units_of(text, width=5, size=50, short=25):
+    """Lines and windows of a text in which no line is long, told word by word: (first character, last, whole)."""
+    words_at, lines, at = [], [], 0
+    for line in text.split("\n"):
+        low = len(words_at)
+        for m in re.finditer(r"[A-Za-z0-9\x80-\U0010ffff]+", line):
+            words_at.append((at + m.start(), at + m.end(), m[0].lower() if m[0].isascii() else "".join(c.lower() if c.isascii() else c for c in m[0])))
+        if line:
+            lines.append((low, len(words_at), at, at + len(line)))
+        at += len(line) + 1
+    out, last, known = [], -width - 1, set()
+    for low, high, start, end in lines:
+        if high - low >= width:
+            out.append((start, end, [w for *_, w in words_at[low:high]], True))
+            known.add((low, high))
+    for low, high, *_ in lines:
+        if 0 < high - low < short:
+            begin = max(0, min(low, len(words_at) - width))
+            if begin - last > width:
+                last, stop = begin, min(begin + size, len(words_at))
+                if stop - begin >= width and (begin, stop) not in known:
+                    out.append((words_at[begin][0], words_at[stop - 1][1], [w for *_, w in words_at[begin:stop]], False))
+    return out
+
+
 def test_paragraph_clusters_are_components_of_all_pairs(docs, texts):
     lines, sets = [], []
     for k, t in texts.items():
-        for n, line in enumerate(x for x in t.encode().split(b"\n") if x):
-            w = line.translate(words.FOLD).split()
-            if len(w) >= 25:
-                lines.append((k, n))
-                sets.append(np.unique([hash(s) for s in _bag(w)]).astype(np.int64).view(np.uint64))
+        for start, end, w, whole in units_of(t):
+            lines.append((k, start, end - start, whole))
+            sets.append(np.unique([hash(s) for s in _bag([x.encode() for x in w])]).astype(np.int64).view(np.uint64))
     of = components(range(len(lines)), verify.similar_pairs([np.sort(s) for s in sets], 0.8))
     groups: dict[int, list] = {}
     for i, c in of.items():
         groups.setdefault(c, []).append(lines[i])
-    want = {p: min(g) for g in groups.values() if len({d for d, _ in g}) > 1 for p in g}
-    got = {(r.doc_id, r.para): ((r.cluster_doc, r.cluster_para), r.kept) for r in paragraphs.repeated_paragraphs(docs).collect()}
-    assert set(got) <= set(want) and len(got) >= 0.98 * len(want) > 0
-    assert sum(got[p][0] == want[p] for p in got) >= 0.98 * len(got) and all(kept == (first == p) for p, (first, kept) in got.items())
+    want = {p: min(g)[0] for g in groups.values() if len({d for d, *_ in g}) > 1 for p in g}
+    layout = paragraphs.Layout(long=1 << 30)
+    got = {(r.doc_id, r.start, r.length, r.whole): (r.cluster_doc, r.kept) for r in paragraphs.repeated_paragraphs(docs, layout).collect()}
+    assert set(got) <= set(want) and len(got) >= 0.98 * len(want) > 0 and {w for *_, w in got} == {True, False}
+    assert sum(got[p][0] == want[p] for p in got) >= 0.98 * len(got) and all(p[0] == first or not kept for p, (first, kept) in got.items())
 
 
 def test_model_is_the_solution_of_plain_normal_equations(spark, docs):
