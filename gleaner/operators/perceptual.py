@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import written
 from .components import connected_components
+from .hamming import hamming, links  # noqa: F401
 from .joins import lookup
 
 
@@ -24,10 +25,6 @@ def dhash(pixels: Column, at: int = 0, width: int = 9, height: int = 8) -> Colum
     return F.when(F.octet_length(pixels) < at + width * height, F.raise_error(F.lit("not enough pixels"))).otherwise(out)
 
 
-def hamming(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b))
-
-
 def prefix(h: Column) -> Column:
     return F.shiftrightunsigned(h, 48)
 
@@ -43,64 +40,66 @@ def video_key(bucket: int = 2) -> Column:
     return F.struct(length.alias("d"), aspect.alias("a"), prefix(F.col("hashes")[0]).alias("p"))
 
 
-def pairs(rows: DataFrame, key: Column, score: Column, similar: Column) -> DataFrame:
-    """``(key, left, right, score)`` of similar rows with one blocking key; score and similar speak of a.* and b.*."""
-    keyed = rows.withColumn("key", key)
-    joined = keyed.alias("a").join(keyed.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.path") < F.col("b.path")) & similar)
-    return joined.select(F.col("a.key").alias("key"), F.col("a.path").alias("left"), F.col("b.path").alias("right"), score.cast("int").alias("score"))
+def class_pairs(rows: DataFrame, key: Column | None, mark: str, total: int, frame: int, limit: int = 1024) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All similar pairs of ``rows(path, mark, ...)`` without writing out those of equal marks.
+
+    ``classes(key, hashes, rep, n)``: rows with one key and equal marks, n of them, the first path of which is rep; ``links(a, b,
+    pairs, score)``: the reps of similar classes (a before b) and how many pairs of rows they stand for; ``members(path, key, hashes)``.
+    A frame that occurs very often (a black one) is one class and not the square of its rows. ``mark`` is a hash or an array of hashes: classes with as
+    many are similar if each two differ in at most ``frame`` bits and all in ``total``; equal ones are, with score 0. Without a
+    ``key`` all are compared with all. Pairs are found by the index of ``hamming.links``, so that neither a common key nor
+    a missing one makes a task compare all. Rows without a mark take no part.
+    """
+    hashes = F.col(mark) if dict(rows.dtypes)[mark].startswith("array") else F.array(mark)
+    members = rows.where(F.col(mark).isNotNull()).select("path", (F.lit(0) if key is None else key).alias("key"), hashes.alias("hashes"))
+    members = written(members, "marks")
+    classes = written(members.groupBy("key", "hashes").agg(F.min("path").alias("rep"), F.count("*").alias("n")), "classes")
+    found = links(classes, total, frame, ["key"], limit)
+    n = lambda side: classes.select(F.col("rep").alias(side), F.col("n").alias(f"n_{side}"))
+    # A rep has as many links as there are marks near it: no one key of these joins holds a large part of all rows.
+    pairs = found.join(n("a"), "a").join(n("b"), "b").select("a", "b", (F.col("n_a") * F.col("n_b")).alias("pairs"), "score")
+    return classes, written(pairs, "links"), members
 
 
-def image_pairs(rows: DataFrame, threshold: int = 8) -> DataFrame:
-    """Images ``(path, h, width, height)`` whose hashes differ in at most ``threshold`` bits."""
-    score = hamming(F.col("a.h"), F.col("b.h"))
-    return pairs(rows, image_key(), score, score <= threshold)
+def image_links(rows: DataFrame, threshold: int = 8, blocking: str = "exact") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``class_pairs`` of images ``(path, h, width, height)`` whose hashes differ in at most ``threshold`` bits.
 
+    ``blocking`` is ``exact`` (those of similar shape whose first 16 bits agree) or ``none`` (all).
+    """
+    return class_pairs(rows, blocked(blocking, image_key()), "h", threshold, threshold)
 
-def video_similar(total: int, frame: int) -> tuple[Column, Column]:
-    """Score of two videos a.* and b.*, and whether they have as many frames and stay within both limits."""
-    each = F.zip_with("a.hashes", "b.hashes", hamming)
-    score = F.aggregate(each, F.lit(0), lambda s, x: s + x)
-    return score, (F.size("a.hashes") == F.size("b.hashes")) & (score <= total) & F.forall(each, lambda x: x <= frame)
 
+def video_links(rows: DataFrame, total: int = 32, frame: int = 12, bucket: int = 2, blocking: str = "exact") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``class_pairs`` of videos ``(path, hashes, width, height, duration)`` of as many frames, within a limit for each frame and for all."""
+    return class_pairs(rows, blocked(blocking, video_key(bucket)), "hashes", total, frame)
 
-def video_pairs(rows: DataFrame, total: int = 32, frame: int = 12, bucket: int = 2) -> DataFrame:
-    """Videos ``(path, hashes, width, height, duration)`` of as many frames, within a limit for each frame and for all."""
-    return pairs(rows, video_key(bucket), *video_similar(total, frame))
 
+def blocked(blocking: str, key: Column) -> Column | None:
+    if blocking not in ("exact", "none"):
+        raise ValueError(f"blocking is exact or none, not {blocking!r}")
+    return key if blocking == "exact" else None
 
-def class_pairs(rows: DataFrame, key: Column, mark: str, score: Column, similar: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """All similar pairs of ``rows(path, mark, ...)`` without writing out those of equal marks.
 
-    ``classes(key, mark, rep, n)``: rows with one key and equal marks, n of them, the first path of which is rep; ``links(a, b,
-    pairs, score)``: the reps of similar classes and how many pairs of rows they stand for; ``members(path, key, mark)``. A
-    frame that occurs very often (a black one) is one class and not the square of its rows. ``score`` and ``similar`` speak of the
-    marks a.* and b.*; equal marks are similar, with score 0. Rows without a mark take no part.
-    """
-    members = written(rows.select("path", key.alias("key"), mark).where(F.col(mark).isNotNull()), "marks")
-    classes = written(members.groupBy("key", mark).agg(F.min("path").alias("rep"), F.count("*").alias("n")), "classes")
-    met = classes.alias("a").join(classes.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col(f"a.{mark}") < F.col(f"b.{mark}")) & similar)
-    links = written(met.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), (F.col("a.n") * F.col("b.n")).alias("pairs"), score.cast("int").alias("score")), "similar")
-    return classes, links, members
+def named_members(classes: DataFrame, members: DataFrame) -> DataFrame:
+    """``(path, rep)``: the class of every row, by its first path. A common mark burdens no task."""
+    return lookup(members, classes.select("key", "hashes", "rep"), ["key", "hashes"]).select("path", "rep")
 
 
-def clusters(rows: DataFrame, key: Column, mark: str, score: Column, similar: Column) -> tuple[DataFrame, DataFrame]:
-    """Components of similar pairs of ``rows(path, mark, ...)``: ``(first_path, n_paths, pairs, min_score, max_score)`` and their members ``(first_path, path)``."""
-    classes, edges, keyed = class_pairs(rows, key, mark, score, similar)
+def clusters(classes: DataFrame, edges: DataFrame, keyed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Components of what ``class_pairs`` gives: ``(first_path, n_paths, pairs, min_score, max_score)`` and their members ``(first_path, path)``."""
     named = written(connected_components(edges.select("a", "b")), "named")
-    labelled = classes.join(named.withColumnRenamed("node", "rep"), "rep", "left").select("key", mark, "n", F.coalesce("component", "rep").alias("first_path"))
+    labelled = classes.join(named.withColumnRenamed("node", "rep"), "rep", "left").select("key", "hashes", "n", F.coalesce("component", "rep").alias("first_path"))
     within = labelled.where("n > 1").select("first_path", F.expr("n * (n - 1) div 2").alias("pairs"), F.lit(0).alias("score"))
     across = edges.join(named.withColumnRenamed("node", "a"), "a").select(F.col("component").alias("first_path"), "pairs", "score")
     summed = within.union(across).groupBy("first_path").agg(F.sum("pairs").alias("pairs"), F.min("score").alias("min_score"), F.max("score").alias("max_score"))
     sized = written(summed.join(labelled.groupBy("first_path").agg(F.sum("n").alias("n_paths")), "first_path"), "summary")
-    of = written(labelled.join(sized.select("first_path"), "first_path", "left_semi").select("key", mark, "first_path"), "members")
-    return sized.select("first_path", "n_paths", "pairs", "min_score", "max_score"), lookup(keyed, of, ["key", mark]).select("first_path", "path")
+    of = written(labelled.join(sized.select("first_path"), "first_path", "left_semi").select("key", "hashes", "first_path"), "members")
+    return sized.select("first_path", "n_paths", "pairs", "min_score", "max_score"), lookup(keyed, of, ["key", "hashes"]).select("first_path", "path")
 
 
-def image_clusters(rows: DataFrame, threshold: int = 8) -> tuple[DataFrame, DataFrame]:
-    score = hamming(F.col("a.h"), F.col("b.h"))
-    return clusters(rows, image_key(), "h", score, score <= threshold)
+def image_clusters(rows: DataFrame, threshold: int = 8, blocking: str = "exact") -> tuple[DataFrame, DataFrame]:
+    return clusters(*image_links(rows, threshold, blocking))
 
 
-def video_clusters(rows: DataFrame, total: int = 32, frame: int = 12, bucket: int = 2) -> tuple[DataFrame, DataFrame]:
-    score, similar = video_similar(total, frame)
-    return clusters(rows, video_key(bucket), "hashes", score, similar)
+def video_clusters(rows: DataFrame, total: int = 32, frame: int = 12, bucket: int = 2, blocking: str = "exact") -> tuple[DataFrame, DataFrame]:
+    return clusters(*video_links(rows, total, frame, bucket, blocking))

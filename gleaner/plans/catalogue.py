@@ -92,19 +92,47 @@ def dhash(spark, sf_dir):
     return frames(spark, sf_dir).select(F.col("ino").alias("doc_id"), F.col("h").alias("dhash"))
 
 
+def _links(found):
+    return found.select(F.col("a").alias("left"), F.col("b").alias("right"), "score", "pairs")
+
+
+def clips(spark, sf_dir):
+    f = sized(once(files(spark, sf_dir).where("size >= 288"), hashes=F.array(*[perceptual.dhash(F.col("content"), 72 * i) for i in range(4)])))
+    return f.select("path", "hashes", "width", "height", (F.col("size") / 500.0).alias("duration"))
+
+
 def image_pairs(spark, sf_dir):
-    return perceptual.image_pairs(frames(spark, sf_dir)).select("left", "right", "score")
+    """Classes of equal frames of one block that are similar: their first paths, and the pairs of images that they stand for."""
+    return _links(perceptual.image_links(frames(spark, sf_dir))[1])
 
 
 def video_pairs(spark, sf_dir):
-    f = sized(once(files(spark, sf_dir).where("size >= 288"), hashes=F.array(*[perceptual.dhash(F.col("content"), 72 * i) for i in range(4)])))
-    return perceptual.video_pairs(f.select("path", "hashes", "width", "height", (F.col("size") / 500.0).alias("duration"))).select("left", "right", "score")
+    return _links(perceptual.video_links(clips(spark, sf_dir))[1])
+
+
+def image_links(spark, sf_dir):
+    """The same of all frames, whatever their blocks."""
+    return _links(perceptual.image_links(frames(spark, sf_dir), blocking="none")[1])
+
+
+def image_members(spark, sf_dir):
+    """The class of every frame, whatever its block: pairs of one class have score 0."""
+    classes, _, members = perceptual.image_links(frames(spark, sf_dir), blocking="none")
+    return perceptual.named_members(classes, members)
+
+
+def video_links(spark, sf_dir):
+    return _links(perceptual.video_links(clips(spark, sf_dir), blocking="none")[1])
 
 
 def clusters(spark, sf_dir):
     return perceptual.image_clusters(frames(spark, sf_dir))[0]
 
 
+def cluster_members(spark, sf_dir):
+    return perceptual.image_clusters(frames(spark, sf_dir))[1]
+
+
 def stored(spark, sf_dir):
     """What an earlier run has left: some files under another path, some with another time, some without a quick digest."""
     f = files(spark, sf_dir)
@@ -238,7 +266,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         inventory, kind_counts, size_groups, size_candidates, quick_offsets, quick_candidates, full_candidates, exact_duplicates, survivors, run_stats, dhash, image_pairs,
-        video_pairs, clusters, cache_lookup, cache_hits, cache_merge, cache_prune, name_parse, safe_titles, organizer_canonical, organizer_plan, organizer_versions, organizer_state, organizer_summary,
+        video_pairs, image_links, image_members, video_links, clusters, cluster_members, cache_lookup, cache_hits, cache_merge, cache_prune, name_parse, safe_titles, organizer_canonical, organizer_plan, organizer_versions, organizer_state, organizer_summary,
     )
 }
 
@@ -247,6 +275,10 @@ IMAGES = f"""{FILES}, frames as (select path, ino, {DHASH(0)} as h, {WIDTH} as w
     pairs as (select a.path as "left", b.path as "right", bit_count(xor(a.h, b.h))::int as score from frames a join frames b on a.width // 64 = b.width // 64 and a.height // 64 = b.height // 64
         and {PREFIX('a.h')} = {PREFIX('b.h')} and a.path < b.path where bit_count(xor(a.h, b.h)) <= 8)"""
 EACH = [f"bit_count(xor(a.f{i}, b.f{i}))::int" for i in range(4)]
+CLIPS = f"{FILES}, clips as (select path, {', '.join(f'{DHASH(72 * i)} as f{i}' for i in range(4))}, {WIDTH} as width, {HEIGHT} as height, size / 500.0::double as duration from files where size >= 288)"
+#: Classes of equal marks within a block, and all pairs of unlike ones.
+LINKED = lambda marks, block, table, score, more, most: f""", marked as (select path, {marks}, ({block}) as block from {table}), classes as (select {marks}, block, min(path) as rep, count(*) as n from marked group by all)
+    select a.rep as "left", b.rep as "right", ({score})::int as score, a.n * b.n as pairs from classes a join classes b on a.block = b.block and a.rep < b.rep where {score} <= {most} and {more}"""
 SQL = {
     "inventory": f"with {FILES} select path, size, mtime_ns, case ino % 4 when 0 then '.txt' when 1 then '.jpg' when 2 then '.mp4' else '.mkv' end as extension, {KIND.replace('doc_id', 'ino')} as kind from files",
     "kind_counts": f"select {KIND} as kind, count(*) as files, sum(strlen(text))::bigint as bytes from documents group by 1",
@@ -262,13 +294,16 @@ SQL = {
         select count(*) as files_scanned, count(*) filter (a > 1) as size_candidates, count(*) filter (b > 1) as quick_candidates, count(*) filter (c > 1) as full_candidates, count(*) filter (nth > 1) as moved,
         coalesce(sum(case when a > 1 then sampled else 0 end) + sum(case when b > 1 then size else 0 end), 0)::bigint as bytes_read_exact, coalesce(sum(case when nth > 1 then 2 * size else 0 end), 0)::bigint as bytes_read_verify from n""",
     "dhash": f"with {FILES} select ino as doc_id, {DHASH(0)} as dhash from files where size >= 72",
-    "image_pairs": f"with {IMAGES} select * from pairs",
-    "video_pairs": f"""with {FILES}, clips as (select path, {', '.join(f'{DHASH(72 * i)} as f{i}' for i in range(4))}, {WIDTH} as width, {HEIGHT} as height, size / 500.0::double as duration from files where size >= 288)
-        select a.path as "left", b.path as "right", ({' + '.join(EACH)})::int as score from clips a join clips b on floor(a.duration / 2) = floor(b.duration / 2) and round_even(a.width / a.height * 10, 0) = round_even(b.width / b.height * 10, 0)
-        and {PREFIX('a.f0')} = {PREFIX('b.f0')} and a.path < b.path where {' + '.join(EACH)} <= 32 and greatest({', '.join(EACH)}) <= 12""",
+    "image_pairs": f"with {IMAGES} {LINKED('h', 'width // 64, height // 64, ' + PREFIX('h'), 'frames', 'bit_count(xor(a.h, b.h))', 'true', 8)}",
+    "image_links": f"with {IMAGES} {LINKED('h', '1', 'frames', 'bit_count(xor(a.h, b.h))', 'true', 8)}",
+    "image_members": f"with {IMAGES} select path, min(path) over (partition by h) as rep from frames",
+    "video_pairs": f"with {CLIPS} {LINKED('f0, f1, f2, f3', f"floor(duration / 2), round_even(width / height * 10, 0), {PREFIX('f0')}", 'clips', ' + '.join(EACH), f"greatest({', '.join(EACH)}) <= 12", 32)}",
+    "video_links": f"with {CLIPS} {LINKED('f0, f1, f2, f3', '1', 'clips', ' + '.join(EACH), f"greatest({', '.join(EACH)}) <= 12", 32)}",
     "clusters": f"""with recursive {IMAGES}, e as (select "left" as a, "right" as b from pairs union select "right", "left" from pairs), reach as (select a, b from e union select r.a, e.b from reach r join e on r.b = e.a),
         named as (select a, least(a, min(b)) as first_path from reach group by a), n as (select first_path, count(*) as n_paths from named group by 1)
         select first_path, n_paths, count(*) as pairs, min(score) as min_score, max(score) as max_score from pairs join named on "left" = a join n using (first_path) group by 1, 2""",
+    "cluster_members": f"""with recursive {IMAGES}, e as (select "left" as a, "right" as b from pairs union select "right", "left" from pairs), reach as (select a, b from e union select r.a, e.b from reach r join e on r.b = e.a)
+        select a as path, least(a, min(b)) as first_path from reach group by a""",
     "cache_lookup": f"with {CACHE} select n.path, o.quick_hash is not null as hit from fresh n left join stored o using (path, size, mtime_ns, dev, ino)",
     "cache_hits": f"with {CACHE}, l as (select o.quick_hash as q from fresh n left join stored o using (path, size, mtime_ns, dev, ino)) select count(q) as hits, count(*) - count(q) as misses, count(q) / count(*) as hit_ratio from l",
     "cache_merge": f"with {CACHE} select * from merged",

@@ -50,8 +50,8 @@ def test_pairs_need_one_prefix_and_clusters_are_transitive(spark):
     h = 0x0F0F << 40
     rows = [("/1", h, 640, 480), ("/2", h ^ 0x0F, 640, 480), ("/3", h ^ 0xFF, 640, 480), ("/4", h ^ -(1 << 63), 640, 480)]
     df = spark.createDataFrame(rows, "path string, h long, width int, height int")
-    found = perceptual.image_pairs(df, 4)
-    assert {(r.left, r.right, r.score) for r in found.collect()} == {("/1", "/2", 4), ("/2", "/3", 4)}
+    found = perceptual.image_links(df, 4)[1]
+    assert {(r.a, r.b, r.score) for r in found.collect()} == {("/1", "/2", 4), ("/2", "/3", 4)}
     found, members = perceptual.image_clusters(df, 4)
     assert [(x.first_path, x.n_paths, x.pairs, x.min_score, x.max_score) for x in found.collect()] == [("/1", 3, 2, 4, 4)]
     assert sorted(map(tuple, members.collect())) == [("/1", "/1"), ("/1", "/2"), ("/1", "/3")]
@@ -157,8 +157,7 @@ def test_frames_of_other_shapes(spark):
 def test_pairs_of_a_common_frame_are_counted_not_written(spark):
     rows = [(f"/{i:03}", 7 if i else 6, 640, 480) for i in range(200)]
     df = spark.createDataFrame(rows, "path string, h long, width int, height int")
-    score = perceptual.hamming(F.col("a.h"), F.col("b.h"))
-    classes, links, members = perceptual.class_pairs(df, perceptual.image_key(), "h", score, score <= 8)
+    classes, links, members = perceptual.image_links(df)
     assert sorted((r.rep, r.n) for r in classes.collect()) == [("/000", 1), ("/001", 199)] and members.count() == 200
     assert [(r.pairs, r.score) for r in links.collect()] == [(199, 1)]
     told = perceptual.image_clusters(df)[0].first()
