@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.joins import lookup  # noqa: F401  the operators take these from here
+from ..operators.joins import beside, lookup  # noqa: F401  the operators take these from here
 from ..sources.scratch import forget, settled, written  # noqa: F401
 
 
@@ -41,19 +41,6 @@ def empty_text() -> F.Column:
     return F.coalesce(F.col("text"), F.lit(""))
 
 
-def beside(rows: DataFrame, large: DataFrame, keys: list[str], few: int = 100_000) -> DataFrame:
-    """``rows`` left-joined with ``large``, a written list of the keys of large groups with their rows ``_n``.
-
-    The list is broadcast while it is counted to have at most ``few`` rows; of a longer one the largest groups are, so that
-    no large group goes to one task of the join with the others.
-    """
-    if large.count() <= few:
-        return rows.join(F.broadcast(large.drop("_n")), keys, "left")
-    floor = large.agg(F.sum("_n")).first()[0] // max(few, 1)
-    largest, others = (F.broadcast(large.where(F.col("_n") > floor).drop("_n")), large.where(F.col("_n") <= floor).drop("_n"))  # fewer than few are over the floor
-    return rows.join(largest, keys).unionByName(rows.join(largest.select(*keys), keys, "left_anti").join(others, keys, "left"))
-
-
 def chunk_pairs(rows: DataFrame, keys: list[str], ident: str, limit: int, weight: str | None = None, most: int = 1 << 19, few: int = 100_000) -> DataFrame:
     """``rows`` with columns lo, hi, own: groups of ``keys`` with over ``limit`` rows become blocks of two chunks each.
 
