@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 from ..operators.components import Forest
 
 COLUMNS = 4096
+#: Groups of so many members are compared pair by pair, and rows that a task looks at together, whole groups at a time.
+FEW, TOGETHER = 12, 1024
 
 
 def distinct_groups(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -31,31 +34,50 @@ def similar_edges(groups: DataFrame, sets: DataFrame, threshold: float) -> DataF
     """
     kind = dict(sets.dtypes)["id"]
 
-    def compare(table: pa.Table) -> pa.Table:
-        ids = table["id"].to_pylist()
-        members = [np.frombuffer(x, "<u8") for x in table["shingles"].to_pylist()]
-        near, a, b = Forest(), [], []
-        for i, j in similar_pairs(members, threshold):
-            if near.join(i, j):
-                a.append(ids[i])
-                b.append(ids[j])
-        as_id = table.schema.field("id").type
-        return pa.table({"a": pa.array(a, as_id), "b": pa.array(b, as_id)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, members, bounds in whole_groups(batches):
+            a, b = [], []
+            for low, high in bounds:
+                near = Forest()
+                for i, j in similar_pairs(members[low:high], threshold):
+                    if near.join(i, j):
+                        a.append(ids[low + i])
+                        b.append(ids[low + j])
+            yield pa.record_batch([pa.array(a, pa.string() if kind == "string" else pa.int64()), pa.array(b, pa.string() if kind == "string" else pa.int64())], names=["a", "b"])
 
-    return groups.join(sets, "id").groupBy("g").applyInArrow(compare, f"a {kind}, b {kind}")
+    rows = groups.join(sets, "id").select("g", "id", "shingles")
+    return rows.repartition("g").sortWithinPartitions("g").mapInArrow(run, f"a {kind}, b {kind}")
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray], list[tuple[int, int]]]]:
+    """Ids, sets and the bounds of the groups among them, of rows ``(g, id, shingles)`` sorted by g; no group is in two yields."""
+    last, ids, sets, bounds = None, [], [], []
+    for b in batches:
+        for g, i, x in zip(*(c.to_pylist() for c in b.columns)):
+            if g != last:
+                if len(ids) >= TOGETHER:
+                    yield ids, sets, list(zip(bounds, [*bounds[1:], len(ids)]))
+                    ids, sets, bounds = [], [], []
+                bounds.append(len(ids))
+                last = g
+            ids.append(i)
+            sets.append(np.frombuffer(x, "<u8"))
+    if ids:
+        yield ids, sets, list(zip(bounds, [*bounds[1:], len(ids)]))
 
 
 def similar_pairs(members: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
     """All pairs i < j of sets whose Jaccard similarity is at least the threshold."""
-    sizes = np.array([len(m) for m in members], np.int64)
-    if len(members) <= 8:
-        out = []
+    if len(members) <= FEW:
+        out, held = [], [frozenset(m.tolist()) for m in members]
         for i, j in itertools.combinations(range(len(members)), 2):
-            if min(sizes[i], sizes[j]) >= threshold * max(sizes[i], sizes[j]):
-                both = len(np.intersect1d(members[i], members[j], assume_unique=True))
-                if both >= threshold * (sizes[i] + sizes[j] - both):
+            n, m = len(held[i]), len(held[j])
+            if min(n, m) >= threshold * max(n, m):
+                both = len(held[i] & held[j])
+                if both >= threshold * (n + m - both):
                     out.append((i, j))
         return out
+    sizes = np.array([len(m) for m in members], np.int64)
     shingles, at = np.unique(np.concatenate(members), return_inverse=True)
     of = np.repeat(np.arange(len(members)), sizes)
     both = np.zeros((len(members), len(members)), np.float32)
