@@ -17,7 +17,7 @@ from .passages import repeated_passages
 from .verify import distinct_groups, similar_edges
 from .words import BASE, Chunk, Grams, chunks, mixed
 
-PARAGRAPHS = "doc_id long, para int, start int, length int, whole boolean, id long, bands array<long>"
+PARAGRAPHS = "doc_id long, para int, start int, length int, whole boolean, id long"
 
 
 def permutations(n: int, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
@@ -108,12 +108,12 @@ def paragraphs(docs: DataFrame, layout: Layout, n_bands: int, rows: int) -> Data
                 if not len(x.id):
                     continue
                 keys = all_bands(*x.shingles(c, layout.width), a, b, rows)
-                listed = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, n_bands, dtype=np.int32), pa.array(keys.ravel()))
                 start, length = c.chars[x.start] - c.chars[c.offsets[x.doc]], c.chars[x.end] - c.chars[x.start]
                 places = [pa.array(v.astype(np.int32)) for v in (x.para, start, length)]
-                yield pa.record_batch([ids.take(pa.array(first + x.doc)), *places, pa.array(x.whole), pa.array(x.id), listed], names=[f.split()[0] for f in PARAGRAPHS.split(", ")])
+                yield pa.record_batch([ids.take(pa.array(first + x.doc)), *places, pa.array(x.whole), pa.array(x.id), *map(pa.array, np.ascontiguousarray(keys.T))], names=[f.split()[0] for f in schema.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PARAGRAPHS)
+    schema = ", ".join([PARAGRAPHS, *[f"b{k} long" for k in range(n_bands)]])
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
 def shingle_sets(docs: DataFrame, layout: Layout) -> DataFrame:
@@ -149,19 +149,21 @@ def repeated_paragraphs(docs: DataFrame, layout: Layout = Layout(), threshold: f
     is passed over. Of equal paragraphs in one document each is a row. An empty table gives none. Extra columns are ignored.
     """
     every = written(paragraphs(docs.where("doc_id is not null"), layout, n_bands, rows), "paragraphs")
-    banded = every.select("id", F.explode("bands").alias("band"))
+    bands = [f"b{k}" for k in range(n_bands)]
+    once = written(every.groupBy("id").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), *[F.first(b).alias(b) for b in bands]), "classes")
+    banded = once.select("id", F.explode(F.array(*bands)).alias("band"))
     across = banded.groupBy("band").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")  # unlike paragraphs meet there
-    banded = written(lookup(banded, written(across.select("band"), "bands"), ["band"]).distinct(), "banded")
+    banded = written(lookup(banded, written(across.select("band"), "bands"), ["band"]), "banded")
     pairs = written(distinct_groups(chunk_pairs(banded, ["band"], "id", group_limit), ["band", "lo", "hi"]), "groups")
     # Shingles are made for colliding classes alone, again from the text of their first occurrences.
-    colliding = written(every.join(pairs.select("id").distinct(), "id", "left_semi").groupBy("id").agg(F.min("doc_id").alias("doc_id")), "colliding")
+    colliding = written(once.join(pairs.select("id").distinct(), "id", "left_semi").select("id", F.col("low").alias("doc_id")), "colliding")
     n = colliding.count()  # 16 bytes each: broadcast only while they are few
     held = F.broadcast(colliding) if n <= few else colliding
     texts = docs.select("doc_id", "text").join(held.select("doc_id"), "doc_id", "left_semi")
     sets = shingle_sets(texts, layout).join(held.select("id"), "id", "left_semi").groupBy("id").agg(F.first("shingles").alias("shingles"))
     named = connected_components(similar_edges(pairs, sets, threshold)).select(F.col("node").alias("id"), "component")
 
-    classes = every.groupBy("id").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).join(named, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    classes = once.select("id", "low", "high").join(named, "id", "left").withColumn("component", F.coalesce("component", "id"))
     clusters = classes.groupBy("component").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("component")
     of = written(classes.select("id", "component").join(clusters, "component").select("id", "component"), "clusters")
     found = written(lookup(every.select("doc_id", "para", "start", "length", "whole", "id"), of, ["id"]).drop("id"), "found")
