@@ -1,13 +1,15 @@
-"""The signature store: a keyed snapshot of digests, looked up by identity, merged and pruned."""
+"""The signature store: digests by path, looked up by identity, merged and pruned; kept between runs as a log."""
 
 from __future__ import annotations
 
 from functools import reduce
-from operator import or_
+from operator import and_, or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.log import Log
+
 IDENTITY = ["size", "mtime_ns", "dev", "ino"]
 SIGNATURES = ["quick_hash", "full_hash", "media_sig", "media_meta"]
 SCHEMA = "path string, size long, mtime_ns long, dev long, ino long, quick_hash string, full_hash string, media_sig string, media_meta string, last_seen_run string"
@@ -46,3 +48,14 @@ def prune(store: DataFrame, run: str, roots: list[str] | None = None) -> DataFra
         below = [(F.col("path") == top) | F.startswith("path", F.lit(top + "/")) for top in tops]
         kept = kept | ~reduce(or_, below)
     return store.where(kept)
+
+
+def fold(before: Column, now: Column) -> dict[str, Column]:
+    """What ``merge`` says of two rows of one path, as a fold of the log: the same identity keeps what the newer one doesn't know."""
+    same = reduce(and_, [before[c].eqNullSafe(now[c]) for c in IDENTITY])
+    return {c: F.when(same, F.coalesce(now[c], before[c])).otherwise(now[c]) for c in SIGNATURES}
+
+
+def opened(spark: SparkSession, path: str, **options) -> Log:
+    """The signature store in a folder."""
+    return Log(spark, path, SCHEMA, "path", fold, **options)

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.digest import sample_offsets
+from ..functions.digest import full_blake2b, quick_blake2b, sample_offsets
 from ..functions.text import kind, once, safe_title, split_extension
 from ..operators import exact, organizer, perceptual, store
+from ..operators.numbering import numbered
+from ..sources.scratch import folder
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,6 +131,12 @@ def clusters(spark, sf_dir):
     return perceptual.image_clusters(frames(spark, sf_dir))[0]
 
 
+def cluster_numbers(spark, sf_dir):
+    """Clusters numbered over all in the order of their first paths, with the paths that they and those before them hold."""
+    found = numbered(clusters(spark, sf_dir).select("first_path", "n_paths"), ["first_path"], "n", {"paths_so_far": F.col("n_paths")})
+    return found.select(F.concat(F.lit("media-"), F.col("n").cast("string")).alias("cluster_id"), "first_path", "n_paths", "paths_so_far")
+
+
 def cluster_members(spark, sf_dir):
     return perceptual.image_clusters(frames(spark, sf_dir))[1]
 
@@ -168,6 +176,40 @@ def cache_prune(spark, sf_dir):
     return store.prune(cache_merge(spark, sf_dir), "run-2").select("path", "quick_hash")
 
 
+def later(spark, sf_dir):
+    """What a third run sees: some of the files, some of them changed since."""
+    f, none = files(spark, sf_dir).where("ino % 3 = 0"), F.lit(None).cast("string")
+    path = F.when(F.col("ino") % 11 == 0, F.concat(F.lit("/new"), F.col("path"))).otherwise(F.col("path"))
+    full = F.when(F.col("ino") % 4 == 0, F.concat(F.lit("t"), F.col("ino").cast("string")))
+    return f.select(path.alias("path"), "size", (F.col("mtime_ns") + F.when(F.col("ino") % 13 == 0, 5).otherwise(0)).alias("mtime_ns"), "dev", "ino", none.alias("quick_hash"), full.alias("full_hash"), none.alias("media_sig"), none.alias("media_meta"), F.lit("run-3").alias("last_seen_run"))
+
+
+def _log(spark, sf_dir):
+    """The store as a log of three runs; the third one ends what lies below /src1 and it has not seen."""
+    log = store.opened(spark, folder(spark, "log"), buckets=16)
+    log.append(stored(spark, sf_dir))
+    log.append(current(spark, sf_dir).withColumn("last_seen_run", F.lit("run-2")))
+    log.append(later(spark, sf_dir), prune=True, roots=["/src1", "/old/src1"])
+    return log
+
+
+def cache_log(spark, sf_dir):
+    return _log(spark, sf_dir).read().select("path", "size", "mtime_ns", "ino", "quick_hash", "full_hash", "last_seen_run")
+
+
+def cache_log_lookup(spark, sf_dir):
+    asked = files(spark, sf_dir).where("ino % 17 = 0").select("path")
+    return _log(spark, sf_dir).lookup(asked).select("path", "mtime_ns", "quick_hash", "full_hash")
+
+
+def blake_groups(spark, sf_dir):
+    """Groups of equal size and equal BLAKE2b digests of samples and of whole contents: their members and the first of them."""
+    f = files(spark, sf_dir)
+    signed = f.select("path", "size", quick_blake2b(F.col("content"), F.col("size"), 64).alias("quick"), full_blake2b(F.col("content")).alias("full"))
+    again = signed.groupBy("size", "quick", "full").agg(F.min("path").alias("first_path"), F.count("*").alias("n_paths")).where("n_paths > 1")
+    return signed.join(again, ["size", "quick", "full"]).select("path", "first_path", "n_paths", F.length("quick").alias("quick_digits"), F.length("full").alias("full_digits"))
+
+
 CACHE = f"""{FILES}, stored as (select case when ino % 5 = 0 then '/old' else '' end || path as path, size, mtime_ns + (case when ino % 7 = 0 then 1 else 0 end) as mtime_ns, dev, ino, case when ino % 3 <> 0 then 'q' || ino end as quick_hash, 'f' as full_hash from files),
     fresh as (select case when ino % 11 = 0 then '/new' else '' end || path as path, size, mtime_ns, dev, ino, case when ino % 2 = 0 then 'n' || ino end as quick_hash, null::varchar as full_hash from files),
     merged as (select coalesce(n.path, o.path) as path, coalesce(n.size, o.size) as size, coalesce(n.mtime_ns, o.mtime_ns) as mtime_ns, coalesce(n.ino, o.ino) as ino,
@@ -176,6 +218,15 @@ CACHE = f"""{FILES}, stored as (select case when ino % 5 = 0 then '/old' else ''
         case when n.path is null then 'run-1' else 'run-2' end as last_seen_run from stored o full join fresh n on o.path = n.path)"""
 
 
+#: A third run over what the first two have left; it ends what lies below /src1 and it has not seen.
+THIRD = f"""{CACHE}, again as (select case when ino % 11 = 0 then '/new' else '' end || path as path, size, mtime_ns + (case when ino % 13 = 0 then 5 else 0 end) as mtime_ns, ino, case when ino % 4 = 0 then 't' || ino end as full_hash from files where ino % 3 = 0),
+    thrice as (select coalesce(n.path, o.path) as path, coalesce(n.size, o.size) as size, coalesce(n.mtime_ns, o.mtime_ns) as mtime_ns, coalesce(n.ino, o.ino) as ino,
+        case when n.path is null or o.mtime_ns = n.mtime_ns then o.quick_hash end as quick_hash,
+        case when n.path is null then o.full_hash when o.mtime_ns = n.mtime_ns then coalesce(n.full_hash, o.full_hash) else n.full_hash end as full_hash,
+        case when n.path is null then o.last_seen_run else 'run-3' end as last_seen_run
+        from merged o full join again n on o.path = n.path where n.path is not null or not (starts_with(o.path, '/src1/') or starts_with(o.path, '/old/src1/')))"""
+
+
 def names(spark, sf_dir):
     """``part`` as media file names."""
     return spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr(f"{SPARK_NAME} as source", "cast(floor(p_retailprice) as bigint) as size", "p_partkey", "p_name", "p_size")
@@ -262,11 +313,18 @@ def organizer_summary(spark, sf_dir):
     return organizer_plan(spark, sf_dir).groupBy("status").agg(F.count("*").alias("files"))
 
 
+def organizer_progress(spark, sf_dir):
+    """The plan in its order, each row with the files processed and those put in order up to it."""
+    planned = organizer_plan(spark, sf_dir).join(parsed(spark, sf_dir).select("source", "dedupe_key"), "source")
+    told = numbered(planned, ["dedupe_key", "source"], "processed", {"organized": F.when(F.col("status") == "organized", 1)})
+    return told.select("source", "status", "processed", "organized")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         inventory, kind_counts, size_groups, size_candidates, quick_offsets, quick_candidates, full_candidates, exact_duplicates, survivors, run_stats, dhash, image_pairs,
-        video_pairs, image_links, image_members, video_links, clusters, cluster_members, cache_lookup, cache_hits, cache_merge, cache_prune, name_parse, safe_titles, organizer_canonical, organizer_plan, organizer_versions, organizer_state, organizer_summary,
+        video_pairs, image_links, image_members, video_links, clusters, cluster_members, cluster_numbers, cache_lookup, cache_hits, cache_merge, cache_prune, cache_log, cache_log_lookup, blake_groups, name_parse, safe_titles, organizer_canonical, organizer_plan, organizer_versions, organizer_state, organizer_progress, organizer_summary,
     )
 }
 
@@ -302,17 +360,24 @@ SQL = {
     "clusters": f"""with recursive {IMAGES}, e as (select "left" as a, "right" as b from pairs union select "right", "left" from pairs), reach as (select a, b from e union select r.a, e.b from reach r join e on r.b = e.a),
         named as (select a, least(a, min(b)) as first_path from reach group by a), n as (select first_path, count(*) as n_paths from named group by 1)
         select first_path, n_paths, count(*) as pairs, min(score) as min_score, max(score) as max_score from pairs join named on "left" = a join n using (first_path) group by 1, 2""",
+    "cluster_numbers": f"""with recursive {IMAGES}, e as (select "left" as a, "right" as b from pairs union select "right", "left" from pairs), reach as (select a, b from e union select r.a, e.b from reach r join e on r.b = e.a),
+        named as (select a, least(a, min(b)) as first_path from reach group by a), n as (select first_path, count(*) as n_paths from named group by 1)
+        select 'media-' || row_number() over (order by first_path) as cluster_id, first_path, n_paths, (sum(n_paths) over (order by first_path))::bigint as paths_so_far from n""",
     "cluster_members": f"""with recursive {IMAGES}, e as (select "left" as a, "right" as b from pairs union select "right", "left" from pairs), reach as (select a, b from e union select r.a, e.b from reach r join e on r.b = e.a)
         select a as path, least(a, min(b)) as first_path from reach group by a""",
     "cache_lookup": f"with {CACHE} select n.path, o.quick_hash is not null as hit from fresh n left join stored o using (path, size, mtime_ns, dev, ino)",
     "cache_hits": f"with {CACHE}, l as (select o.quick_hash as q from fresh n left join stored o using (path, size, mtime_ns, dev, ino)) select count(q) as hits, count(*) - count(q) as misses, count(q) / count(*) as hit_ratio from l",
     "cache_merge": f"with {CACHE} select * from merged",
     "cache_prune": f"with {CACHE} select path, quick_hash from merged where last_seen_run = 'run-2'",
+    "cache_log": f"with {THIRD} select path, size, mtime_ns, ino, quick_hash, full_hash, last_seen_run from thrice",
+    "cache_log_lookup": f"with {THIRD} select path, mtime_ns, quick_hash, full_hash from thrice where path in (select path from files where ino % 17 = 0)",
+    "blake_groups": f"with {FILES}, s as (select path, size, {QUICK(64)} as quick_sig, full_sig from files) select path, min(path) over w as first_path, count(*) over w as n_paths, 32 as quick_digits, 64 as full_digits from s qualify count(*) over w > 1 window w as (partition by size, quick_sig, full_sig)",
     "name_parse": f"with {NAMES} select source, title, year, season, episode, resolution_score, dedupe_key from keyed",
     "safe_titles": f"with {NAMES} select title, safe from keyed",
     "organizer_canonical": f"with {NAMES} select dedupe_key, source from ranked where rank = 1",
     "organizer_plan": f"with {NAMES} select * from planned",
     "organizer_versions": f"with {NAMES} select * from versions",
     "organizer_state": f"with {NAMES} select source, case when length(source) % 3 = 0 and length(source) % 2 = 0 then 'already-current' else status end as status from planned",
+    "organizer_progress": f"with {NAMES} select source, status, row_number() over (order by dedupe_key, source) as processed, (sum((status = 'organized')::int) over (order by dedupe_key, source))::bigint as organized from planned join keyed using (source)",
     "organizer_summary": f"with {NAMES} select status, count(*) as files from planned group by 1",
 }

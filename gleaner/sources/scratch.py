@@ -32,6 +32,13 @@ def scratch(spark: SparkSession) -> str:
     return shared.rstrip("/")
 
 
+def folder(spark: SparkSession, label: str) -> str:
+    """The name of a new folder there, which goes when the session ends."""
+    path = f"{scratch(spark)}/gleaner/{label}-{uuid.uuid4().hex}"
+    _LEFT[path] = spark
+    return path
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once as Parquet to the scratch folder and read again.
 
@@ -80,6 +87,11 @@ def _forget(path: str) -> None:
         delete(spark, path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def delete(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

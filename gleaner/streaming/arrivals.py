@@ -9,11 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.utils import AnalysisException
 
 from ..functions.text import mirrored
 from ..operators.joins import lookup
-from ..sources.scratch import forget, settled, written
+from ..sources.scratch import exists, forget, settled, written
 
 FILES = "path string, size long, mtime_ns long, content binary"
 SIGNATURES = "path string, size long, mtime_ns long, full_hash string"
@@ -21,10 +20,9 @@ SIGNATURES = "path string, size long, mtime_ns long, full_hash string"
 
 def signatures(spark: SparkSession, store: str, before: int | None = None) -> DataFrame:
     """``(path, size, mtime_ns, full_hash)`` as the newest batch that has seen each path says, of batches below ``before``."""
-    try:
-        rows = spark.read.schema(f"{SIGNATURES}, batch long").option("basePath", store).parquet(store)
-    except AnalysisException:  # nothing has been written yet
+    if not exists(spark, store):  # nothing has been written yet; a store that can't be read is an error
         return spark.createDataFrame([], SIGNATURES)
+    rows = spark.read.schema(f"{SIGNATURES}, batch long").option("basePath", store).parquet(store)
     if before is not None:
         rows = rows.where(F.col("batch") < before)
     newest = rows.groupBy("path").agg(F.max_by(F.struct("size", "mtime_ns", "full_hash"), "batch").alias("s"))
