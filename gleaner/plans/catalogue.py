@@ -371,7 +371,7 @@ SQL = {
     "cache_prune": f"with {CACHE} select path, quick_hash from merged where last_seen_run = 'run-2'",
     "cache_log": f"with {THIRD} select path, size, mtime_ns, ino, quick_hash, full_hash, last_seen_run from thrice",
     "cache_log_lookup": f"with {THIRD} select path, mtime_ns, quick_hash, full_hash from thrice where path in (select path from files where ino % 17 = 0)",
-    "blake_groups": f"with {FILES}, s as (select path, size, {QUICK(64)} as quick_sig, full_sig from files) select path, min(path) over w as first_path, count(*) over w as n_paths, 32 as quick_digits, 64 as full_digits from s qualify count(*) over w > 1 window w as (partition by size, quick_sig, full_sig)",
+    "blake_groups": f"with {FILES}, s as (select path, size, {QUICK(64)} as quick_sig, full_sig from files) select path, min(path) over w as first_path, count(*) over w as n_paths, 32 as quick_digits, 64 as full_digits from s window w as (partition by size, quick_sig, full_sig) qualify count(*) over w > 1",
     "name_parse": f"with {NAMES} select source, title, year, season, episode, resolution_score, dedupe_key from keyed",
     "safe_titles": f"with {NAMES} select title, safe from keyed",
     "organizer_canonical": f"with {NAMES} select dedupe_key, source from ranked where rank = 1",
