@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import written
+from .joins import lookup
 
 #: monotonically_increasing_id: the partition above this bit, the place in it below.
 PLACE = 33
@@ -35,3 +36,17 @@ def numbered(rows: DataFrame, order: list[str], name: str = "n", totals: dict[st
     for k in totals:
         out = out.withColumn(k, F.col(f"_before_{k}") + F.expr(f"sum(_{k}) over (partition by _part order by _place rows between unbounded preceding and current row)"))
     return out.select(*rows.columns, name, *totals)
+
+
+def within(rows: DataFrame, group: list[str], order: list[str], name: str = "n", totals: dict[str, Column] | None = None) -> DataFrame:
+    """``rows`` with their number within their group, in the order of the columns ``order``, and running sums within it of columns that are not negative.
+
+    The numbers over all, less those at which the group begins: a group of any size is many tasks' work.
+    """
+    totals = totals or {}
+    own = rows.select("*", *[F.coalesce(c, F.lit(0)).cast("long").alias(f"_own_{k}") for k, c in totals.items()])
+    every = written(numbered(own, [*group, *order], name, {k: F.col(f"_own_{k}") for k in totals}), "numbered")
+    starts = every.groupBy(*group).agg((F.min(name) - 1).alias("_first"), *[F.min(F.col(k) - F.col(f"_own_{k}")).alias(f"_start_{k}") for k in totals])
+    out = lookup(every, written(starts, "starts"), group)
+    less = [(F.col(k) - F.col(f"_start_{k}")).alias(k) for k in totals]
+    return out.select(*rows.columns, (F.col(name) - F.col("_first")).alias(name), *less)

@@ -8,6 +8,8 @@ from pyspark.sql.window import Window
 
 from ..functions.text import LIBRARY, base_name, once, safe_title, strip, suffix
 from ..sources.scratch import written
+from .joins import beside, lookup
+from .numbering import within
 
 # A title of one character or more, separators, two digits each for season and episode, four for a year.
 SHOW = r"(?diu)(.+?)[ ._-]+s(\d{2})e(\d{2})"
@@ -48,7 +50,7 @@ def canonical(records: DataFrame) -> DataFrame:
 
 def placed(records: DataFrame, target: str, duplicates: str = "Duplicates", unsorted: str = "Unsorted") -> DataFrame:
     """``records`` with base and duplicate: canonical files go to the library, the others to the duplicates folder."""
-    rows = records.join(canonical(records), "dedupe_key").withColumn("duplicate", F.col("source") != F.col("best"))
+    rows = lookup(records, written(canonical(records), "canonical"), ["dedupe_key"]).withColumn("duplicate", F.col("source") != F.col("best"))
     rows = once(rows, safe=safe_title(F.col("title")))
     t, two = F.col("safe"), lambda c: F.format_string("%02d", F.col(c))
     year = F.concat(t, F.lit(" ("), F.col("year").cast("string"), F.lit(")"))
@@ -79,28 +81,56 @@ def plan(records: DataFrame, target: str, duplicates: str = "Duplicates", unsort
     return versioned(rows, existing).select("source", "destination", status())
 
 
-def versions(paths: DataFrame) -> DataFrame:
-    """``(base, taken)``: for every name that ``paths(path)`` take, the sorted numbers of its versions; 1 is the name itself."""
+def taken_numbers(paths: DataFrame) -> DataFrame:
+    """``(base, n)``: for every name that ``paths(path)`` take, the numbers of its versions; 1 is the name itself."""
     name = r"(?s)^(.*) \(([1-9]\d{0,8})\)$"
     rows = paths.withColumn("ending", suffix(F.col("path"))).withColumn("stem", F.expr("left(path, length(path) - length(ending))"))
     n = F.try_to_number(F.regexp_extract("stem", name, 2), F.lit("999999999")).cast("int")
-    both = rows.select(F.col("path").alias("base"), F.lit(1).alias("n")).union(rows.select(F.concat(F.regexp_extract("stem", name, 1), F.expr("right(path, length(ending))")), n.alias("n")).where("n > 1"))
-    return both.groupBy("base").agg(F.array_sort(F.collect_set("n")).alias("taken"))
+    return rows.select(F.col("path").alias("base"), F.lit(1).alias("n")).union(rows.select(F.concat(F.regexp_extract("stem", name, 1), F.expr("right(path, length(ending))")), n.alias("n")).where("n > 1"))
 
 
-def versioned(rows: DataFrame, existing: DataFrame) -> DataFrame:
+def free_numbers(rows: DataFrame, existing: DataFrame, many: int = 10_000) -> DataFrame:
+    """``rows(base, dedupe_key, source, ...)`` with n: in the order of dedupe_key and source each row of a base has the next number that ``existing(path)`` leaves.
+
+    Bases with up to ``many`` rows and as many taken numbers are one group each. Those with more are numbered over ranges: a row's rank, and
+    behind it the taken numbers that come before its own. The k-th taken number t has t - k free ones below it, so that row r skips it if t - k < r.
+    """
+    taken = taken_numbers(existing).join(rows.select("base").distinct(), "base", "left_semi").distinct()
+    sizes = rows.groupBy("base").agg(F.count("*").alias("_n")).unionByName(taken.groupBy("base").agg(F.count("*").alias("_n"))).where(F.col("_n") > many)
+    large = written(sizes.groupBy("base").agg(F.sum("_n").alias("_n"), F.lit(True).alias("large")), "large")
+    if large.isEmpty():
+        return _by_base(rows, taken)
+    parts = [beside(x, large, ["base"]).withColumn("large", F.coalesce("large", F.lit(False))) for x in (rows, written(taken, "taken"))]
+    few, lots = ([x.where(F.col("large") == is_large).drop("large") for x in parts] for is_large in (False, True))
+    return _by_base(*few).unionByName(_over_ranges(*lots))
+
+
+def _by_base(rows: DataFrame, taken: DataFrame) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("base").orderBy("dedupe_key", "source"))
+    lists = taken.groupBy("base").agg(F.array_sort(F.collect_set("n")).alias("taken"))
+    ranked = rows.join(lists, "base", "left").withColumn("rank", rank)
+    free = F.aggregate(F.coalesce("taken", F.array().cast("array<int>")), F.col("rank"), lambda n, x: F.when(x <= n, n + 1).otherwise(n))
+    return ranked.select(*rows.columns, free.alias("n"))
+
+
+def _over_ranges(rows: DataFrame, taken: DataFrame) -> DataFrame:
+    ranked = within(rows, ["base"], ["dedupe_key", "source"], "rank")
+    passed = within(taken, ["base"], ["n"], "k").select("base", (F.col("n") - F.col("k") + 1).alias("place"), F.lit(0).alias("late"))
+    both = ranked.withColumn("place", F.col("rank")).withColumn("late", F.lit(1)).unionByName(passed, allowMissingColumns=True)
+    told = within(both, ["base"], ["place", "late"], "_at", {"skipped": 1 - F.col("late")})
+    return told.where("late = 1").select(*rows.columns, (F.col("rank") + F.col("skipped")).cast("int").alias("n"))
+
+
+def versioned(rows: DataFrame, existing: DataFrame, many: int = 10_000) -> DataFrame:
     """``rows(base, dedupe_key, source, ...)`` with destination: names that neither ``existing(path)`` nor another row has.
 
-    In the order of dedupe_key and source each row of a base takes the next free number. A name with a number can be
+    In the order of dedupe_key and source each row of a base takes the next free number (see ``free_numbers``). A name with a number can be
     another row's base; such rows (most often none) are numbered again beside all names that are settled.
     """
     columns = [c for c in rows.columns if c != "destination"]
-    rank = F.row_number().over(Window.partitionBy("base").orderBy("dedupe_key", "source"))
     settled, open_rows = None, rows.select(*columns)
     while True:
-        ranked = open_rows.join(versions(existing), "base", "left").withColumn("rank", rank)
-        free = F.aggregate(F.coalesce("taken", F.array().cast("array<int>")), F.col("rank"), lambda n, x: F.when(x <= n, n + 1).otherwise(n))
-        named = ranked.withColumn("n", free).withColumn("ending", suffix(F.col("base"))).select(*columns, destination())
+        named = free_numbers(open_rows, existing, many).withColumn("ending", suffix(F.col("base"))).select(*columns, destination())
         first = F.row_number().over(Window.partitionBy("destination").orderBy(F.col("destination") != F.col("base"), "dedupe_key", "source"))
         named = written(named.withColumn("first", first == 1), "named")
         good = named.where("first").drop("first")
@@ -120,11 +150,6 @@ def current(records: DataFrame, state: DataFrame, existing: DataFrame) -> DataFr
 STATE = "source_path string, source_hash string, destination_path string, destination_hash string, status string, updated_at timestamp"
 
 
-def merged_state(state: DataFrame, fresh: DataFrame) -> DataFrame:
-    """The state with the rows of ``fresh`` in the place of older ones of the same source."""
-    return state.join(fresh.select("source_path"), "source_path", "left_anti").select(*fresh.columns).union(fresh)
-
-
 def unchanged(planned: DataFrame, state: DataFrame) -> DataFrame:
     """``planned`` with status already-current where the state has the source at that destination."""
     known = state.select(F.col("source_path").alias("source"), F.coalesce("destination_path", F.lit("")).alias("_at"))
