@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,8 +15,11 @@ from .joins import beside, lookup
 from .numbering import within
 
 # A title of one character or more, separators, two digits each for season and episode, four for a year.
-SHOW = r"(?diu)(.+?)[ ._-]+s(\d{2})e(\d{2})"
-MOVIE = r"(?d)(.+?)[ ._-]*\((\d{4})\)"
+SHOW = r"(?diu)(.+?)[ ._-]+s(\p{Nd}{2})e(\p{Nd}{2})"
+MOVIE = r"(?d)(.+?)[ ._-]*\((\p{Nd}{4})\)"
+#: The decimal digits of all scripts, and what they say.
+DIGITS = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if unicodedata.category(c) == "Nd")
+ASCII = "".join(str(unicodedata.decimal(c)) for c in DIGITS)
 
 
 def resolution(name):
@@ -34,7 +40,7 @@ def parse(names: DataFrame) -> DataFrame:
     title = F.when(show, plain(F.regexp_extract("stem", SHOW, 1))).when(movie, plain(F.regexp_extract("stem", MOVIE, 1)))
     title = title.otherwise(strip(F.regexp_replace("stem", r"[._\-]+", " ")))
     rows = once(rows, form=F.when(show, "show").when(movie, "movie").otherwise("unknown"), title=title)
-    number = lambda form, pattern, k: F.when(F.col("form") == form, F.try_to_number(F.regexp_extract("stem", pattern, k), F.lit("9999")).cast("int"))
+    number = lambda form, pattern, k: F.when(F.col("form") == form, F.try_to_number(F.translate(F.regexp_extract("stem", pattern, k), DIGITS, ASCII), F.lit("9999")).cast("int"))
     rows = rows.withColumn("year", number("movie", MOVIE, 2)).withColumn("season", number("show", SHOW, 2)).withColumn("episode", number("show", SHOW, 3))
     low, two = F.lower("title"), lambda c: F.format_string("%02d", F.col(c))
     key = F.when(F.col("form") == "show", F.concat(F.lit("show:"), low, F.lit("|s"), two("season"), F.lit("e"), two("episode")))

@@ -235,7 +235,7 @@ def names(spark, sf_dir):
 def _name(pad: str) -> str:
     base = f"""case p_partkey % 23 when 1 then replace(p_name, ' ', '.') || '.S' || p_size % 10 || 'E' || {pad.format('p_size')} when 2 then '(' || cast(1990 + p_size % 20 as varchar(9)) || ')'
         when 3 then ' S01E0' || p_size % 10 when 4 then '  S01E0' || p_size % 10 when 5 then replace(p_name, ' ', chr(9)) || chr(9) || 'S01E02' when 6 then '_._ S01E01'
-        when 7 then 'Unknown - S01E01' when 9 then '._(2001) ' when 10 then 'Twin' when 11 then 'Twin (2)' else case p_partkey % 5 when 0 then replace(p_name, ' ', '.') || '.S' || {pad.format('p_size % 3 + 1')} || 'E' || {pad.format('p_size % 10')}
+        when 7 then 'Unknown - S01E01' when 9 then '._(2001) ' when 10 then 'Twin' when 11 then 'Twin (2)' when 12 then replace(p_name, ' ', '.') || '.S٠' || p_size % 3 || 'E١٢' when 13 then p_name || ' (٢٠١' || p_size % 10 || ')' else case p_partkey % 5 when 0 then replace(p_name, ' ', '.') || '.S' || {pad.format('p_size % 3 + 1')} || 'E' || {pad.format('p_size % 10')}
         when 1 then replace(p_name, ' ', '_') || '_(' || cast(1990 + p_size % 20 as varchar(9)) || ')' when 2 then p_name || '?: ' || cast(p_size as varchar(9))
         when 3 then replace(p_name, ' ', '-') || ' - s01e' || {pad.format('p_size % 10')} else replace(p_name, ' ', '.') || '.(' || cast(1990 + p_size % 20 as varchar(9)) || ')' end end"""
     quality = "case p_partkey % 7 when 0 then '.2160p' when 1 then ' 4K' when 2 then '.1080p' when 3 then '.720p' when 4 then '.480p' else '' end"
@@ -248,13 +248,13 @@ NUMBERED = "left(base, length(base) - length(ending)) || ' (' || n || ')' || end
 SPARK_NAME = _name("lpad(cast({} as varchar(9)), 2, '0')")
 NAMES = f"""names as (select {SPARK_NAME} as source, floor(p_retailprice)::bigint as size from part),
     stems as (select *, lower(regexp_extract(source, '(\\.[^./]+)$', 1)) as extension, regexp_replace(regexp_replace(source, '^.*/', ''), '\\.[^.]+$', '') as stem from names),
-    media as (select *, case when regexp_matches(stem, '(?i)(.+?)[ ._-]+s(\\d{{2}})e(\\d{{2}})') then 'show' when regexp_matches(stem, '(.+?)[ ._-]*\\((\\d{{4}})\\)') then 'movie' else 'unknown' end as form
+    media as (select *, case when regexp_matches(stem, '(?i)(.+?)[ ._-]+s(\\p{{Nd}}{{2}})e(\\p{{Nd}}{{2}})') then 'show' when regexp_matches(stem, '(.+?)[ ._-]*\\((\\p{{Nd}}{{4}})\\)') then 'movie' else 'unknown' end as form
         from stems where extension in ('.mkv', '.mp4', '.avi', '.mov', '.m4v', '.wmv', '.ts', '.webm')),
-    parsed as (select *, case form when 'show' then regexp_replace(replace(replace(regexp_extract(stem, '(?i)(.+?)[ ._-]+s(\\d{{2}})e(\\d{{2}})', 1), '.', ' '), '_', ' '), '^\\s+|\\s+$', '', 'g')
-            when 'movie' then regexp_replace(replace(replace(regexp_extract(stem, '(.+?)[ ._-]*\\((\\d{{4}})\\)', 1), '.', ' '), '_', ' '), '^\\s+|\\s+$', '', 'g') else regexp_replace(regexp_replace(stem, '[._-]+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') end as title,
-        case when form = 'movie' then regexp_extract(stem, '(.+?)[ ._-]*\\((\\d{{4}})\\)', 2)::int end as year,
-        case when form = 'show' then regexp_extract(stem, '(?i)(.+?)[ ._-]+s(\\d{{2}})e(\\d{{2}})', 2)::int end as season,
-        case when form = 'show' then regexp_extract(stem, '(?i)(.+?)[ ._-]+s(\\d{{2}})e(\\d{{2}})', 3)::int end as episode,
+    parsed as (select *, case form when 'show' then regexp_replace(replace(replace(regexp_extract(stem, '(?i)(.+?)[ ._-]+s(\\p{{Nd}}{{2}})e(\\p{{Nd}}{{2}})', 1), '.', ' '), '_', ' '), '^\\s+|\\s+$', '', 'g')
+            when 'movie' then regexp_replace(replace(replace(regexp_extract(stem, '(.+?)[ ._-]*\\((\\p{{Nd}}{{4}})\\)', 1), '.', ' '), '_', ' '), '^\\s+|\\s+$', '', 'g') else regexp_replace(regexp_replace(stem, '[._-]+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') end as title,
+        case when form = 'movie' then translate(regexp_extract(stem, '(.+?)[ ._-]*\\((\\p{{Nd}}{{4}})\\)', 2), '٠١٢٣٤٥٦٧٨٩', '0123456789')::int end as year,
+        case when form = 'show' then translate(regexp_extract(stem, '(?i)(.+?)[ ._-]+s(\\p{{Nd}}{{2}})e(\\p{{Nd}}{{2}})', 2), '٠١٢٣٤٥٦٧٨٩', '0123456789')::int end as season,
+        case when form = 'show' then translate(regexp_extract(stem, '(?i)(.+?)[ ._-]+s(\\p{{Nd}}{{2}})e(\\p{{Nd}}{{2}})', 3), '٠١٢٣٤٥٦٧٨٩', '0123456789')::int end as episode,
         case when lower(stem) like '%2160p%' or lower(stem) like '%4k%' then 2160 when lower(stem) like '%1080p%' then 1080 when lower(stem) like '%720p%' then 720 when lower(stem) like '%480p%' then 480 else 0 end as resolution_score from media),
     keyed as (select *, case form when 'show' then 'show:' || lower(title) || '|s' || lpad(season::varchar, 2, '0') || 'e' || lpad(episode::varchar, 2, '0') when 'movie' then 'movie:' || lower(title) || '|' || year else 'unknown:' || lower(title) end as dedupe_key,
         coalesce(nullif(trim(regexp_replace(regexp_replace(title, '[\\\\/:*?"<>|]', '', 'g'), '\\s+', ' ', 'g')), ''), 'Unknown') as safe from parsed),
