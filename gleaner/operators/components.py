@@ -61,30 +61,61 @@ def thinned(edges: DataFrame, block: int = 1 << 17) -> DataFrame:
     return edges
 
 
+#: From so many edges on, nodes with a large part of them are looked up apart. Results are the same.
+HEAVY = 100_000
+
+
+def hubs(rows: DataFrame, key: str, total: int, tasks: int) -> DataFrame:
+    """``(key)``: the nodes that more than half of a task's share of ``total`` rows have; fewer than twice as many as there are tasks."""
+    return rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") * 2 * tasks > total).select(key)
+
+
+def met(rows: DataFrame, table: DataFrame, key: str, how: str, hub: DataFrame | None) -> DataFrame:
+    """``rows`` joined with ``table``, which has one row for each ``key``.
+
+    Rows of a ``hub`` stay in the tasks that they are in and meet a broadcast of its few rows; only the others are shuffled by
+    key, so that a node with a million edges is not one task's work.
+    """
+    if hub is None:
+        return rows.join(table, key, how)
+    hub = F.broadcast(hub)
+    few = F.broadcast(table.join(hub, key, "left_semi"))
+    return rows.join(hub, key, "left_anti").join(table, key, how).unionByName(rows.join(hub, key, "left_semi").join(few, key, how))
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """``(node, component)`` for every node of ``edges(a, b)``; component is the smallest node that can be reached.
 
     Alternating large-star and small-star rounds on the edges, each directed from the larger to the smaller node.
-    The smallest neighbour of each node is a partial aggregate and the joins are plain equi-joins against one row for
-    each node, so that a node with very many edges is summed before the shuffle and its join can be split; no
-    neighbour list is ever built. Every round is written to the shared folder.
+    The smallest neighbour of each node is a partial aggregate and the joins are equi-joins against one row for each
+    node; of ``HEAVY`` edges or more, those of hubs are joined where they are and never shuffled by their hub. No neighbour
+    list is ever built. Every round is written to the shared folder.
 
     Null ends, self-loops and repeated edges are dropped. No edges: no rows. Any orderable type of node will do.
     """
     e = written(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("a is not null and b is not null and a != b").distinct(), "edges"
     )
-    state = _state(e)
+    state, tasks = _state(e), int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for _ in range(max_rounds):
         if state[0] == 0:
             break
+        heavy, hub = state[0] >= HEAVY, None
         least = e.groupBy("u").agg(F.min("v").alias("m"))
-        large = e.join(least.select(F.col("u").alias("v"), "m"), "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
+        if heavy:
+            least, hub = written(least, "least"), written(hubs(e, "v", state[0], tasks), "hubs")
+        large = met(e, least.select(F.col("u").alias("v"), "m"), "v", "left", hub).select("u", F.coalesce("m", "v").alias("v")).distinct()
+        made = [least, hub] if heavy else []
+        if heavy:
+            large = written(large, "edges")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        if heavy:
+            least, hub = written(least, "least"), written(hubs(large, "u", state[0], tasks), "hubs")
+            made += [large, least, hub]
+        small = met(large, least, "u", "inner", hub).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         following = written(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
         after = _state(following)
-        forget(e)
+        forget(e, *made)
         e, changed, state = following, after != state, after
         if not changed:
             break
