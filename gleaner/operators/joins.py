@@ -34,3 +34,15 @@ def beside(rows: DataFrame, large: DataFrame, keys: list[str], few: int = 100_00
     floor = large.agg(F.sum("_n")).first()[0] // max(few, 1)
     largest, others = (F.broadcast(large.where(F.col("_n") > floor).drop("_n")), large.where(F.col("_n") <= floor).drop("_n"))  # fewer than few are over the floor
     return rows.join(largest, keys).unionByName(rows.join(largest.select(*keys), keys, "left_anti").join(others, keys, "left"))
+
+
+def left_lookup(rows: DataFrame, table: DataFrame, keys: list[str], few: int = 200_000) -> DataFrame:
+    """``lookup`` that keeps the rows without a match, with nulls: neither a common key of the table nor one that it lacks burdens a task."""
+    if table.count() <= few:
+        return rows.join(F.broadcast(table), keys, "left")
+    counts = written(rows.groupBy(*keys).agg(F.count("*").alias("_n")), "counts")
+    floor = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0] // max(few, 1)
+    common = written(counts.where(F.col("_n") > floor).select(*keys), "common")  # fewer than few
+    held = written(table.join(F.broadcast(common), keys, "left_semi"), "largest")
+    some = rows.join(F.broadcast(common), keys, "left_semi").join(F.broadcast(held), keys, "left")
+    return some.unionByName(rows.join(F.broadcast(common), keys, "left_anti").join(table, keys, "left"))
