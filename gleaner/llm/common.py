@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.joins import beside, lookup  # noqa: F401  the operators take these from here
+from ..operators.joins import beside, left_lookup, lookup  # noqa: F401  the operators take these from here
 from ..sources.scratch import forget, settled, written  # noqa: F401
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import logging
 import re
 from collections.abc import Callable, Iterator
 from hashlib import blake2b
@@ -200,10 +201,14 @@ def within(text: str, key: bytes, tweak: bytes) -> str | None:
 
 
 def email(text: str, key: bytes) -> str | None:
-    """The part before the @, and every label of the domain but the last, each permuted within its format: equal labels stay equal."""
+    """The part before the @, and every label of the domain but the last, each permuted within its format: equal labels stay equal.
+
+    Addresses that differ in upper and lower case alone are one: their pseudonyms too differ in that alone.
+    """
     local, domain = text.split("@")
     *labels, last = domain.split(".")
-    new = within(local, key, b"email")
+    new = within(local.lower(), key, b"email")
+    new = new and "".join(n.upper() if c.isupper() else n for n, c in zip(new, local))
     return new and ".".join([f"{new}@{within(labels[0].lower(), key, b'domain')}", *(within(x.lower(), key, b"domain") or x for x in labels[1:]), last])
 
 
@@ -292,13 +297,17 @@ def pseudonymised(text: str, key: bytes) -> tuple[str, dict[str, int]]:
     return "".join([*out, text[done:]]), found
 
 
+LOGGER = logging.getLogger(__name__)
+
+
 def session_key(spark: SparkSession, default: bytes | None = None) -> bytes:
-    """The key that the session's setting ``spark.gleaner.pii.key`` holds; without one the default, and ValueError if there is none."""
+    """The key that the session's setting ``spark.gleaner.pii.key`` holds; without one the default, with a warning, and ValueError if there is none."""
     given = spark.conf.get(SETTING, None)
     if given:
         return given.encode()
     if default is None:
         raise ValueError(f"no key: set {SETTING}")
+    LOGGER.warning("%s is not set: pseudonyms are made with a known key, and anyone can undo them", SETTING)
     return default
 
 

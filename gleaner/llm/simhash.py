@@ -435,7 +435,9 @@ def _star(near: DataFrame, sets: DataFrame, limit: int, similarity: float, hubs:
     picked = members.groupBy("component").agg(*[F.min_by("id", F.xxhash64("id", F.lit(j))).alias(f"h{j}") for j in range(hubs)])
     hub = picked.select("component", F.explode(F.array_distinct(F.array(*[f"h{j}" for j in range(hubs)]))).alias("id"))
     hub = written(hub.join(sets, "id").groupBy("component").agg(F.collect_list(F.struct("id", "shingles")).alias("hubs")), "hubs")
-    rows = lookup(members.join(sets, "id"), hub, ["component"], few=2000).select("id", "shingles", "hubs")
+    # At most 64 MB of hubs are broadcast, or one component's: of many or long ones the largest components'.
+    largest = hub.agg(F.max(F.expr("aggregate(hubs, 0L, (s, h) -> s + octet_length(h.shingles))"))).first()[0] or 0
+    rows = lookup(members.join(sets, "id"), hub, ["component"], few=max(1, min(2000, (1 << 26) // (largest + 64)))).select("id", "shingles", "hubs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import left_lookup, lookup, written
 from ..operators.components import connected_components
 
 #: (action, host, path): a rule fits its host and all subdomains, if the path starts with the rule's.
@@ -78,7 +78,7 @@ def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) ->
     _, action = rule_of(host_of(F.col("node")), path_of(F.col("node")), rules)
     acted = named.withColumn("action", action)
     decided = acted.groupBy("component").agg(F.max(F.col("action") == "allow").alias("allowed"), F.max(F.col("action") == "block").alias("blocked"))
-    aliases = written(named.join(decided, "component").select("node", "component", "allowed", "blocked"), "aliases")
+    aliases = written(lookup(named, written(decided, "decided"), ["component"]).select("node", "component", "allowed", "blocked"), "aliases")
 
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
     rule, action = rule_of(F.col("host"), F.col("path"), rules)
@@ -86,6 +86,6 @@ def judge(pages: DataFrame, rules=RULES, redirects: DataFrame | None = None) ->
     rows = rows.withColumn("rule", rule).withColumn("action", action)
     # A null would send all its rows to one task; a place of its own for each matches nothing as well.
     rows = rows.withColumn("node", F.coalesce("node", F.concat(F.lit(" "), F.monotonically_increasing_id().cast("string"))))
-    rows = rows.join(aliases, "node", "left")
+    rows = left_lookup(rows, aliases, ["node"])
     alias = F.when(F.col("allowed"), "allow").when(F.col("blocked"), "block").otherwise("allow")
     return rows.select("page_id", "host", "path", "rule", F.coalesce("action", alias).alias("verdict"), "component")

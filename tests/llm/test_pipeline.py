@@ -120,3 +120,17 @@ def test_stages_read_texts_in_small_batches(spark):
     finally:
         spark.conf.set(BATCH, before) if before else spark.conf.unset(BATCH)
         docs.unpersist()
+
+
+def test_addresses_in_other_cases_stay_linked():
+    from gleaner.llm.pii import pseudonymised
+
+    one, other, third = (pseudonymised(f"write to {x} now", b"k")[0].split()[2] for x in ("bob.k7@x.org", "Bob.K7@x.org", "BOB.k7@X.ORG"))
+    assert one != "bob.k7@x.org" and one.split("@")[0] == one.split("@")[0].lower()
+    assert other.lower() == one and third.lower() == one and other != one and other[0].isupper()
+
+
+def test_a_known_key_is_warned_of(spark, caplog):
+    from gleaner.llm import pii
+
+    assert pii.session_key(spark, b"known") == b"known" and "not set" in caplog.text
