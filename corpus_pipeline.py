@@ -71,7 +71,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other over all documents, each one's result written and read again; what led to it is deleted."""
+    """The stages one after the other over all documents, each one's result written and read again; what led to it is deleted.
+
+    Where the session names no size of Arrow batches, the stages set it to 4 MB, and it stays so: the last stage's rows are made
+    when the caller reads them. Without a key of the session's own (``pii.SETTING``) pseudonyms are made with a known one, and a warning says so.
+    """
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         following = settled(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), name.replace(" ", "-"))
