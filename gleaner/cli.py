@@ -97,7 +97,7 @@ def _duplicates(args: argparse.Namespace, p: argparse.ArgumentParser) -> None:
     engine.run(args.base)
     LOGGER.info("stats: %s", engine.stats.report())
     if args.report_similar:
-        write_report(engine.similar_media_candidates, args.report_similar)
+        engine.report_similar(args.report_similar)
 
 
 def main(argv: list[str] | None = None) -> int:
