@@ -44,6 +44,7 @@ class Layout:
     """What the units of a text are: ``width`` words make a shingle; other names as ``Units`` says."""
 
     width: int = 5
+    shortest: int = 16
     size: int = 50
     short: int = 25
     long: int = 200
@@ -53,18 +54,18 @@ class Layout:
 class Units:
     """The units of a chunk of texts that are compared as paragraphs: lines, and windows where lines say little.
 
-    A unit is every line of ``width`` words or more. Besides, ``size`` words from a place on make a window, whatever lines they
-    stand in (fewer at the end of a text, from its last ``width`` words on at least): where a line of under ``short`` words
+    A unit is every line of ``shortest`` words or more. Besides, ``size`` words from a place on make a window, whatever lines they
+    stand in (fewer at the end of a text, from its last ``shortest`` words on at least): where a line of under ``short`` words
     begins, and in lines of ``long`` words or more at words that their own and the next word's hash choose, about one of
     ``every``. So wrapped paragraphs meet at their lines and text without lines at equal words, and every word of a text
-    of ``width`` words is within a unit. Windows begin more than ``width`` words apart: two of one text are not alike for that they overlap.
+    of ``width`` words is within a unit; a shorter line (a sentence that many texts have) says something only with what follows it. Windows begin more than ``width`` words apart: two of one text are not alike for that they overlap.
     """
 
     def __init__(self, c: Chunk, grams: Grams, layout: Layout):
-        width, end_of = layout.width, c.bounds[1:]
+        width, shortest, end_of = layout.width, layout.shortest, c.bounds[1:]
         start, end = c.lines
         low, high = np.searchsorted(c.start, start), np.searchsorted(c.start, end)
-        lines = np.flatnonzero(high - low >= width)
+        lines = np.flatnonzero(high - low >= max(shortest, width))
         begin = low[(high - low < layout.short) & (high > low)]
         if (long := np.flatnonzero(high - low >= layout.long)).size:
             n = high[long] - low[long] - width
@@ -72,7 +73,7 @@ class Units:
             chosen = mixed(c.hash[at] * np.uint64(BASE) + c.hash[at + 1]) % np.uint64(layout.every) == 0
             begin = np.sort(np.concatenate([begin, at[chosen]]))
         doc = c.doc[begin] if len(begin) else begin
-        begin = np.maximum(c.bounds[doc], np.minimum(begin, end_of[doc] - width))
+        begin = np.maximum(c.bounds[doc], np.minimum(begin, end_of[doc] - shortest))
         stop = np.minimum(begin + layout.size, end_of[doc])
         good, last, of = np.zeros(len(begin), bool), 0, -1
         for i, (x, d) in enumerate(zip(begin.tolist(), doc.tolist())):

@@ -49,8 +49,12 @@ def test_short_lines_that_repeat(spark):
     line, small, tiny = " ".join(words(rng, 24)), " ".join(words(rng, 5)), "only four words here"
     rows = [(d, "\n".join([" ".join(words(rng, 30)), x, " ".join(words(rng, 31))])) for d, x in enumerate([line, line, small, small, tiny, tiny])]
     got = {(r.doc_id, r.cluster_doc, r.kept): r for r in paragraphs.repeated_texts(table(spark, rows)).collect()}
-    assert set(got) == {(0, 0, True), (1, 0, False), (2, 2, True), (3, 2, False)}
+    assert set(got) == {(0, 0, True), (1, 0, False)}  # a sentence that texts share is no passage
     assert rows[1][1][got[1, 0, False].start :][: got[1, 0, False].length] == line
+    layout = paragraphs.Layout(shortest=5)
+    assert {(r.doc_id, r.kept) for r in paragraphs.repeated_texts(table(spark, rows), layout).collect()} == {(0, True), (1, False), (2, True), (3, False)}
+    whole = [(d, f"{tiny} and more") for d in range(2)] + [(d, tiny) for d in range(2, 4)]
+    assert {(r.doc_id, r.kept) for r in paragraphs.repeated_texts(table(spark, whole)).collect()} == {(0, True), (1, False)}
 
 
 def test_every_word_is_within_a_unit():
