@@ -19,12 +19,16 @@ NEVER = frozenset("aside audio button canvas datalist dialog fieldset footer for
 ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 #: The first or last word of a class, id or label.
 WORDS = frozenset(
-    "ad ads adsbygoogle adsense advert advertisement advertisements advertising adverts banner breadcrumb breadcrumbs colophon consent cookie cookies disqus footer gdpr login menu modal nav navbar "
-    "navigation newsletter notice notices overlay pager pagination paywall popup promo replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar".split()
+    "ad ads adsbygoogle adsense advert advertisement advertisements advertising adverts alert banner breadcrumb breadcrumbs colophon consent cookie cookies disqus footer gdpr login mainnav menu modal nav "
+    "navbar navigation newsletter notice notices overlay pager pagination paywall popup promo replies respond share sharing sidebar sidenav signup social sponsor sponsored subnav subscribe subscription "
+    "toolbar topnav widget widgets".split()
 )
 COMMENTS = frozenset("comment commentlist comments disqus replies respond".split())
 #: The whole of a class or id.
-NAMES = frozenset("alert aside copyright form header masthead page-header recommended related related-articles related-links related-posts search search-form site-header top-header topbar widget".split())
+NAMES = frozenset(
+    "aside copyright form header masthead most-read page-header recommended related related-articles related-content related-links related-posts related-stories search search-form secondary site-header skip-link "
+    "toc top-header topbar".split()
+)
 #: A class that begins with one of these says what else a page has.
 ABOUT = frozenset("has is no not with without".split())
 ARTICLE = frozenset(("article", "main"))
