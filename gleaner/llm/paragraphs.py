@@ -46,7 +46,6 @@ class Layout:
     width: int = 5
     shortest: int = 16
     size: int = 50
-    short: int = 25
     long: int = 200
     every: int = 32
 
@@ -55,7 +54,7 @@ class Units:
     """The units of a chunk of texts that are compared as paragraphs: lines, and windows where lines say little.
 
     A unit is every line of ``shortest`` words or more. Besides, ``size`` words from a place on make a window, whatever lines they
-    stand in (fewer at the end of a text, from its last ``shortest`` words on at least): where a line of under ``short`` words
+    stand in (fewer at the end of a text, from its last ``shortest`` words on at least): where a line of fewer words
     begins, and in lines of ``long`` words or more at words that their own and the next word's hash choose, about one of
     ``every``. So wrapped paragraphs meet at their lines and text without lines at equal words, and every word of a text
     of ``width`` words is within a unit; a shorter line (a sentence that many texts have) says something only with what follows it. Windows begin more than ``width`` words apart: two of one text are not alike for that they overlap.
@@ -66,7 +65,7 @@ class Units:
         start, end = c.lines
         low, high = np.searchsorted(c.start, start), np.searchsorted(c.start, end)
         lines = np.flatnonzero(high - low >= max(shortest, width))
-        begin = low[(high - low < layout.short) & (high > low)]
+        begin = low[(high - low < max(shortest, width)) & (high > low)]
         if (long := np.flatnonzero(high - low >= layout.long)).size:
             n = high[long] - low[long] - width
             at = np.repeat(low[long] + 1 - np.cumsum(n) + n, n) + np.arange(n.sum())
@@ -117,8 +116,8 @@ def paragraphs(docs: DataFrame, layout: Layout, n_bands: int, rows: int) -> Data
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
-def shingle_sets(docs: DataFrame, layout: Layout) -> DataFrame:
-    """``(id, shingles)``: digest and distinct shingle hashes of every unit."""
+def shingle_sets(docs: DataFrame, layout: Layout, wanted=None) -> DataFrame:
+    """``(id, shingles)``: digest and distinct shingle hashes of every unit, or of those alone whose ids are in the sorted array that ``wanted`` broadcasts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = Grams()
@@ -127,8 +126,13 @@ def shingle_sets(docs: DataFrame, layout: Layout) -> DataFrame:
                 x = Units(c, grams, layout)
                 if not len(x.id):
                     continue
-                found, starts = x.shingles(c, layout.width)
                 ids, at = np.unique(x.id, return_index=True)
+                if wanted is not None:
+                    some = wanted.value[np.minimum(np.searchsorted(wanted.value, ids), len(wanted.value) - 1)] == ids
+                    ids, at = ids[some], at[some]
+                    if not len(ids):
+                        continue
+                found, starts = x.shingles(c, layout.width)
                 stops = np.append(starts[1:], len(found))
                 yield pa.record_batch([pa.array(ids), pa.array([np.unique(found[starts[i] : stops[i]]).tobytes() for i in at.tolist()], pa.binary())], names=["id", "shingles"])
 
@@ -160,8 +164,9 @@ def repeated_paragraphs(docs: DataFrame, layout: Layout = Layout(), threshold: f
     colliding = written(once.join(pairs.select("id").distinct(), "id", "left_semi").select("id", F.col("low").alias("doc_id")), "colliding")
     n = colliding.count()  # 16 bytes each: broadcast only while they are few
     held = F.broadcast(colliding) if n <= few else colliding
+    wanted = docs.sparkSession.sparkContext.broadcast(np.sort(colliding.select("id").toArrow().column(0).to_numpy())) if 0 < n <= few else None
     texts = docs.select("doc_id", "text").join(held.select("doc_id"), "doc_id", "left_semi")
-    sets = shingle_sets(texts, layout).join(held.select("id"), "id", "left_semi").groupBy("id").agg(F.first("shingles").alias("shingles"))
+    sets = shingle_sets(texts, layout, wanted).join(held.select("id"), "id", "left_semi").groupBy("id").agg(F.first("shingles").alias("shingles"))
     named = connected_components(similar_edges(pairs, sets, threshold)).select(F.col("node").alias("id"), "component")
 
     classes = once.select("id", "low", "high").join(named, "id", "left").withColumn("component", F.coalesce("component", "id"))

@@ -80,7 +80,7 @@ def test_empty_benchmark(spark, docs):
     assert decontaminate.leaks(docs, none).count() == 0 and decontaminate.clean(docs, none).count() == docs.count()
 
 
-def units_of(text, width=5, size=50, short=25, shortest=16):
+def units_of(text, width=5, size=50, shortest=16):
     """Lines and windows of a text in which no line is long, told word by word: (first character, last, whole)."""
     words_at, lines, at = [], [], 0
     for line in text.split("\n"):
@@ -96,7 +96,7 @@ def units_of(text, width=5, size=50, short=25, shortest=16):
             out.append((start, end, [w for *_, w in words_at[low:high]], True))
             known.add((low, high))
     for low, high, *_ in lines:
-        if 0 < high - low < short:
+        if 0 < high - low < shortest:
             begin = max(0, min(low, len(words_at) - shortest))
             if begin - last > width:
                 last, stop = begin, min(begin + size, len(words_at))
