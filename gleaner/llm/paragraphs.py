@@ -139,7 +139,7 @@ def shingle_sets(docs: DataFrame, layout: Layout, wanted=None) -> DataFrame:
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "id long, shingles binary")
 
 
-def repeated_paragraphs(docs: DataFrame, layout: Layout = Layout(), threshold: float = 0.8, n_bands: int = 10, rows: int = 4, group_limit: int = 256, few: int = 1_000_000) -> DataFrame:
+def repeated_paragraphs(docs: DataFrame, layout: Layout = Layout(), threshold: float = 0.8, n_bands: int = 10, rows: int = 4, group_limit: int = 1024, few: int = 1_000_000) -> DataFrame:
     """Paragraphs that repeat across documents: ``(doc_id, para, start, length, whole, cluster_doc, cluster_para, kept)``.
 
     Paragraphs are the lines and windows that ``Units`` tells of; whole says which. Words are runs of letters and digits, in lower case. Equal ones
