@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gleaner.operators import hamming, perceptual
+from gleaner.plans import catalogue
 from gleaner.sources.scratch import written
 
 
@@ -114,3 +115,8 @@ def test_blocks_and_none(spark):
     assert sorted(map(tuple, perceptual.named_members(classes, members).collect())) == [("/a", "/a"), ("/b", "/b"), ("/c", "/c"), ("/d", "/a")]
     with pytest.raises(ValueError):
         perceptual.image_links(df, blocking="some")
+
+
+def test_members_are_told_without_comparing_classes(spark, monkeypatch):
+    monkeypatch.setattr(perceptual, "links", lambda *_, **__: pytest.fail("no pair is asked for"))
+    assert catalogue.QUERIES["image_members"](spark, "/root/testdata/sf0.001").count() == 193
