@@ -120,3 +120,60 @@ def test_blocks_and_none(spark):
 def test_members_are_told_without_comparing_classes(spark, monkeypatch):
     monkeypatch.setattr(perceptual, "links", lambda *_, **__: pytest.fail("no pair is asked for"))
     assert catalogue.QUERIES["image_members"](spark, "/root/testdata/sf0.001").count() == 193
+
+
+@pytest.mark.parametrize("radius", [1, 2, 3, 8, 12, 20, 63])
+def test_masks_meet_every_pattern(radius):
+    rng = np.random.default_rng(radius)
+    for count in (10, 10**5, 10**7, 10**10):
+        plan = hamming.masks(radius, count)
+        assert len(set(plan)) == len(plan)
+        for _ in range(200):
+            flips = sum(1 << int(b) for b in rng.choice(64, radius, replace=False))
+            assert any(not flips & m for m in plan)
+    assert max(m.bit_count() for m in hamming.masks(8, 10**7)) > max(m.bit_count() for m in hamming.masks(8, 10**5))
+    with pytest.raises(ValueError):
+        hamming.masks(0, 5)
+
+
+@pytest.mark.parametrize("radius, chunk", [(1, 5), (3, 1000), (8, 5), (8, 40), (20, 5)])
+def test_batches_find_every_pair_once(spark, radius, chunk):
+    """All in one cell, in chunks of it, or by masks: the same pairs as all pairs say."""
+    rng = np.random.default_rng(radius)
+    marks = [(f"/{i:04}", [h], i % 3 // 2) for i, h in enumerate(patterns(rng, 150, 150, radius + 2))]
+    want = all_links(marks, radius, radius)
+    assert want and found(spark, marks, radius, radius, joined=0, chunk=chunk) == want
+
+
+def test_batches_split_hot_cells(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    dark = patterns(rng, 1, 120, 5) + [int(x) for x in rng.integers(0, 64, 40)]
+    marks = [(f"/{i:04}", [h], 0) for i, h in enumerate(sorted({*dark, *patterns(rng, 40, 0, 0)}))]
+    want = all_links(marks, 8, 8)
+    monkeypatch.setattr(hamming, "TILE", 64)
+    assert len(want) > 500 and found(spark, marks, 8, 8, joined=0, chunk=4) == found(spark, marks, 8, 8, joined=0, chunk=4, few=3) == want
+
+
+@pytest.mark.parametrize("chunk", [5, 1000])
+def test_batches_compare_videos_and_pass_odd_marks_over(spark, chunk):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in range(60):
+        base = [int(x) for x in rng.integers(-(1 << 63), 1 << 63, 4, np.int64)]
+        flip = [int(sum(1 << int(b) for b in rng.choice(60, n, replace=False))) for n in rng.integers(0, 13, 4)]
+        rows += [(f"/{i:03}a", base, 0), (f"/{i:03}b", [x ^ y for x, y in zip(base, flip)], 0)]
+    rows += [("/short", rows[0][1][:2], 0), ("/shorter", [rows[0][1][0] ^ 1, rows[0][1][1]], 0), ("/none", [], 0), ("/null", None, 0), ("/part", [None, 1], 0)]
+    want = all_links([r for r in rows if r[1] and None not in r[1]], 32, 12)
+    assert 10 < len(want) < 61 and found(spark, rows, 32, 12, joined=0, chunk=chunk) == want
+
+
+def test_large_blocks_are_not_dealt_out_by_near_values(spark, monkeypatch):
+    """A row of the index went to a cell for each value near its own, 57 times and more; now it goes to one for each mask at most."""
+    rng = np.random.default_rng(6)
+    marks = [(f"/{i:04}", [int(h)], 0) for i, h in enumerate(rng.integers(-(1 << 63), 1 << 63, 600, np.int64))]
+    rows, dealt, sort = written(spark.createDataFrame(marks, "rep string, hashes array<long>, key int"), "marks"), [], type(spark.range(1)).sortWithinPartitions
+    monkeypatch.setattr(type(rows), "sortWithinPartitions", lambda self, *c, **k: dealt.append(self) or sort(self, *c, **k))
+    hamming.links(rows, 8, 8, ["key"], joined=0, chunk=100).count()
+    assert [d.count() for d in dealt] == [600 * len(hamming.masks(8, 600))]
+    hamming.links(rows, 8, 8, ["key"], joined=0, chunk=600).count()
+    assert dealt[1].count() == 600
