@@ -177,3 +177,16 @@ def test_large_blocks_are_not_dealt_out_by_near_values(spark, monkeypatch):
     assert [d.count() for d in dealt] == [600 * len(hamming.masks(8, 600))]
     hamming.links(rows, 8, 8, ["key"], joined=0, chunk=600).count()
     assert dealt[1].count() == 600
+
+
+def test_links_are_not_joined_with_their_classes(spark, monkeypatch):
+    rows = spark.createDataFrame([("/a", 0, 640, 480), ("/b", 0, 640, 480), ("/c", 1, 640, 480)], "path string, h long, width int, height int")
+    find, join, late = perceptual.links, type(rows).join, []
+
+    def links(*args, **options):
+        out = find(*args, **options)
+        monkeypatch.setattr(type(rows), "join", lambda self, *a, **k: late.append(a) or join(self, *a, **k))
+        return out
+
+    monkeypatch.setattr(perceptual, "links", links)
+    assert [tuple(r) for r in perceptual.image_links(rows)[1].collect()] == [("/a", "/c", 2, 1)] and not late
