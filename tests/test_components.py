@@ -1,11 +1,12 @@
 """Components of graphs with hubs."""
 
 import random
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.operators import components
+from gleaner.operators import components, perceptual
 from gleaner.sources.scratch import written
 
 
@@ -50,3 +51,14 @@ def test_a_hub_is_never_shuffled(spark):
     assert got.count() == 20_000 and got.where("m = v - 5").count() == 20_000
     tasks = [r["count"] for r in got.where("v = -1").groupBy(F.spark_partition_id()).count().collect()]
     assert len(tasks) >= 4 and max(tasks) <= 2 * 18_000 / len(tasks)
+
+
+def test_crowds_of_similar_frames_are_thinned_before_their_components(spark, monkeypatch):
+    """60 frames with all their 1,770 links: the components need 59 of them, the sums all."""
+    marks = [sum(1 << b for b in c) for n in range(3) for c in combinations(range(12), n)][:60]
+    rows = spark.createDataFrame([(f"/{i:02}", h, 640, 480) for i, h in enumerate(marks)], "path string, h long, width int, height int")
+    find, seen = perceptual.connected_components, []
+    monkeypatch.setattr(perceptual, "connected_components", lambda edges: seen.append(edges.count()) or find(edges))
+    told = perceptual.image_clusters(rows)[0].collect()
+    assert [(r.first_path, r.n_paths, r.pairs, r.min_score, r.max_score) for r in told] == [("/00", 60, 1770, 1, 4)]
+    assert seen == [59]
