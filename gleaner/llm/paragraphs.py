@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import chunk_pairs, lookup, settled, written
 from ..operators.components import connected_components
 from .decontaminate import shingles
-from .passages import repeated_passages
+from .passages import bit_filter, passes, repeated_passages
 from .verify import distinct_groups, similar_edges
 from .words import BASE, Chunk, Grams, chunks, mixed
 
@@ -139,6 +139,23 @@ def shingle_sets(docs: DataFrame, layout: Layout, wanted=None) -> DataFrame:
     return docs.select(F.col("text").cast("string")).mapInArrow(run, "id long, shingles binary")
 
 
+def in_bands(classes: DataFrame, across: DataFrame) -> DataFrame:
+    """``(id, band)``: the bands of each class ``(id, b0, b1, ...)`` that are in ``across``, and few others, that pass its filter of bits.
+
+    Nothing is shuffled but ``across``. A band that passes by chance has one class, and makes no pair.
+    """
+    bits = classes.sparkSession.sparkContext.broadcast(bit_filter(across.select(F.col("band").alias("m")), 4 * across.count()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for keys in (c.to_numpy() for c in batch.columns[1:]):
+                held = passes(bits.value, keys.view(np.uint64))
+                yield pa.record_batch([pa.array(ids[held]), pa.array(keys[held])], names=["id", "band"])
+
+    return classes.mapInArrow(run, "id long, band long")
+
+
 def repeated_paragraphs(docs: DataFrame, layout: Layout = Layout(), threshold: float = 0.8, n_bands: int = 10, rows: int = 4, group_limit: int = 1024, few: int = 1_000_000) -> DataFrame:
     """Paragraphs that repeat across documents: ``(doc_id, para, start, length, whole, cluster_doc, cluster_para, kept)``.
 
@@ -157,8 +174,8 @@ def repeated_paragraphs(docs: DataFrame, layout: Layout = Layout(), threshold: f
     bands = [f"b{k}" for k in range(n_bands)]
     once = written(every.groupBy("id").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), *[F.first(b).alias(b) for b in bands]), "classes")
     banded = once.select("id", F.explode(F.array(*bands)).alias("band"))
-    across = banded.groupBy("band").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most")  # unlike paragraphs meet there
-    banded = written(lookup(banded, written(across.select("band"), "bands"), ["band"]), "banded")
+    across = written(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"), "bands")  # unlike paragraphs meet there
+    banded = written(in_bands(once.select("id", *bands), across), "banded")
     pairs = written(distinct_groups(chunk_pairs(banded, ["band"], "id", group_limit), ["band", "lo", "hi"]), "groups")
     # Shingles are made for colliding classes alone, again from the text of their first occurrences.
     colliding = written(once.join(pairs.select("id").distinct(), "id", "left_semi").select("id", F.col("low").alias("doc_id")), "colliding")

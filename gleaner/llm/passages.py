@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .common import lookup, written
 from .simhash import groups
+from ..operators.blocks import whole
 from .words import FOLD, Chunk, Grams, chunks, least  # noqa: F401  FOLD says what counts as a word
 
 #: A filter has 2^bits bits, 16 for each hash; from MOST on it lets more others through, which costs time alone. It is made in pieces of 2^PIECE.
@@ -45,7 +46,7 @@ def _hashed(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "m long, doc_id long, n long")
 
 
-def _filter(hashes: DataFrame, count: int) -> np.ndarray:
+def bit_filter(hashes: DataFrame, count: int) -> np.ndarray:
     """Bits that are set for all the hashes: others pass at times, none of these ever fails.
 
     The low bits of a least hash are the place of its bit: the high ones are mostly zero.
@@ -66,39 +67,125 @@ def _filter(hashes: DataFrame, count: int) -> np.ndarray:
     return out
 
 
+def passes(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Places of the hashes that pass a filter."""
+    bit = hashes & np.uint64(8 * len(bits) - 1)
+    return np.flatnonzero(bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1)
+
+
 WINDOWS = "h long, doc_id long, at long, place long"
 
 
+def _passing(batches: Iterator[pa.RecordBatch], size: int, passing, common: bool) -> Iterator[tuple[np.ndarray, ...]]:
+    """For each chunk the windows whose least hash passes the filter, those of the very common ones or the others.
+
+    Their least hash, their own, their document, first word and its line, first character and that after the last, within the document.
+    """
+    grams, (bits, often) = Grams(), passing.value
+    for b in batches:
+        ids = b.column(0)
+        for first, _, c in chunks(b.column(1)):
+            at, m, sums = windows(c, size, grams)
+            held = passes(bits, m)
+            at, m = at[held], m[held]
+            if len(often):
+                near = often[np.minimum(np.searchsorted(often, m), len(often) - 1)] == m
+                at, m = at[near == common], m[near == common]
+            if len(at):
+                doc = c.doc[at]
+                begin, stop = c.start[at], c.end[at + size - 1]
+                line = np.searchsorted(c.lines[0], begin, "right") - 1 - c.lines_before[doc]
+                before = c.chars[c.offsets[doc]]
+                yield m, grams.hashes(sums, size)[at], ids.take(pa.array(first + doc)).to_numpy(), at - c.bounds[doc], line, c.chars[begin] - before, c.chars[stop] - before
+
+
+def _both(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    return high.astype(np.int64) << 32 | low
+
+
 def _candidates(docs: DataFrame, size: int, passing, common: bool) -> DataFrame:
-    """``(h, doc_id, at, place)``: the windows whose least hash passes the filter, those of the very common ones or the others.
+    """``(h, doc_id, at, place)``: a row for each window that ``_passing`` tells of.
 
     ``at`` holds the first word and its line, ``place`` the first character and that after the last, 32 bits each.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, (bits, often) = Grams(), passing.value
-        mask, both = np.uint64(8 * len(bits) - 1), lambda a, b: pa.array(a.astype(np.int64) << 32 | b)
-        for b in batches:
-            ids = b.column(0)
-            for first, _, c in chunks(b.column(1)):
-                at, m, sums = windows(c, size, grams)
-                bit = m & mask
-                held = np.flatnonzero(bits[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1)
-                at, m = at[held], m[held]
-                if len(often):
-                    near = often[np.minimum(np.searchsorted(often, m), len(often) - 1)] == m
-                    at = at[near == common]
-                if len(at):
-                    doc = c.doc[at]
-                    begin, stop = c.start[at], c.end[at + size - 1]
-                    line = np.searchsorted(c.lines[0], begin, "right") - 1 - c.lines_before[doc]
-                    chars = c.chars
-                    place = both(chars[begin] - chars[c.offsets[doc]], chars[stop] - chars[c.offsets[doc]])
-                    yield pa.record_batch([pa.array(grams.hashes(sums, size)[at].view(np.int64)), ids.take(pa.array(first + doc)), both(at - c.bounds[doc], line), place], names=["h", "doc_id", "at", "place"])
+        for _, h, doc, at, line, begin, stop in _passing(batches, size, passing, common):
+            yield pa.record_batch([pa.array(x) for x in (h.view(np.int64), doc, _both(at, line), _both(begin, stop))], names=["h", "doc_id", "at", "place"])
 
     return docs.mapInArrow(run, WINDOWS)
 
 
+#: Windows of one least hash m that follow each other in a document: at and place are of the first one, hashes has eight bytes for each,
+#: steps how far the first character, the character after the last, and the line of each are from those of the window before: all
+#: of one kind, then all of the next, one byte each, or four where some step needs them.
+RUNS = "m long, doc_id long, at long, place long, hashes binary, steps binary"
+
+
+def _packed(values: np.ndarray, stops: np.ndarray) -> pa.Array:
+    """Binary values: the bytes of the numbers up to each stop."""
+    ends = np.concatenate([[0], stops * values.itemsize]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(stops), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _unpacked(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all binary values, one after the other, and how many each has."""
+    data = column.combine_chunks()
+    data = data.chunk(0) if isinstance(data, pa.ChunkedArray) else data
+    _, ends, raw = data.buffers()
+    ends = np.frombuffer(ends, np.int32)[data.offset : data.offset + len(data) + 1].astype(np.int64)
+    return np.frombuffer(raw, np.uint8)[ends[0] : ends[-1]], np.diff(ends)
+
+
+def _planes(low: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Where the three steps of each window are among those of runs of n windows, of which each begins at low."""
+    first = np.repeat(2 * low, n) + np.arange(n.sum())
+    return np.stack([first, first + np.repeat(n, n), first + 2 * np.repeat(n, n)])
+
+
+def _runs(docs: DataFrame, size: int, passing) -> DataFrame:
+    """``RUNS`` of the windows that ``_passing`` tells of, without the very common ones: a row for each run, not for each window."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for m, h, doc, at, *places in _passing(batches, size, passing, False):
+            line, begin, stop = places
+            low = np.flatnonzero(np.concatenate([[True], (m[1:] != m[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)]))
+            n = np.diff(np.append(low, len(m)))
+            steps = np.stack([np.diff(x, prepend=x[:1]) for x in (begin, stop, line)])
+            steps[:, low] = 0
+            wide = np.maximum.reduceat(steps.max(0), low) > 255
+            for some, kind in ((~wide, np.uint8), (wide, np.uint32)):
+                if some.any():
+                    each, rows, many = np.repeat(some, n), low[some], n[some]
+                    packed = np.empty(3 * many.sum(), kind)
+                    packed[_planes(np.cumsum(many) - many, many)] = steps[:, each]
+                    columns = (m[rows].view(np.int64), doc[rows], _both(at[rows], line[rows]), _both(begin[rows], stop[rows]))
+                    ends = np.cumsum(many)
+                    yield pa.record_batch([*map(pa.array, columns), _packed(h[each], ends), _packed(packed, 3 * ends)], names=[x.split()[0] for x in RUNS.split(", ")])
+
+    return docs.mapInArrow(run, RUNS)
+
+
+def _told(t: pa.Table) -> tuple[np.ndarray, ...]:
+    """The windows of a table of ``RUNS``: their run, hash, at and place."""
+    hashes, held = _unpacked(t["hashes"])
+    packed, wide = _unpacked(t["steps"])
+    n = held // 8
+    low, of = np.cumsum(n) - n, np.repeat(np.arange(len(n)), n)
+    steps, begins = np.empty((3, len(of)), np.int64), np.cumsum(wide) - wide
+    for kind in (np.uint8, np.uint32):
+        some = wide == 3 * n * np.dtype(kind).itemsize
+        if some.any():
+            each = np.repeat(some, n)
+            own = packed[np.repeat(some, wide)].view(kind)
+            many = n[some]
+            steps[:, each] = own[_planes(np.cumsum(many) - many, many)]
+    sums = np.cumsum(steps, 1)
+    begin, stop, line = sums - sums[:, low][:, of]  # from the run's first window on
+    at, place = (t[c].to_numpy()[of] for c in ("at", "place"))
+    return of, hashes.view(np.uint64), at + (_both(np.arange(len(of)) - low[of], line)), place + _both(begin, stop)
+
+
 #: n windows that follow each other and whose first occurrences do, or return among those before, first_n in all: at and first_at
 #: are of the first one, place is from its start to the end of the last.
 FIRSTS = "doc_id long, at long, place long, first_doc long, first_at long, n int, first_n int"
@@ -126,15 +213,28 @@ def _begins(near: np.ndarray, at: np.ndarray, stop: np.ndarray, low: np.ndarray,
 
 
 def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows in two documents or more, with their first occurrence; rows come sorted by window, document and place."""
-    for h, doc, at, place in groups(batches, 1):
-        starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    """Windows in two documents or more, with their first occurrence; rows are ``RUNS`` sorted by m, which equal windows share."""
+    for t, _ in whole(batches, 1):
+        of, h, at, place = _told(t)
+        m, doc = (t[c].to_numpy()[of] for c in ("m", "doc_id"))
+        order = np.lexsort((at, doc, h, m))
+        differs = (h[order[1:]] != h[order[:-1]]) | (m[order[1:]] != m[order[:-1]])
+        starts = np.flatnonzero(np.concatenate([[True], differs]))
         many = np.diff(np.append(starts, len(h)))
-        first = np.repeat(starts, many)
-        last = first + np.repeat(many, many) - 1
-        some = doc[first] != doc[last]
-        one = pa.array(np.ones(some.sum(), np.int32))
-        yield pa.record_batch([*(pa.array(x[some]) for x in (doc, at, place, doc[first], at[first])), one, one], names=[x.split()[0] for x in FIRSTS.split(", ")])
+        some = np.repeat(doc[order[starts]] != doc[order[starts + many - 1]], many)
+        first = np.empty(len(h), np.int64)
+        first[order] = np.where(some, np.repeat(order[starts], many), -1)
+        held = np.flatnonzero(first >= 0)
+        if not len(held):
+            continue
+        of, doc, at, place, first_doc, first_at = of[held], doc[held], at[held], place[held], doc[first[held]], at[first[held]]
+        word, first_word = at >> 32, first_at >> 32
+        new = np.concatenate([[True], (of[1:] != of[:-1]) | (word[1:] != word[:-1] + 1) | (first_doc[1:] != first_doc[:-1]) | (first_word[1:] != first_word[:-1] + 1)])
+        low = np.flatnonzero(new)
+        n = np.diff(np.append(low, len(at)))
+        many = pa.array(n.astype(np.int32))
+        columns = (doc[low], at[low], _both(place[low] >> 32, place[low + n - 1] & 0xFFFFFFFF), first_doc[low], first_at[low])
+        yield pa.record_batch([*map(pa.array, columns), many, many], names=[x.split()[0] for x in FIRSTS.split(", ")])
 
 
 def _common(rows: DataFrame, few: int) -> DataFrame:
@@ -225,8 +325,8 @@ def repeated_passages(docs: DataFrame, size: int = 50, often: int = 20_000, few:
     met = written(met.select("m", "n"), "met")
     n, total = met.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     common = np.sort(np.array([r.m for r in met.where(F.col("n") > max(often, total // 100_000)).select("m").toLocalIterator()], np.int64).view(np.uint64))
-    passing = docs.sparkSession.sparkContext.broadcast((_filter(met.select("m"), n), common))
-    rows = _candidates(docs, size, passing, False).repartition("h").sortWithinPartitions("h", "doc_id", "at")
+    passing = docs.sparkSession.sparkContext.broadcast((bit_filter(met.select("m"), n), common))
+    rows = _runs(docs, size, passing).repartition("m").sortWithinPartitions("m")
     shared = rows.mapInArrow(_firsts, FIRSTS)
     if len(common):
         shared = shared.union(_common(written(_candidates(docs, size, passing, True), "common"), few))

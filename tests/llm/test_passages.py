@@ -143,3 +143,49 @@ def test_passages_do_not_depend_on_where_runs_are_cut():
             pieces.append(gathered(part, part, part + 1, where[part], where[part]))
         joined = [np.concatenate(x) for x in zip(*pieces)]
         assert all((a == b).all() for a, b in zip(whole, gathered(joined[0], *joined)))
+
+
+def test_windows_are_shuffled_as_runs(spark, monkeypatch):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").coalesce(2)
+    counts, firsts = spark.sparkContext.accumulator(0), passages._firsts
+    shared = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        def read():
+            for b in batches:
+                counts.add(b.num_rows)
+                yield b
+
+        for b in firsts(read()):
+            shared.add(b.num_rows)
+            yield b
+
+    monkeypatch.setattr(passages, "_firsts", counted)
+    rows = passages.repeated_passages(docs).collect()
+    windows = sum(len(r.text[r.start : r.start + r.length].encode().translate(FOLDED).split()) - 49 for r in spark.createDataFrame(rows).join(docs, "doc_id").collect())
+    assert 0 < counts.value < windows / 4 and 0 < shared.value < windows / 4
+
+
+def test_runs_give_back_their_windows(spark):
+    rng, w = np.random.default_rng(2), lambda n, gap: "".join(f"é{i}{' ' * k}" for i, k in enumerate(gap.tolist()[:n]))
+    texts = [(k, w(150 + k, np.where(rng.random(400) < 0.01, 300, 1)) + "\n\n" + w(80, rng.integers(1, 4, 80)).replace("7", "7\n")) for k in range(9)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(2)
+    for often in (np.zeros(0, np.uint64), np.sort(rng.integers(0, 1 << 62, 50, np.uint64))):
+        passing = spark.sparkContext.broadcast((np.full(1 << 17, 255, np.uint8), often))
+        want = {(r.h, r.doc_id, r.at, r.place) for r in passages._candidates(docs, 50, passing, False).collect()}
+        got, kinds = [], set()
+        for t in (passages._runs(docs, 50, passing).toArrow(), passages._runs(docs, 50, passing).limit(5).toArrow()):
+            of, h, at, place = passages._told(t)
+            got.append(list(zip(h.view(np.int64).tolist(), t["doc_id"].to_numpy()[of].tolist(), at.tolist(), place.tolist())))
+            kinds |= {8 * len(s) // len(x) for s, x in zip(t["steps"].to_pylist(), t["hashes"].to_pylist())}
+        assert set(got[0]) == want and len(got[0]) == len(want) > len(t) and set(got[1]) <= want and kinds == {3, 12}
+
+
+def test_bands_of_several_classes_are_found_without_a_shuffle(spark):
+    classes = spark.range(5000).selectExpr("id", "xxhash64(id) as b0", "xxhash64(id div 2, 1) as b1")
+    across = written(spark.range(1000).selectExpr("xxhash64(id, 1) as band"), "bands")
+    found = paragraphs.in_bands(classes, across)
+    assert "Exchange" not in found._jdf.queryExecution().toString()
+    got = {(r.id, r.band) for r in found.collect()}
+    want = {(r.id, r.b1) for r in classes.where("id < 2000").collect()}
+    assert want <= got and len(got) < len(want) + 1000
