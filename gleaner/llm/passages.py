@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -104,7 +105,7 @@ def _both(high: np.ndarray, low: np.ndarray) -> np.ndarray:
 
 
 def _candidates(docs: DataFrame, size: int, passing, common: bool) -> DataFrame:
-    """``(h, doc_id, at, place)``: a row for each window that ``_passing`` tells of.
+    """``(h, doc_id, at, place)``: a row for each window that ``_passing`` tells of. ``_runs`` holds the same in fewer rows.
 
     ``at`` holds the first word and its line, ``place`` the first character and that after the last, 32 bits each.
     """
@@ -143,11 +144,11 @@ def _planes(low: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.stack([first, first + np.repeat(n, n), first + 2 * np.repeat(n, n)])
 
 
-def _runs(docs: DataFrame, size: int, passing) -> DataFrame:
-    """``RUNS`` of the windows that ``_passing`` tells of, without the very common ones: a row for each run, not for each window."""
+def _runs(docs: DataFrame, size: int, passing, common: bool = False) -> DataFrame:
+    """``RUNS`` of the windows that ``_passing`` tells of, of the very common ones or the others: a row for each run, not for each window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for m, h, doc, at, *places in _passing(batches, size, passing, False):
+        for m, h, doc, at, *places in _passing(batches, size, passing, common):
             line, begin, stop = places
             low = np.flatnonzero(np.concatenate([[True], (m[1:] != m[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)]))
             n = np.diff(np.append(low, len(m)))
@@ -186,6 +187,58 @@ def _told(t: pa.Table) -> tuple[np.ndarray, ...]:
     return of, hashes.view(np.uint64), at + (_both(np.arange(len(of)) - low[of], line)), place + _both(begin, stop)
 
 
+#: Windows of so many bytes of hashes are unpacked at a time, or one run that has more.
+UNPACKED = 1 << 21
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, tuple[np.ndarray, ...]]]:
+    """Rows of ``RUNS``, the row of each of their windows, and the window as in ``WINDOWS``. Rows of ``WINDOWS`` are one window each."""
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        if "hashes" not in t.column_names:
+            yield t, np.arange(len(t)), tuple(t[c].to_numpy() for c in ("h", "doc_id", "at", "place"))
+            continue
+        ends = np.cumsum(pc.binary_length(t["hashes"]).to_numpy().astype(np.int64))
+        low = 0
+        while low < len(t):
+            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + UNPACKED, "right")))
+            some = t.slice(low, high - low)
+            of, h, at, place = _told(some)
+            yield some, of, (h.view(np.int64), some["doc_id"].to_numpy()[of], at, place)
+            low = high
+
+
+def _seen(rows: DataFrame) -> DataFrame:
+    """``(h, doc_id, at, high)``: the windows of ``RUNS``, each at least once, with its first occurrence and the highest doc_id among these rows.
+
+    Runs of the same windows, whose lines change at the same ones, are one before they are opened: what is inside a passage is opened
+    once, however many copies it has.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, of, (h, doc, at, _) in _opened(batches):
+            order = np.lexsort((at, doc, h))
+            h = h[order]
+            low = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            high = np.maximum.reduceat(t["high"].to_numpy()[of][order], low)
+            yield pa.record_batch([pa.array(x) for x in (h[low], doc[order][low], at[order][low], high)], names=["h", "doc_id", "at", "high"])
+
+    lines = F.expr("substring(steps, cast(length(steps) div 3 * 2 + 1 as int))")
+    first = F.min(F.struct("doc_id", "at", "place", "steps")).alias("f")
+    alike = rows.groupBy("hashes", lines.alias("lines")).agg(first, F.max("doc_id").alias("high")).select("hashes", "f.*", "high")
+    return alike.mapInArrow(run, "h long, doc_id long, at long, high long")
+
+
+def _each(rows: DataFrame) -> DataFrame:
+    """``WINDOWS`` of ``RUNS``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, columns in _opened(batches):
+            yield pa.record_batch([*map(pa.array, columns)], names=[x.split()[0] for x in WINDOWS.split(", ")])
+
+    return rows.mapInArrow(run, WINDOWS)
+
+
 #: n windows that follow each other and whose first occurrences do, or return among those before, first_n in all: at and first_at
 #: are of the first one, place is from its start to the end of the last.
 FIRSTS = "doc_id long, at long, place long, first_doc long, first_at long, n int, first_n int"
@@ -238,23 +291,24 @@ def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _common(rows: DataFrame, few: int) -> DataFrame:
-    """The same for windows that very many rows share: they are summed where they are made, and looked up.
+    """The same for windows that very many rows share, as ``RUNS`` or a row for each: they are summed where they are made, and looked up.
 
     Up to ``few`` distinct windows are looked up where the rows are, which come in the order of their texts, so that a
     passage makes one row for each of its copies and not one for each of its windows, nor one for each time that it repeats
     itself. More of them are joined.
     """
-    first = rows.groupBy("h").agg(F.min(F.struct("doc_id", "at")).alias("f"), F.max("doc_id").alias("high")).where("f.doc_id < high")
+    runs = "hashes" in rows.columns
+    seen = _seen(rows) if runs else rows.withColumn("high", F.col("doc_id"))
+    first = seen.groupBy("h").agg(F.min(F.struct("doc_id", "at")).alias("f"), F.max("high").alias("high")).where("f.doc_id < high")
     first = written(first.select("h", F.col("f.doc_id").alias("first_doc"), F.col("f.at").alias("first_at")), "first")
     if first.count() > few:
-        return lookup(rows, first, ["h"], few).select("doc_id", "at", "place", "first_doc", "first_at", F.lit(1).alias("n"), F.lit(1).alias("first_n"))
+        return lookup(_each(rows) if runs else rows, first, ["h"], few).select("doc_id", "at", "place", "first_doc", "first_at", F.lit(1).alias("n"), F.lit(1).alias("first_n"))
     table = first.orderBy("h").toArrow()
     known = rows.sparkSession.sparkContext.broadcast([c.to_numpy() for c in table.columns])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows, docs, places = known.value
-        for b in batches:
-            h, doc, at, place = (c.to_numpy() for c in b.columns)
+        for _, _, (h, doc, at, place) in _opened(batches):
             found = np.searchsorted(windows, h)
             held = np.flatnonzero(np.append(windows, 0)[found] == h) if len(windows) else found[:0]
             held = held[found[held] < len(windows)]
@@ -311,8 +365,8 @@ def repeated_passages(docs: DataFrame, size: int = 50, often: int = 20_000, few:
     Words are runs of letters and digits in lower case, whatever the lines they stand in. Every window of ``size`` words that
     another document holds too is found, and nothing else: a window's key is the least hash of its runs of half the size (a
     MinHash of one row), equal windows have an equal one, and windows whose key occurs in two documents are compared in
-    full. Windows of keys that over ``often`` windows have are summed before they are shuffled, and if at most ``few`` of them
-    differ, looked up without a shuffle and gathered to passages. Successive windows whose first
+    full. Windows of keys that over ``often`` windows have are summed before they are shuffled, equal runs of them before equal
+    windows, and if at most ``few`` of them differ, looked up without a shuffle and gathered to passages. Successive windows whose first
     occurrences (by doc_id and place) are successive too make one row; kept says that it is itself the first occurrence. So do
     those whose first occurrences return among those before in the row: a text that repeats itself is one row, which
     may be longer than the passage where its windows occur first.
@@ -329,5 +383,5 @@ def repeated_passages(docs: DataFrame, size: int = 50, often: int = 20_000, few:
     rows = _runs(docs, size, passing).repartition("m").sortWithinPartitions("m")
     shared = rows.mapInArrow(_firsts, FIRSTS)
     if len(common):
-        shared = shared.union(_common(written(_candidates(docs, size, passing, True), "common"), few))
+        shared = shared.union(_common(written(_runs(docs, size, passing, True), "common"), few))
     return shared.repartition("doc_id").sortWithinPartitions("doc_id").mapInArrow(_spans, SPANS)

@@ -189,3 +189,39 @@ def test_bands_of_several_classes_are_found_without_a_shuffle(spark):
     got = {(r.id, r.band) for r in found.collect()}
     want = {(r.id, r.b1) for r in classes.where("id < 2000").collect()}
     assert want <= got and len(got) < len(want) + 1000
+
+
+def test_very_common_windows_are_rows_by_runs(spark, monkeypatch):
+    shared, rows = [f"p{i}" for i in range(200)], []
+    for k in range(300):  # 151 windows of the passage in each, with lines and spaces of its own, and rows that repeat a doc_id with other lines
+        text = " ".join(f"{w}\n" if k % 7 == 1 and i % 50 == 9 else w for i, w in enumerate(shared))
+        text = text.replace("p60 ", "p60" + " " * 400) if k % 5 == 0 else text
+        rows += [(k % 290, f"a{k} b{k}\n{text} c{k}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    made, common, seen = [], passages._common, passages._seen
+    monkeypatch.setattr(passages, "_common", lambda rows, few: made.append(rows.count()) or common(rows, few))
+    monkeypatch.setattr(passages, "_seen", lambda rows: made.append((found := seen(rows)).count()) or found)
+    want = sorted(map(tuple, passages.repeated_passages(docs).collect()))
+    assert not made and len({r[0] for r in want}) == 290
+    for few in (200_000, 0):
+        assert sorted(map(tuple, passages.repeated_passages(docs, often=0, few=few).collect())) == want
+    every = 300 * 151
+    assert len(made) == 4 and made[0] < every / 5 and made[1] < every / 5 and made[2:] == made[:2]
+
+
+def test_first_occurrences_of_runs_are_those_of_windows(spark, monkeypatch):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").coalesce(2)
+    passing = spark.sparkContext.broadcast((np.full(1 << 17, 255, np.uint8), np.zeros(0, np.uint64)))
+    windows, each, got = [tuple(r) for r in passages._candidates(docs, 50, passing, True).collect()], defaultdict(list), defaultdict(list)
+    for h, doc_id, at, _ in windows:
+        each[h].append((doc_id, at))
+    runs = written(passages._runs(docs, 50, passing, True), "runs")
+    for r in passages._seen(runs).collect():
+        got[r.h].append((r.doc_id, r.at, r.high))
+    assert {h: (min(x)[:2], max(y[2] for y in x)) for h, x in got.items()} == {h: (min(x), max(x)[0]) for h, x in each.items()}
+    assert sorted(map(tuple, passages._each(runs).collect())) == sorted(windows)
+    batches = runs.toArrow().to_batches(50)
+    for most, parts in ((1, len(runs.toArrow())), (1 << 14, None), (1 << 40, len(batches))):
+        monkeypatch.setattr(passages, "UNPACKED", most)
+        opened = list(passages._opened(iter(batches)))
+        assert sorted(x for _, _, c in opened for x in zip(*(v.tolist() for v in c))) == sorted(windows) and len(opened) == (parts or len(opened))
