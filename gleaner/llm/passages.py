@@ -229,14 +229,29 @@ def _seen(rows: DataFrame) -> DataFrame:
     return alike.mapInArrow(run, "h long, doc_id long, at long, high long")
 
 
-def _each(rows: DataFrame) -> DataFrame:
-    """``WINDOWS`` of ``RUNS``."""
+def _known(rows: DataFrame, first: DataFrame, few: int) -> DataFrame:
+    """``RUNS`` with ``known``, the rows of ``first`` for their windows, which are looked up once for runs of the same windows. Runs without any fall."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, columns in _opened(batches):
-            yield pa.record_batch([*map(pa.array, columns)], names=[x.split()[0] for x in WINDOWS.split(", ")])
+        for t, of, (h, *_) in _opened(batches):
+            order = np.lexsort((h, of))
+            h, of = h[order], of[order]
+            new = np.concatenate([[True], (h[1:] != h[:-1]) | (of[1:] != of[:-1])])
+            yield from pa.table({"same": t["same"].take(pa.array(of[new])), "h": h[new]}).to_batches()
 
-    return rows.mapInArrow(run, WINDOWS)
+    rows = rows.withColumn("same", F.md5("hashes"))
+    alike = rows.groupBy("same").agg(F.min(F.struct("doc_id", "at", "place", "hashes", "steps")).alias("f")).select("same", "f.*")
+    found = lookup(written(alike.mapInArrow(run, "same string, h long"), "each"), first, ["h"], few)
+    table = written(found.groupBy("same").agg(F.collect_list(F.struct("h", "first_doc", "first_at")).alias("known")), "known")
+    return lookup(rows, table, ["same"], few // 16).drop("same")  # a run has some ten windows
+
+
+def _listed(column: pa.ChunkedArray) -> tuple[np.ndarray, ...]:
+    """The windows of a column ``known``, each once in ascending order, the documents and the places of their first occurrences."""
+    flat = pc.list_flatten(column)
+    h, docs, places = (pc.struct_field(flat, name).to_numpy() for name in ("h", "first_doc", "first_at"))
+    windows, at = np.unique(h, return_index=True)
+    return windows, docs[at], places[at]
 
 
 #: n windows that follow each other and whose first occurrences do, or return among those before, first_n in all: at and first_at
@@ -295,20 +310,23 @@ def _common(rows: DataFrame, few: int) -> DataFrame:
 
     Up to ``few`` distinct windows are looked up where the rows are, which come in the order of their texts, so that a
     passage makes one row for each of its copies and not one for each of its windows, nor one for each time that it repeats
-    itself. More of them are joined.
+    itself. More of them are joined, with runs of the same windows once.
     """
     runs = "hashes" in rows.columns
     seen = _seen(rows) if runs else rows.withColumn("high", F.col("doc_id"))
     first = seen.groupBy("h").agg(F.min(F.struct("doc_id", "at")).alias("f"), F.max("high").alias("high")).where("f.doc_id < high")
     first = written(first.select("h", F.col("f.doc_id").alias("first_doc"), F.col("f.at").alias("first_at")), "first")
-    if first.count() > few:
-        return lookup(_each(rows) if runs else rows, first, ["h"], few).select("doc_id", "at", "place", "first_doc", "first_at", F.lit(1).alias("n"), F.lit(1).alias("first_n"))
-    table = first.orderBy("h").toArrow()
-    known = rows.sparkSession.sparkContext.broadcast([c.to_numpy() for c in table.columns])
+    many, known = first.count() > few, None
+    if many and not runs:
+        return lookup(rows, first, ["h"], few).select("doc_id", "at", "place", "first_doc", "first_at", F.lit(1).alias("n"), F.lit(1).alias("first_n"))
+    if many:
+        rows = _known(rows, first, few)
+    else:
+        known = rows.sparkSession.sparkContext.broadcast([c.to_numpy() for c in first.orderBy("h").toArrow().columns])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows, docs, places = known.value
-        for _, _, (h, doc, at, place) in _opened(batches):
+        for t, _, (h, doc, at, place) in _opened(batches):
+            windows, docs, places = known.value if known else _listed(t["known"])
             found = np.searchsorted(windows, h)
             held = np.flatnonzero(np.append(windows, 0)[found] == h) if len(windows) else found[:0]
             held = held[found[held] < len(windows)]
